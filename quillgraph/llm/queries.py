@@ -6,21 +6,52 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import html_text, merkle, mixing, packing, pii, sharding, simhash, sstable, topk, toxicity
 from .common import table
 
 
 def op1_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .sharding import shard_documents
-
-    return shard_documents(table(spark, sf_dir, "documents"))
+    return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .simhash import dedup_documents
+    return simhash.dedup_documents(table(spark, sf_dir, "documents"))
+
+
+def op3_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search_embeddings(table(spark, sf_dir, "embeddings"))
+
+
+def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_pages(table(spark, sf_dir, "pages"))
+
+
+def op6_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sstable.encode_documents(table(spark, sf_dir, "documents"))
+
+
+def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_documents(table(spark, sf_dir, "documents"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_in_documents(table(spark, sf_dir, "documents"))
+
 
-    return dedup_documents(table(spark, sf_dir, "documents"))
+def op10_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_shard, op2_simhash)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f for f in (op1_shard, op2_simhash, op3_pack, op4_topk, op5_html, op6_tokens, op7_mix, op8_toxicity, op9_pii, op10_merkle)
+}
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op4_topk": topk.SQL}
