@@ -25,7 +25,7 @@ def test_round_trip_and_lookup(spark, tmp_path, monkeypatch):
     texts = {i * 3 - 50: " ".join(rnd.choice(["Red", "fox", "jumps!", "é"]) for _ in range(rnd.randrange(40))) for i in range(200)}
     texts |= {9000: None, 9001: "", 9002: "long " * 30_000}
     df = spark.createDataFrame([(k, v, 0, "p") for k, v in texts.items()], SCHEMA)
-    manifest = write_tables(df, f"file://{tmp_path}/t", partitions=3, file_bytes=20_000)
+    manifest = write_tables(df, f"file://{tmp_path}/t", partitions=3, file_bytes=4_000)
     files = manifest.orderBy("part", "file").collect()
     assert sum(f.entries for f in files) == len(texts) and len(files) > 3
     readers = [FileReader(f.path) for f in files]
