@@ -13,40 +13,44 @@ from __future__ import annotations
 
 import os
 import unicodedata
+from array import array
 
 import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Pieces kept in each of the two generations of a memo.
-MEMO = 250_000
-CHARS = 1_500_000
+MEMO = 500_000
+CHARS = 4_000_000
 _OTHER_SPACE = [*"\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0     　", *map(chr, range(0x2000, 0x200B))]
 
 
-class Memo(dict):
-    """Two generations: when the young one is full it becomes the old one."""
+class Memo:
+    """Two generations of pieces: when the young one is full it becomes the old
+    one, from which what is needed again moves back."""
 
     def __init__(self):
-        super().__init__()
+        self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def __missing__(self, key: str) -> bytes:
-        value = self.old[key]
-        self[key] = value
-        return value
-
     def unknown(self, keys: set[str]) -> list[str]:
-        return [k for k in keys if k not in self and k not in self.old]
+        """What has to be encoded; everything else of ``keys`` is young now."""
+        young, old, out = self.young, self.old, []
+        for k in keys.difference(young):
+            v = old.get(k)
+            if v is None:
+                out.append(k)
+            else:
+                young[k] = v
+        return out
 
     def turn(self) -> None:
-        if len(self) > MEMO:
-            self.old = dict(self)
-            self.clear()
+        if len(self.young) > MEMO:
+            self.old, self.young = self.young, {}
 
 
 def _joined(ids: list[int]) -> bytes:
-    return np.array(ids, dtype="<u4").tobytes()
+    return array("I", ids).tobytes()  # 4 bytes, little-endian on all platforms Spark runs on
 
 
 class Encoder:
@@ -59,7 +63,7 @@ class Encoder:
         self.library = Tokenizer.from_file(public_tokenizers.path(name))
         self.library.encode_special_tokens = True  # their strings in a text are ordinary text
         vocabulary = self.library.get_vocab()
-        size = max(vocabulary.values()) + 1
+        self.size = size = max(vocabulary.values()) + 1
         self.spaced = str(self.library.to_str()).find('"end_of_word_suffix":"</w>"') >= 0
         self.edge = np.zeros(size, dtype=bool)  # ids that end (or begin) a piece
         for token, i in vocabulary.items():
@@ -110,7 +114,7 @@ class Encoder:
                 rest.update(words[1:])
         self._learn_heads(self.heads.unknown(heads))
         self._learn_spaced(self.pieces.unknown(rest))
-        head, piece = self.heads.__getitem__, self.pieces.__getitem__
+        head, piece = self.heads.young.__getitem__, self.pieces.young.__getitem__
         end = head("\n")
         for k, lines in cut:
             out[k] = end.join(head(words[0]) + b"".join(map(piece, words[1:])) for words in lines)
@@ -119,18 +123,23 @@ class Encoder:
         return out
 
     def _learn_heads(self, new: list[str]) -> None:
-        self.heads.update(zip(new, self.whole(new), strict=True))
+        self.heads.young.update(zip(new, self.whole(new), strict=True))
+
+    def _at_once(self, text: str) -> tuple[bytes, list[int]]:
+        """A text's ids as bytes, and where its edge ids begin in them."""
+        data = array("I", self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
+        return data, (4 * np.flatnonzero(self.edge[np.frombuffer(data, dtype="<u4")])).tolist()
 
     def _learn_spaced(self, new: list[str]) -> None:
         """Encode " a b c ..." at once; a new piece begins at every id that begins with a space."""
         for at in range(0, len(new), 2000):
             some = new[at : at + 2000]
-            ids = np.array(self.library.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
-            starts = np.flatnonzero(self.edge[ids])
-            if len(starts) == len(some):
-                self.pieces.update((w, x.tobytes()) for w, x in zip(some, np.split(ids, starts[1:]), strict=True))
+            data, edges = self._at_once(" " + " ".join(some))
+            if len(edges) == len(some):
+                edges.append(len(data))
+                self.pieces.young.update(zip(some, [data[a:b] for a, b in zip(edges, edges[1:], strict=False)], strict=True))
             else:
-                self.pieces.update(zip(some, self.whole([" " + w for w in some]), strict=True))
+                self.pieces.young.update(zip(some, self.whole([" " + w for w in some]), strict=True))
 
     # word-level: white space is dropped, letters are lowered
 
@@ -140,7 +149,7 @@ class Encoder:
         for words in cut:
             seen.update(words)
         self._learn_words(self.pieces.unknown(seen))
-        piece = self.pieces.__getitem__
+        piece = self.pieces.young.__getitem__
         out = [b"".join(map(piece, words)) for words in cut]
         self.pieces.turn()
         self.letters.turn()
@@ -158,15 +167,15 @@ class Encoder:
         unknown = self.letters.unknown(letters)
         for at in range(0, len(unknown), 2000):
             some = unknown[at : at + 2000]
-            ids = np.array(self.library.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
-            ends = np.flatnonzero(self.edge[ids]) + 1
-            if len(ends) == len(some):
-                self.letters.update((w, x.tobytes()) for w, x in zip(some, np.split(ids, ends[:-1]), strict=True))
+            data, edges = self._at_once(" ".join(some))
+            if len(edges) == len(some):
+                edges = [0, *(e + 4 for e in edges)]
+                self.letters.young.update(zip(some, [data[a:b] for a, b in zip(edges, edges[1:], strict=False)], strict=True))
             else:
-                self.letters.update(zip(some, self.whole(some), strict=True))
-        part = self.letters.__getitem__
-        self.pieces.update((w, b"".join(map(part, parts))) for w, parts in easy)
-        self.pieces.update(zip(hard, self.whole(hard), strict=True))
+                self.letters.young.update(zip(some, self.whole(some), strict=True))
+        part = self.letters.young.__getitem__
+        self.pieces.young.update((w, b"".join(map(part, parts))) for w, parts in easy)
+        self.pieces.young.update(zip(hard, self.whole(hard), strict=True))
 
 
 class _Runs:
