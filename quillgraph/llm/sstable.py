@@ -4,11 +4,12 @@ A file holds documents in ascending key order::
 
     header   magic
     blocks   entries (shared prefix length, suffix length, value length: varints;
-             key suffix; value = ids as little-endian uint32); a block's first
-             key is whole
+             key suffix; value = ids as little-endian integers of the file's
+             width: 2 bytes if the vocabulary allows, else 4); a block's first key
+             is whole
     index    one entry a block: key length (varint), key, offset, length, count
     bloom    bits over all keys
-    footer   offsets of index and bloom, counts, number of hashes, magic
+    footer   offsets of index and bloom, counts, hashes, width, magic
 
 so a lookup reads the footer, asks the Bloom filter, finds the block by binary
 search in the sparse index and scans that block alone.
@@ -45,7 +46,7 @@ from .common import materialize, shared_dir
 from .tokens import encoder
 
 MAGIC = b"QGSST\x00\x01\n"
-FOOTER = struct.Struct("<QQQQQI8s")  # index at, bloom at, bloom bytes, entries, tokens, hashes, magic
+FOOTER = struct.Struct("<QQQQQHH8s")  # index at, bloom at, bloom bytes, entries, tokens, hashes, width, magic
 BLOCK_BYTES = 64 * 1024
 FILE_BYTES = 24 * 1024 * 1024
 BLOOM_BITS_PER_KEY, BLOOM_HASHES = 10, 7
@@ -85,14 +86,18 @@ def bloom_places(key: bytes, bits: int):
 
 
 class FileWriter:
-    """Builds one table in memory; entries come in key order."""
+    """Builds one table in memory; entries come in key order, ids as uint32 bytes."""
 
-    def __init__(self):
+    def __init__(self, width: int = 4):
+        self.width = width
         self.data, self.block, self.index, self.keys = bytearray(MAGIC), bytearray(), [], []
         self.first = self.last = b""
         self.in_block = self.tokens = 0
 
     def add(self, key: bytes, value: bytes) -> None:
+        self.tokens += len(value) // 4
+        if self.width == 2:
+            value = np.frombuffer(value, dtype="<u4").astype("<u2").tobytes()
         shared = 0
         if self.in_block:
             most = min(len(key), len(self.last))
@@ -107,7 +112,6 @@ class FileWriter:
         self.last = key
         self.keys.append(key)
         self.in_block += 1
-        self.tokens += len(value) // 4
         if len(self.block) >= BLOCK_BYTES:
             self._end_block()
 
@@ -132,7 +136,7 @@ class FileWriter:
         for k in self.keys:
             bloom[bloom_places(k, bits)] = True
         self.data += np.packbits(bloom, bitorder="little").tobytes()
-        self.data += FOOTER.pack(index_at, bloom_at, bits // 8, len(self.keys), self.tokens, BLOOM_HASHES, MAGIC)
+        self.data += FOOTER.pack(index_at, bloom_at, bits // 8, len(self.keys), self.tokens, BLOOM_HASHES, self.width, MAGIC)
         return bytes(self.data)
 
 
@@ -144,7 +148,7 @@ class FileReader:
         self.file = system.open_input_file(inner)
         size = self.file.size()
         self.file.seek(size - FOOTER.size)
-        self.index_at, self.bloom_at, self.bloom_bytes, self.entries, self.tokens, _, magic = FOOTER.unpack(self.file.read(FOOTER.size))
+        self.index_at, self.bloom_at, self.bloom_bytes, self.entries, self.tokens, _, self.width, magic = FOOTER.unpack(self.file.read(FOOTER.size))
         if magic != MAGIC:
             raise ValueError(f"not a token table: {path}")
         raw = self._read(self.index_at, self.bloom_at - self.index_at)
@@ -166,7 +170,8 @@ class FileReader:
             own, at = get_varint(data, at)
             n, at = get_varint(data, at)
             key = key[:shared] + data[at : at + own]
-            yield key, data[at + own : at + own + n]
+            value = data[at + own : at + own + n]
+            yield key, value if self.width == 4 else np.frombuffer(value, dtype="<u2").astype("<u4").tobytes()
             at += own + n
 
     def scan(self):
@@ -214,14 +219,15 @@ def write_tables(docs: DataFrame, folder: str, tokenizer: str = "word_bpe_49k.js
 
     def run(batches):
         part, files = TaskContext.get().partitionId(), []
-        writer = FileWriter()
+        width = 2 if max(encoder(tokenizer).size, end_id + 1) <= 1 << 16 else 4
+        writer = FileWriter(width)
 
         def close():
             nonlocal writer
             name = f"part-{part:06d}-{len(files):05d}.sst"
             first, entries, tokens = id_of(writer.keys[0]), len(writer.keys), writer.tokens
             files.append((_store(folder, name, writer.finish()), part, len(files), entries, tokens, first, id_of(writer.last)))
-            writer = FileWriter()
+            writer = FileWriter(width)
 
         for b in batches:
             ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
