@@ -16,6 +16,7 @@ import unicodedata
 from array import array
 
 import numpy as np
+import regex
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -68,7 +69,7 @@ class Encoder:
         self.edge = np.zeros(size, dtype=bool)  # ids that end (or begin) a piece
         for token, i in vocabulary.items():
             self.edge[i] = token.endswith("</w>") if self.spaced else token.startswith("Ġ")
-        self.pieces, self.heads, self.letters = Memo(), Memo(), Memo()
+        self.pieces, self.letters = Memo(), Memo()
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [_joined(e.ids) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -89,7 +90,29 @@ class Encoder:
     def _run(self, texts: list[str]) -> list[bytes]:
         return self._encode_words(texts) if self.spaced else self._encode_bytes(texts)
 
-    # byte-level: a piece carries the space before it
+    def _put_together(self, cut: list[list[str]], learn) -> list[bytes]:
+        """Each text's pieces by lookup; what no text had before is learned at once."""
+        get, out, open_texts, new = self.pieces.young.get, [], [], set()
+        for k, pieces in enumerate(cut):
+            values = list(map(get, pieces))
+            if None in values:
+                holes = [i for i, v in enumerate(values) if v is None]
+                new.update([pieces[i] for i in holes])
+                open_texts.append((k, pieces, values, holes))
+                out.append(b"")
+            else:
+                out.append(b"".join(values))
+        learn(self.pieces.unknown(new))
+        young = self.pieces.young
+        for k, pieces, values, holes in open_texts:
+            for i in holes:
+                values[i] = young[pieces[i]]
+            out[k] = b"".join(values)
+        self.pieces.turn()
+        return out
+
+    # byte-level: a piece carries the space before it; the first of a line is
+    # marked by a line feed and carries that instead
 
     def _plain(self, t: str) -> bool:
         if not t or t[0] in " \n" or t[-1] in " \n" or "  " in t or "\n\n" in t or " \n" in t or "\n " in t:
@@ -97,33 +120,22 @@ class Encoder:
         return not any(c in t for c in _OTHER_SPACE)
 
     def _encode_bytes(self, texts: list[str]) -> list[bytes]:
-        cut, odd = [], []
-        for k, t in enumerate(texts):
-            if self._plain(t):
-                cut.append((k, [line.split(" ") for line in t.split("\n")]))
-            elif t:
-                odd.append(k)
         out = [b""] * len(texts)
+        plain = [k for k, t in enumerate(texts) if self._plain(t)]
+        at = set(plain)
+        odd = [k for k, t in enumerate(texts) if t and k not in at]
         for k, ids in zip(odd, self.whole([texts[k] for k in odd]), strict=True):
             out[k] = ids
-        heads: set[str] = {"\n"}
-        rest: set[str] = set()
-        for _, lines in cut:
-            for words in lines:
-                heads.add(words[0])
-                rest.update(words[1:])
-        self._learn_heads(self.heads.unknown(heads))
-        self._learn_spaced(self.pieces.unknown(rest))
-        head, piece = self.heads.young.__getitem__, self.pieces.young.__getitem__
-        end = head("\n")
-        for k, lines in cut:
-            out[k] = end.join(head(words[0]) + b"".join(map(piece, words[1:])) for words in lines)
-        self.pieces.turn()
-        self.heads.turn()
+        cut = [("\n" + texts[k]).replace("\n", " \n").split(" ")[1:] for k in plain]
+        feed = self.whole(["\n"])[0]
+        for k, ids in zip(plain, self._put_together(cut, lambda new: self._learn_bytes(new, feed)), strict=True):
+            out[k] = ids[len(feed) :]
         return out
 
-    def _learn_heads(self, new: list[str]) -> None:
-        self.heads.young.update(zip(new, self.whole(new), strict=True))
+    def _learn_bytes(self, new: list[str], feed: bytes) -> None:
+        heads = [w for w in new if w[:1] == "\n"]
+        self.pieces.young.update((w, feed + ids) for w, ids in zip(heads, self.whole([w[1:] for w in heads]), strict=True))
+        self._learn_spaced([w for w in new if w[:1] != "\n"])
 
     def _at_once(self, text: str) -> tuple[bytes, list[int]]:
         """A text's ids as bytes, and where its edge ids begin in them."""
@@ -144,26 +156,25 @@ class Encoder:
     # word-level: white space is dropped, letters are lowered
 
     def _encode_words(self, texts: list[str]) -> list[bytes]:
-        cut = [t.replace("\n", " ").split(" ") for t in texts]
-        seen: set[str] = set()
-        for words in cut:
-            seen.update(words)
-        self._learn_words(self.pieces.unknown(seen))
-        piece = self.pieces.young.__getitem__
-        out = [b"".join(map(piece, words)) for words in cut]
-        self.pieces.turn()
+        out = self._put_together([t.replace("\n", " ").split(" ") for t in texts], self._learn_words)
         self.letters.turn()
         return out
 
     def _learn_words(self, new: list[str]) -> None:
         hard, easy = [], []
+        letters: set[str] = set()
         for w in new:
             low = w.lower()
-            if "'" in w or "Σ" in w or "İ" in w or not unicodedata.is_normalized("NFC", w):
+            if low.isascii():
+                if "'" in low:
+                    hard.append(w)
+                    continue
+            elif "'" in w or "Σ" in w or "İ" in w or not unicodedata.is_normalized("NFC", w):
                 hard.append(w)
-            else:
-                easy.append((w, _RUNS.findall(low)))
-        letters = {p for _, parts in easy for p in parts}
+                continue
+            parts = (low,) if low.isalpha() else _RUNS(low)
+            easy.append((w, parts))
+            letters.update(parts)
         unknown = self.letters.unknown(letters)
         for at in range(0, len(unknown), 2000):
             some = unknown[at : at + 2000]
@@ -174,22 +185,12 @@ class Encoder:
             else:
                 self.letters.young.update(zip(some, self.whole(some), strict=True))
         part = self.letters.young.__getitem__
-        self.pieces.young.update((w, b"".join(map(part, parts))) for w, parts in easy)
+        self.pieces.young.update((w, part(parts[0]) if len(parts) == 1 else b"".join(map(part, parts))) for w, parts in easy)
         self.pieces.young.update(zip(hard, self.whole(hard), strict=True))
 
 
-class _Runs:
-    """Runs of letters, single numbers, runs of anything else but space."""
-
-    def findall(self, text: str) -> list[str]:
-        if text.isascii() and text.isalpha():
-            return [text]
-        import regex
-
-        return regex.findall(r"\p{L}+|\p{N}|[^\s\p{L}\p{N}]+", text)
-
-
-_RUNS = _Runs()
+#: Runs of letters, single numbers, runs of anything else but space.
+_RUNS = regex.compile(r"\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
 _encoders: dict[str, Encoder] = {}
 
 
