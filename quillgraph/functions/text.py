@@ -157,8 +157,13 @@ def block_label(kind: Column, path: Column, page: Column, title: Column) -> Colu
     return F.when(kind == "chunk", chunk).when(kind == "wiki", F.concat(F.lit("wiki "), title)).otherwise(F.concat(kind, F.lit(" "), title))
 
 
+def strip(text: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(text, r"^\s+|\s+\z", "")
+
+
 def strip_think(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, r"(?is)<think>.*?</think>", ""))
+    return strip(F.regexp_replace(text, r"(?is)<think>.*?</think>", ""))
 
 
 def clean_json(text: Column) -> Column:
@@ -190,7 +195,7 @@ def strip_reserved_sections(body: Column) -> Column:
     x = F.regexp_replace(body, r"^\s*# [^\n]*\n?", "")
     x = F.regexp_replace(x, r"(?ms)^## (?:Related|Sources)[ \t]*$.*\z", "")
     x = F.regexp_replace(x, r"(?m)^\[\^[^\]]+\]:.*$\n?", "")
-    return F.trim(F.regexp_replace(x, r"\n{3,}", "\n\n"))
+    return strip(F.regexp_replace(x, r"\n{3,}", "\n\n"))
 
 
 @pandas_udf(StructType([StructField("text", StringType()), StructField("kept", ArrayType(StringType()))]))

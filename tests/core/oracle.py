@@ -57,7 +57,7 @@ if __name__ == "__main__":
     from quillgraph import catalog
     from quillgraph.session import session
 
-    spark = session("oracle", "local[3]", **{"spark.sql.shuffle.partitions": "6", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "4g"})
+    spark = session("oracle", os.environ.get("ORACLE_MASTER", "local[3]"), **{"spark.sql.shuffle.partitions": "6", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "4g"})
     spark.sparkContext.setLogLevel("ERROR")
     for name in sys.argv[2:] or catalog.QUERIES:
         t = time.time()
