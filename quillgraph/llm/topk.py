@@ -144,9 +144,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, tile_queries: int
             partial = found if partial is None else partial.union(found)
     if partial is None:
         return asked.select(F.col("vec_id").alias("query_id"), F.lit(0).alias("rank"), "vec_id", F.lit(0).cast("long").alias("score")).limit(0)
-    groups = rows.rdd.getNumPartitions()
     order = [F.col("score").desc(), F.col("vec_id").asc()]
     partial = materialize(partial, "topk-partial")
+    groups = (partial.agg(F.max("part")).first()[0] or 0) + 1
     while groups > FAN_IN:
         groups = -(-groups // FAN_IN)
         partial = partial.withColumn("part", F.pmod("part", F.lit(groups)))
