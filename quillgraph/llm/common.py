@@ -24,6 +24,22 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def give_back() -> None:
+    """At the end of a Python task: return freed memory to the system, as the
+    worker process lives on for later tasks beside the executor's heap."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 

@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import give_back, materialize
 from .tokens import encoder
 
 CAPACITY = 1024
@@ -120,6 +120,7 @@ def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", capacity: int =
                 loose, flushed = [], flushed + 1
         if loose:
             yield _batch(_pack(loose, f"a{task}.{flushed}", capacity), _NAMES, _TYPES)
+        give_back()
 
     state = materialize(docs.select("doc_id", "text").mapInArrow(first_round, STATE), "pack-0")
     done = []

@@ -46,7 +46,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import give_back, materialize
 from .components import components
 
 TAU = 3
@@ -83,6 +83,7 @@ def with_fingerprints(docs: DataFrame, text: str = "text", keep: list[str] | Non
             texts = b.column("_qs_text").to_pylist()
             fps = np.array([fingerprint(t) for t in texts], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(fps, type=pa.int64())], names=[*keep, "fp"])
+        give_back()
 
     return rows.mapInArrow(run, schema)
 

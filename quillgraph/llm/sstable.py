@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize, shared_dir
+from .common import give_back, materialize, shared_dir
 from .tokens import encoder
 
 MAGIC = b"QGSST\x00\x01\n"
@@ -242,6 +242,7 @@ def write_tables(docs: DataFrame, folder: str, tokenizer: str = "word_bpe_49k.js
         if files:
             types = [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*files, strict=True), types, strict=True)], names=MANIFEST_NAMES)
+        give_back()
 
     placed = docs.select("doc_id", "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
     return materialize(placed.mapInArrow(run, MANIFEST), "sst-manifest")

@@ -21,8 +21,8 @@ import regex
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Pieces kept in each of the two generations of a memo.
-MEMO = 500_000
-CHARS = 4_000_000
+MEMO = 250_000
+CHARS = 2_000_000
 _OTHER_SPACE = [*"\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0     　", *map(chr, range(0x2000, 0x200B))]
 
 

@@ -37,6 +37,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import give_back
+
 SAMPLE = 24_000
 SUPPORT, LOG_ODDS, LEXICON = 4, 3.0, 4000
 PREFIXES = (4, 5, 6)
@@ -52,7 +54,7 @@ TARGET_GAIN, NEGATION_GAIN, REPORT_GAIN = 1.25, 0.35, 0.6
 NEGATION_REACH, TARGET_REACH, THREAT_REACH = 3, 3, 4
 THREAT_WEIGHT, SEED_WEIGHT = 2.0, 4.0
 TOKEN = re.compile(r"[^\W\d_]+|[.!?;:\n]")
-MEMO = 300_000
+MEMO = 150_000
 
 
 @dataclass
@@ -177,6 +179,9 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         for at in range(0, len(terms), 20_000):
             some = terms[at : at + 20_000]
             yield pa.RecordBatch.from_arrays([pa.array(some), pa.array([seen[1][t] for t in some], type=pa.int64()), pa.array([seen[0][t] for t in some], type=pa.int64())], names=["term", "pos", "neg"])
+        seen.clear()
+        del terms
+        give_back()
 
     odds = F.log((F.col("pos") + 0.5) / F.lit(n_pos + 1.0)) - F.log((F.col("neg") + 0.5) / F.lit(n_neg + 1.0))
     terms = rows.mapInArrow(count_terms, "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
@@ -233,6 +238,8 @@ def with_score(docs: DataFrame, model: Model, keep: list[str], text: str = "text
         for b in batches:
             scores = pa.array([score(model, t) for t in b.column("_qt_text").to_pylist()], type=pa.float64())
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], scores], names=[*keep, out])
+        model.memo.clear()  # the worker keeps the broadcast model
+        give_back()
 
     return rows.mapInArrow(run, schema)
 
