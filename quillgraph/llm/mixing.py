@@ -156,6 +156,54 @@ def placed(mixed: DataFrame, schedules=SCHEDULES) -> DataFrame:
 def mix_documents(docs: DataFrame) -> DataFrame:
     """Digest form: one row a document, with the position of its first use."""
     mixed = materialize(mix(docs), "mixed")
-    first = placed(mixed.withColumn("epochs", F.least("epochs", F.lit(1)))).select("doc_id", "size", "source_size", "target", "taken", "position")
+    first = placed(mixed.withColumn("epochs", F.least("epochs", F.lit(1)))).select("doc_id", "size", "source_size", "target", "taken", F.round("position", 3).alias("position"))
     never = mixed.where("epochs = 0").select("doc_id", "size", "source_size", "target", "taken", F.lit(None).cast("double").alias("position"))
     return first.union(never)
+
+
+# --- the digest in SQL ----------------------------------------------------
+
+
+def _case(pairs: list[tuple[str, str]], default: str) -> str:
+    return "CASE " + " ".join(f"WHEN {a} THEN {b}" for a, b in pairs) + f" ELSE {default} END"
+
+
+def _sql_demand(t: str, knots) -> str:
+    return _case([(f"{t} < {t1!r}", f"{so_far!r} + {w0!r} * ({t} - {t0!r}) + {(w1 - w0) / (t1 - t0)!r} * ({t} - {t0!r}) * ({t} - {t0!r}) / 2") for t0, t1, w0, w1, so_far in _segments(knots)], "1.0")
+
+
+def _sql_time(part: str, knots) -> str:
+    pairs = []
+    for t0, t1, w0, w1, so_far in _segments(knots):
+        slope, y = (w1 - w0) / (t1 - t0), f"({part} - {so_far!r})"
+        x = f"{y} / {w0!r}" if abs(slope) < 1e-12 else f"(sqrt(greatest(0.0, {w0 * w0!r} + {2 * slope!r} * {y})) - {w0!r}) / {slope!r}"
+        pairs.append((f"{part} < {so_far + (t1 - t0) * (w0 + w1) / 2!r}", f"{t0!r} + {x}"))
+    return _case(pairs, "1.0")
+
+
+def _sql() -> str:
+    kind = f"(rank % {len(SCHEDULES)})"
+    time = _case([(f"{kind} = {k}", _sql_time("part", s)) for k, s in enumerate(SCHEDULES)], "1.0")
+    total = " + ".join(f"coalesce((SELECT sum(target) FROM t WHERE {kind} = {k}), 0.0) * ({_sql_demand('time', s)})" for k, s in enumerate(SCHEDULES))
+    weight = _case([(f"rank % {len(WEIGHTS)} = {k}", f"{float(w)!r}") for k, w in enumerate(WEIGHTS)], "0.0")
+    return f"""
+WITH d AS (SELECT doc_id, source, CAST(len(list_filter(string_split_regex(coalesce(text, ''), '[ \\t-\\r]+'), lambda w: w <> '')) AS BIGINT) AS size,
+    md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|{SEED}') AS h FROM documents),
+ z AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY 1),
+ k AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank FROM z),
+ w AS (SELECT *, CAST({weight} AS DOUBLE) AS weight, CAST({CAP} * source_size AS DOUBLE) AS c FROM k),
+ l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(c) OVER b, 0.0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0.0)) AS lev
+   FROM w WINDOW b AS (ORDER BY c / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+ v AS (SELECT lev FROM l WHERE c / weight >= lev ORDER BY c / weight, rank LIMIT 1),
+ t AS (SELECT source, source_size, rank, coalesce(least(c, (SELECT lev FROM v) * weight), c) AS target FROM l),
+ x AS (SELECT d.*, source_size, rank, target, CAST(coalesce(sum(size) OVER (PARTITION BY rank ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS beg
+   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+ y AS (SELECT *, least(floor(target / greatest(source_size, 1)), {CAP}) AS whole FROM x),
+ e AS (SELECT *, CASE WHEN size = 0 THEN 0 ELSE CAST(whole AS BIGINT) + CASE WHEN beg + size / 2.0::DOUBLE < target - whole * source_size AND whole < {CAP} THEN 1 ELSE 0 END END AS epochs FROM y),
+ p AS (SELECT *, least(1.0, beg / greatest(target, 1.0)) AS part FROM e),
+ q AS (SELECT *, {time} AS time FROM p)
+SELECT doc_id, size, source_size, target, CAST(size * epochs AS BIGINT) AS taken, CASE WHEN epochs > 0 THEN round({total}, 3) END AS position FROM q
+"""
+
+
+SQL = _sql()

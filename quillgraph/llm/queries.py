@@ -54,4 +54,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_shard, op2_simhash, op3_pack, op4_topk, op5_html, op6_tokens, op7_mix, op8_toxicity, op9_pii, op10_merkle)
 }
 
-SQL: dict[str, str] = {"op4_topk": topk.SQL}
+SQL: dict[str, str] = {"op4_topk": topk.SQL, "op7_mix": mixing.SQL}
