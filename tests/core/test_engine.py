@@ -49,3 +49,25 @@ def test_life_of_a_corpus(spark, tmp_path):
     assert {r.action for r in e.ingest([str(d / "a.md")]).collect()} == {"change"}
     assert {r.name for r in e.read("entities").collect()} == {"Softmax"}
     assert {r.label: r.n for r in e.status().collect()}["documents"] == 1
+
+
+def test_chat_and_command_line(spark, tmp_path, capsys):
+    from quillgraph.__main__ import main
+    from quillgraph.chat import Chat
+
+    d = files(tmp_path)
+    root = f"file://{tmp_path}/store"
+    main([root, "ingest", str(d)])
+    assert "a.md" in capsys.readouterr().out
+    chat = Chat(Engine(spark, root))
+    chat.create("c1", "u1")
+    out = chat.send("u1", "c1", "What does softmax do?")
+    assert out["status"] == "done" and out["sources"]
+    assert [m.role for m in chat.messages("u1", "c1").collect()] == ["user", "assistant"]
+    assert chat.conversations("u1").first().title == "What does softmax do?" and chat.conversations("u2").count() == 0
+    last = chat.history("u1", "c1").collect()[-1]
+    assert all(s.available for s in last.sources)
+    groups = {r.group for r in chat.quick_search("u1", "softmax").collect()}
+    assert groups == {"conversation"}
+    chat.delete("u1", "c1")
+    assert chat.conversations("u1").count() == 0
