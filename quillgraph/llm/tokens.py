@@ -22,7 +22,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Pieces kept in each of the two generations of a memo (twice as many where
 #: they are words).
-MEMO = 250_000
+MEMO = 350_000
 CHARS = 2_000_000
 _OTHER_SPACE = [*"\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0     　", *map(chr, range(0x2000, 0x200B))]
 
@@ -63,6 +63,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(public_tokenizers.path(name))
+        if hasattr(self.library.model, "_resize_cache"):
+            self.library.model._resize_cache(0)  # it sees each piece once
         self.library.encode_special_tokens = True  # their strings in a text are ordinary text
         vocabulary = self.library.get_vocab()
         self.size = size = max(vocabulary.values()) + 1
@@ -135,13 +137,21 @@ class Encoder:
 
     def _learn_bytes(self, new: list[str], feed: bytes) -> None:
         heads = [w for w in new if w[:1] == "\n"]
-        self.pieces.young.update((w, feed + ids) for w, ids in zip(heads, self.whole([w[1:] for w in heads]), strict=True))
+        for at in range(0, len(heads), 2000):
+            some = heads[at : at + 2000]
+            data, edges = self._at_once("".join(some), np.frombuffer(feed, dtype="<u4")[0] if len(feed) == 4 else None)
+            if len(edges) == len(some):
+                edges.append(len(data))
+                self.pieces.young.update(zip(some, [data[a:b] for a, b in zip(edges, edges[1:], strict=False)], strict=True))
+            else:
+                self.pieces.young.update((w, feed + ids) for w, ids in zip(some, self.whole([w[1:] for w in some]), strict=True))
         self._learn_spaced([w for w in new if w[:1] != "\n"])
 
-    def _at_once(self, text: str) -> tuple[bytes, list[int]]:
-        """A text's ids as bytes, and where its edge ids begin in them."""
+    def _at_once(self, text: str, edge: int | None = None) -> tuple[bytes, list[int]]:
+        """A text's ids as bytes, and where its edge ids (or one id) begin in them."""
         data = array("I", self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
-        return data, (4 * np.flatnonzero(self.edge[np.frombuffer(data, dtype="<u4")])).tolist()
+        ids = np.frombuffer(data, dtype="<u4")
+        return data, (4 * np.flatnonzero(self.edge[ids] if edge is None else ids == edge)).tolist()
 
     def _learn_spaced(self, new: list[str]) -> None:
         """Encode " a b c ..." at once; a new piece begins at every id that begins with a space."""
