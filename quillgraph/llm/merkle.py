@@ -4,10 +4,13 @@ Leaves are passages: sentences of one paragraph (line), of 64 characters at
 most.  Neighbouring passages join into one leaf until a passage whose hash ends
 in ``level`` zero bits closes it, so borders follow content and an edit moves
 none but its own.  ``level`` grows with the logarithm of the passage count, which
-keeps a tree at some hundred leaves whatever the text's length; because a border
-of a coarse level is a border of every finer one, trees of different levels are
-compared by joining the finer tree's leaves.  Runs of leaves form sections in the
-same way, three bits coarser, and sections the root.
+keeps a tree at some hundred leaves whatever the text's length.  Repeated passages
+give no new borders, so a stretch of over ``RUN << level`` characters without a
+border is cut at the borders of the next finer level inside it, and so on; this
+depends on the stretch alone, and texts of few distinct passages can get more
+leaves.  Because a border of a coarse level is a border of every finer one, trees
+of different levels are compared by joining the finer tree's leaves.  Runs of
+leaves form sections in the same way, three bits coarser, and sections the root.
 
 A fingerprint is text::
 
@@ -47,6 +50,7 @@ from .common import materialize
 
 PASSAGE = re.compile(r"[^.!?\n]{0,64}+(?:[.!?\n]++\s*+|(?<=[^.!?\n]))")
 LEAVES = 64
+RUN = 256
 SECTION_BITS = 3
 _HASH = (1 << 30) - 1
 _DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"
@@ -72,24 +76,40 @@ def passages(text: str) -> list[str]:
     return [p for p in PASSAGE.findall(text) if p]
 
 
+def _groups(items: list[tuple[int, int, int]], level: int) -> list[list[tuple[int, int, int]]]:
+    """(hash, length, zeros) items in runs that end at borders of ``level``, or of
+    finer levels where a run is too long.
+
+    Runs of a level are unions of runs of any finer level, so grouping the runs of
+    a finer tree gives what grouping its passages gives.
+    """
+    out, run, chars, last = [], [], 0, len(items) - 1
+    for k, x in enumerate(items):
+        run.append(x)
+        chars += x[1]
+        if x[2] >= level or k == last:
+            if level and chars > RUN << level and len(run) > 1:
+                out += _groups(run, level - 1)
+            else:
+                out.append(run)
+            run, chars = [], 0
+    return out
+
+
 def fingerprint(text: str | None) -> str:
     text = text or ""
     parts = passages(text)
     level = max(0, (len(parts) // LEAVES).bit_length())
     root = hashlib.blake2b(digest_size=16)
-    leaves, run, chars = [], 0, 0
+    items = []
     for p in parts:
         data = p.encode("utf-8", "surrogatepass")
         h = xxhash.xxh3_64_intdigest(data)
         root.update(h.to_bytes(8, "little") + len(data).to_bytes(8, "little"))
-        run += h
-        chars += len(p)
-        zeros = _trailing_zeros(h)
-        if zeros >= level:
-            leaves.append((run, chars, zeros))
-            run, chars = 0, 0
-    if chars:
-        leaves.append((run, chars, 63))
+        items.append((h, len(p), _trailing_zeros(h)))
+    leaves = [(sum(x[0] for x in g), sum(x[1] for x in g), g[-1][2]) for g in _groups(items, level)]
+    if leaves:
+        leaves[-1] = (*leaves[-1][:2], 63)
     root.update(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest())
     body = "".join(_word(h & _HASH, 5) + _word(min(n, (1 << 24) - 1), 4) + _word(z, 1) for h, n, z in leaves)
     return f"m1:{root.hexdigest()}:{level}:{body}"
@@ -102,16 +122,7 @@ def parse(fp: str) -> tuple[str, int, list[tuple[int, int, int]]]:
 
 def _coarser(leaves, level: int) -> list[tuple[int, int]]:
     """(hash, length) of the leaves joined up to borders of ``level``."""
-    out, h, chars = [], 0, 0
-    for part, n, z in leaves:
-        h += part
-        chars += n
-        if z >= level:
-            out.append((h & _HASH, chars))
-            h = chars = 0
-    if chars:
-        out.append((h & _HASH, chars))
-    return out
+    return [(sum(x[0] for x in g) & _HASH, sum(x[1] for x in g)) for g in _groups(leaves, level)]
 
 
 def likeness(a: str, b: str) -> float:

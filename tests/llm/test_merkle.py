@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+from quillgraph.llm import merkle
 from quillgraph.llm.merkle import changed_sections, edited, fingerprint, fingerprint_documents, likeness, passages
 
 SCHEMA = "doc_id long, text string, fingerprint string, kind int, part int"
@@ -64,3 +65,18 @@ def test_one_row_repeats_and_empty(spark):
     many = fingerprint_documents(spark.createDataFrame([(7, "abcdef", "", 0, 0)] * 4 + [(None, "zzz", "", 0, 0)], SCHEMA)).collect()
     assert len(many) == 5 and {r.fingerprint for r in many if r.doc_id} == {fingerprint("abcdef")}
     assert fingerprint_documents(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_repeated_passages_keep_leaves():
+    lines = [f"Line {k} of the form, always the same. " for k in range(33)]
+    for seed in range(20):
+        r = random.Random(seed)
+        a = "".join(r.choice(lines) for _ in range(775))
+        assert likeness(fingerprint(a), fingerprint(edited(a, prose(4000)))) > 0.5
+    # joining a finer tree's leaves gives the coarser tree's
+    for text in (a, prose(9000), lines[0] * 500):
+        items = [(1, len(p), k * 7 % 5) for k, p in enumerate(passages(text))]
+        for level in range(6):
+            fine = [(len(g), sum(x[1] for x in g), g[-1][2]) for g in merkle._groups(items, level)]
+            for top in range(level, 9):
+                assert [sum(x[0] for x in g) for g in merkle._groups(fine, top)] == [len(g) for g in merkle._groups(items, top)]
