@@ -14,16 +14,21 @@ leaves form sections in the same way, three bits coarser, and sections the root.
 
 A fingerprint is text::
 
-    m1 : root (32 hex) : level : leaf leaf leaf ...
+    m2 : root (32 hex) : level : leaf leaf leaf ... : section section ...
 
 with ten base-64 characters a leaf: 30 bits of hash, 24 bits of length, and
-6 bits for how coarse its closing border is.  A leaf's hash is the sum of its
-passages' hashes, so joined leaves add up; the root covers their order and the
-whole text.  Equal roots mean equal texts;
-``changed_sections`` descends from the roots into differing sections only.
+6 bits for how coarse its closing border is; and five a section, the first 30 bits
+of its digest.  A leaf's digest (128 bits) is of its text, a section's of its
+leaves' digests in order, and the root's of the sections'.  Equal roots mean equal
+texts.  A leaf's stored hash is a polynomial in its passages' hashes, which keeps
+their order and lets neighbouring leaves join without the text.
+``changed_sections`` aligns the sections in order and descends into those that
+differ only.
 
 Likeness is twice the length of leaves in common (as a multiset) over both
-lengths: 1 for equal texts, 0 for texts without a leaf in common.
+lengths: 1 for equal texts, 0 for texts without a leaf in common.  The order of
+passages in a leaf counts, that of leaves doesn't; roots and ``changed_sections``
+tell moved leaves.
 
 Defined results
 * null and empty texts: the empty tree, like any other empty tree at 1.
@@ -38,6 +43,8 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import Counter
+from difflib import SequenceMatcher
+from itertools import accumulate
 
 import pyarrow as pa
 import xxhash
@@ -52,7 +59,8 @@ PASSAGE = re.compile(r"[^.!?\n]{0,64}+(?:[.!?\n]++\s*+|(?<=[^.!?\n]))")
 LEAVES = 64
 RUN = 256
 SECTION_BITS = 3
-_HASH = (1 << 30) - 1
+_PRIME, _BASE = (1 << 30) - 35, 718_281_828
+_POWERS = [pow(_BASE, n, _PRIME) for n in range(256)]
 _DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"
 _VALUE = {c: i for i, c in enumerate(_DIGITS)}
 
@@ -96,44 +104,66 @@ def _groups(items: list[tuple[int, int, int]], level: int) -> list[list[tuple[in
     return out
 
 
+def _join(items: list[tuple[int, int, int]]) -> tuple[int, int, int]:
+    """One (hash, length, zeros) of neighbouring items."""
+    h = chars = 0
+    for part, n, _ in items:
+        h = (h * (_POWERS[n] if n < 256 else pow(_BASE, n, _PRIME)) + part) % _PRIME
+        chars += n
+    return h, chars, items[-1][2]
+
+
+def _digest(data: bytes, node: bytes) -> bytes:
+    return hashlib.blake2b(data, digest_size=16, person=node).digest()
+
+
 def fingerprint(text: str | None) -> str:
     text = text or ""
     parts = passages(text)
     level = max(0, (len(parts) // LEAVES).bit_length())
-    root = hashlib.blake2b(digest_size=16)
     items = []
     for p in parts:
-        data = p.encode("utf-8", "surrogatepass")
-        h = xxhash.xxh3_64_intdigest(data)
-        root.update(h.to_bytes(8, "little") + len(data).to_bytes(8, "little"))
-        items.append((h, len(p), _trailing_zeros(h)))
-    leaves = [(sum(x[0] for x in g), sum(x[1] for x in g), g[-1][2]) for g in _groups(items, level)]
+        h = xxhash.xxh3_64_intdigest(p.encode("utf-8", "surrogatepass"))
+        items.append((h % _PRIME, len(p), _trailing_zeros(h)))
+    leaves, at = [], 0
+    digests = []
+    for g in _groups(items, level):
+        leaf = _join(g)
+        leaves.append(leaf)
+        digests.append(_digest(text[at : at + leaf[1]].encode("utf-8", "surrogatepass"), b"leaf"))
+        at += leaf[1]
     if leaves:
         leaves[-1] = (*leaves[-1][:2], 63)
-    root.update(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest())
-    body = "".join(_word(h & _HASH, 5) + _word(min(n, (1 << 24) - 1), 4) + _word(z, 1) for h, n, z in leaves)
-    return f"m1:{root.hexdigest()}:{level}:{body}"
+    sections, at = [], 0
+    for g in _groups(leaves, level + SECTION_BITS):
+        sections.append(_digest(b"".join(digests[at : at + len(g)]), b"section"))
+        at += len(g)
+    root = _digest(b"".join(sections), b"root").hex()
+    body = "".join(_word(h, 5) + _word(min(n, (1 << 24) - 1), 4) + _word(z, 1) for h, n, z in leaves)
+    return f"m2:{root}:{level}:{body}:{''.join(_word(int.from_bytes(d[:4]) >> 2, 5) for d in sections)}"
 
 
-def parse(fp: str) -> tuple[str, int, list[tuple[int, int, int]]]:
-    _, root, level, body = fp.split(":")
-    return root, int(level), [(_number(body[i : i + 5]), _number(body[i + 5 : i + 9]), _VALUE[body[i + 9]]) for i in range(0, len(body), 10)]
+def parse(fp: str) -> tuple[str, int, list[tuple[int, int, int]], list[int]]:
+    """(root, level, leaves, sections); a section's leaves follow from their borders."""
+    _, root, level, body, nodes = fp.split(":")
+    leaves = [(_number(body[i : i + 5]), _number(body[i + 5 : i + 9]), _VALUE[body[i + 9]]) for i in range(0, len(body), 10)]
+    return root, int(level), leaves, [_number(nodes[i : i + 5]) for i in range(0, len(nodes), 5)]
 
 
-def _coarser(leaves, level: int) -> list[tuple[int, int]]:
-    """(hash, length) of the leaves joined up to borders of ``level``."""
-    return [(sum(x[0] for x in g) & _HASH, sum(x[1] for x in g)) for g in _groups(leaves, level)]
+def _coarser(leaves: list[tuple[int, int, int]], level: int) -> list[tuple[int, int, int]]:
+    """The leaves joined up to borders of ``level``."""
+    return [_join(g) for g in _groups(leaves, level)]
 
 
 def likeness(a: str, b: str) -> float:
-    root_a, level_a, leaves_a = parse(a)
-    root_b, level_b, leaves_b = parse(b)
+    root_a, level_a, leaves_a, _ = parse(a)
+    root_b, level_b, leaves_b, _ = parse(b)
     if root_a == root_b:
         return 1.0
     level = max(level_a, level_b)
     x, y = Counter(), Counter()
-    for leaves, c in ((leaves_a, x), (leaves_b, y)):
-        for h, n in _coarser(leaves, level):
+    for leaves, low, c in ((leaves_a, level_a, x), (leaves_b, level_b, y)):
+        for h, n, _ in _coarser(leaves, level) if level > low else leaves:
             c[h, n] += n
     both = sum(min(n, y[k]) for k, n in x.items() if k in y)
     total = sum(x.values()) + sum(y.values())
@@ -141,20 +171,35 @@ def likeness(a: str, b: str) -> float:
 
 
 def changed_sections(a: str, b: str) -> list[tuple[int, int]]:
-    """Code-point ranges of ``a`` whose section has no equal in ``b``."""
-    root_a, level_a, leaves_a = parse(a)
-    root_b, level_b, leaves_b = parse(b)
+    """Code-point ranges of ``a`` that have no equal at their place in ``b``.
+
+    Sections are aligned in order, then the leaves of those that differ.  Where
+    ``b`` only has more, the range is empty: (place, place).
+    """
+    root_a, level_a, leaves_a, nodes_a = parse(a)
+    root_b, level_b, leaves_b, nodes_b = parse(b)
     if root_a == root_b:
         return []
-    level = max(level_a, level_b) + SECTION_BITS
-    there, out, at = Counter(s for s, _ in _coarser(leaves_b, level)), [], 0
-    for s, n in _coarser(leaves_a, level):
-        if there[s]:
-            there[s] -= 1
-        else:
-            out.append((at, at + n))
-        at += n
-    return out
+    level = max(level_a, level_b)
+    trees = []
+    for leaves, low, nodes in ((leaves_a, level_a, nodes_a), (leaves_b, level_b, nodes_b)):
+        groups = _groups(leaves if low == level else _coarser(leaves, level), level + SECTION_BITS)
+        # sections of different levels have no common nodes and join from their leaves
+        trees.append((groups, nodes if level_a == level_b else [_join(g)[:2] for g in groups]))
+    (groups_a, keys_a), (groups_b, keys_b) = trees
+    ends = [0, *accumulate(sum(n for _, n, _ in g) for g in groups_a)]
+    out: list[tuple[int, int]] = []
+    for i, j, k, m in _differing(keys_a, keys_b):
+        own = [x for g in groups_a[i:j] for x in g]
+        other = [x for g in groups_b[k:m] for x in g]
+        places = [ends[i], *accumulate((n for _, n, _ in own), initial=ends[i])][1:]
+        out += [(places[p], places[q]) for p, q, _, _ in _differing([x[:2] for x in own], [x[:2] for x in other])]
+    return out or [(0, ends[-1])]  # only a collision of stored hashes leaves nothing
+
+
+def _differing(a: list, b: list) -> list[tuple[int, int, int, int]]:
+    """Ranges (from, to in ``a``; from, to in ``b``) between equal items in order."""
+    return [op[1:] for op in SequenceMatcher(None, a, b, autojunk=False).get_opcodes() if op[0] != "equal"]
 
 
 def edited(text: str, following: str) -> str:

@@ -80,3 +80,32 @@ def test_repeated_passages_keep_leaves():
             fine = [(len(g), sum(x[1] for x in g), g[-1][2]) for g in merkle._groups(items, level)]
             for top in range(level, 9):
                 assert [sum(x[0] for x in g) for g in merkle._groups(fine, top)] == [len(g) for g in merkle._groups(items, top)]
+
+
+def test_tree_keeps_order():
+    r = random.Random(5)
+    ps = [f"Passage {k} of {r.random()}. " for k in range(2000)]
+    a = "".join(ps)
+    swapped = ps[:1000] + [ps[1001], ps[1000]] + ps[1002:]
+    moved = ps[400:900] + ps[:400] + ps[900:]
+    fa = fingerprint(a)
+    at = len("".join(ps[:1000]))
+    spans = changed_sections(fa, fingerprint("".join(swapped)))
+    assert spans and all(e - s < len(a) / 10 for s, e in spans) and any(s <= at <= e for s, e in spans)
+    spans = changed_sections(fa, fingerprint("".join(moved)))
+    assert spans and max(e for _, e in spans) <= len("".join(ps[:1000]))
+    # leaves up to the root, from the text
+    root, level, leaves, sections = merkle.parse(fa)
+    groups, at, tops = merkle._groups(leaves, level + merkle.SECTION_BITS), 0, []
+    for g in groups:
+        digests = []
+        for _, n, _ in g:
+            digests.append(hashlib.blake2b(a[at : at + n].encode(), digest_size=16, person=b"leaf").digest())
+            at += n
+        tops.append(hashlib.blake2b(b"".join(digests), digest_size=16, person=b"section").digest())
+    assert at == len(a) and [int.from_bytes(t[:4]) >> 2 for t in tops] == sections
+    assert hashlib.blake2b(b"".join(tops), digest_size=16, person=b"root").hexdigest() == root
+    # different levels, and a pure insertion
+    half = a[: len(a) // 4]
+    spans = changed_sections(fa, fingerprint(half))
+    assert merkle.parse(fingerprint(half))[1] != level and min(s for s, _ in spans) > len(a) / 8
