@@ -304,9 +304,15 @@ def dense_links(members: DataFrame, links: DataFrame, tau: int) -> DataFrame:
 def near_groups(docs: DataFrame, tau: int = TAU, dense_bucket: int = DENSE_BUCKET, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns (doc_id among them), ``fp`` and ``component_id``."""
     keep = list(keep if keep is not None else ["doc_id"])
-    rows = materialize(with_fingerprints(docs, text, keep), "simhash")
+    return grouped(materialize(with_fingerprints(docs, text, keep), "simhash"), tau, dense_bucket)
+
+
+def grouped(rows: DataFrame, tau: int = TAU, dense_bucket: int = DENSE_BUCKET, more: DataFrame | None = None) -> DataFrame:
+    """``rows`` (doc_id and fp among them) with ``component_id``; ``more`` are
+    further links (a, b) between their fingerprints."""
     reps = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-reps")
-    label = components(find_links(reps.select("fp"), tau, dense_bucket))
+    links = find_links(reps.select("fp"), tau, dense_bucket)
+    label = components(links if more is None else links.union(more))
     node = reps.join(label, reps.fp == label.node, "left").select("fp", "rep", F.coalesce("component", "fp").alias("root"))
     node = materialize(node, "simhash-roots")
     least = node.groupBy("root").agg(F.min("rep").alias("component_id"))
