@@ -190,10 +190,8 @@ def pagerank_20(spark, sf):
 
 @query()
 def community_keys(spark, sf):
-    """Leiden communities of the geography graph (its size fits the guards)."""
-    g = build.relation_weights(d.geography(spark, sf))
-    nodes = g.select(F.col("src_id").alias("entity_id")).unionByName(g.select(F.col("dst_id").alias("entity_id"))).distinct()
-    return analytics.communities(nodes, g)
+    """Leiden communities of all entities over all relations; refused beyond the guards."""
+    return analytics.communities(d.named_entities(spark, sf), d.relations(spark, sf))
 
 
 @query(f"""WITH {d.ENTITIES} SELECT community, size, position, entity_id FROM (

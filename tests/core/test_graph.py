@@ -1,5 +1,8 @@
 """A small view graph with known answers."""
 
+import os
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -111,3 +114,17 @@ def test_views(spark, g):
     p = [tuple(x) for x in views.predicate_counts(g["entities"], g["relations"], ["gone"], min_weight=5.0).collect()]
     assert p[-1] == ("gone", 0, 0) and ("described", 1, 0) in p
     assert views.rank_by_pagerank(g["entities"]).where("rank = 1").first().entity_id == "ada"
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no driver tables here")
+def test_community_keys_cover_all_relations(spark):
+    from quillgraph.plans import driver_tables as d
+    from quillgraph.plans.graph_queries import community_keys
+
+    sf = "/root/testdata/sf0.001"
+    label = {r.entity_id: r.community for r in community_keys(spark, sf).collect()}
+    assert set(label) == {r.entity_id for r in d.named_entities(spark, sf).collect()}
+    # a community is connected by relations, supplies among them, so parts don't stay alone
+    ends = {x for r in d.relations(spark, sf).collect() for x in (r.src_id, r.dst_id)}
+    sizes = Counter(label.values())
+    assert all(sizes[label[x]] > 1 for x in ends) and any(x.startswith("part:") for x in ends)
