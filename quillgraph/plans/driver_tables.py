@@ -87,6 +87,22 @@ def asked_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return a.join(s, "s_suppkey").select(F.col("entity_id").alias("a"), "b")
 
 
+def all_asked(spark: SparkSession, sf: str) -> DataFrame:
+    """Every entity of every kind."""
+    return named_entities(spark, sf).select("entity_id").distinct()
+
+
+def all_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Each entity and the next key of its kind."""
+    kinds = [("supplier", "s_suppkey"), ("part", "p_partkey"), ("customer", "c_custkey"), ("nation", "n_nationkey"), ("region", "r_regionkey")]
+    out = None
+    for kind, k in kinds:
+        t = load(spark, sf, kind).select(F.col(k).alias("k")).distinct()
+        t = t.join(t.select((F.col("k") - 1).alias("k")), "k").select(key(kind, "k").alias("a"), F.concat(F.lit(f"{kind}:"), (F.col("k") + 1).cast("string")).alias("b"))
+        out = t if out is None else out.union(t)
+    return out
+
+
 # --- the same in SQL ------------------------------------------------------
 
 CHUNKS = """c AS (
@@ -123,3 +139,7 @@ UNDIRECTED = """u AS (
 )"""
 ASKED = "a AS (SELECT 'supplier:' || s_suppkey AS entity_id, s_suppkey FROM supplier WHERE s_suppkey % 20 = 0)"
 PAIRS = "p AS (SELECT a.entity_id AS a, 'supplier:' || s.s_suppkey AS b FROM a JOIN supplier s ON s.s_suppkey = a.s_suppkey + 1)"
+ALL_ASKED = """a AS (
+  SELECT 'supplier:' || s_suppkey AS entity_id FROM supplier UNION SELECT 'part:' || p_partkey FROM part UNION SELECT 'customer:' || c_custkey FROM customer
+  UNION SELECT 'nation:' || n_nationkey FROM nation UNION SELECT 'region:' || r_regionkey FROM region
+)"""

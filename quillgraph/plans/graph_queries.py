@@ -306,3 +306,34 @@ def wiki_eligibility(spark, sf):
     return wiki.eligibility(e, pages, dirty)
 
 
+# --- the reads of single entities, asked of every entity ------------------
+
+
+@query(SQL["entity_relations_facets"].replace(d.ASKED, d.ALL_ASKED))
+def entity_relations_facets_all(spark, sf):
+    return graph.entity_relations(d.relations(spark, sf), d.named_entities(spark, sf), d.all_asked(spark, sf)).where("position <= 50")
+
+
+@query(SQL["entity_mentions_page"].replace(d.ASKED, d.ALL_ASKED))
+def entity_mentions_page_all(spark, sf):
+    out = graph.entity_mentions(d.mentions(spark, sf), d.chunks(spark, sf), d.all_asked(spark, sf))
+    return out.where("position <= 20").select("entity_id", "chunk_id", "doc_id", "idx", "total", "position")
+
+
+@query(SQL["entity_documents"].replace(d.ASKED, d.ALL_ASKED))
+def entity_documents_all(spark, sf):
+    return graph.entity_documents(d.mentions(spark, sf), d.chunks(spark, sf), d.all_asked(spark, sf))
+
+
+@query()
+def entity_compare_shared_all(spark, sf):
+    """Each entity with the next of its kind; subqueries a pair are too slow in SQL."""
+    return graph.entity_comparison(d.relations(spark, sf), d.mentions(spark, sf), d.chunks(spark, sf), d.all_pairs(spark, sf))
+
+
+@query()
+def shortest_paths_4hops(spark, sf):
+    """The pairs of ``shortest_paths_all`` at the reference's four hops."""
+    pairs = d.asked_pairs(spark, sf).select(F.col("a").alias("source"), F.col("b").alias("target"))
+    out = graph.shortest_paths(d.relations(spark, sf).select("src_id", "predicate", "dst_id", "weight"), pairs, max_hops=4, limit=3)
+    return out.select("source", "target", F.array_join("ids", " ").alias("ids"), "weight", "length", "position")
