@@ -10,7 +10,8 @@ the source range it came from:
    zero-width characters vanish;
 2. digits: runs of three or more spelled digits become digits;
 3. marks: "(at)", "[dot]" and the bare words between identifier-like neighbours
-   become "@" and ".".
+   become "@" and "."; a bare word does if the other mark of the address is there
+   in any form, and bare "dot" between four groups of digits does, too.
 
 Detection on the rewritten text finds disguised identifiers, and their spans are
 mapped back.  A span is added only if it covers a rewritten place and overlaps
@@ -95,18 +96,31 @@ HOMOGLYPHS = dict(zip("аеорсухіјѕԁһԛԝАВЕКМНОРСТХУІЈ
 ZERO_WIDTH = frozenset("\u200b\u200c\u200d\u2060\ufeff\u00ad")
 # fixed values: spelled digits
 SPELLED = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9", "plus": "+"}
+# German, French and Spanish; a run is in one language
+_SPELLED_BY = [
+    SPELLED,
+    {"null": "0", "eins": "1", "zwei": "2", "zwo": "2", "drei": "3", "vier": "4", "fünf": "5", "fuenf": "5", "sechs": "6", "sieben": "7", "acht": "8", "neun": "9", "plus": "+"},
+    {"zéro": "0", "zero": "0", "un": "1", "deux": "2", "trois": "3", "quatre": "4", "cinq": "5", "six": "6", "sept": "7", "huit": "8", "neuf": "9", "plus": "+"},
+    {"cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9", "más": "+", "mas": "+"},
+]
 # fixed values: at and dot in words
 _AT, _DOT = ("at", "arroba"), ("dot", "punto", "punkt", "point")
 
-_SPELLED_RUN = re.compile(r"(?i)\b(?:%s)(?:[ \-.,]{1,2}(?:%s)){2,}\b" % (("|".join(SPELLED),) * 2))
-_SPELLED_ONE = re.compile(r"(?i)[a-z]+")
+_SPELLED_RUNS = [(re.compile(r"(?i)\b(?:%s)\b(?:[ \-.,]{1,2}(?:%s)\b){2,}+" % (("|".join(words),) * 2)), words) for words in _SPELLED_BY]
+_SPELLED_ONE = re.compile(r"(?i)[^\W\d_]+")
 _MARK = {
     "@": re.compile(r"(?i) ?[(\[{<] ?(?:%s|@) ?[)\]}>] ?" % "|".join(_AT)),
     ".": re.compile(r"(?i) ?[(\[{<] ?(?:%s|\.) ?[)\]}>] ?" % "|".join(_DOT)),
 }
-_BARE = re.compile(r"(?i)(?<![\w@.])([a-z0-9._%%+-]{2,64}) (?:%s) ([a-z0-9-]{2,63}(?: (?:%s) [a-z0-9-]{2,63}){1,3})(?![\w@])" % ("|".join(_AT), "|".join(_DOT)))
 _BARE_AT = re.compile(r"(?i) (?:%s) " % "|".join(_AT))
 _BARE_DOT = re.compile(r"(?i) (?:%s) " % "|".join(_DOT))
+# either mark may be there already; where all are, there is nothing to rewrite
+_BARE = re.compile(
+    r"(?i)(?<![\w@.%%+-])((?:[a-z0-9._%%+-]{1,64}+ (?:%s) ){0,2}+[a-z0-9._%%+-]{1,64}+)(?: (?:%s) |@)([a-z0-9-]{1,63}+(?:(?: (?:%s) |\.)[a-z0-9-]{2,63}+){1,4}+)(?![\w@])" % ("|".join(_DOT), "|".join(_AT), "|".join(_DOT))
+)
+_BARE_IP = re.compile(r"(?i)(?<![\w.])[0-9]{1,3}+(?:(?: (?:%s) |\.)[0-9]{1,3}+){3}(?!\w)" % "|".join(_DOT))
+_PLAIN_DOMAIN = re.compile(r"(?i) (?:%s) [a-z0-9-]++\.[a-z0-9]" % "|".join(_AT))
+_TOP = re.compile(r"[a-z]{2,24}|[A-Z]{2,24}")
 _DISGUISE = re.compile(r"(?i)[(\[{<] ?(?:%s|[@.]) ?[)\]}>]| (?:%s) " % ("|".join(_AT + _DOT), "|".join(_DOT)))
 
 
@@ -186,31 +200,36 @@ def _folds(text: str) -> list[tuple[int, int, str]]:
 def deobfuscate(text: str) -> Tape | None:
     """The rewritten text, or None if no transducer applies."""
     folds = _folds(text)
-    spelled = next(_SPELLED_RUN.finditer(text), None) if _may_spell(text) else None
-    if not folds and spelled is None and not _DISGUISE.search(text):
+    spelled = _spelled(text)
+    if not folds and not spelled and not _DISGUISE.search(text) and not _PLAIN_DOMAIN.search(text):
         return None
     tape = Tape(text)
     tape.replace(folds)
-    if folds or spelled is not None:
-        edits = []
-        for m in _SPELLED_RUN.finditer(tape.chars):
-            digits = "".join(SPELLED[w.group().lower()] for w in _SPELLED_ONE.finditer(m.group()))
-            edits.append((m.start(), m.end(), digits))
-        tape.replace(edits)
+    if folds or spelled:
+        for pattern, words in _SPELLED_RUNS:
+            edits = []
+            for m in pattern.finditer(tape.chars):
+                digits = "".join(words[w.group().lower()] for w in _SPELLED_ONE.finditer(m.group()))
+                edits.append((m.start(), m.end(), digits))
+            tape.replace(edits)
     for sign, pattern in _MARK.items():
         tape.replace([(m.start(), m.end(), sign) for m in pattern.finditer(tape.chars) if _between(tape.chars, m)])
+    tape.replace([(x.start(), x.end(), ".") for m in _BARE_IP.finditer(tape.chars) for x in _BARE_DOT.finditer(tape.chars, m.start(), m.end())])
     edits = []
     for m in _BARE.finditer(tape.chars):
-        at = _BARE_AT.search(tape.chars, m.end(1), m.end())
-        edits.append((at.start(), at.end(), "@"))
-        edits += [(d.start(), d.end(), ".") for d in _BARE_DOT.finditer(tape.chars, at.end() - 1, m.end())]
+        at = _BARE_AT.search(tape.chars, m.end(1), m.start(2))
+        dots = [*_BARE_DOT.finditer(tape.chars, m.start(1), m.end(1)), *_BARE_DOT.finditer(tape.chars, m.start(2), m.end())]
+        if not at and not dots or at and not dots and not _TOP.fullmatch(m.group(2).rpartition(".")[2]):
+            continue  # "at noon.Then" is the end of a sentence, not a domain
+        marks = [(x.start(), x.end(), ".") for x in dots] + ([(at.start(), at.end(), "@")] if at else [])
+        edits += sorted(marks)
     tape.replace(edits)
     return tape
 
 
-def _may_spell(text: str) -> bool:
+def _spelled(text: str) -> bool:
     low = text.lower()
-    return sum(w in low for w in ("zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine")) >= 2
+    return any(sum(len(w) > 2 and w in low for w in words) >= 2 and pattern.search(text) for pattern, words in _SPELLED_RUNS)
 
 
 def _between(text: str, m: re.Match) -> bool:

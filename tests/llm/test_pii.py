@@ -77,3 +77,30 @@ def test_documents(spark):
     assert by[2].spans == "" and by[2].base_sha256 == hashlib.sha256(b"").hexdigest()
     assert by[3].spans == written([("ip", 200_000, 200_007)])
     assert find_in_documents(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_mixed_disguises_map_back():
+    for kind, piece in [
+        ("email", "john [at] example dot com"),
+        ("email", "john@example dot com"),
+        ("email", "john at example.com"),
+        ("email", "john at example [dot] com"),
+        ("email", "j at example dot com"),
+        ("email", "john dot doe at mail dot example dot org"),
+        ("email", "john arroba ejemplo punto es"),
+        ("ip", "192 dot 168 dot 1 dot 1"),
+        ("ip", "192 dot 168.1 punkt 1"),
+        ("phone", "plus vier neun sechs zwei sechs fünf fünf fünf drei sieben fünf zwei"),
+        ("phone", "plus trois trois six deux six cinq cinq cinq trois sept cinq deux"),
+        ("phone", "más tres cuatro seis dos seis cinco cinco cinco tres siete cinco dos"),
+    ]:
+        text = f"so: {piece}, ok"
+        spans = find(text)[1]
+        assert (kind, 4, 4 + len(piece)) in spans, (text, spans)
+        assert redact(text) == f"so: <{kind}>, ok"
+    for text in ["We meet at noon.Then we go.", "at 5.30 or at 12 dot", "un deux trois", "it is 1 dot 2", "go @ home dot"]:
+        assert find(text) == ([], []), text
+    began = time.time()
+    for text in ["a dot " * 60_000, "a at " * 60_000, "a@a dot " * 40_000, "1 dot " * 60_000, "un deux " * 40_000, "a.a-" * 80_000, " at a." * 60_000, "-" * 200_000 + " dot a"]:
+        find(text)
+    assert time.time() - began < 20
