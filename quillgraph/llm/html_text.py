@@ -36,7 +36,8 @@ from pyspark.sql import DataFrame
 
 _TAG = re.compile(r"<!--(?:.*?-->|.*\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>", re.S)
 _ROLE = re.compile(r"(?i)(?:\b(?:class|id|role)\s*=\s*)(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
-_HIDDEN = re.compile(r"(?i)\bhidden\b|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true")
+_HIDDEN = re.compile(r"(?i)(?:^|\s)(?:hidden(?=[\s=/]|\Z)|aria-hidden\s*=\s*[\"']?true|style\s*=\s*(?:\"[^\"]*|'[^']*|\S*)(?<![\w-])(?:display\s*:\s*none|visibility\s*:\s*hidden))")
+_VALUES = re.compile(r"(?i)(?<=[\s\"'])(?!style\b|aria-hidden\b)([\w:-]+)\s*=\s*(?:\"[^\"]*\"|'[^']*')")
 
 # fixed values: element names
 RAW = frozenset("script style textarea title noscript iframe template svg math object noembed noframes xmp".split())
@@ -52,6 +53,7 @@ NOISE_WORDS = frozenset(
     " footer masthead cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social"
     " comment comments commentlist disqus respond replies reply related recommended toolbar widget pagination pager skip-link complementary contentinfo search paywall disclaimer".split()
 )
+STATES = frozenset("has no with without not is hide show".split())
 _WORD = re.compile(r"[a-z]+(?:-[a-z]+)?|[a-z]+")
 
 
@@ -72,9 +74,11 @@ def noisy(name: str, attributes: str) -> bool:
         return False
     for m in _ROLE.finditer(attributes):
         for token in (m.group(1) or m.group(2) or m.group(3) or "").lower().replace("_", "-").split():
+            if token.split("-")[0] in STATES:  # has-sidebar says what is near
+                continue
             if token in NOISE_WORDS or any(w in NOISE_WORDS for part in token.split("-") for w in _WORD.findall(part)):
                 return True
-    return bool(_HIDDEN.search(attributes))
+    return bool(_HIDDEN.search(_VALUES.sub(r"\1=", attributes)))
 
 
 def parse(html: str) -> tuple[Node, list[Node]]:
@@ -197,6 +201,23 @@ def _weigh(nodes: list[Node]) -> None:
     return None
 
 
+def _spare(nodes: list[Node]) -> None:
+    """A wrapper of paragraphs that holds most of the page's plain text isn't cut for its role."""
+    plain: dict[Node, int] = {}
+    wraps = set()
+    for node in reversed(nodes):
+        if node.name in ("p", "article", "main") or node in wraps:
+            wraps.add(node.parent)
+    for node in reversed(nodes):
+        if node.name in NEVER or node.name == "a":
+            plain[node] = 0
+            continue
+        plain[node] = sum(len(x) * (not x.isspace()) if isinstance(x, str) else plain[x] for x in node.items)
+    for node in nodes:
+        if node.cut and node in wraps and node.name not in NEVER and 2 * plain[node] > plain[nodes[0]]:
+            node.cut = False
+
+
 def _cut_below(nodes: list[Node]) -> None:
     for node in nodes:
         if node.parent is not None and node.parent.cut:
@@ -233,6 +254,7 @@ def extract(html: str | None) -> str:
     if not html:
         return ""
     root, nodes = parse(html)
+    _spare(nodes)
     _cut_below(nodes)
     _weigh(nodes)
     if not nodes[0].chars:

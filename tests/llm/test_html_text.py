@@ -33,3 +33,16 @@ def test_pages(spark):
     out = extract_pages(spark.createDataFrame([(1, "u", PAGE, 1), (1, "u", PAGE, 1), (2, None, None, None), (None, "", "é", 0)], schema)).collect()
     assert sorted((r.page_id or 0, r.n_chars) for r in out) == [(0, 1), (1, len(extract(PAGE))), (1, len(extract(PAGE))), (2, 0)]
     assert extract_pages(spark.createDataFrame([], schema)).collect() == []
+
+
+def test_wrappers_of_the_article_stay():
+    text = "This is the article, with a sentence that goes on for some time. " * 5
+    rest = "<p>Other words of the page stand here.</p>"
+    for attributes in ["class='content has-sidebar'", "class='no-sidebar'", "class='sidebar-page'", "style='overflow:hidden'", "class='hidden-xs'", "data-x='is hidden'"]:
+        assert "This is the article" in extract(f"<body><div {attributes}><p>{text}</p></div>{rest}</body>"), attributes
+    for attributes in ["hidden", "style='display: none'", 'style="color:red; visibility:hidden"', "aria-hidden=true", "class='sidebar'", "id='site-footer'"]:
+        assert "Secret" not in extract(f"<body><div><p>{text}</p></div><div {attributes}>Secret words.</div></body>"), attributes
+
+
+def test_long_adverts_stay_out():
+    assert extract("<body><div><p>A short article.</p></div><div class='ad'>An advert of many more words than the article itself has.</div></body>") == "A short article."
