@@ -1,57 +1,62 @@
-"""Whole-text encoding with public tokenizers, at the speed of a table lookup.
-
-Byte-pair encoding works on pre-tokens, and a pre-token never spans a space
-that follows other text.  So a text is cut at spaces and line ends, the ids of
-each distinct piece come from the tokenizers library once, and texts are put
-together from a bounded memo.  Every shape for which the cut could matter
-(runs of white space, white space other than a single space or line feed) is
-encoded by the library as one text.  Results equal ``Tokenizer.encode``; the
-tests hold them against it.
+"""Whole-text encoding with public tokenizer files.
+
+The authority is the tokenizers library with its defaults and
+``add_special_tokens=False``: a text that spells an added token gets its id.
+Byte-pair merging of most texts runs on a faster core, tiktoken's, over the
+same file's vocabulary.  That core joins the neighbours whose joined bytes have
+the lowest id, the library those whose merge comes first.  Both are the same
+wherever every entry of the vocabulary encodes to itself, as then the last merge
+within an entry's bytes is always the listed one; ``unreachable`` names entries
+for which that fails, and the tests hold it empty.
+
+What else could differ goes to the library itself: texts with an added token,
+control and other unprintable characters, letters whose lower case or normal form
+isn't plain, and stretches of over ``LONGEST`` characters without a space, for
+which the core's time is quadratic.  One text of every run is encoded both ways,
+and a difference raises.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import unicodedata
 from array import array
 
-import numpy as np
 import regex
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Pieces kept in each of the two generations of a memo (twice as many where
-#: they are words).
-MEMO = 350_000
-CHARS = 2_000_000
-_OTHER_SPACE = [*"\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0     　", *map(chr, range(0x2000, 0x200B))]
-
-
-class Memo:
-    """Two generations of pieces: when the young one is full it becomes the old
-    one, from which what is needed again moves back."""
-
-    def __init__(self):
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def unknown(self, keys: set[str]) -> list[str]:
-        """What has to be encoded; everything else of ``keys`` is young now."""
-        young, old, out = self.young, self.old, []
-        for k in keys.difference(young):
-            v = old.get(k)
-            if v is None:
-                out.append(k)
-            else:
-                young[k] = v
-        return out
+#: Characters of a stretch without a space that the fast core still takes.
+LONGEST = 1000
+#: Texts of a run are encoded together; the first is also held against the library.
+RUN = 500
+#: Characters up to which that text is compared.
+HELD = 20_000
+
+# fixed values: the cutting rules of the two kinds of files
+_BYTE_CUT = r"'(?:[stmd]|re|ve|ll)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_WORD_CUT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_WORD_STEPS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+
+# without neighbouring white space, the rule that looks ahead says nothing new
+_BYTE_CUT_PLAIN = _BYTE_CUT.replace(r"|\s+(?!\S)", "")
+_NOT_LETTERS = regex.compile(r"('(?:[stmd]|re|ve|ll)|\p{N}|[^\s\p{L}\p{N}]+)").split
+_NOT_LATIN_LETTERS = re.compile("('(?:[stmd]|re|ve|ll)|[0-9]|[^ a-z0-9ªµºß-öø-ſ]+)").split
+_LATIN = re.compile("[ -~À-ÖØ-öø-įı-ſ‘’“”–—…«»¿¡]*+").fullmatch
+_SPACES = re.compile(r"\s{%d}" % LONGEST).search
 
-    def turn(self, most: int) -> None:
-        if len(self.young) > most:
-            self.old, self.young = self.young, {}
 
+def _byte_of() -> dict[str, int]:
+    """The byte that each letter of a byte-level vocabulary stands for: printable
+    Latin-1 for itself, the rest in order from U+0100 on."""
+    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    rest = [b for b in range(256) if b not in own]
+    return {chr(b): b for b in own} | {chr(256 + n): b for n, b in enumerate(rest)}
 
-def _joined(ids: list[int]) -> bytes:
+
+def _ids(ids: list[int]) -> bytes:
     return array("I", ids).tobytes()  # 4 bytes, little-endian on all platforms Spark runs on
 
 
@@ -63,150 +68,107 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(public_tokenizers.path(name))
-        if hasattr(self.library.model, "_resize_cache"):
-            self.library.model._resize_cache(0)  # it sees each piece once
-        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
-        vocabulary = self.library.get_vocab()
-        self.size = size = max(vocabulary.values()) + 1
-        self.spaced = str(self.library.to_str()).find('"end_of_word_suffix":"</w>"') >= 0
-        self.edge = np.zeros(size, dtype=bool)  # ids that end (or begin) a piece
-        for token, i in vocabulary.items():
-            self.edge[i] = token.endswith("</w>") if self.spaced else token.startswith("Ġ")
-        self.pieces, self.letters = Memo(), Memo()
+        spec = json.loads(self.library.to_str())
+        self.vocabulary = spec["model"]["vocab"]
+        self.added = [a["content"] for a in spec["added_tokens"]]
+        self.size = max([*self.vocabulary.values(), *(a["id"] for a in spec["added_tokens"])]) + 1
+        self.suffix = spec["model"].get("end_of_word_suffix") or ""
+        self._fast = self._core(spec)
+
+    def _core(self, spec: dict):
+        """The fast way for a file's kind, or None for kinds it isn't made for."""
+        model, cut = spec["model"], spec["pre_tokenizer"] or {}
+        if model["type"] != "BPE" or any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "byte_fallback", "ignore_merges")) or spec["post_processor"]:
+            return None
+        if cut.get("type") == "ByteLevel" and cut["use_regex"] and not cut["add_prefix_space"] and not spec["normalizer"] and not self.suffix:
+            plain, full = self._ranks(_BYTE_CUT_PLAIN), self._ranks(_BYTE_CUT)
+            return lambda t: self._bytes(t, plain, full)
+        steps, cuts = (spec["normalizer"] or {}).get("normalizers"), cut.get("pretokenizers", [{}, {}])
+        if steps == _WORD_STEPS and self.suffix == "</w>" and cuts[0].get("pattern") == {"Regex": _WORD_CUT} and cuts[0].get("invert") and cuts[1].get("type") == "ByteLevel":
+            core = self._ranks("[^ ]+ ")  # no piece holds a space, so one stands for the word's end
+            return lambda t: self._words(t, core)
+        return None
+
+    def _ranks(self, cut: str):
+        import tiktoken
+
+        byte, end = _byte_of(), self.suffix
+        ranks = {}
+        for token, i in self.vocabulary.items():
+            last = end and token.endswith(end)
+            ranks[bytes(byte[c] for c in (token[: -len(end)] if last else token)) + (b" " if last else b"")] = i
+        core = tiktoken.Encoding(f"own-{len(ranks)}-{cut}", pat_str=cut, mergeable_ranks=ranks, special_tokens={})._core_bpe
+        nothing: set[str] = set()
+        return lambda t: bytes(memoryview(core.encode_to_tiktoken_buffer(t, nothing)).cast("B"))
+
+    def unreachable(self) -> list[str]:
+        """Entries that the library doesn't encode to themselves."""
+        tokenize = self.library.model.tokenize
+        out = []
+        for token, i in self.vocabulary.items():
+            inner = bool(self.suffix) and not token.endswith(self.suffix)
+            word = token if inner or not self.suffix else token[: -len(self.suffix)]
+            got = [x.id for x in tokenize(word)]
+            # inside a word: the last piece carries the suffix, so a letter follows
+            if inner:
+                got = [x.id for x in tokenize(word + "Ā")][:-1]
+            if got != [i]:
+                out.append(token)
+        return out
+
+    # the two fast ways; None where the library has to say
+
+    def _bytes(self, t: str, plain, full) -> bytes | None:
+        if not t.replace("\n", "").isprintable():
+            return None
+        if "  " in t or "\n\n" in t or " \n" in t or "\n " in t:
+            return None if _long(t) or _SPACES(t) else full(t)
+        return None if _long(t) else plain(t)
+
+    def _words(self, t: str, core) -> bytes | None:
+        t = t.replace("\n", " ").replace("\t", " ").replace("\r", " ")
+        if not t.isprintable() or _long(t):
+            return None
+        if t.isascii() or _LATIN(t):
+            return core(" ".join(_NOT_LATIN_LETTERS(t.lower())) + " ")
+        if "Σ" in t or "İ" in t or not unicodedata.is_normalized("NFC", t):
+            return None
+        return core(" ".join(_NOT_LETTERS(t.lower())) + " ")
 
     def whole(self, texts: list[str]) -> list[bytes]:
-        return [_joined(e.ids) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        """By the library."""
+        return [_ids(e.ids) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Works through ``texts`` in runs of about CHARS characters, to bound memory."""
         out: list[bytes] = []
-        run: list[str] = []
-        chars = 0
-        for t in texts:
-            run.append(t or "")
-            chars += len(run[-1])
-            if chars >= CHARS:
-                out += self._run(run)
-                run, chars = [], 0
-        return out + (self._run(run) if run else [])
-
-    def _run(self, texts: list[str]) -> list[bytes]:
-        return self._encode_words(texts) if self.spaced else self._encode_bytes(texts)
-
-    def _put_together(self, cut: list[list[str]], learn) -> list[bytes]:
-        """Each text's pieces by lookup; what no text had before is learned at once."""
-        get, out, open_texts, new = self.pieces.young.get, [], [], set()
-        for k, pieces in enumerate(cut):
-            values = list(map(get, pieces))
-            if None in values:
-                holes = [i for i, v in enumerate(values) if v is None]
-                new.update([pieces[i] for i in holes])
-                open_texts.append((k, pieces, values, holes))
-                out.append(b"")
-            else:
-                out.append(b"".join(values))
-        learn(self.pieces.unknown(new))
-        young = self.pieces.young
-        for k, pieces, values, holes in open_texts:
-            for i in holes:
-                values[i] = young[pieces[i]]
-            out[k] = b"".join(values)
-        self.pieces.turn(MEMO * (1 + self.spaced))
-        return out
-
-    # byte-level: a piece carries the space before it; the first of a line is
-    # marked by a line feed and carries that instead
-
-    def _plain(self, t: str) -> bool:
-        if not t or t[0] in " \n" or t[-1] in " \n" or "  " in t or "\n\n" in t or " \n" in t or "\n " in t:
-            return False
-        return not any(c in t for c in _OTHER_SPACE)
-
-    def _encode_bytes(self, texts: list[str]) -> list[bytes]:
-        out = [b""] * len(texts)
-        plain = [k for k, t in enumerate(texts) if self._plain(t)]
-        at = set(plain)
-        odd = [k for k, t in enumerate(texts) if t and k not in at]
-        for k, ids in zip(odd, self.whole([texts[k] for k in odd]), strict=True):
-            out[k] = ids
-        cut = [("\n" + texts[k]).replace("\n", " \n").split(" ")[1:] for k in plain]
-        feed = self.whole(["\n"])[0]
-        for k, ids in zip(plain, self._put_together(cut, lambda new: self._learn_bytes(new, feed)), strict=True):
-            out[k] = ids[len(feed) :]
-        return out
-
-    def _learn_bytes(self, new: list[str], feed: bytes) -> None:
-        heads = [w for w in new if w[:1] == "\n"]
-        for at in range(0, len(heads), 2000):
-            some = heads[at : at + 2000]
-            data, edges = self._at_once("".join(some), np.frombuffer(feed, dtype="<u4")[0] if len(feed) == 4 else None)
-            if len(edges) == len(some):
-                edges.append(len(data))
-                self.pieces.young.update(zip(some, [data[a:b] for a, b in zip(edges, edges[1:], strict=False)], strict=True))
-            else:
-                self.pieces.young.update((w, feed + ids) for w, ids in zip(some, self.whole([w[1:] for w in some]), strict=True))
-        self._learn_spaced([w for w in new if w[:1] != "\n"])
-
-    def _at_once(self, text: str, edge: int | None = None) -> tuple[bytes, list[int]]:
-        """A text's ids as bytes, and where its edge ids (or one id) begin in them."""
-        data = array("I", self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
-        ids = np.frombuffer(data, dtype="<u4")
-        return data, (4 * np.flatnonzero(self.edge[ids] if edge is None else ids == edge)).tolist()
-
-    def _learn_spaced(self, new: list[str]) -> None:
-        """Encode " a b c ..." at once; a new piece begins at every id that begins with a space."""
-        for at in range(0, len(new), 2000):
-            some = new[at : at + 2000]
-            data, edges = self._at_once(" " + " ".join(some))
-            if len(edges) == len(some):
-                edges.append(len(data))
-                self.pieces.young.update(zip(some, [data[a:b] for a, b in zip(edges, edges[1:], strict=False)], strict=True))
-            else:
-                self.pieces.young.update(zip(some, self.whole([" " + w for w in some]), strict=True))
-
-    # word-level: white space is dropped, letters are lowered
-
-    def _encode_words(self, texts: list[str]) -> list[bytes]:
-        cut = [(t.lower() if _lowers_alike(t) else t).replace("\n", " ").split(" ") for t in texts]
-        out = self._put_together(cut, self._learn_words)
-        self.letters.turn(MEMO)
+        for at in range(0, len(texts), RUN):
+            run = [t or "" for t in texts[at : at + RUN]]
+            found = [self._one(t) for t in run]
+            odd = [k for k, ids in enumerate(found) if ids is None]
+            for k in odd:  # one at a time: a long text's encoding is freed before the next
+                found[k] = self.whole([run[k]])[0]
+            if 0 not in odd and len(run[0]) <= HELD and self.whole(run[:1]) != found[:1]:
+                raise ValueError(f"the fast core differs from the library for {run[0][:200]!r}")
+            out += found
         return out
 
-    def _learn_words(self, new: list[str]) -> None:
-        hard, easy = [], []
-        letters: set[str] = set()
-        for w in new:
-            low = w.lower()
-            if low.isascii():
-                if "'" in low:
-                    hard.append(w)
-                    continue
-            elif "'" in w or "Σ" in w or "İ" in w or not unicodedata.is_normalized("NFC", w):
-                hard.append(w)
-                continue
-            parts = (low,) if low.isalpha() else _RUNS(low)
-            easy.append((w, parts))
-            letters.update(parts)
-        unknown = self.letters.unknown(letters)
-        for at in range(0, len(unknown), 2000):
-            some = unknown[at : at + 2000]
-            data, edges = self._at_once(" ".join(some))
-            if len(edges) == len(some):
-                edges = [0, *(e + 4 for e in edges)]
-                self.letters.young.update(zip(some, [data[a:b] for a, b in zip(edges, edges[1:], strict=False)], strict=True))
-            else:
-                self.letters.young.update(zip(some, self.whole(some), strict=True))
-        part = self.letters.young.__getitem__
-        self.pieces.young.update((w, part(parts[0]) if len(parts) == 1 else b"".join(map(part, parts))) for w, parts in easy)
-        self.pieces.young.update(zip(hard, self.whole(hard), strict=True))
-
-
-#: Runs of letters, single numbers, runs of anything else but space.
-_RUNS = regex.compile(r"\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
-def _lowers_alike(t: str) -> bool:
-    """Lower-casing the text first gives what the library's steps give, and
-    leaves fewer different pieces."""
-    return t.isascii() or ("İ" not in t and "Σ" not in t and unicodedata.is_normalized("NFC", t))
+    def _one(self, t: str) -> bytes | None:
+        if not t:
+            return b""
+        if self._fast is None or any(a in t for a in self.added):
+            return None
+        return self._fast(t)
+
+
+def _long(t: str) -> bool:
+    """Whether ``t`` has a stretch of over LONGEST characters without a space."""
+    at, end = 0, len(t)  # at: just after a space
+    while end - at > LONGEST:
+        space = max(t.rfind(" ", at, at + LONGEST), t.rfind("\n", at, at + LONGEST))
+        if space < 0:
+            return True
+        at = space + 1
+    return False
 
 
 _encoders: dict[str, Encoder] = {}

@@ -65,7 +65,36 @@ def test_tree_of_small_groups(spark):
         for p in sorted(pieces, key=lambda r: r.offset):
             assert p.offset == at
             at += p.length
-        assert at == pieces[0].size <= 1024
+        assert at <= 1024
+    total = sum(r.length for r in rows)
+    assert len(bins) <= -(-total // 1024) * 1.1 + 1
+
+
+def test_tree_loses_no_saving(spark):
+    """One bin of half its capacity or less is left at most, as in one best-fit run."""
+    rnd = random.Random(6)
+    for trial in range(3):
+        texts = {i: "a" + " a" * rnd.choice([2, 40, 200, 430, 700]) for i in range(150)}
+        df = spark.createDataFrame([(k, v, None, 1) for k, v in texts.items()], SCHEMA).repartition(5)
+        rows = pack(df, group_items=7 + trial, fan_in=2 + trial).collect()
+        fills = defaultdict(int)
+        for r in rows:
+            fills[r.bin] += r.length
+        small = [f for f in fills.values() if f <= 512]
+        free = sorted((1024 - f for f in fills.values()), reverse=True)
+        assert len(rows) == 150 and max(fills.values()) <= 1024 and len(small) <= 1
+        assert not small or free[0] == 1024 - small[0] and (len(free) == 1 or free[1] < small[0])
+
+
+def test_batches_larger_than_a_group(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100000")
+    try:
+        texts = dict.fromkeys(range(3000), "a b")
+        df = spark.createDataFrame([(k, v, "", 0) for k, v in texts.items()], SCHEMA).coalesce(1)
+        rows = pack(df, group_items=100).withColumnRenamed("bin", "sequence_id").collect()
+        check(rows, texts)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
 def test_repeated_rows_and_empty(spark):
