@@ -18,10 +18,13 @@ misses its target by half a document at most, and no document is taken over
 ``cap`` times.
 
 Prefix sums never put a source in one task: a source is cut into ranges of the
-hash order, range sums are added up, and windows run within ranges.
+hash order and these into spans; span sums are added up, then range sums within a
+span, and windows run within ranges.  Sources are ranked within ranges of their
+names, and the water level is found by resharing rounds of plain sums.
 
 Defined results
 * null text: size 0, taken 0.  Null source: a source of its own, the last.
+* null ids: ordered by their text.
 * repeated rows: each row counts and is taken on its own; ties of the random
   order between identical rows are immaterial to the totals.
 * sources without words: target 0.  Empty table: no rows.
@@ -34,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import blocks_for, materialize, words
+from .common import blocks_for, discard, materialize, words
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
@@ -53,21 +56,39 @@ def word_count(text: Column) -> Column:
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, cap: int = CAP) -> DataFrame:
     """Adds rank, weight and target to one row a source (source, source_size)."""
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    ranked = sizes.withColumn("rank", F.row_number().over(order) - 1)
+    n = int(sizes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = F.col("source").asc_nulls_last()
+    dealt = materialize(sizes.repartitionByRange(n, order).withColumn("_qm_part", F.spark_partition_id()), "mix-ranks")
+    counts = dealt.groupBy("_qm_part").agg(F.count(F.lit(1)).alias("_qm_n"))  # a row a task
+    before = Window.orderBy("_qm_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select("_qm_part", F.coalesce(F.sum("_qm_n").over(before), F.lit(0)).alias("_qm_before"))
+    ranked = dealt.withColumn("_qm_at", F.row_number().over(Window.partitionBy("_qm_part").orderBy(order)) - 1).join(F.broadcast(counts), "_qm_part")
+    ranked = ranked.withColumn("rank", (F.col("_qm_at") + F.col("_qm_before")).cast("long")).drop("_qm_part", "_qm_at", "_qm_before")
     weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.pmod("rank", F.lit(len(weights))) + 1).cast("int"))
-    ranked = ranked.withColumn("weight", weight).withColumn("_qm_cap", (F.lit(cap) * F.col("source_size")).cast("double"))
-    ranked = ranked.withColumn("_qm_ratio", F.col("_qm_cap") / F.col("weight"))
-    before = Window.orderBy("_qm_ratio", "rank").rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.partitionBy()
-    level = (F.sum("source_size").over(everything) - F.coalesce(F.sum("_qm_cap").over(before), F.lit(0.0))) / (
-        F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))
-    )
-    # the level holds at the first source, by ratio, that it doesn't fill
-    ranked = ranked.withColumn("_qm_level", level)
-    water = F.min(F.when(F.col("_qm_ratio") >= F.col("_qm_level"), F.struct("_qm_ratio", "rank", "_qm_level"))).over(everything)["_qm_level"]
-    target = F.least(F.col("_qm_cap"), water * F.col("weight"))
-    return ranked.withColumn("target", F.coalesce(target, F.col("_qm_cap"))).drop("_qm_cap", "_qm_ratio", "_qm_level")
+    ranked = materialize(ranked.withColumn("weight", weight).withColumn("_qm_cap", (F.lit(cap) * F.col("source_size")).cast("double")), "mix-weights")
+    level = water_level(ranked)
+    discard(dealt)
+    return ranked.withColumn("target", F.least(F.col("_qm_cap"), F.lit(level) * F.col("weight"))).drop("_qm_cap")
+
+
+def water_level(ranked: DataFrame) -> float:
+    """Size for each unit of weight, after what exceeds the caps is reshared.
+
+    Every round fixes the sources that the level fills and shares the rest among
+    the others.  The level only rises, so the rounds end; they are few, as each
+    one fixes a source at least.
+    """
+    total = ranked.agg(F.sum("source_size")).first()[0] or 0
+    level = -1.0
+    while True:
+        full = F.col("_qm_cap") < F.lit(level) * F.col("weight")
+        capped, weight = ranked.agg(F.sum(F.when(full, F.col("_qm_cap"))), F.sum(F.when(~full, F.col("weight")))).first()
+        if not weight:
+            return level
+        now = (total - (capped or 0.0)) / weight
+        if now <= level:
+            return level
+        level = now
 
 
 def _segments(knots) -> list[tuple[float, float, float, float, float]]:
@@ -107,14 +128,15 @@ def by_schedule(rank: Column, schedules, f) -> Column:
     return out
 
 
-def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS, cap: int = CAP, schedules=SCHEDULES, seed: str = SEED) -> DataFrame:
-    """One row a document: size, source_size, target, taken, epochs, begin.
+def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS, cap: int = CAP, schedules=SCHEDULES, seed: str = SEED, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row a document: ``keep``, size, source_size, target, taken, epochs, begin.
 
     ``begin`` is the first token's place in the source's stream of one epoch;
     ``placed`` turns it into training positions.
     """
-    rows = docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"))
-    rows = materialize(rows, "mix-sizes")
+    name = F.coalesce(F.col(key).cast("string"), F.md5(F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8")))
+    rows = docs.select(*keep, F.col(key).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), F.md5(F.concat(name, F.lit(f"|{seed}"))).alias("_qm_h"))
+    rows = sized = materialize(rows, "mix-sizes")
     n = rows.count()
     per_source = materialize(rows.groupBy("source").agg(F.sum("size").alias("source_size")), "mix-sources")
     targets = materialize(source_targets(per_source, weights, cap), "mix-targets")
@@ -122,12 +144,15 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     t = F.broadcast(targets) if small else targets
     rows = rows.alias("r").join(t.alias("t"), F.col("r.source").eqNullSafe(F.col("t.source"))).select("r.*", "rank", "source_size", "target")
     ranges = blocks_for(n, ROWS_PER_RANGE)
-    order = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f"|{seed}")))
-    rows = rows.withColumn("_qm_h", order).withColumn("_qm_range", F.shiftright(F.conv(F.substring("_qm_h", 1, 8), 16, 10).cast("long") * F.lit(ranges), 32))
-    sums = rows.groupBy("rank", "_qm_range").agg(F.sum("size").alias("_qm_sum"))
-    before = Window.partitionBy("rank").orderBy("_qm_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select("rank", "_qm_range", F.coalesce(F.sum("_qm_sum").over(before), F.lit(0)).alias("_qm_offset"))
-    inside = Window.partitionBy("rank", "_qm_range").orderBy("_qm_h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_qm_range", F.shiftright(F.conv(F.substring("_qm_h", 1, 8), 16, 10).cast("long") * F.lit(ranges), 32))
+    rows = rows.withColumn("_qm_span", F.floor(F.col("_qm_range") / ROWS_PER_RANGE).cast("long"))
+    sums = rows.groupBy("rank", "_qm_span", "_qm_range").agg(F.sum("size").alias("_qm_sum"))
+    spans = sums.groupBy("rank", "_qm_span").agg(F.sum("_qm_sum").alias("_qm_sum"))
+    to_here = lambda w: F.coalesce(F.sum("_qm_sum").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    spans = spans.select("rank", "_qm_span", to_here(Window.partitionBy("rank").orderBy("_qm_span")).alias("_qm_before"))
+    offsets = sums.withColumn("_qm_offset", to_here(Window.partitionBy("rank", "_qm_span").orderBy("_qm_range"))).join(spans, ["rank", "_qm_span"])
+    offsets = offsets.select("rank", "_qm_range", (F.col("_qm_offset") + F.col("_qm_before")).alias("_qm_offset"))
+    inside = Window.partitionBy("rank", "_qm_range").orderBy("_qm_h", "doc_id", "size", *keep).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("_qm_inner", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     rows = rows.join(offsets, ["rank", "_qm_range"]).withColumn("begin", F.col("_qm_inner") + F.col("_qm_offset"))
     ratio = F.col("target") / F.greatest(F.col("source_size"), F.lit(1))
@@ -136,7 +161,9 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     more = (F.col("begin") + F.col("size") / 2 < over) & (whole < cap)
     epochs = F.when(F.col("size") == 0, 0).otherwise(whole + more.cast("long"))
     rows = rows.withColumn("epochs", epochs.cast("int")).withColumn("taken", (F.col("size") * F.col("epochs")).cast("long"))
-    return rows.select("doc_id", "source", "rank", "size", "source_size", "target", "taken", "epochs", "begin")
+    out = materialize(rows.select(*keep, "doc_id", "source", "rank", "size", "source_size", "target", "taken", "epochs", "begin"), "mixed")
+    discard(sized, per_source, targets)
+    return out
 
 
 def placed(mixed: DataFrame, schedules=SCHEDULES) -> DataFrame:
@@ -153,12 +180,19 @@ def placed(mixed: DataFrame, schedules=SCHEDULES) -> DataFrame:
     return rows.withColumn("position", total)
 
 
+def range_sorted(rows: DataFrame) -> DataFrame:
+    """Rows in the order of their position, over ranges of it."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartitionByRange(n, "position").sortWithinPartitions("position")
+
+
 def mix_documents(docs: DataFrame) -> DataFrame:
-    """Digest form: one row a document, with the position of its first use."""
-    mixed = materialize(mix(docs), "mixed")
+    """Digest form: one row a document in training order, with the position of its
+    first use; what the mixture leaves out comes first, without one."""
+    mixed = mix(docs)
     first = placed(mixed.withColumn("epochs", F.least("epochs", F.lit(1)))).select("doc_id", "size", "source_size", "target", "taken", F.round("position", 3).alias("position"))
     never = mixed.where("epochs = 0").select("doc_id", "size", "source_size", "target", "taken", F.lit(None).cast("double").alias("position"))
-    return first.union(never)
+    return range_sorted(first.union(never))
 
 
 # --- the digest in SQL ----------------------------------------------------
@@ -188,7 +222,7 @@ def _sql() -> str:
     weight = _case([(f"rank % {len(WEIGHTS)} = {k}", f"{float(w)!r}") for k, w in enumerate(WEIGHTS)], "0.0")
     return f"""
 WITH d AS (SELECT doc_id, source, CAST(len(list_filter(string_split_regex(coalesce(text, ''), '[ \\t-\\r]+'), lambda w: w <> '')) AS BIGINT) AS size,
-    md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|{SEED}') AS h FROM documents),
+    md5(coalesce(CAST(doc_id AS VARCHAR), md5(coalesce(text, ''))) || '|{SEED}') AS h FROM documents),
  z AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY 1),
  k AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank FROM z),
  w AS (SELECT *, CAST({weight} AS DOUBLE) AS weight, CAST({CAP} * source_size AS DOUBLE) AS c FROM k),

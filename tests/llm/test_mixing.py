@@ -77,3 +77,19 @@ def test_repeats_and_empty(spark):
     out = mix_documents(docs_of(spark, [(1, "a b", "s")] * 4 + [(2, None, None)])).collect()
     assert len(out) == 5 and sum(r.taken for r in out) == 8
     assert mix_documents(docs_of(spark, [])).collect() == []
+
+
+def test_order_and_many_sources(spark):
+    """Positions ascend over the partitions; ranks follow code points over several tasks."""
+    rows = [(i, "w " * (1 + i % 7), f"s{i % 211}") for i in range(2000)]
+    out = mix_documents(docs_of(spark, rows))
+    places = [r.position for r in out.collect() if r.position is not None]
+    assert places == sorted(places) and len(places) > 500
+    mixed = mix(docs_of(spark, rows)).select("source", "rank").distinct().collect()
+    assert [r.source for r in sorted(mixed, key=lambda r: r["rank"])] == sorted({r[2] for r in rows})
+
+
+def test_rows_without_ids_are_spread(spark):
+    rows = [(None, f"w{i} x", "s") for i in range(500)]
+    out = mix(docs_of(spark, rows)).collect()
+    assert sorted(r.begin for r in out) == [2 * i for i in range(500)]
