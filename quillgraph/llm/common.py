@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,10 +16,15 @@ WORD_SPLIT = "[\\x20\\x09-\\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder that the cluster names in ``spark.checkpoint.dir``.
 
-    It is only set here where the session leaves it unset, as local tests do.
+    Only a local session, whose tasks run in the driver's process, gets a folder
+    of its own where the setting is missing; a cluster without it is refused, as
+    executors would write to their own disks.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="quillgraph-shared-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -49,7 +55,45 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(*frames: DataFrame | None) -> None:
+    """Delete materialized tables that nothing reads any more; others are left."""
+    for df in frames:
+        path = getattr(df, "_written_to", None)
+        if path:
+            spark = df.sparkSession
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def row_keyed(docs: DataFrame, name: str = "row") -> DataFrame:
+    """``docs`` with an identity of each row, unique also where rows or ids repeat:
+    its file and its place there, so reading again gives the same.
+
+    What doesn't come from files is written to the shared folder first.
+    """
+    place = F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
+    try:
+        return docs.withColumn(name, place)
+    except AnalysisException:
+        return materialize(docs, "rows").withColumn(name, place)
+
+
+def join_hot(rows: DataFrame, per_key: DataFrame, key: str, total: int) -> DataFrame:
+    """``rows`` joined with ``per_key``, one row a key with its row count ``n``.
+
+    Keys with over a thousandth of all ``total`` rows, of which there can't be
+    more than a thousand, are joined by broadcast, so that no task gets all rows
+    of a hot key; the others by shuffle.
+    """
+    hot = F.col("n") > F.lit(max(1, total // 1000))
+    few = F.broadcast(per_key.where(hot))
+    cold = rows.join(F.broadcast(per_key.where(hot).select(key)), key, "left_anti")
+    return cold.join(per_key.where(~hot), key).unionByName(rows.join(few, key))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -13,13 +13,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, join_hot, materialize
 
 ONE_TASK = 500_000
 RESULT = "node long, component long"
 
 
-def components(links: DataFrame, one_task: int = ONE_TASK, max_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
     """(node, component) for every node of ``links`` (a, b); component = least node.
 
     Links of a node to itself and repeated links are harmless.  Empty links give
@@ -28,8 +28,10 @@ def components(links: DataFrame, one_task: int = ONE_TASK, max_rounds: int = 60)
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     edges = materialize(edges, "cc-start")
     if edges.count() <= one_task:
-        return materialize(edges.coalesce(1).mapInArrow(_union_find, RESULT), "cc-small")
-    return star_rounds(edges, max_rounds)
+        out = materialize(edges.coalesce(1).mapInArrow(_union_find, RESULT), "cc-small")
+        discard(edges)
+        return out
+    return star_rounds(edges)
 
 
 def _union_find(batches):
@@ -56,29 +58,29 @@ def _union_find(batches):
     yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[[find(x) for x in range(len(nodes))]])], names=["node", "component"])
 
 
-def star_rounds(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def star_rounds(edges: DataFrame) -> DataFrame:
     """Alternating stars over (u > v) edges.
 
-    Each round is joins on node keys, so a hub is an ordinary skewed join, and
-    the state is written to the shared folder each round.  Edges shrink towards
-    stars; the rounds grow with the logarithm of the graph's diameter.
+    Each round is joins on node keys, hubs apart by broadcast, and the state is written to the shared folder each round, the one before it
+    deleted.  Edges shrink towards stars until a round changes none; the rounds
+    grow with the logarithm of the graph's diameter, and each that changes
+    something links a node to a lesser one, so they end.
     """
     mark = _mark(edges)
-    for _ in range(max_rounds):
+    while True:
         # large star: every larger neighbour of u links to u's least neighbour
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n"))
+        large = join_hot(both.where("v > u"), least, "u", 2 * mark[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # small star: u and its smaller neighbours link to the least of them
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        edges = materialize(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "cc-round")
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = join_hot(large, least, "u", 2 * mark[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        before, edges = edges, materialize(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "cc-round")
+        discard(before)
         now = _mark(edges)
         if now == mark:
             break
         mark = now
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = edges.select(F.col("v").alias("node")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots.select("node", F.col("node").alias("component")))
 

@@ -46,7 +46,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import give_back, materialize
+from .common import discard, give_back, join_hot, materialize
 from .components import components
 
 TAU = 3
@@ -231,7 +231,7 @@ def find_links(fps: DataFrame, tau: int = TAU, dense_bucket: int = DENSE_BUCKET)
 
     index = materialize(fps.select("fp").mapInArrow(index_rows, "key long, part int, fp long"), "gph-index")
     counts = materialize(index.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "gph-counts")
-    own = index.join(counts, "key").groupBy("fp").agg(*(F.max(F.when(F.col("part") == i, F.col("n"))).alias(f"n{i}") for i in range(m)))
+    own = join_hot(index, counts, "key", n * m).groupBy("fp").agg(*(F.max(F.when(F.col("part") == i, F.col("n"))).alias(f"n{i}") for i in range(m)))
 
     def probe_rows(batches):
         for b in batches:
@@ -261,14 +261,19 @@ def find_links(fps: DataFrame, tau: int = TAU, dense_bucket: int = DENSE_BUCKET)
     links = cold.join(there, (F.col("k") == F.col("key")) & (F.col("fp") != F.col("other")) & (distance <= tau))
     links = materialize(links.select(F.greatest("fp", "other").alias("a"), F.least("fp", "other").alias("b")).distinct(), "gph-links")
     hot = live.where(F.col("n") > dense_bucket)
-    if hot.isEmpty():
-        return links
-    hot_keys = hot.select("key").distinct()
-    members = hot.select("key", "fp").union(index.join(hot_keys, "key", "left_semi").select("key", "fp")).distinct()
-    return links.union(dense_links(materialize(members, "gph-dense"), links, tau))
-
-
-def dense_links(members: DataFrame, links: DataFrame, tau: int) -> DataFrame:
+    if not hot.isEmpty():
+        hot_keys = hot.select("key").distinct()
+        members = hot.select("key", "fp").union(index.join(hot_keys, "key", "left_semi").select("key", "fp")).distinct()
+        members = materialize(members, "gph-dense")
+        first, second = dense_links(members, links, tau)
+        every = materialize(links.union(first).union(second), "gph-all")
+        discard(members, links, first, second)
+        links = every
+    discard(index, counts, live)
+    return links
+
+
+def dense_links(members: DataFrame, links: DataFrame, tau: int) -> tuple[DataFrame, DataFrame]:
     """Links among the fingerprints of dense buckets (key, fp), without pairs."""
     if tau != 3:
         raise ValueError("the exact way for dense buckets is built for tau = 3")
@@ -295,10 +300,13 @@ def dense_links(members: DataFrame, links: DataFrame, tau: int) -> DataFrame:
     placed = members.join(label.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     placed = materialize(placed, "gph-placed")
     sizes = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
-    largest = sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("largest"))
-    apart = placed.join(largest, "key").where("component <> largest").select("fp").distinct()
+    largest = sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.sum("n").alias("n"))
+    # a dense bucket may hold most of the fingerprints
+    apart = join_hot(placed, largest, "key", placed.count()).where("component <> largest").select("fp").distinct()
     second = apart.mapInArrow(words_at(2, True), "word long, fp long").join(anchors, "word").where("fp <> anchor")
-    return first.union(materialize(second.select(F.col("fp").alias("a"), F.col("anchor").alias("b")).distinct(), "gph-second"))
+    second = materialize(second.select(F.col("fp").alias("a"), F.col("anchor").alias("b")).distinct(), "gph-second")
+    discard(near, anchors, label, placed)
+    return first, second
 
 
 def near_groups(docs: DataFrame, tau: int = TAU, dense_bucket: int = DENSE_BUCKET, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -307,17 +315,21 @@ def near_groups(docs: DataFrame, tau: int = TAU, dense_bucket: int = DENSE_BUCKE
     return grouped(materialize(with_fingerprints(docs, text, keep), "simhash"), tau, dense_bucket)
 
 
-def grouped(rows: DataFrame, tau: int = TAU, dense_bucket: int = DENSE_BUCKET, more: DataFrame | None = None) -> DataFrame:
+def grouped(rows: DataFrame, tau: int = TAU, dense_bucket: int = DENSE_BUCKET, more: DataFrame | None = None, root: bool = False) -> DataFrame:
     """``rows`` (doc_id and fp among them) with ``component_id``; ``more`` are
-    further links (a, b) between their fingerprints."""
-    reps = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-reps")
+    further links (a, b) between their fingerprints.  ``root`` also returns the
+    component's least fingerprint, which names it where all ids are null."""
+    reps = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")), "simhash-reps")
     links = find_links(reps.select("fp"), tau, dense_bucket)
     label = components(links if more is None else links.union(more))
-    node = reps.join(label, reps.fp == label.node, "left").select("fp", "rep", F.coalesce("component", "fp").alias("root"))
+    node = reps.join(label, reps.fp == label.node, "left").select("fp", "rep", "n", F.coalesce("component", "fp").alias("root"))
     node = materialize(node, "simhash-roots")
-    least = node.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = node.join(least, "root").select("fp", "component_id")
-    return rows.join(named, "fp")
+    # one component may hold most fingerprints: partial sums, then a join with hot ones apart
+    least = node.groupBy("root").agg(F.min("rep").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    named = join_hot(node.withColumnRenamed("n", "rows"), least, "root", node.count())
+    named = materialize(named.select("fp", "component_id", *(["root"] if root else []), F.col("rows").alias("n")), "simhash-named")
+    discard(reps, links, label, node)
+    return join_hot(rows, named, "fp", rows.count()).drop("n")
 
 
 def dedup_documents(docs: DataFrame) -> DataFrame:
