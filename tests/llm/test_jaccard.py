@@ -1,7 +1,6 @@
 import random
 
-import corpus_pipeline
-from quillgraph.llm import jaccard, simhash
+from quillgraph.llm import jaccard, simhash, stages
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -21,7 +20,7 @@ def test_stage_merges_similar_texts(spark):
         texts.append(" ".join(w))
     texts += ["", None, "a b", "a b"]
     docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], COLUMNS)
-    kept = {x.doc_id for x in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()}
+    kept = {x.doc_id for x in stages.drop_near_duplicates(spark, docs, "").collect()}
     fps, shingles, root = [simhash.fingerprint(t) for t in texts], [sets(t or "") for t in texts], list(range(len(texts)))
     wide = 0
     for i in range(len(texts)):

@@ -1,5 +1,7 @@
+import random
+
 import corpus_pipeline
-from quillgraph.llm import pii, simhash
+from quillgraph.llm import mixing, pii, simhash, stages
 from quillgraph.llm.queries import QUERIES, SQL
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -40,5 +42,19 @@ def test_empty_pipeline(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
+def test_rows_without_ids(spark):
+    """Distinct texts without an id stay; copies fall to one; mixing takes each as often as planned."""
+    r = random.Random(8)
+    texts = [" ".join(f"w{r.randrange(999)}" for _ in range(40)) for _ in range(12)]
+    rows = [(None, t, "en", "s", 1) for t in texts] + [(None, texts[0], "en", "s", 1)] * 3 + [(7, texts[1], "en", "s", 1)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    kept = stages.drop_near_duplicates(spark, docs, "").collect()
+    groups = {r.root for r in simhash.grouped(simhash.with_fingerprints(docs), root=True).collect()}
+    assert len({r.text for r in kept}) == len(kept) == len(groups) and [r.doc_id for r in kept if r.doc_id] == [7]
+    mixed = mixing.mix(docs).collect()
+    out = stages.mix_sources(spark, docs, "").collect()
+    assert len(out) == sum(r.epochs for r in mixed) == len(rows)
+
+
 def test_registered():
     assert [q.split("_")[0] for q in QUERIES] == [f"op{i}" for i in range(1, 11)] and set(SQL) <= set(QUERIES)
