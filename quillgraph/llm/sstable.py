@@ -21,7 +21,7 @@ files.  The manifest (one row a file) is a table in the shared folder.
 
 Defined results
 * null and empty texts: the end id alone.  Null ids sort first, under the empty key.
-* repeated ids: kept, next to one another; a lookup returns all.
+* repeated ids: kept, next to one another by their texts; a lookup returns all.
 * very long texts: one entry each; a file ends after the entry that fills it.
 * empty table: no files, no rows.  Other columns take no part.
 """
@@ -31,6 +31,7 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
+from array import array
 from bisect import bisect_right
 
 import numpy as np
@@ -48,7 +49,7 @@ from .tokens import encoder
 MAGIC = b"QGSST\x00\x01\n"
 FOOTER = struct.Struct("<QQQQQHH8s")  # index at, bloom at, bloom bytes, entries, tokens, hashes, width, magic
 BLOCK_BYTES = 64 * 1024
-FILE_BYTES = 24 * 1024 * 1024
+FILE_BYTES = 128 * 1024 * 1024
 BLOOM_BITS_PER_KEY, BLOOM_HASHES = 10, 7
 
 
@@ -79,20 +80,32 @@ def get_varint(data, at: int) -> tuple[int, int]:
         shift += 7
 
 
-def bloom_places(key: bytes, bits: int):
+def key_hashes(key: bytes) -> tuple[int, int]:
     h = xxhash.xxh3_128_intdigest(key)
-    a, b = h & ((1 << 64) - 1), (h >> 64) | 1
-    return [(a + i * b) % bits for i in range(BLOOM_HASHES)]
+    return h & ((1 << 64) - 1), (h >> 64) | 1
+
+
+def bloom_places(key: bytes, bits: int):
+    a, b = key_hashes(key)
+    return [(a % bits + i * (b % bits)) % bits for i in range(BLOOM_HASHES)]
 
 
 class FileWriter:
-    """Builds one table in memory; entries come in key order, ids as uint32 bytes."""
+    """Streams one table into ``sink``; entries come in key order, ids as uint32 bytes.
+
+    Only the open block, a sparse index entry a block and a hash a key are held.
+    """
 
-    def __init__(self, width: int = 4):
-        self.width = width
-        self.data, self.block, self.index, self.keys = bytearray(MAGIC), bytearray(), [], []
+    def __init__(self, sink, width: int = 4):
+        self.sink, self.width, self.at = sink, width, 0
+        self.block, self.index, self.hashes = bytearray(), [], array("Q")
         self.first = self.last = b""
-        self.in_block = self.tokens = 0
+        self.in_block = self.tokens = self.entries = 0
+        self._put(MAGIC)
+
+    def _put(self, data: bytes) -> None:
+        self.sink.write(data)
+        self.at += len(data)
 
     def add(self, key: bytes, value: bytes) -> None:
         self.tokens += len(value) // 4
@@ -110,34 +123,36 @@ class FileWriter:
         self.block += key[shared:]
         self.block += value
         self.last = key
-        self.keys.append(key)
+        self.hashes.extend(key_hashes(key))
         self.in_block += 1
+        self.entries += 1
         if len(self.block) >= BLOCK_BYTES:
             self._end_block()
 
     def _end_block(self) -> None:
         if self.in_block:
-            self.index.append((self.first, len(self.data), len(self.block), self.in_block))
-            self.data += self.block
+            self.index.append((self.first, self.at, len(self.block), self.in_block))
+            self._put(bytes(self.block))
             self.block, self.in_block = bytearray(), 0
 
     def __len__(self) -> int:
-        return len(self.data) + len(self.block)
+        return self.at + len(self.block)
 
-    def finish(self) -> bytes:
+    def finish(self) -> None:
         self._end_block()
-        index_at = len(self.data)
+        index_at, index = self.at, bytearray()
         for key, offset, length, count in self.index:
-            put_varint(self.data, len(key))
-            self.data += key + struct.pack("<QQI", offset, length, count)
-        bloom_at = len(self.data)
-        bits = max(64, len(self.keys) * BLOOM_BITS_PER_KEY) + 7 & ~7
+            put_varint(index, len(key))
+            index += key + struct.pack("<QQI", offset, length, count)
+        self._put(bytes(index))
+        bloom_at = self.at
+        bits = max(64, self.entries * BLOOM_BITS_PER_KEY) + 7 & ~7
         bloom = np.zeros(bits, dtype=bool)
-        for k in self.keys:
-            bloom[bloom_places(k, bits)] = True
-        self.data += np.packbits(bloom, bitorder="little").tobytes()
-        self.data += FOOTER.pack(index_at, bloom_at, bits // 8, len(self.keys), self.tokens, BLOOM_HASHES, self.width, MAGIC)
-        return bytes(self.data)
+        h = np.frombuffer(self.hashes, dtype=np.uint64).reshape(-1, 2) % np.uint64(bits)
+        for i in range(BLOOM_HASHES):
+            bloom[(h[:, 0] + np.uint64(i) * h[:, 1]) % np.uint64(bits)] = True
+        self._put(np.packbits(bloom, bitorder="little").tobytes())
+        self._put(FOOTER.pack(index_at, bloom_at, bits // 8, self.entries, self.tokens, BLOOM_HASHES, self.width, MAGIC))
 
 
 class FileReader:
@@ -202,14 +217,26 @@ class FileReader:
         self.file.close()
 
 
-def _store(folder: str, name: str, data: bytes) -> str:
-    system, inner = pafs.FileSystem.from_uri(folder)
-    system.create_dir(inner, recursive=True)
-    attempt = f"{inner}/.{name}.{uuid.uuid4().hex}"
-    with system.open_output_stream(attempt) as out:
-        out.write(data)
-    system.move(attempt, f"{inner}/{name}")
-    return f"{folder}/{name}"
+class _OpenFile:
+    """A file under its attempt's name until it is whole, then under its own."""
+
+    def __init__(self, folder: str, name: str, width: int):
+        self.system, inner = pafs.FileSystem.from_uri(folder)
+        self.system.create_dir(inner, recursive=True)
+        self.attempt, self.final, self.path = f"{inner}/.{name}.{uuid.uuid4().hex}", f"{inner}/{name}", f"{folder}/{name}"
+        self.out = self.system.open_output_stream(self.attempt)
+        self.writer, self.first = FileWriter(self.out, width), None
+
+    def add(self, doc_id: int | None, value: bytes) -> None:
+        if not self.writer.entries:
+            self.first = doc_id
+        self.writer.add(key_of(doc_id), value)
+
+    def close(self) -> tuple:
+        self.writer.finish()
+        self.out.close()
+        self.system.move(self.attempt, self.final)
+        return self.path, self.writer.entries, self.writer.tokens, self.first, id_of(self.writer.last)
 
 
 def write_tables(docs: DataFrame, folder: str, tokenizer: str = "word_bpe_49k.json", end_id: int = 1, partitions: int | None = None, file_bytes: int = FILE_BYTES) -> DataFrame:
@@ -218,33 +245,32 @@ def write_tables(docs: DataFrame, folder: str, tokenizer: str = "word_bpe_49k.js
     end = struct.pack("<I", end_id)
 
     def run(batches):
-        part, files = TaskContext.get().partitionId(), []
-        width = 2 if max(encoder(tokenizer).size, end_id + 1) <= 1 << 16 else 4
-        writer = FileWriter(width)
+        part, files, now = TaskContext.get().partitionId(), [], None
+        encode = encoder(tokenizer)
+        width = 2 if max(encode.size, end_id + 1) <= 1 << 16 else 4
 
         def close():
-            nonlocal writer
-            name = f"part-{part:06d}-{len(files):05d}.sst"
-            first, entries, tokens = id_of(writer.keys[0]), len(writer.keys), writer.tokens
-            files.append((_store(folder, name, writer.finish()), part, len(files), entries, tokens, first, id_of(writer.last)))
-            writer = FileWriter(width)
+            nonlocal now
+            path, *about = now.close()
+            files.append((path, part, len(files), *about))
+            now = None
 
         for b in batches:
-            ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for at in range(0, len(ids), 1000):
-                some = slice(at, at + 1000)
-                for i, v in zip(ids[some], encoder(tokenizer).encode(texts[some]), strict=True):
-                    writer.add(key_of(i), v + end)
-                    if len(writer) >= file_bytes:
+            for at in range(0, b.num_rows, 500):  # few texts at a time, to bound memory
+                some = b.slice(at, 500)
+                for i, v in zip(some.column(0).to_pylist(), encode.encode(some.column(1).to_pylist()), strict=True):
+                    now = now or _OpenFile(folder, f"part-{part:06d}-{len(files):05d}.sst", width)
+                    now.add(i, v + end)
+                    if len(now.writer) >= file_bytes:
                         close()
-        if writer.keys:
+        if now:
             close()
         if files:
             types = [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*files, strict=True), types, strict=True)], names=MANIFEST_NAMES)
         give_back()
 
-    placed = docs.select("doc_id", "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
+    placed = docs.select("doc_id", "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
     return materialize(placed.mapInArrow(run, MANIFEST), "sst-manifest")
 
 
@@ -252,6 +278,10 @@ MANIFEST = "path string, part int, file int, entries long, tokens long, first_id
 MANIFEST_NAMES = [x.split()[0] for x in MANIFEST.split(", ")]
 
 
+def _to_batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in zip(*rows, strict=True)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+
+
 def read_tables(manifest: DataFrame) -> DataFrame:
     """One row a document, read from the files: doc_id, start, n_tokens, ids_crc32."""
     before = Window.orderBy("part", "file").rowsBetween(Window.unboundedPreceding, -1)  # a row a file
@@ -265,8 +295,12 @@ def read_tables(manifest: DataFrame) -> DataFrame:
                 for key, value in reader.scan():
                     rows.append((id_of(key), base, len(value) // 4, zlib.crc32(value)))
                     base += len(value) // 4
+                    if len(rows) >= 10_000:
+                        yield _to_batch(rows)
+                        rows = []
                 reader.close()
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in zip(*rows, strict=True)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                if rows:
+                    yield _to_batch(rows)
 
     return files.repartition(many, "path").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
