@@ -1,7 +1,9 @@
 """Document fingerprints as Merkle trees over paragraphs and sections.
 
-Leaves are passages: sentences of one paragraph (line), of 64 characters at
-most.  Neighbouring passages join into one leaf until a passage whose hash ends
+Passages are sentences of one paragraph (line).  Where one is longer than 32
+characters it ends after the next word that ends in one of six letters, else, in
+text without spaces, at the next letter of a fixed set, so borders follow content
+there, too; only 112 characters without any of these are cut by length.  Neighbouring passages join into one leaf until a passage whose hash ends
 in ``level`` zero bits closes it, so borders follow content and an edit moves
 none but its own.  ``level`` grows with the logarithm of the passage count, which
 keeps a tree at some hundred leaves whatever the text's length.  Repeated passages
@@ -14,14 +16,16 @@ leaves form sections in the same way, three bits coarser, and sections the root.
 
 A fingerprint is text::
 
-    m2 : root (32 hex) : level : leaf leaf leaf ... : section section ...
+    m3 : root (32 hex) : level : leaf leaf leaf ... : section section ...
 
-with ten base-64 characters a leaf: 30 bits of hash, 24 bits of length, and
+with eleven base-64 characters a leaf: 30 bits of hash, 30 bits of length, and
 6 bits for how coarse its closing border is; and five a section, the first 30 bits
 of its digest.  A leaf's digest (128 bits) is of its text, a section's of its
 leaves' digests in order, and the root's of the sections'.  Equal roots mean equal
 texts.  A leaf's stored hash is a polynomial in its passages' hashes, which keeps
 their order and lets neighbouring leaves join without the text.
+Texts of up to 512 characters, where passages are too few to compare, add a list of
+their words (30 bits of hash, 12 of length), by which two such texts are compared.
 ``changed_sections`` aligns the sections in order and descends into those that
 differ only.
 
@@ -33,7 +37,8 @@ tell moved leaves.
 Defined results
 * null and empty texts: the empty tree, like any other empty tree at 1.
 * very long texts: worked whole, in one pass.
-* repeated ids: ordered by their text; repeated rows follow one another.
+* repeated ids: ordered by a hash of their text, then the text; repeated rows
+  follow one another.
 * null ids come last in descending order.  A table of one row: its own next.
 * empty table: no rows.  Other columns take no part.
 """
@@ -46,17 +51,22 @@ from collections import Counter
 from difflib import SequenceMatcher
 from itertools import accumulate
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize
-
-PASSAGE = re.compile(r"[^.!?\n]{0,64}+(?:[.!?\n]++\s*+|(?<=[^.!?\n]))")
-LEAVES = 64
+# ends of sentences, and borders of longer stretches
+_END, _WORD_END, _LETTER = r".!?\n。！？", r"(?<=[dnty05])[\s,;]", r"08HPXhpxのい的是"
+_CLOSE = rf"[{_END}]++\s*+"
+PASSAGE = re.compile(rf"[^{_END}]{{0,32}}+(?:{_CLOSE}|[^{_END}]{{0,96}}?(?:{_WORD_END}|{_CLOSE})|[^{_END}{_LETTER}]{{0,80}}+(?:{_CLOSE}|[{_LETTER}]|(?<=[^{_END}])))")
+LEAVES = 128
+#: Texts of up to this many characters also list their words.
+SHORT = 512
+_WORDS = re.compile(r"\S+\s*|\s+").findall
 RUN = 256
 SECTION_BITS = 3
 _PRIME, _BASE = (1 << 30) - 35, 718_281_828
@@ -139,14 +149,17 @@ def fingerprint(text: str | None) -> str:
         sections.append(_digest(b"".join(digests[at : at + len(g)]), b"section"))
         at += len(g)
     root = _digest(b"".join(sections), b"root").hex()
-    body = "".join(_word(h, 5) + _word(min(n, (1 << 24) - 1), 4) + _word(z, 1) for h, n, z in leaves)
-    return f"m2:{root}:{level}:{body}:{''.join(_word(int.from_bytes(d[:4]) >> 2, 5) for d in sections)}"
+    body = "".join(_word(h, 5) + _word(n, 5) + _word(z, 1) for h, n, z in leaves)
+    out = f"m3:{root}:{level}:{body}:{''.join(_word(int.from_bytes(d[:4]) >> 2, 5) for d in sections)}"
+    if len(text) <= SHORT:
+        out += ":" + "".join(_word(xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) >> 34, 5) + _word(len(w), 2) for w in _WORDS(text))
+    return out
 
 
 def parse(fp: str) -> tuple[str, int, list[tuple[int, int, int]], list[int]]:
     """(root, level, leaves, sections); a section's leaves follow from their borders."""
-    _, root, level, body, nodes = fp.split(":")
-    leaves = [(_number(body[i : i + 5]), _number(body[i + 5 : i + 9]), _VALUE[body[i + 9]]) for i in range(0, len(body), 10)]
+    _, root, level, body, nodes = fp.split(":")[:5]
+    leaves = [(_number(body[i : i + 5]), _number(body[i + 5 : i + 10]), _VALUE[body[i + 10]]) for i in range(0, len(body), 11)]
     return root, int(level), leaves, [_number(nodes[i : i + 5]) for i in range(0, len(nodes), 5)]
 
 
@@ -162,6 +175,12 @@ def likeness(a: str, b: str) -> float:
         return 1.0
     level = max(level_a, level_b)
     x, y = Counter(), Counter()
+    words_a, words_b = a.split(":")[5:], b.split(":")[5:]
+    if words_a and words_b:
+        for words, c in ((words_a[0], x), (words_b[0], y)):
+            for i in range(0, len(words), 7):
+                c[words[i : i + 7]] += _number(words[i + 5 : i + 7])
+        leaves_a, leaves_b = [], []
     for leaves, low, c in ((leaves_a, level_a, x), (leaves_b, level_b, y)):
         for h, n, _ in _coarser(leaves, level) if level > low else leaves:
             c[h, n] += n
@@ -210,10 +229,11 @@ def edited(text: str, following: str) -> str:
 # --- all documents against their edits and neighbours ---------------------
 
 DIGEST = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-_SCHEMA = DIGEST + ", kind int, part int, text string"
-_NAMES = [x.split()[0] for x in _SCHEMA.split(", ")]
-_TYPES = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64()}
-_ARROW = [_TYPES[x.split()[1]] for x in _SCHEMA.split(", ")]
+_NAMES = [x.split()[0] for x in DIGEST.split(", ")]
+_TYPES = {"long": pa.int64(), "string": pa.string(), "double": pa.float64()}
+_ARROW = [_TYPES[x.split()[1]] for x in DIGEST.split(", ")]
+#: Buckets of ids for each shuffle partition, and parts of a hot id's bucket.
+BUCKETS, PARTS = 16, 64
 
 
 def _row(doc_id, text: str, fp: str, following: str, next_fp: str) -> tuple:
@@ -226,47 +246,68 @@ def _to_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows, strict=True), _ARROW, strict=True)], names=_NAMES)
 
 
+def bucketed(docs: DataFrame, buckets: int) -> DataFrame:
+    """doc_id, text, h (its hash) and a bucket that follows the descending order of
+    ids; ids that fill a bucket on their own, null among them, get ``PARTS`` more,
+    in the order of h."""
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
+    total, cuts = docs.agg(F.count(F.lit(1)), F.percentile_approx("doc_id", [k / buckets for k in range(1, buckets)], 100 * buckets)).first()
+    cuts = sorted(set(cuts or []))
+    # ids with over a share of all rows: as many as there are buckets at most
+    hot = [r.doc_id for r in docs.groupBy("doc_id").count().where(F.col("count") > max(1, total // buckets)).collect()]
+    bounds, hot_ids = np.array(cuts, dtype=np.int64), np.array(sorted(x for x in hot if x is not None), dtype=np.int64)
+    null_hot = None in hot
+
+    @F.pandas_udf("long")
+    def bucket(doc_id: pd.Series, h: pd.Series) -> pd.Series:
+        null = doc_id.isna().to_numpy()
+        ids = doc_id.fillna(0).to_numpy().astype(np.int64)
+        at = len(bounds) - np.searchsorted(bounds, ids, side="left")
+        # a hot id lies between the buckets of its neighbours
+        below = len(hot_ids) - np.searchsorted(hot_ids, ids, side="left")
+        above = len(hot_ids) - np.searchsorted(hot_ids, ids, side="right")
+        part = (h.to_numpy().astype(np.int64) >> 32) + (1 << 31)
+        part = 1 + part * PARTS // (1 << 32)
+        inside = np.where(below > above, part, 0)
+        out = (at + below + above) * (PARTS + 2) + inside
+        last = (len(bounds) + 2 * len(hot_ids) + 1) * (PARTS + 2)
+        return pd.Series(np.where(null, last + (part if null_hot else 0), out))
+
+    return rows.withColumn("bucket", bucket("doc_id", "h"))
+
+
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
     """Digest form: each document with its edited text and its next document.
 
-    One range exchange puts neighbours into one task.  Each task's last document
-    meets the first of the next task in a second, small step (two texts a task).
+    One exchange puts a bucket of neighbours into one task.  The first document of
+    the bucket after it, whose text is found beforehand, comes along as the last
+    row, so each bucket is worked alone.
     """
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = [F.col("doc_id").desc_nulls_last(), F.col("text").asc_nulls_first()]
+    rows = bucketed(docs, BUCKETS * n)
+    # the first of a bucket: the greatest id, then the least hash, then the least text
+    lead = rows.groupBy("bucket").agg(F.max("doc_id").alias("_id")).select(F.col("bucket").alias("_bucket"), "_id")
+    firsts = rows.join(F.broadcast(lead), (F.col("bucket") == F.col("_bucket")) & F.col("doc_id").eqNullSafe(F.col("_id")))  # a row a bucket
+    least = firsts.groupBy("bucket").agg(F.min("h").alias("_h")).select(F.col("bucket").alias("_b"), "_h")
+    heads = firsts.join(F.broadcast(least), (F.col("bucket") == F.col("_b")) & (F.col("h") == F.col("_h"))).groupBy("bucket").agg(F.min("text").alias("text"))
+    turn = lead.select(F.col("_bucket").alias("bucket"), F.coalesce(F.lag("_bucket").over(Window.orderBy("_bucket")), F.max("_bucket").over(Window.partitionBy())).alias("before"))
+    heads = heads.join(F.broadcast(turn), "bucket").select(F.col("before").alias("bucket"), F.lit(None).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("h"), "text", F.lit(1).alias("kind"))
+    dealt = rows.select("bucket", "doc_id", "h", "text", F.lit(0).alias("kind")).union(heads).repartition(n, "bucket")
+    dealt = dealt.sortWithinPartitions("bucket", "kind", F.col("doc_id").desc_nulls_last(), "h", F.col("text").asc_nulls_first())
 
     def run(batches):
-        part, held, out = TaskContext.get().partitionId(), None, []
+        held, out = None, []
         for b in batches:
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for doc_id, text, kind in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 text = text or ""
                 fp = fingerprint(text)
-                if held is None:
-                    out.append((doc_id, *[None] * 2, fp, *[None] * 3, 1, part, text))
-                else:
-                    out.append((*_row(*held, text, fp), 0, part, None))
-                held = (doc_id, text, fp)
+                if held is not None:
+                    out.append(_row(*held, text, fp))
+                held = None if kind else (doc_id, text, fp)
                 if len(out) >= 500:
                     yield _to_batch(out)
                     out = []
-        if held is not None:
-            out.append((held[0], *[None] * 2, held[2], *[None] * 3, 2, part, held[1]))
+        if out:
             yield _to_batch(out)
 
-    placed = docs.select("doc_id", "text").repartitionByRange(n, order[0]).sortWithinPartitions(*order)
-    rows = materialize(placed.mapInArrow(run, _SCHEMA), "merkle")
-    inner = rows.where("kind = 0").select(*_NAMES[:7])
-    heads, tails = rows.where("kind = 1"), rows.where("kind = 2")
-    everything = Window.partitionBy()
-    turn = heads.select("part").withColumn("next_part", F.coalesce(F.lead("part").over(Window.orderBy("part")), F.min("part").over(everything)))
-    seam = tails.select("doc_id", "text", "fingerprint", "part").join(turn, "part")
-    heads = heads.select(F.col("part").alias("next_part"), F.col("text").alias("next_text"), F.col("fingerprint").alias("next_fp"))
-    seam = seam.join(heads, "next_part").select("doc_id", "text", "fingerprint", "next_text", "next_fp")
-
-    def close(batches):
-        for b in batches:
-            rows = [(*_row(*x), 0, 0, None)[:7] for x in zip(*(c.to_pylist() for c in b.columns), strict=True)]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows, strict=True), _ARROW, strict=False)], names=_NAMES[:7])
-
-    return inner.union(seam.mapInArrow(close, DIGEST))
+    return dealt.select("doc_id", "text", "kind").mapInArrow(run, DIGEST)
