@@ -1,10 +1,15 @@
 """Exact top-k inner-product search over quantised vectors.
 
-Queries come in tiles of a bounded number, which are broadcast (the bound is
-``TILE_QUERIES`` vectors); the vectors are scanned once a group of tiles.  Each
-task multiplies a tile with blocks of its vectors and keeps the best ``k`` so far
-a query, so a task's state is ``k`` rows a query.  The tasks' lists are merged
-as a tree: by groups of partitions, then fewer groups, then a query's whole.
+Queries are dealt into blocks and vectors into shards; a cell of the grid is one
+block against one shard, and an exchange brings both to it, the queries first.  A
+task holds a cell's queries and the best ``k`` so far of each, and streams the
+vectors past them as tiles: matrix products with a partial selection.  The cells'
+lists of a query are merged as a tree: by groups of shards, then fewer groups.
+
+The grid follows from both counts.  Queries are sent once a shard and vectors once
+a block, so blocks and shards grow with the square roots of the counts, which keeps
+both flows far below the product; a block is bounded by what a task can hold.
+Nothing is broadcast or collected.
 
 Scores are exact integers: products run in float64 where every partial sum
 stays below 2**53, in int64 below 2**63, else in Python integers, of which what
@@ -26,7 +31,6 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -34,16 +38,18 @@ from pyspark.sql.window import Window
 from .common import materialize
 
 SCALE = 1024
-TILE_QUERIES = 4096
+#: Queries of a block and vectors of a shard: at least, and by square root.
+QUERIES_LEAST, QUERIES_MOST, SHARD_LEAST, GROWTH = 4096, 65_536, 8192, 16
+#: Scores of one tile.
 BLOCK_SCORES = 2_000_000
 FAN_IN = 32
-PARTIAL = "query_id long, vec_id long, score long, part int"
+PARTIAL = "query_id long, vec_id long, score long, part long"
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    e = F.transform("embedding", lambda x: x.cast("double"))
-    bad = F.exists(e, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return vectors.where(F.col("embedding").isNotNull() & (F.size("embedding") > 0) & F.col("vec_id").isNotNull()).where(~bad).select("vec_id", e.alias("v"))
+    bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    rows = vectors.where(F.col("embedding").isNotNull() & (F.size("embedding") > 0) & F.col("vec_id").isNotNull())
+    return rows.where(~bad).select("vec_id", F.col("embedding").alias("v"))
 
 
 def quantise(rows: list) -> np.ndarray:
@@ -67,53 +73,48 @@ def products(q: np.ndarray, v: np.ndarray) -> np.ndarray:
 
 
 def best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k best of each row by (score desc, id asc); ids ascend along columns."""
+    """The k best of each row by (score desc, id asc), in any order; ids ascend."""
     n = scores.shape[1]
-    if n > k:
-        cut = np.partition(scores, n - k, axis=1)[:, n - k]
-        out_s, out_i = np.empty((len(scores), k), np.int64), np.empty((len(scores), k), np.int64)
-        for r in range(len(scores)):
-            at = np.flatnonzero(scores[r] >= cut[r])
-            at = at[np.argsort(-scores[r, at], kind="stable")[:k]]
-            out_s[r], out_i[r] = scores[r, at], ids[at] if ids.ndim == 1 else ids[r, at]
-        return out_s, out_i
-    return scores, np.broadcast_to(ids, scores.shape)
-
-
-def _search_tile(vectors: DataFrame, tile: list, k: int) -> DataFrame:
-    """Partial lists of one tile: up to k rows a query and task."""
-    by_dim: dict[int, list] = {}
-    for r in tile:
-        by_dim.setdefault(len(r.v), []).append(r)
-    packed = {d: (np.array([r.vec_id for r in rs], dtype=np.int64), quantise([r.v for r in rs])) for d, rs in by_dim.items()}
-    shared = vectors.sparkSession.sparkContext.broadcast(packed)
-
-    def run(batches):
-        tops: dict[int, list] = {}
-        for b in batches:
-            ids, rows = b.column(0).to_numpy(zero_copy_only=False), b.column(1)
-            lengths = np.diff(rows.offsets.to_numpy())
-            flat = rows.flatten().to_numpy(zero_copy_only=False)
-            starts = np.concatenate([[0], np.cumsum(lengths)])
-            for d, (qid, q) in shared.value.items():
-                here = np.flatnonzero(lengths == d)
-                here = here[np.argsort(ids[here], kind="stable")]
-                step = max(k, BLOCK_SCORES // len(qid))
-                for at in range(0, len(here), step):
-                    some = here[at : at + step]
-                    v = quantise(flat[starts[some][:, None] + np.arange(d)[None, :]])
-                    got = products(q, v)
-                    own = qid[:, None] == ids[some][None, :]
-                    keep = k + int(own.sum(1).max(initial=0))
-                    s, i = best(got, ids[some], keep)
-                    tops[d] = _merge(tops.get(d), qid, s, i, k)
-        part = TaskContext.get().partitionId()
-        for d, (s, i, valid) in tops.items():
-            qid = shared.value[d][0]
+    if n <= k:
+        return scores, np.broadcast_to(ids, scores.shape)
+    if np.abs(scores).max(initial=0) < (1 << 62) // n:  # one key of score and column
+        key = scores * n + np.arange(n - 1, -1, -1)
+        at = np.argpartition(key, n - k, axis=1)[:, n - k :]
+    else:
+        at = np.stack([np.lexsort((ids, ~r))[:k] for r in scores])
+    return np.take_along_axis(scores, at, axis=1), ids[at]
+
+
+class Cell:
+    """One block's queries, and their best so far."""
+
+    def __init__(self, number: int, k: int):
+        self.number, self.k, self.asked, self.ready, self.tops = number, k, {}, None, {}
+
+    def ask(self, ids: np.ndarray, matrix: np.ndarray) -> None:
+        self.asked.setdefault(matrix.shape[1], []).append((ids, matrix))
+
+    def meet(self, ids: np.ndarray, matrix: np.ndarray) -> None:
+        if self.ready is None:
+            self.ready = {d: (np.concatenate([x for x, _ in parts]), quantise(np.concatenate([m for _, m in parts]))) for d, parts in self.asked.items()}
+        d = matrix.shape[1]
+        if d not in self.ready:
+            return
+        qid, q = self.ready[d]
+        order = np.argsort(ids, kind="stable")
+        ids, v = ids[order], quantise(matrix[order])
+        step = max(self.k, BLOCK_SCORES // len(qid))
+        for at in range(0, len(ids), step):
+            some = ids[at : at + step]
+            own = qid[:, None] == some[None, :]
+            s, i = best(products(q, v[at : at + step]), some, self.k + int(own.sum(1).max(initial=0)))
+            self.tops[d] = _merge(self.tops.get(d), qid, s, i, self.k)
+
+    def lists(self, cols: int):
+        for d, (s, i, valid) in self.tops.items():
             r, c = np.nonzero(valid)
-            yield pa.RecordBatch.from_arrays([pa.array(qid[r]), pa.array(i[r, c]), pa.array(s[r, c]), pa.array(np.full(len(r), part, np.int32))], names=["query_id", "vec_id", "score", "part"])
-
-    return vectors.mapInArrow(run, PARTIAL)
+            part = np.full(len(r), self.number // cols, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(self.ready[d][0][r]), pa.array(i[r, c]), pa.array(s[r, c]), pa.array(part)], names=["query_id", "vec_id", "score", "part"])
 
 
 def _merge(so_far, qid: np.ndarray, s: np.ndarray, i: np.ndarray, k: int):
@@ -129,24 +130,48 @@ def _descending(s: np.ndarray) -> np.ndarray:
     return ~s  # order-reversing over all of int64
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, tile_queries: int = TILE_QUERIES) -> DataFrame:
+def _search(k: int, cols: int):
+    def run(batches):
+        cell = None
+        for b in batches:
+            numbers, kinds, ids = (b.column(c).to_numpy(zero_copy_only=False) for c in ("cell", "kind", "vec_id"))
+            rows = b.column("v")
+            starts = rows.offsets.to_numpy()
+            flat, lengths = rows.values.to_numpy(zero_copy_only=False), np.diff(starts)
+            change = np.flatnonzero((np.diff(numbers) != 0) | (np.diff(kinds) != 0) | (np.diff(lengths) != 0)) + 1
+            for at, end in zip([0, *change], [*change, len(ids)], strict=True):
+                if at == end:
+                    continue
+                if cell is None or numbers[at] != cell.number:
+                    if cell:
+                        yield from cell.lists(cols)
+                    cell = Cell(int(numbers[at]), k)
+                matrix = flat[starts[at] : starts[end]].reshape(end - at, lengths[at])
+                (cell.meet if kinds[at] else cell.ask)(ids[at:end], matrix)
+        if cell:
+            yield from cell.lists(cols)
+
+    return run
+
+
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, block_queries: int | None = None, shard_rows: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, score for every row of ``queries`` (vec_id, embedding)."""
     rows = usable(vectors)
     asked = materialize(usable(queries).distinct(), "topk-queries")
-    n = asked.count()
-    tiles = max(1, -(-n // tile_queries))
-    asked = asked.withColumn("tile", F.pmod(F.xxhash64("vec_id", "v"), F.lit(tiles)))
-    partial = None
-    for t in range(tiles):
-        tile = asked.where(F.col("tile") == t).select("vec_id", "v").collect()  # about tile_queries rows
-        if tile:
-            found = _search_tile(rows, tile, k)
-            partial = found if partial is None else partial.union(found)
-    if partial is None:
-        return asked.select(F.col("vec_id").alias("query_id"), F.lit(0).alias("rank"), "vec_id", F.lit(0).cast("long").alias("score")).limit(0)
+    n, m = asked.count(), rows.count()
+    block = block_queries or min(QUERIES_MOST, max(QUERIES_LEAST, int(GROWTH * n**0.5)))
+    shard = shard_rows or max(SHARD_LEAST, int(GROWTH * m**0.5))
+    cols, shards = max(1, -(-n // block)), max(1, -(-m // shard))
+    column = lambda many: F.explode(F.sequence(F.lit(0), F.lit(many - 1)))
+    q = asked.select("vec_id", "v", F.pmod(F.xxhash64("vec_id", "v"), F.lit(cols)).alias("col"), column(shards).alias("shard"), F.lit(0).alias("kind"))
+    # rows are dealt in turn, so copies of one vector spread over the shards
+    v = rows.withColumn("shard", F.pmod(F.monotonically_increasing_id(), F.lit(shards))).select("vec_id", "v", column(cols).alias("col"), "shard", F.lit(1).alias("kind"))
+    cells = q.unionByName(v).select((F.col("shard") * cols + F.col("col")).cast("long").alias("cell"), "kind", "vec_id", "v")
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    dealt = cells.repartition(parts, "cell").sortWithinPartitions("cell", "kind", F.size("v"))
     order = [F.col("score").desc(), F.col("vec_id").asc()]
-    partial = materialize(partial, "topk-partial")
-    groups = (partial.agg(F.max("part")).first()[0] or 0) + 1
+    partial = materialize(dealt.mapInArrow(_search(k, cols), PARTIAL), "topk-partial")
+    groups = shards
     while groups > FAN_IN:
         groups = -(-groups // FAN_IN)
         partial = partial.withColumn("part", F.pmod("part", F.lit(groups)))

@@ -41,7 +41,7 @@ def test_against_brute_force(spark, monkeypatch):
     df = spark.createDataFrame([(i, v, 1) for i, v in rows], SCHEMA).repartition(7)
     want = brute(rows, lambda q: q % 100 == 0)
     assert got(search_embeddings(df)) == want
-    assert got(top_k(df, df.where("vec_id % 100 = 0"), tile_queries=2)) == want
+    assert got(top_k(df, df.where("vec_id % 100 = 0"), block_queries=2, shard_rows=50)) == want
 
 
 def test_large_values_stay_exact(spark):
