@@ -12,15 +12,19 @@ which lowers nodes whose characters are mostly links.  A node's density sum is
 the sum over its children; the node with the greatest sum is the root of the
 article, and the least density on its path up to the body is the threshold that
 its parts, and nodes beside it, have to reach.  Below the root, only parts made
-mostly of links fall out, so short paragraphs, headings and lists stay.
+mostly of links fall out, and none inside an article or main element, so loose text,
+short paragraphs, headings and lists of sources stay.  A role doesn't cut what
+holds nearly all of the page's plain text.
 
 Character references are decoded; white space within a block becomes one space,
 blocks are trimmed and joined in page order by one space.
 
 Defined results
 * null and empty html, and pages without text: an empty text.
-* plain text without markup: itself.  Unclosed tags close at the next block or
-  at the end.  Repeated rows: a row each.  Very long pages: whole, linear.
+* plain text without markup: itself.  Unclosed elements close at the next block or
+  at the end; a tag that is never closed swallows the rest.  Repeated rows: a row
+  each.  Very long pages: whole, in time linear in their length, also where tags,
+  quotes and comments stay open.
 * deep nesting is read with an explicit stack; nothing recurses.
 * empty table: no rows.  Other columns take no part.
 """
@@ -29,20 +33,23 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from html import unescape
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-_TAG = re.compile(r"<!--(?:.*?-->|.*\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>", re.S)
+_START = re.compile(r"<(?:(/?)([a-zA-Z][^\s/>]*)|!--|[!?])")
+_QUOTED = re.compile(r"=\s*([\"'])")
 _ROLE = re.compile(r"(?i)(?:\b(?:class|id|role)\s*=\s*)(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
 _HIDDEN = re.compile(r"(?i)(?:^|\s)(?:hidden(?=[\s=/]|\Z)|aria-hidden\s*=\s*[\"']?true|style\s*=\s*(?:\"[^\"]*|'[^']*|\S*)(?<![\w-])(?:display\s*:\s*none|visibility\s*:\s*hidden))")
 _VALUES = re.compile(r"(?i)(?<=[\s\"'])(?!style\b|aria-hidden\b)([\w:-]+)\s*=\s*(?:\"[^\"]*\"|'[^']*')")
 
 # fixed values: element names
-RAW = frozenset("script style textarea title noscript iframe template svg math object noembed noframes xmp".split())
+RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-NEVER = RAW | frozenset("head nav footer aside form button select option input dialog menu canvas audio video map".split())
+NEVER = RAW | frozenset("head nav footer aside form button select option input dialog menu canvas audio video map noscript template svg math object".split())
+WRAPPERS = frozenset("form aside dialog menu".split())  # of these, some wrap a page
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul br".split())
 P_CLOSERS = BLOCK - {"br"}
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -53,64 +60,131 @@ NOISE_WORDS = frozenset(
     " footer masthead cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social"
     " comment comments commentlist disqus respond replies reply related recommended toolbar widget pagination pager skip-link complementary contentinfo search paywall disclaimer".split()
 )
+TALK = frozenset("comment comments commentlist disqus respond replies reply".split())
 STATES = frozenset("has no with without not is hide show".split())
 _WORD = re.compile(r"[a-z]+(?:-[a-z]+)?|[a-z]+")
 
 
 class Node:
-    __slots__ = ("name", "parent", "items", "cut", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("name", "parent", "items", "cut", "chars", "tags", "link_chars", "link_tags", "density", "total", "talk", "inside")
 
     def __init__(self, name: str, parent: Node | None, cut: bool):
-        self.name, self.parent, self.cut = name, parent, cut
+        self.name, self.parent, self.cut, self.talk = name, parent, cut, False
+        self.inside = name in ("article", "main") or parent is not None and parent.inside
         self.items: list[str | Node] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
 
-def noisy(name: str, attributes: str) -> bool:
+def noisy(name: str, attributes: str) -> tuple[bool, bool]:
+    """Whether an element can't be article text by its name or role, and whether
+    its role is reader comments."""
     if name in NEVER:
-        return True
+        return True, False
     if not attributes or name in ("body", "html", "article", "main"):
-        return False
+        return False, False
     for m in _ROLE.finditer(attributes):
         for token in (m.group(1) or m.group(2) or m.group(3) or "").lower().replace("_", "-").split():
             if token.split("-")[0] in STATES:  # has-sidebar says what is near
                 continue
-            if token in NOISE_WORDS or any(w in NOISE_WORDS for part in token.split("-") for w in _WORD.findall(part)):
-                return True
-    return bool(_HIDDEN.search(_VALUES.sub(r"\1=", attributes)))
+            words = {token} | {w for part in token.split("-") for w in _WORD.findall(part)}
+            if not words.isdisjoint(NOISE_WORDS):
+                return True, not words.isdisjoint(TALK)
+    return bool(_HIDDEN.search(_VALUES.sub(r"\1=", attributes))), False
+
+
+class Scanner:
+    """Finds tags; every character is looked at a bounded number of times."""
+
+    def __init__(self, html: str):
+        self.html, self.last = html, html.rfind(">")
+        self.unclosed = {'"': len(html), "'": len(html)}  # from there on no such quote follows
+
+    def end_of(self, at: int) -> int:
+        """Place of the ">" that ends the tag whose name ends at ``at``; one follows.
+
+        A quoted value may hold others; a quote that never closes isn't one.
+        """
+        html, first = self.html, self.html.find(">", at)
+        end = first
+        while True:
+            m = _QUOTED.search(html, at, end)
+            if m is None:
+                return end
+            quote = m.group(1)
+            if m.start() >= self.unclosed[quote]:
+                return first
+            close = html.find(quote, m.end())
+            if close < 0:
+                self.unclosed[quote] = m.start()
+                return first
+            at = close + 1
+            if at > end:
+                if at > self.last:
+                    return first
+                end = html.find(">", at)
+
+
+class Open:
+    """The open elements: the innermost, and how many there are of each name."""
+
+    def __init__(self, root: Node):
+        self.top, self.names = root, Counter()
+
+    def push(self, node: Node) -> None:
+        self.top = node
+        self.names[node.name] += 1
+
+    def leave(self, node: Node) -> None:
+        """Close ``node`` and all inside it."""
+        while self.top is not node.parent:
+            self.names[self.top.name] -= 1
+            self.top = self.top.parent
 
 
 def parse(html: str) -> tuple[Node, list[Node]]:
     """(root, all nodes in document order)."""
     root = Node("html", None, False)
-    at, top, nodes, size = 0, root, [root], len(html)
-    low = None
-    while at < size:
-        m = _TAG.search(html, at)
-        if m is None:
-            top.items.append(html[at:])
+    open_, nodes, at, size = Open(root), [root], 0, len(html)
+    scanner, low, text = Scanner(html), None, 0  # text: where the text begins that isn't kept yet
+    while True:
+        at = html.find("<", at)
+        m = _START.match(html, at) if at >= 0 else None
+        if m is None and at >= 0:
+            at += 1  # a "<" of the text
+            continue
+        if at < 0 or at > text:
+            open_.top.items.append(html[text : at if at >= 0 else size])
+        if at < 0 or at > scanner.last:
             break
-        if m.start() > at:
-            top.items.append(html[at : m.start()])
-        at = m.end()
-        name = m.group(2) or m.group(5)
+        name = m.group(2)
         if not name:
+            if m.group() == "<!--":
+                stop = html.find("-->", at + 4)
+                if stop < 0:
+                    break
+                at = text = stop + 3
+            else:
+                at = text = html.find(">", at) + 1
             continue
-        name = name.lower()
-        if m.group(1) or m.group(4):
-            top = _close(top, name)
+        end = scanner.end_of(m.end())
+        attributes, name = html[m.end() : end], name.lower()
+        at = text = end + 1
+        if m.group(1):
+            _close(open_, name)
             continue
-        attributes = m.group(3) or m.group(6) or ""
-        top = _imply(top, name)
+        _imply(open_, name)
+        top = open_.top
         if name in ("html", "body") and (top is root or name == "html"):
             if name == "body":
                 node = Node("body", top, False)
                 top.items.append(node)
                 nodes.append(node)
-                top = node
+                open_.push(node)
             continue
-        node = Node(name, top, noisy(name, attributes) or name == "header" and _page_header(top))
+        node = Node(name, top, False)
+        node.cut, node.talk = noisy(name, attributes)
+        node.cut = node.cut or name == "header" and _page_header(top)
         top.items.append(node)
         nodes.append(node)
         if name in RAW:
@@ -119,12 +193,17 @@ def parse(html: str) -> tuple[Node, list[Node]]:
                 if len(low) != size:  # a letter that changes length
                     low = "".join(c if len(c.lower()) != 1 else c.lower() for c in html)
             stop = low.find(f"</{name}", at)
-            if stop < 0:
+            if stop < 0 and name == "title":
+                stop = html.find("<", at) - 1  # a title is one line of text
+                at = text = stop + 1 if stop >= 0 else size
+            elif stop < 0:
+                break
+            else:
+                at = text = html.find(">", stop) + 1
+            if not text:
                 break
-            end = html.find(">", stop)
-            at = size if end < 0 else end + 1
         elif name not in VOID and not attributes.endswith("/"):
-            top = node
+            open_.push(node)
     return root, nodes
 
 
@@ -137,35 +216,37 @@ def _page_header(top: Node) -> bool:
     return True
 
 
-def _close(top: Node, name: str) -> Node:
-    node = top
+def _close(open_: Open, name: str) -> None:
+    if not open_.names[name]:
+        return
+    node = open_.top
     while node.parent is not None:
         if node.name == name:
-            return node.parent
+            open_.leave(node)
+            return
         if name not in BLOCK and node.name in SCOPES:
-            return top  # a stray inline end tag doesn't leave its block
+            return  # a stray inline end tag doesn't leave its block
         node = node.parent
-    return top
 
 
-def _imply(top: Node, name: str) -> Node:
+def _imply(open_: Open, name: str) -> None:
     """End tags that the start of ``name`` implies."""
-    if name in P_CLOSERS:
-        node = top
+    if name in P_CLOSERS and open_.names["p"]:
+        node = open_.top
         while node.parent is not None and node.name not in SCOPES:
             if node.name == "p":
-                top = node.parent
+                open_.leave(node)
                 break
             node = node.parent
-    if name in CLOSES:
-        node = top
+    if name in CLOSES and any(open_.names[x] for x in CLOSES[name]):
+        node = open_.top
         while node.parent is not None and (node.name not in SCOPES or node.name in CLOSES[name]):
+            inside = node.parent
             if node.name in CLOSES[name]:
-                top = node.parent
-                if name not in ("tr",) or node.name == "tr":
+                open_.leave(node)
+                if name != "tr" or node.name == "tr":
                     break
-            node = node.parent
-    return top
+            node = inside
 
 
 def _weigh(nodes: list[Node]) -> None:
@@ -181,41 +262,37 @@ def _weigh(nodes: list[Node]) -> None:
                 node.tags += x.tags + 1
                 node.link_chars += x.link_chars
                 node.link_tags += x.link_tags + (x.name == "a")
-                node.total += x.density
         if node.name in ("a", "button"):
             node.link_chars = node.chars
     body = next((n for n in nodes if n.name == "body"), nodes[0])
     share = body.link_chars / max(1, body.chars)
     for node in nodes:
-        node.density = 0.0
         if not node.cut and node.chars:
             plain, links = max(1, node.chars - node.link_chars), max(1, node.link_chars)
             base = math.log(node.chars / plain * node.link_chars + share * node.chars + math.e)
             inner = node.chars / links * max(1, node.tags) / max(1, node.link_tags)
             node.density = node.chars / max(1, node.tags) * math.log(max(inner, 1.0)) / base
-    for node in nodes:
-        node.total = 0.0
     for node in nodes:
         if node.parent is not None and not node.cut:
             node.parent.total += node.density
-    return None
 
 
 def _spare(nodes: list[Node]) -> None:
-    """A wrapper of paragraphs that holds most of the page's plain text isn't cut for its role."""
+    """What holds nearly all of the page's plain text isn't cut for its role.
+
+    Reader comments are, wherever something else is marked as the article.
+    """
     plain: dict[Node, int] = {}
-    wraps = set()
+    wraps, marked = set(), {}
     for node in reversed(nodes):
         if node.name in ("p", "article", "main") or node in wraps:
             wraps.add(node.parent)
-    for node in reversed(nodes):
-        if node.name in NEVER or node.name == "a":
-            plain[node] = 0
-            continue
-        plain[node] = sum(len(x) * (not x.isspace()) if isinstance(x, str) else plain[x] for x in node.items)
+        never = node.name in NEVER and node.name not in WRAPPERS or node.name == "a"
+        plain[node] = 0 if never else sum(len(x) * (not x.isspace()) if isinstance(x, str) else plain[x] for x in node.items)
+        marked[node] = (node.name in ("article", "main", "h1")) + sum(marked[x] for x in node.items if not isinstance(x, str))
     for node in nodes:
-        if node.cut and node in wraps and node.name not in NEVER and 2 * plain[node] > plain[nodes[0]]:
-            node.cut = False
+        if node.cut and node in wraps and (node.name not in NEVER or node.name in WRAPPERS) and 5 * plain[node] > 4 * plain[nodes[0]]:
+            node.cut = node.talk and marked[node] < marked[nodes[0]]
 
 
 def _cut_below(nodes: list[Node]) -> None:
@@ -264,26 +341,34 @@ def extract(html: str | None) -> str:
     out: list[str] = []
     if chosen.name in INLINE or chosen is root:
         chosen = body if body.chars else root
-    tops = [chosen]
+    tops: list[str | Node] = [chosen]
     if chosen is not body and chosen is not root and chosen.parent is not None:
-        # parts of the same parent that are as dense as the path belong to the article
-        tops = [x for x in chosen.parent.items if isinstance(x, Node) and not x.cut and (x is chosen or x.chars and x.density >= threshold and 2 * x.link_chars < x.chars)]
+        # loose text, text blocks and what is as dense as the path, in the same parent
+        named = chosen.name in ("article", "main")
+        tops = [x for x in chosen.parent.items if x is chosen or (_beside(x, threshold, named) if isinstance(x, Node) else not named)]
     for t in tops:
         _write(t, out)
     return " ".join("".join(out).split())
 
 
-def _write(top: Node, out: list[str]) -> None:
+TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table figure".split())
+
+
+def _beside(x: Node, threshold: float, named: bool) -> bool:
+    return not x.cut and 2 * x.link_chars < x.chars and (x.density >= threshold or not named and x.name in TEXTUAL)
+
+
+def _write(top: str | Node, out: list[str]) -> None:
     stack: list = [top]
     while stack:
         x = stack.pop()
         if isinstance(x, str):
             out.append(unescape(x) if "&" in x else x)
             continue
-        if x.cut or (x.chars and x.link_chars > 0.6 * x.chars and x.name in BLOCK and x.link_tags > 2):
+        menu = x.name in BLOCK and not x.inside and x.link_tags > 2 and x.link_chars > 0.8 * x.chars
+        if x.cut or menu:
             continue
-        edge = x.name in BLOCK
-        if edge:
+        if x.name in BLOCK:
             out.append(" ")
             stack.append(" ")
         stack += x.items[::-1]
