@@ -1,6 +1,7 @@
 import random
 import zlib
 
+from quillgraph.llm import toxicity
 from quillgraph.llm.toxicity import Model, clauses, features, learn, score, score_documents
 
 SCHEMA = "doc_id long, text string, score double, toxic int"
@@ -22,16 +23,51 @@ def corpus(n=1500):
     return docs, labels
 
 
-def test_grammar_composes():
+def test_grammar_orders_clauses():
     m = Model(lexicon={"fool": 2.0}, beginnings={"verd": 3.0})
-    one = lambda t: clauses(m, t)[0]
-    assert one("fool") == [2.0] and one("verdant") == [3.0] and one("nothing here") == []
-    assert one("you fool")[0] > one("fool")[0] > one("not a fool")[0]
-    assert one("he said fool")[0] < one("he was fool")[0] and one("a fool. a fool") == [2.0, 2.0]
-    assert one("kill you") and not one("kill time") and one("i never kill you")[0] < one("kill you")[0]
+    one = lambda t: sum(clauses(m, t)[0])
+    assert clauses(m, "fool")[0] == [2.0] and clauses(m, "verdant")[0] == [3.0] and clauses(m, "nothing here")[0] == []
+    assert one("you fool") > one("fool") > one("he said a fool") > one("not a fool") > one("he said not a fool")
+    assert one("a fool, you") > one("a fool") and clauses(m, "a fool. a fool")[0] == [2.0, 2.0]
+    for yes, no in [("you are a fool", "you aren't a fool"), ("you are a fool", "you’re not a fool"), ("c'est un fool", "ce n'est pas un fool"), ("es un fool", "nunca es un fool"), ("ein fool", "kein fool")]:
+        assert one(yes) > one(no) > 0, yes
+    for threat in ["i kill you", "je vais te tuer", "ich werde dich töten", "te voy a matar", "killing them"]:
+        assert one(threat) == 4.0, threat
+    assert one("i never kill you") < one("he said i kill you") < one("i kill you") and not one("kill time") and not one("you and me")
     assert features(m, None) == features(m, "") == features(m, " \n") == (0.0, 0.0, 0.0)
 
 
+def brute_clause(machines, symbols):
+    """All machines side by side, without composing them."""
+    states, total = [0] * len(machines), 0.0
+    for symbol, weight in symbols:
+        gain = bonus = 1.0
+        bonus = 0.0
+        for k, m in enumerate(machines):
+            states[k], g, b = m.arcs[states[k]][symbol]
+            gain, bonus = gain * g, bonus + b
+        total += gain * (weight + bonus)
+    return total
+
+
+def test_composition_equals_its_parts():
+    r = random.Random(1)
+    machines = [build() for build in toxicity.MACHINES]
+    words = {toxicity.OTHER: "word", toxicity.INSULT: "fool", toxicity.THREAT: "kill", toxicity.TARGET: "him", toxicity.OBJECT: "te", toxicity.NEGATION: "not", toxicity.REPORT: "said"}
+    m = Model(lexicon={"fool": 2.0})
+    for _ in range(500):
+        symbols = [r.choice([0, 0, 0, *words]) for _ in range(r.randrange(1, 30))]
+        want = brute_clause(machines, [(s, 2.0 * (s == toxicity.INSULT)) for s in symbols])
+        assert abs(sum(clauses(m, " ".join(words[s] for s in symbols))[0]) - want) < 1e-9
+
+
+def test_score_rises_with_clauses(spark):
+    docs, labels = corpus()
+    model = learn(spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert all(c >= 0 for c in model.coefficients[1:]) and any(model.coefficients[1:])
+    assert score(model, "he said no idiot here") <= score(model, "he is an idiot here") <= score(model, "you are an idiot here")
+
+
 def test_learns_and_holds_out(spark):
     docs, labels = corpus()
     d, lab = spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(labels, "doc_id long, toxic int")
