@@ -14,9 +14,10 @@ the source range it came from:
    in any form, and bare "dot" between four groups of digits does, too.
 
 Detection on the rewritten text finds disguised identifiers, and their spans are
-mapped back.  A span is added only if it covers a rewritten place and overlaps
-no base span, so texts without disguises keep exactly their base spans, and base
-spans always stay.
+mapped back.  A span is added only if it covers a rewritten place and isn't inside
+a base span, so texts without disguises keep exactly their base spans, and base
+spans always stay.  It may extend a base span, where a disguise hides only a part;
+redaction covers the union.
 
 Matching is linear in the text: digit runs are matched possessively and emails
 only around their "@".
@@ -115,9 +116,10 @@ _MARK = {
 _BARE_AT = re.compile(r"(?i) (?:%s) " % "|".join(_AT))
 _BARE_DOT = re.compile(r"(?i) (?:%s) " % "|".join(_DOT))
 # either mark may be there already; where all are, there is nothing to rewrite
-_BARE = re.compile(
-    r"(?i)(?<![\w@.%%+-])((?:[a-z0-9._%%+-]{1,64}+ (?:%s) ){0,2}+[a-z0-9._%%+-]{1,64}+)(?: (?:%s) |@)([a-z0-9-]{1,63}+(?:(?: (?:%s) |\.)[a-z0-9-]{2,63}+){1,4}+)(?![\w@])" % ("|".join(_DOT), "|".join(_AT), "|".join(_DOT))
-)
+_ANY_AT = re.compile(r"(?i) (?:%s) |@" % "|".join(_AT))
+_DOT_MARK = re.compile(r"(?i) (?:%s) |\." % "|".join(_DOT))
+_LABEL = re.compile(r"[A-Za-z0-9-]++")
+_LEFT_DOTS = tuple(f" {w} " for w in _DOT)
 _BARE_IP = re.compile(r"(?i)(?<![\w.])[0-9]{1,3}+(?:(?: (?:%s) |\.)[0-9]{1,3}+){3}(?!\w)" % "|".join(_DOT))
 _PLAIN_DOMAIN = re.compile(r"(?i) (?:%s) [a-z0-9-]++\.[a-z0-9]" % "|".join(_AT))
 _TOP = re.compile(r"[a-z]{2,24}|[A-Z]{2,24}")
@@ -215,16 +217,56 @@ def deobfuscate(text: str) -> Tape | None:
     for sign, pattern in _MARK.items():
         tape.replace([(m.start(), m.end(), sign) for m in pattern.finditer(tape.chars) if _between(tape.chars, m)])
     tape.replace([(x.start(), x.end(), ".") for m in _BARE_IP.finditer(tape.chars) for x in _BARE_DOT.finditer(tape.chars, m.start(), m.end())])
-    edits = []
-    for m in _BARE.finditer(tape.chars):
-        at = _BARE_AT.search(tape.chars, m.end(1), m.start(2))
-        dots = [*_BARE_DOT.finditer(tape.chars, m.start(1), m.end(1)), *_BARE_DOT.finditer(tape.chars, m.start(2), m.end())]
-        if not at and not dots or at and not dots and not _TOP.fullmatch(m.group(2).rpartition(".")[2]):
+    tape.replace(_bare_marks(tape.chars))
+    return tape
+
+
+def _bare_marks(text: str) -> list[tuple[int, int, str]]:
+    """Bare "at" and "dot" of addresses, found from each "at" to both sides.
+
+    What lies left of one "at" ends at the one before, so the time is linear.
+    """
+    edits: list[tuple[int, int, str]] = []
+    done = 0
+    for at in _ANY_AT.finditer(text):
+        if at.start() < done:
+            continue
+        marks = [] if at.group() == "@" else [(at.start(), at.end(), "@")]
+        start = _local_start(text, at.start(), done)
+        if start == at.start():
+            continue
+        while True:  # first dot last dot ... at
+            word = next((w for w in _LEFT_DOTS if start - len(w) > done and text[start - len(w) : start].lower() == w), None)
+            before = _local_start(text, start - len(word), done) if word else start
+            if not word or before == start - len(word):
+                break
+            marks.append((start - len(word), start, "."))
+            start = before
+        label = _LABEL.match(text, at.end())
+        end, labels, last = label.end() if label else 0, 0, None
+        while label:
+            dot = _DOT_MARK.match(text, end)
+            label = _LABEL.match(text, dot.end()) if dot else None
+            if label:
+                if dot.group() != ".":
+                    marks.append((dot.start(), dot.end(), "."))
+                end, labels, last = label.end(), labels + 1, label.group()
+        bare_dots = sum(out == "." for _, _, out in marks)
+        if not labels or not marks or (start > 0 and (text[start - 1].isalnum() or text[start - 1] in "@_")) or (end < len(text) and (text[end].isalnum() or text[end] in "@_")):
+            continue
+        if at.group() != "@" and not bare_dots and not _TOP.fullmatch(last):
             continue  # "at noon.Then" is the end of a sentence, not a domain
-        marks = [(x.start(), x.end(), ".") for x in dots] + ([(at.start(), at.end(), "@")] if at else [])
+        if len(last) < 2:
+            continue
         edits += sorted(marks)
-    tape.replace(edits)
-    return tape
+        done = end
+    return edits
+
+
+def _local_start(text: str, end: int, least: int) -> int:
+    while end > least and text[end - 1] in _LOCAL:
+        end -= 1
+    return end
 
 
 def _spelled(text: str) -> bool:
@@ -241,13 +283,18 @@ def added_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str,
     tape = deobfuscate(text)
     if tape is None:
         return []
-    out = []
+    out, ends = [], dict.fromkeys(KINDS, 0)
+    nearest, covered = 0, 0  # base spans that begin before, and their greatest end
     for kind, a, b in base_spans(tape.chars):
         if not any(tape.new[a:b]):
             continue
         start, end = tape.start[a], tape.end[b - 1]
-        if all(end <= s or e <= start for _, s, e in base) and all(end <= s or e <= start for k, s, e in out if k == kind):
+        while nearest < len(base) and base[nearest][1] <= start:
+            covered = max(covered, base[nearest][2])
+            nearest += 1
+        if end > covered and start >= ends[kind]:
             out.append((kind, start, end))
+            ends[kind] = end
     return out
 
 
