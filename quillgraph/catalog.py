@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from .plans import function_queries, graph_queries, table_queries, text_queries
+from .plans import function_queries, graph_queries, read_queries, table_queries, text_queries
 
-QUERIES = text_queries.Q | function_queries.Q | graph_queries.Q | table_queries.Q
-SQL = text_queries.SQL | function_queries.SQL | graph_queries.SQL | table_queries.SQL
+QUERIES = text_queries.Q | function_queries.Q | graph_queries.Q | table_queries.Q | read_queries.Q
+SQL = text_queries.SQL | function_queries.SQL | graph_queries.SQL | table_queries.SQL | read_queries.SQL
 flagship = text_queries.flagship

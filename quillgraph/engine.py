@@ -35,6 +35,7 @@ class Models:
     answerer: object = field(default_factory=models.FirstLineModel)
     translator: object | None = None
     reranker: object | None = None
+    judge: object | None = None  # says "same" or "different" of two entities
 
 
 class Engine:
@@ -76,12 +77,23 @@ class Engine:
             "chunk_vectors": upsert(self.store.read("chunk_vectors", old), vectors, ["chunk_id"]),
             "chunk_postings": self.store.read("chunk_postings", old).join(chunks.select("chunk_id"), "chunk_id", "left_anti").unionByName(postings),
             "files": upsert(self.store.read("files", old), registered.unionByName(rejected), ["path"]),
+            "stages": tables.set_stage(self.store.read("stages", old), self._stage_rows(docs.select("doc_id"), ["parse", "chunk", "embed"], "done")),
         })
         self._extract(chunks)
         if build_wiki:
             self.build_wiki()
         return plan.select("path", "doc_id", "action")
 
+    @staticmethod
+    def _stage_rows(docs: DataFrame, stages: list[str], status: str, error: str | None = None) -> DataFrame:
+        rows = docs.distinct().select("doc_id", F.explode(F.array(*(F.lit(x) for x in stages))).alias("stage"))
+        return rows.select("doc_id", "stage", F.lit(status).alias("status"), F.lit(error).cast("string").alias("error"), F.current_timestamp().alias("updated_at"))
+
+    def _near(self, vectors: DataFrame, asked: DataFrame) -> DataFrame:
+        """(new_id, candidate_id, score): entities whose vector is near."""
+        hits = search.dense(vectors, asked.select(F.col("entity_id").alias("query_id"), "dense"), build.CANDIDATES + 1, "entity_id", threshold=build.ASK_FROM)
+        return hits.select(F.col("query_id").alias("new_id"), F.col("entity_id").alias("candidate_id"), "score").where("new_id <> candidate_id")
+
     def _extract(self, chunks: DataFrame) -> None:
         """Cached or new extractions of the chunks, merged into the graph."""
         version = f"{build.PROMPT_VERSION}:{text.fingerprint(ENTITY_TYPES)[:12]}"
@@ -89,7 +101,7 @@ class Engine:
         known = build.cached_extraction(chunks, self.read("extraction_cache"), version, name, any_version=False)
         ask = models.complete_column(self.use.extractor)
         asked = analytics.cut(chunks.join(known.where("result_json IS NULL").select("chunk_id"), "chunk_id", "left_semi").select("chunk_id", "doc_id", ask("context_text").alias("r")).select("chunk_id", "doc_id", "r.reply", "r.error"))
-        broken = build.failed_documents(asked).where("over").select("doc_id")
+        broken = analytics.cut(build.failed_documents(asked).where("over").select("doc_id"))
         rows = asked.where("error IS NULL").join(broken, "doc_id", "left_anti")
         cache = rows.select("chunk_id", F.lit(version).alias("prompt_version"), F.lit(name).alias("model"), F.col("reply").alias("result_json"), F.lit(time.time_ns()).alias("seq"))
         replies = known.where("result_json IS NOT NULL").select("chunk_id", F.col("result_json").alias("reply")).unionByName(rows.select("chunk_id", "reply"))
@@ -99,15 +111,23 @@ class Engine:
         new = build.new_entities(cleaned)
         old = self.store.manifest()
         have = self.store.read("entities", old)
+        new = analytics.cut(new)
+        told = analytics.cut(new.select("entity_id", self.embed(F.concat_ws(": ", "name", "description")).alias("dense")))
+        near = self._near(self.store.read("entity_vectors", old), told).unionByName(self._near(told, told))
+        judge = models.complete_column(self.use.judge) if self.use.judge is not None else None
+        same = build.resolve(new, have, near, judge, analytics.cut)
+        new = analytics.cut(build.resolved_entities(new, same))
         merged = build.merge_entities(have, new).select("entity_id", "name", "type", "aliases", "descriptions", "description")
         fresh = new.join(have.select("entity_id"), "entity_id", "left_anti").select("entity_id", "name", "type", "aliases", "descriptions", "description").unionByName(merged)
         fresh = fresh.withColumn("name_keys", text.entity_name_keys(F.concat(F.array("name"), "aliases")))
         entities = analytics.cut(build.upsert_entities(have, fresh))
         ident = cleaned.select("chunk_id", "norm", text.entity_id(F.col("type"), F.col("norm")).alias("entity_id"))
+        ident = ident.join(same.select(F.col("new_id").alias("entity_id"), F.col("entity_id").alias("_to")), "entity_id", "left")
+        ident = analytics.cut(ident.select("chunk_id", "norm", F.coalesce("_to", "entity_id").alias("entity_id")))
         mentions = upsert(self.store.read("mentions", old), ident.select("chunk_id", "entity_id").distinct(), ["chunk_id", "entity_id"])
         end = lambda c, out: ident.select("chunk_id", F.col("norm").alias(c), F.col("entity_id").alias(out))
         facts = relations.join(end("src", "src_id"), ["chunk_id", "src"]).join(end("dst", "dst_id"), ["chunk_id", "dst"])
-        facts = facts.select("src_id", "predicate", "dst_id", "chunk_id", "strength", "description", F.col("pos").cast("long").alias("seq"))
+        facts = facts.where("src_id <> dst_id").select("src_id", "predicate", "dst_id", "chunk_id", "strength", "description", F.col("pos").cast("long").alias("seq"))
         evidence = build.add_evidence(self.store.read("relation_evidence", old), facts, self.store.read("chunks", old), entities)
         mentions = analytics.cut(mentions)
         self.store.commit({
@@ -116,6 +136,7 @@ class Engine:
             "mentions": mentions, "relation_evidence": evidence,
             "extraction_cache": upsert(self.store.read("extraction_cache", old), cache, ["chunk_id", "prompt_version", "model"]),
             "dirty_entities": upsert(self.store.read("dirty_entities", old), ident.select("entity_id").distinct(), ["entity_id"]),
+            "stages": tables.set_stage(self.store.read("stages", old), self._stage_rows(chunks.select("doc_id").join(broken, "doc_id", "left_anti"), ["extract", "graph"], "done").unionByName(self._stage_rows(broken, ["extract"], "failed", "too many chunks failed"))),
         })
 
     # --- removal --------------------------------------------------------
@@ -234,17 +255,13 @@ class Engine:
         entities = read("entities")
         todo = entities.select("entity_id").join(read("entity_vectors"), "entity_id")
         nearest = search.for_entity(read("chunk_vectors"), read("mentions"), todo, wiki.EVIDENCE)
-        out = wiki.build(entities, self.relations(), read("wiki_pages"), read("dirty_entities"), nearest, read("wiki_cites"), read("mentions"), models.complete_column(self.use.writer), read("chunks"), rebuild_all=rebuild_all)
-        pages, dropped, failed = (analytics.cut(out[n]) for n in ("pages", "dropped", "failed"))
-        cites = analytics.cut(out["cites"])
+        out = wiki.build(entities, self.relations(), read("wiki_pages"), read("dirty_entities"), nearest, read("wiki_cites"), read("mentions"), models.complete_column(self.use.writer), read("chunks"), rebuild_all=rebuild_all, cut=analytics.cut)
+        pages, dropped, failed, cites, links = (analytics.cut(out[n]) for n in ("pages", "dropped", "failed", "cites", "links"))
         gone = pages.select("page_id").union(dropped.select("page_id"))
         body = wiki.parse_page(F.col("content"))[1]
         sections = wiki.split_sections(pages.select("page_id", "title", body.alias("body"), "path"))
         sections = sections.join(pages.select("page_id", "path"), "page_id").withColumn("entity_id", F.col("page_id"))
         live = upsert(read("wiki_pages").join(dropped, "page_id", "left_anti"), pages, ["page_id"])
-        r = self.relations().select(F.col("src_id").alias("page_id"), F.col("dst_id").alias("target_id"))
-        links = r.union(r.select(F.col("target_id"), F.col("page_id"))).distinct().where("page_id <> target_id")
-        links = links.join(pages.select("page_id"), "page_id", "left_semi").join(live.select(F.col("page_id").alias("target_id")), "target_id", "left_semi")
         without = lambda n: read(n).join(gone, "page_id", "left_anti")
         linkers = graph.pages_linking_to(read("wiki_links"), dropped).select(F.col("page_id").alias("entity_id"))
         self.store.commit({
@@ -277,6 +294,9 @@ class Engine:
         one = lambda n, *c: tables.corpus_fingerprint(self.read(n), *c).select(F.lit(n).alias("table"), "fingerprint", "rows")
         return one("files", "path", "doc_id", "status").unionByName(one("dirty_entities", "entity_id")).unionByName(one("wiki_pages", "page_id", "content_hash"))
 
+    def failed_paths(self) -> DataFrame:
+        return tables.failed_paths(self.read("files"), self.read("stages"))
+
     def document(self, doc_id: str) -> DataFrame:
         """A document's stages; what was never run is pending."""
         docs = self.spark.createDataFrame([(doc_id,)], "doc_id string")

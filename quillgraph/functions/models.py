@@ -113,8 +113,11 @@ def embed_column(model: Embedder) -> object:
     return run
 
 
-def score_column(model: Reranker, max_chars: int = 4000):
-    """A column function (query, document) -> double; absent documents score 0."""
+def score_column(model: Reranker, max_chars: int | None = None):
+    """A column function (query, document) -> double; absent documents score 0.
+
+    Whole documents, unless the model itself can only take ``max_chars``.
+    """
 
     @pandas_udf("double")
     def run(queries: pd.Series, documents: pd.Series) -> pd.Series:
@@ -153,16 +156,26 @@ def signature_mismatch(stored: str | None, current: str) -> str | None:
 
 
 def structured(df: DataFrame, prompt: Column, model: TextModel, schema: str, repairs: int = 2) -> DataFrame:
-    """Replies parsed by ``schema``; rows that don't parse are asked again."""
+    """Replies parsed by ``schema``; only rows that don't parse are asked again.
+
+    A Python function runs on all rows of its plan whatever ``when`` says, so each
+    round filters first: parsed rows leave before the next question.
+    """
     from .text import clean_json
 
-    ask = complete_column(model)
-    out = df.withColumn("_reply", ask(prompt)).withColumn("parsed", F.from_json(clean_json(F.col("_reply.reply")), schema, {"mode": "PERMISSIVE"}))
-    for _ in range(repairs):
-        again = ask(F.concat(prompt, F.lit("\n\nReply with JSON only. Last reply:\n"), F.coalesce("_reply.reply", F.lit(""))))
-        out = out.withColumn("_reply", F.when(F.col("parsed").isNull(), again).otherwise(F.col("_reply")))
-        out = out.withColumn("parsed", F.coalesce("parsed", F.from_json(clean_json(F.col("_reply.reply")), schema)))
-    return out.withColumn("error", F.when(F.col("parsed").isNull(), F.coalesce("_reply.error", F.lit("not valid JSON")))).drop("_reply")
+    ask, names = complete_column(model), df.columns
+    parse = lambda d: d.withColumn("parsed", F.from_json(clean_json(F.col("_reply.reply")), schema, {"mode": "PERMISSIVE"}))
+    rows = parse(df.withColumn("_prompt", prompt).withColumn("_reply", ask(F.col("_prompt"))))
+    done = None
+    for k in range(repairs + 1):
+        good = rows.where("parsed IS NOT NULL")
+        done = good if done is None else done.unionByName(good)
+        rows = rows.where("parsed IS NULL")
+        if k < repairs:
+            again = F.concat("_prompt", F.lit("\n\nReply with JSON only. Last reply:\n"), F.coalesce("_reply.reply", F.lit("")))
+            rows = parse(rows.withColumn("_reply", ask(again)))
+    out = done.unionByName(rows)
+    return out.withColumn("error", F.when(F.col("parsed").isNull(), F.coalesce("_reply.error", F.lit("not valid JSON")))).select(*names, "parsed", "error")
 
 
 class ThinkFilter:

@@ -111,6 +111,56 @@ def match(found: DataFrame, verdicts: DataFrame) -> DataFrame:
     return found.join(v, ["new_id", "candidate_id"], "left").where(ok).groupBy("new_id").agg(F.min_by("candidate_id", "pos").alias("entity_id"))
 
 
+def resolve(new: DataFrame, known: DataFrame, by_vector: DataFrame, judge=None, cut=lambda df: df) -> DataFrame:
+    """(new_id, entity_id): which new entities are known, or other new, ones.
+
+    ``new`` and ``known``: entity_id, name, type, description, name_keys;
+    ``by_vector``: (new_id, candidate_id, score).  An id that is known is itself.
+    Else the first candidate (by name key, then by vector) that scores
+    ``AUTO_MERGE`` or that ``judge``, a column function prompt -> struct<reply,
+    error>, calls the same.  Among new entities only earlier ids are candidates, so
+    there are no circles; chains are followed to their end.
+    """
+    columns = ["entity_id", "name", "type", "description", "name_keys"]
+    fresh = new.select(*columns).join(known.select("entity_id"), "entity_id", "left_anti")
+    every = known.select(*columns, F.lit(True).alias("_known")).unionByName(fresh.withColumn("_known", F.lit(False)))
+    earlier = F.col("_known") | (F.col("candidate_id") < F.col("new_id"))
+    marks = every.select(F.col("entity_id").alias("candidate_id"), "_known")
+    keys = key_candidates(fresh, every, 4 * CANDIDATES).join(marks, "candidate_id").where(earlier)
+    order = Window.partitionBy("new_id").orderBy(F.desc("_known"), "pos")
+    keys = keys.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= CANDIDATES).select("new_id", "candidate_id", "pos")
+    near = by_vector.join(fresh.select(F.col("entity_id").alias("new_id")), "new_id", "left_semi").join(marks, "candidate_id").where(earlier).select("new_id", "candidate_id", "score")
+    found = cut(candidates(keys, near))
+    if judge is None:
+        verdicts = found.where("false").select("new_id", "candidate_id", F.lit(False).alias("same"))
+    else:
+        about = lambda side: every.select(F.col("entity_id").alias(f"{side}_id"), F.concat_ws(" | ", "name", "type", "description").alias(f"_{side}"))
+        asked = found.where(F.coalesce("score", F.lit(0.0)) < AUTO_MERGE).join(about("new"), "new_id").join(about("candidate"), "candidate_id")
+        reply = judge(F.concat(F.lit("Same entity? Answer same or different.\n"), "_new", F.lit("\n"), "_candidate"))
+        verdicts = cut(asked.select("new_id", "candidate_id", reply.alias("_v")).select("new_id", "candidate_id", F.coalesce(F.lower(F.trim("_v.reply")).startswith("same"), F.lit(False)).alias("same")))
+    step = cut(match(found, verdicts))
+    while True:  # an earlier new entity may itself be another
+        onward = step.select(F.col("new_id").alias("entity_id"), F.col("entity_id").alias("_next"))
+        moved = step.join(onward, "entity_id", "left")
+        if moved.where("_next IS NOT NULL").isEmpty():
+            return step
+        step = cut(moved.select("new_id", F.coalesce("_next", "entity_id").alias("entity_id")))
+
+
+def resolved_entities(new: DataFrame, resolved: DataFrame) -> DataFrame:
+    """``new`` under their resolved ids; those of one id are one row, which knows
+    the others' names as aliases."""
+    j = new.join(resolved.select(F.col("new_id").alias("entity_id"), F.col("entity_id").alias("_to")), "entity_id", "left").withColumn("_to", F.coalesce("_to", "entity_id"))
+    first = F.struct(F.col("entity_id") != F.col("_to"), "entity_id")
+    g = j.groupBy(F.col("_to").alias("entity_id")).agg(
+        F.min_by("name", first).alias("name"), F.min_by("type", first).alias("type"),
+        F.array_distinct(F.flatten(F.collect_list(F.array_append("aliases", F.col("name"))))).alias("_aliases"),
+        F.array_sort(F.collect_list(F.struct(first.alias("at"), "descriptions"))).alias("_d"),
+    )
+    descriptions = F.array_distinct(F.flatten(F.transform("_d", lambda x: x["descriptions"])))
+    return g.select("entity_id", "name", "type", F.array_sort(F.array_except("_aliases", F.array("name"))).alias("aliases"), descriptions.alias("descriptions"), F.array_join(descriptions, " ").alias("description"))
+
+
 def same_key_groups(rows: DataFrame, kind: str, name: str, ident: str) -> DataFrame:
     """Resolution of a batch by type and name key: each row's first row of the group."""
     key = name_key(normalize_ascii(F.col(name)))

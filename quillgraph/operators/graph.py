@@ -62,8 +62,14 @@ def chunks_mentioning(mentions: DataFrame, chunks: DataFrame, entity_id: str, ch
     return chunks.join(F.broadcast(wanted), "chunk_id").join(have, "chunk_id", "left_semi").orderBy("pos")
 
 
-def chunk_entity_ids(chunks: DataFrame, mentions: DataFrame, doc_id: str) -> DataFrame:
-    own = chunks.where(F.col("doc_id") == doc_id).select("chunk_id", "idx")
+def chunks_mentioning_all(mentions: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Of all asked (entity_id, pos, chunk_id), those that still hold, by place."""
+    return wanted.join(mentions, ["entity_id", "chunk_id"], "left_semi").orderBy("entity_id", "pos", "chunk_id")
+
+
+def chunk_entity_ids(chunks: DataFrame, mentions: DataFrame, doc_id: str | None = None) -> DataFrame:
+    """Entities of each chunk of one document, or of all."""
+    own = (chunks if doc_id is None else chunks.where(F.col("doc_id") == doc_id)).select("chunk_id", "idx")
     found = own.join(mentions, "chunk_id", "left").groupBy("chunk_id", "idx")
     return found.agg(F.array_sort(F.collect_set("entity_id")).alias("entity_ids")).orderBy("idx")
 
@@ -72,6 +78,11 @@ def pages_citing_document(cites: DataFrame, chunks: DataFrame, doc_id: str) -> D
     return cites.join(chunks.where(F.col("doc_id") == doc_id).select("chunk_id"), "chunk_id", "left_semi").select("page_id").distinct().orderBy("page_id")
 
 
+def pages_citing(cites: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(doc_id, page_id): the same of every document."""
+    return cites.join(chunks.select("chunk_id", "doc_id"), "chunk_id").select("doc_id", "page_id").distinct()
+
+
 def document_chunks(documents: DataFrame, chunks: DataFrame) -> DataFrame:
     """Chunks in order with the context text rebuilt from headings and text."""
     joined = chunks.drop("path").join(documents.select("doc_id", "path", "title"), "doc_id")
@@ -345,7 +356,7 @@ def fulltext(entities: DataFrame, queries: DataFrame, *, prefix: bool = False, k
         hits = asked.join(df, F.col("asked") == F.col("term"))
     n = entities.agg(F.count(F.lit(1)).alias("n"))
     hits = hits.select("query_id", "term", "df").distinct().join(F.broadcast(n))
-    score = F.sum(F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    score = F.round(F.sum(F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))), 9)
     out = hits.join(terms, "term").groupBy("query_id", "entity_id", "name").agg(score.alias("score"), F.count_distinct("term").alias("matched"))
     if k is not None:
         order = Window.partitionBy("query_id").orderBy(F.desc("matched"), F.desc("score"), "entity_id")

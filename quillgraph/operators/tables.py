@@ -53,6 +53,12 @@ def latest_extraction(cache: DataFrame) -> DataFrame:
     return cache.groupBy("chunk_id").agg(F.max_by(F.struct("prompt_version", "model", "result_json"), "seq").alias("e"), F.max("seq").alias("seq")).select("chunk_id", "e.*", "seq")
 
 
+def failed_paths(files: DataFrame, stages: DataFrame) -> DataFrame:
+    """Files that failed themselves or whose document has a failed stage."""
+    bad = stages.where("status = 'failed'").select("doc_id").distinct().withColumn("_bad", F.lit(True))
+    return files.join(bad, "doc_id", "left").where(F.coalesce("_bad", F.lit(False)) | (F.col("status") == "failed")).drop("_bad").orderBy("path")
+
+
 def clear_document(stages: DataFrame, cache: DataFrame, doc_id: str) -> tuple[DataFrame, DataFrame]:
     return stages.where(F.col("doc_id") != doc_id), cache.where(~F.startswith("chunk_id", F.lit(f"{doc_id}:")))
 

@@ -6,8 +6,11 @@ place, makes all of them current at once.  Readers hold a manifest's versions: a
 snapshot.  Every base write raises the revision and clears the current analysis
 run; analysis results are published only if the revision hasn't moved.
 
-Large tables can be kept in buckets of their key: a keyed change then rewrites
-the touched buckets alone.
+Tables of ``BUCKETED`` are kept in buckets of a hash of their key, a directory each;
+the manifest names the current directory of every bucket.  A keyed change rewrites
+the buckets that its keys fall into and leaves the rest where they are.  A table's
+number of buckets grows with its rows (``ROWS_PER_BUCKET``) whenever it is written
+whole.
 """
 
 from __future__ import annotations
@@ -22,6 +25,14 @@ from pyspark.sql.window import Window
 from .schema import KEYS, TABLES
 
 
+#: Tables that grow with the corpus, by the columns whose hash gives the bucket.
+BUCKETED: dict[str, list[str]] = {
+    "chunks": ["chunk_id"], "chunk_vectors": ["chunk_id"], "chunk_postings": ["chunk_id"], "mentions": ["chunk_id"], "relation_evidence": ["chunk_id"],
+    "documents": ["doc_id"], "entities": ["entity_id"], "entity_vectors": ["entity_id"], "extraction_cache": ["chunk_id"], "files": ["path"], "stages": ["doc_id"], "llm_usage": ["id"], "messages": ["conversation_id"],
+}
+ROWS_PER_BUCKET, MOST_BUCKETS = 2_000_000, 4096
+
+
 class Conflict(RuntimeError):
     """The manifest moved between reading and committing."""
 
@@ -64,10 +75,13 @@ class TableStore:
     # reads
 
     def read(self, name: str, manifest: dict | None = None) -> DataFrame:
-        path = (manifest or self.manifest())["tables"].get(name)
-        if path is None:
+        place = (manifest or self.manifest())["tables"].get(name)
+        if place is None:
+            return self.spark.createDataFrame([], TABLES[name])
+        paths = [place] if isinstance(place, str) else sorted({p for p in place["buckets"] if p})
+        if not paths:
             return self.spark.createDataFrame([], TABLES[name])
-        return self.spark.read.schema(TABLES[name]).parquet(f"{self.root}/{path}")
+        return self.spark.read.schema(TABLES[name]).parquet(*(f"{self.root}/{p}" for p in paths))
 
     def exists(self, name: str) -> bool:
         return name in self.manifest()["tables"]
@@ -84,16 +98,72 @@ class TableStore:
             raise Conflict(f"revision is {old['revision']}, expected {expected}")
         tables = dict(old["tables"])
         for name, df in changes.items():
-            path = f"{name}/v={old['number'] + 1:012d}-{uuid.uuid4().hex[:8]}"
-            df.select([F.col(f.name).cast(f.dataType) for f in self.spark.createDataFrame([], TABLES[name]).schema]).write.parquet(f"{self.root}/{path}")
-            tables[name] = path
+            tables[name] = self._write(name, df, old["number"] + 1)
         return self._publish(old, {"revision": old["revision"] + base, "run_id": None if base else (run_id or old["run_id"]), "tables": tables})
 
+    def _typed(self, name: str, df: DataFrame) -> DataFrame:
+        return df.select([F.col(f.name).cast(f.dataType) for f in self.spark.createDataFrame([], TABLES[name]).schema])
+
+    def _write(self, name: str, df: DataFrame, number: int, buckets: int | None = None, only: list[int] | None = None) -> str | dict:
+        """Write ``df``; a bucketed table as {"buckets": [directory or None, ...]}."""
+        path = f"{name}/v={number:012d}-{uuid.uuid4().hex[:8]}"
+        rows = self._typed(name, df)
+        if name not in BUCKETED:
+            rows.write.parquet(f"{self.root}/{path}")
+            return path
+        if buckets is None:
+            plain = f"{self.root}/{path}/all"
+            rows.write.parquet(plain)
+            n = self.spark.read.schema(TABLES[name]).parquet(plain).count()
+            if n <= ROWS_PER_BUCKET:
+                return {"buckets": [f"{path}/all"]}
+            buckets = min(MOST_BUCKETS, -(-n // ROWS_PER_BUCKET))
+            rows = self.spark.read.schema(TABLES[name]).parquet(plain)
+        dealt = rows.withColumn("_bucket", bucket_of(name, buckets))
+        dealt.repartition(min(buckets, 4096), "_bucket").write.partitionBy("_bucket").parquet(f"{self.root}/{path}/in")
+        there = {int(s.getPath().getName().split("=")[1]) for s in self._fs.listStatus(self._path(f"{self.root}/{path}/in")) if "=" in s.getPath().getName()}
+        if only is None:
+            self._fs.delete(self._path(f"{self.root}/{path}/all"), True)
+        return {"buckets": [f"{path}/in/_bucket={k}" if k in there else None for k in range(buckets)]}
+
+    def merge(self, changes: dict[str, tuple[DataFrame, DataFrame]], *, base: bool = True) -> dict:
+        """Keyed changes of several tables, current together.
+
+        A table's change is (gone, rows): all rows that share ``gone``'s columns go,
+        then ``rows`` are added.  ``gone`` must hold the bucket columns of a bucketed
+        table, so only the buckets that it or ``rows`` fall into are rewritten.
+        """
+        old = self.manifest()
+        tables = dict(old["tables"])
+        for name, (gone, rows) in changes.items():
+            tables[name] = self._merged(name, tables.get(name), gone, rows, old["number"] + 1)
+        return self._publish(old, {"revision": old["revision"] + base, "run_id": None if base else old["run_id"], "tables": tables})
+
+    def _merged(self, name: str, place, gone: DataFrame, rows: DataFrame, number: int):
+        on, rows = gone.columns, self._typed(name, rows)
+        now = lambda paths: self.spark.read.schema(TABLES[name]).parquet(*(f"{self.root}/{p}" for p in paths))
+        if place is None:
+            return self._write(name, rows, number)
+        if isinstance(place, str) or len(place["buckets"]) == 1 or not set(BUCKETED[name]) <= set(on):
+            before = now([place] if isinstance(place, str) else [p for p in place["buckets"] if p])
+            return self._write(name, before.join(gone.distinct(), on, "left_anti").unionByName(rows), number)
+        buckets = list(place["buckets"])
+        n = len(buckets)
+        keys = BUCKETED[name]
+        hit = sorted(r[0] for r in gone.select(*keys).union(rows.select(*keys)).select(bucket_of(name, n).alias("b")).distinct().collect())  # n at most
+        touched = [buckets[k] for k in hit if buckets[k]]
+        kept = now(touched).join(gone.distinct(), on, "left_anti").unionByName(rows) if touched else rows
+        fresh = self._write(name, kept, number, n, hit)["buckets"]
+        for k in hit:
+            buckets[k] = fresh[k]
+        return {"buckets": buckets}
+
     def upserted(self, name: str, rows: DataFrame) -> DataFrame:
         return upsert(self.read(name), rows, KEYS[name])
 
     def upsert(self, name: str, rows: DataFrame) -> dict:
-        return self.commit({name: self.upserted(name, rows)})
+        fresh = last_of_each(rows, KEYS[name])
+        return self.merge({name: (fresh.select(*KEYS[name]), fresh)})
 
     def insert_absent(self, name: str, rows: DataFrame) -> dict:
         old = self.read(name)
@@ -120,13 +190,27 @@ class TableStore:
         return True
 
 
+def bucket_of(name: str, buckets: int):
+    return F.pmod(F.xxhash64(*BUCKETED[name]), F.lit(buckets)).cast("int")
+
+
+def last_of_each(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """One row a key: the last by ``seq`` if there is such a column, else the
+    greatest by its other columns, so that reruns agree."""
+    names = [c for c in rows.columns if c not in keys]
+    if not names:
+        return rows.distinct()
+    order = F.struct("seq", *[n for n in names if n != "seq"]) if "seq" in names else F.struct(*names)
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*names), order).alias("_r")).select(*keys, "_r.*")
+
+
 def upsert(old: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
     """Keyed merge: the last of ``rows`` for a key wins over ``old``.
 
     Only the keys of the old side are compared, so its other columns aren't
     shuffled twice: an anti-join and a union.
     """
-    fresh = rows.dropDuplicates(keys)
+    fresh = last_of_each(rows, keys)
     return old.join(fresh.select(*keys), keys, "left_anti").unionByName(fresh, allowMissingColumns=True)
 
 

@@ -46,7 +46,7 @@ def over_rate(acquisitions: DataFrame, per_minute: int) -> DataFrame:
     """Acquisitions that exceed ``per_minute`` in the half-open minute before."""
     from pyspark.sql.window import Window
 
-    w = Window.partitionBy("limiter").orderBy(F.unix_micros("ts")).rangeBetween(-59_999_999, 0)
+    w = Window.partitionBy("limiter").orderBy(F.unix_micros(F.col("ts").cast("timestamp"))).rangeBetween(-59_999_999, 0)
     return acquisitions.withColumn("in_window", F.count(F.lit(1)).over(w)).where(F.col("in_window") > per_minute)
 
 

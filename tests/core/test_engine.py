@@ -71,3 +71,64 @@ def test_chat_and_command_line(spark, tmp_path, capsys):
     assert groups == {"conversation"}
     chat.delete("u1", "c1")
     assert chat.conversations("u1").count() == 0
+
+
+def own_models():
+    """Local classes, which travel to the workers by value."""
+
+    class SameNames:
+        """A judge: the same if the first words agree, whatever the language."""
+
+        def complete(self, prompts):
+            known = {"внимание": "attention"}
+            first = lambda line: known.get(w := line.split(" | ")[0].split()[0].lower(), w)
+            return ["same" if len({first(x) for x in p.splitlines()[1:]}) == 1 else "different" for p in prompts]
+
+
+    class Writer:
+        def complete(self, prompts):
+            cite = lambda p: p.split("[", 1)[1].split("]", 1)[0]
+            return [f"# Title\nA summary.[^{cite(p)}] [^none] See [[Transformer|the net]] and [[Unknown]].\n## Sources\nmine" for p in prompts]
+
+    return SameNames(), Writer()
+
+
+def test_resolution_and_wiki_text(spark, tmp_path):
+    d = tmp_path / "docs"
+    d.mkdir()
+    (d / "en.md").write_text("# One\nAttention drives the transformer.\n## Two\nMore attention, and a transformer.\n")
+    (d / "ru.md").write_text("# Раз\nМеханизм внимания: внимание.\n")
+    vocabulary = {"attention": ("Attention", "Method", "Weights.", ["Внимание"]), "transformer": ("Transformer", "Method", "Net.", []), "внимание": ("Внимание", "Concept", "О весах.", [])}
+    e = Engine(spark, f"file://{tmp_path}/store", Models(extractor=KeywordExtractor(vocabulary), writer=own_models()[1], judge=own_models()[0]))
+    e.ingest([str(d)])
+    names = {r.name: r for r in e.read("entities").collect()}
+    assert len(names) == 2 and names.keys() <= {"Attention", "Внимание", "Transformer"}
+    one = next(r for n, r in names.items() if n != "Transformer")
+    assert one.mention_count == 3 and {"Attention", "Внимание"} == {one.name, *one.aliases}
+    stages = {(r.stage, r.status) for r in e.read("stages").collect()}
+    assert stages == {(x, "done") for x in ("parse", "chunk", "embed", "extract", "graph")} and e.failed_paths().count() == 0
+    assert e.build_wiki() == {"written": 2, "dropped": 0, "failed": 0}
+    pages = {r.title: r for r in e.read("wiki_pages").collect()}
+    content = pages[one.name].content
+    assert "[[transformer|the net]]" in content and "Unknown" in content and "[[Unknown" not in content and "[^none]" not in content and "mine" not in content
+    cites = e.read("wiki_cites").collect()
+    assert len(cites) == 2 and all(f"[^{c.chunk_id}]:" in {p.page_id: p for p in pages.values()}[c.page_id].content for c in cites)
+    assert {(r.page_id, r.target_id) for r in e.read("wiki_links").collect()} == {(one.entity_id, names["Transformer"].entity_id), (names["Transformer"].entity_id, one.entity_id)}
+
+
+def test_store_rewrites_touched_buckets(spark, tmp_path, monkeypatch):
+    from quillgraph import store as st
+
+    monkeypatch.setattr(st, "ROWS_PER_BUCKET", 10)
+    s = st.TableStore(spark, f"file://{tmp_path}/s")
+    rows = lambda ids, name: spark.createDataFrame([(f"e{i}", name) for i in ids], "entity_id string, dense string").select("entity_id", F.array(F.lit(1.0).cast("float")).alias("dense"))
+    s.commit({"entity_vectors": rows(range(100), "a")})
+    before = s.manifest()["tables"]["entity_vectors"]["buckets"]
+    assert len(before) == 10 and s.read("entity_vectors").count() == 100
+    s.upsert("entity_vectors", rows([3, 3, 200], "b"))
+    after = s.manifest()["tables"]["entity_vectors"]["buckets"]
+    assert s.read("entity_vectors").count() == 101 and 1 <= sum(a != b for a, b in zip(before, after, strict=True)) <= 2
+    s.merge({"entity_vectors": (rows([5], "x").select("entity_id"), rows([], "x"))})
+    assert s.read("entity_vectors").count() == 100 and s.read("entity_vectors").where("entity_id = 'e5'").isEmpty()
+    twice = spark.createDataFrame([("k", "old", 1), ("k", "new", 2)], "key string, value string, seq int")
+    assert st.last_of_each(twice, ["key"]).first().value == "new"

@@ -34,6 +34,26 @@ def test_jsonl(spark, tmp_path):
         files.write_csv(df.limit(0), str(tmp_path / "c"), require_rows=True)
 
 
+def test_jsonl_keeps_whole_last_lines(spark, tmp_path):
+    """A whole last line without a line end stays; a bad line inside is an error."""
+    p = tmp_path / "whole.jsonl"
+    p.write_text('{"id": "1"}\n{"id": "2"}')
+    assert sorted(r.id for r in files.read_jsonl(spark, str(p), files.QUESTION, recover_tail=True).collect()) == ["1", "2"]
+    p = tmp_path / "bad.jsonl"
+    p.write_text('{"id": "1"}\n{"id": \n{"id": "3"}\n')
+    with pytest.raises(Exception):
+        files.read_jsonl(spark, str(p), files.QUESTION, recover_tail=True).collect()
+
+
+def test_reading_follows_discovery(spark, tmp_path):
+    for name in ["a.MD", ".hidden/b.md", "sub/.x.md", "sub/c.md", "old/d.md"]:
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text("# T\ntext " + name)
+    (tmp_path / "big.txt").write_text("x" * 1000)
+    rows = {r.path.rsplit("/", 1)[1]: r for r in files.read_documents(spark, [str(tmp_path)], max_bytes=500, excluded=["old"]).collect()}
+    assert set(rows) == {"a.MD", "c.md", "big.txt"} and rows["big.txt"].text is None and rows["big.txt"].error and rows["a.MD"].title == "T"
+
+
 def test_uploads(spark):
     up = spark.createDataFrame([("d1", "n", "/p")], "doc_id string, name string, path string")
     new = spark.createDataFrame([("d1", "a", "/1"), ("d2", "b", "/2"), ("d2", "b", "/3"), ("d3", "c", "/4")], "doc_id string, name string, path string")
