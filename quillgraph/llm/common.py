@@ -83,17 +83,27 @@ def row_keyed(docs: DataFrame, name: str = "row") -> DataFrame:
         return materialize(docs, "rows").withColumn(name, place)
 
 
-def join_hot(rows: DataFrame, per_key: DataFrame, key: str, total: int) -> DataFrame:
-    """``rows`` joined with ``per_key``, one row a key with its row count ``n``.
-
-    Keys with over a thousandth of all ``total`` rows, of which there can't be
-    more than a thousand, are joined by broadcast, so that no task gets all rows
-    of a hot key; the others by shuffle.
-    """
-    hot = F.col("n") > F.lit(max(1, total // 1000))
-    few = F.broadcast(per_key.where(hot))
-    cold = rows.join(F.broadcast(per_key.where(hot).select(key)), key, "left_anti")
-    return cold.join(per_key.where(~hot), key).unionByName(rows.join(few, key))
+#: Rows of one key up to which a task may have them all.
+HOT_ROWS = 10_000
+
+
+def hot_keys(rows: DataFrame, key: str, total: int) -> list:
+    """Keys with over ``HOT_ROWS`` and over a thousandth of all ``total`` rows: a
+    thousand of them at most."""
+    if total <= HOT_ROWS:
+        return []
+    counted = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max(HOT_ROWS, total // 1000))
+    return [r[0] for r in counted.select(key).collect()]
+
+
+def join_apart(rows: DataFrame, per_key: DataFrame, key: str, hot: list) -> DataFrame:
+    """``rows`` joined with ``per_key``, a row a key; ``hot`` keys by broadcast, so
+    that no task gets all rows of one, the others by shuffle."""
+    if not hot:
+        return rows.join(per_key, key)
+    apart = F.col(key).isin(hot)
+    cold = rows.where(~apart).join(per_key.where(~apart), key)
+    return cold.unionByName(rows.where(apart).join(F.broadcast(per_key.where(apart)), key))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

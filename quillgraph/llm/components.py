@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, join_hot, materialize
+from .common import discard, hot_keys, join_apart, materialize
 
 ONE_TASK = 500_000
 RESULT = "node long, component long"
@@ -70,11 +70,12 @@ def star_rounds(edges: DataFrame) -> DataFrame:
     while True:
         # large star: every larger neighbour of u links to u's least neighbour
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n"))
-        large = join_hot(both.where("v > u"), least, "u", 2 * mark[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        hubs = hot_keys(both, "u", 2 * mark[0])
+        large = join_apart(both.where("v > u"), least, "u", hubs).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # small star: u and its smaller neighbours link to the least of them
-        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
-        small = join_hot(large, least, "u", 2 * mark[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = join_apart(large, least, "u", hubs).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         before, edges = edges, materialize(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "cc-round")
         discard(before)
         now = _mark(edges)

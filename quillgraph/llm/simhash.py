@@ -46,7 +46,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, give_back, join_hot, materialize
+from .common import HOT_ROWS, discard, give_back, hot_keys, join_apart, materialize
 from .components import components
 
 TAU = 3
@@ -231,7 +231,8 @@ def find_links(fps: DataFrame, tau: int = TAU, dense_bucket: int = DENSE_BUCKET)
 
     index = materialize(fps.select("fp").mapInArrow(index_rows, "key long, part int, fp long"), "gph-index")
     counts = materialize(index.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "gph-counts")
-    own = join_hot(index, counts, "key", n * m).groupBy("fp").agg(*(F.max(F.when(F.col("part") == i, F.col("n"))).alias(f"n{i}") for i in range(m)))
+    hot = [r.key for r in counts.where(F.col("n") > max(HOT_ROWS, n * m // 1000)).collect()]  # a thousand at most
+    own = join_apart(index, counts, "key", hot).groupBy("fp").agg(*(F.max(F.when(F.col("part") == i, F.col("n"))).alias(f"n{i}") for i in range(m)))
 
     def probe_rows(batches):
         for b in batches:
@@ -254,7 +255,9 @@ def find_links(fps: DataFrame, tau: int = TAU, dense_bucket: int = DENSE_BUCKET)
                         yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(xs[at : at + step], len(flips)).view(np.int64))], names=["key", "fp"])
 
     probes = own.mapInArrow(probe_rows, "key long, fp long")
-    live = materialize(probes.join(counts, "key"), "gph-probes")
+    # the planner takes what mapInArrow returns for as small as what it reads, so
+    # joins of many words or probes say that they merge
+    live = materialize(probes.hint("merge").join(counts, "key"), "gph-probes")
     there = index.select("key", F.col("fp").alias("other"))
     distance = F.bit_count(F.col("fp").bitwiseXOR(F.col("other")))
     cold = live.where(F.col("n") <= dense_bucket).select(F.col("key").alias("k"), "fp")
@@ -300,10 +303,10 @@ def dense_links(members: DataFrame, links: DataFrame, tau: int) -> tuple[DataFra
     placed = members.join(label.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     placed = materialize(placed, "gph-placed")
     sizes = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
-    largest = sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.sum("n").alias("n"))
+    largest = sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("largest"))
     # a dense bucket may hold most of the fingerprints
-    apart = join_hot(placed, largest, "key", placed.count()).where("component <> largest").select("fp").distinct()
-    second = apart.mapInArrow(words_at(2, True), "word long, fp long").join(anchors, "word").where("fp <> anchor")
+    apart = join_apart(placed, largest, "key", hot_keys(placed, "key", placed.count())).where("component <> largest").select("fp").distinct()
+    second = apart.mapInArrow(words_at(2, True), "word long, fp long").hint("merge").join(anchors, "word").where("fp <> anchor")
     second = materialize(second.select(F.col("fp").alias("a"), F.col("anchor").alias("b")).distinct(), "gph-second")
     discard(near, anchors, label, placed)
     return first, second
@@ -325,11 +328,13 @@ def grouped(rows: DataFrame, tau: int = TAU, dense_bucket: int = DENSE_BUCKET, m
     node = reps.join(label, reps.fp == label.node, "left").select("fp", "rep", "n", F.coalesce("component", "fp").alias("root"))
     node = materialize(node, "simhash-roots")
     # one component may hold most fingerprints: partial sums, then a join with hot ones apart
-    least = node.groupBy("root").agg(F.min("rep").alias("component_id"), F.count(F.lit(1)).alias("n"))
-    named = join_hot(node.withColumnRenamed("n", "rows"), least, "root", node.count())
-    named = materialize(named.select("fp", "component_id", *(["root"] if root else []), F.col("rows").alias("n")), "simhash-named")
+    least = node.groupBy("root").agg(F.min("rep").alias("component_id"))
+    named = join_apart(node, least, "root", hot_keys(node, "root", node.count()))
+    named = materialize(named.select("fp", "component_id", "n", *(["root"] if root else [])), "simhash-named")
     discard(reps, links, label, node)
-    return join_hot(rows, named, "fp", rows.count()).drop("n")
+    total = rows.count()
+    hot = [r.fp for r in named.where(F.col("n") > max(HOT_ROWS, total // 1000)).collect()]  # a thousand at most
+    return join_apart(rows, named.drop("n"), "fp", hot)
 
 
 def dedup_documents(docs: DataFrame) -> DataFrame:
