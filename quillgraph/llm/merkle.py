@@ -16,16 +16,15 @@ leaves form sections in the same way, three bits coarser, and sections the root.
 
 A fingerprint is text::
 
-    m3 : root (32 hex) : level : leaf leaf leaf ... : section section ...
+    m4 : root (32 hex) : level : leaf leaf leaf ... : section section ...
 
-with eleven base-64 characters a leaf: 30 bits of hash, 30 bits of length, and
-6 bits for how coarse its closing border is; and five a section, the first 30 bits
-of its digest.  A leaf's digest (128 bits) is of its text, a section's of its
+with the leaves in base 64, nine bytes each: four of hash, four of length, one for
+how coarse the closing border is; and the first four bytes of each section's digest.  A leaf's digest (128 bits) is of its text, a section's of its
 leaves' digests in order, and the root's of the sections'.  Equal roots mean equal
 texts.  A leaf's stored hash is a polynomial in its passages' hashes, which keeps
 their order and lets neighbouring leaves join without the text.
 Texts of up to 512 characters, where passages are too few to compare, add a list of
-their words (30 bits of hash, 12 of length), by which two such texts are compared.
+their words (four bytes of hash, two of length), by which two such texts are compared.
 ``changed_sections`` aligns the sections in order and descends into those that
 differ only.
 
@@ -45,6 +44,7 @@ Defined results
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 from collections import Counter
@@ -71,23 +71,20 @@ RUN = 256
 SECTION_BITS = 3
 _PRIME, _BASE = (1 << 30) - 35, 718_281_828
 _POWERS = [pow(_BASE, n, _PRIME) for n in range(256)]
-_DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"
-_VALUE = {c: i for i, c in enumerate(_DIGITS)}
+_LEAF = np.dtype([("hash", ">u4"), ("length", ">u4"), ("zeros", "u1")])
+_SHORT_WORD = np.dtype([("hash", ">u4"), ("length", ">u2")])
 
 
 def _trailing_zeros(h: int) -> int:
     return min(63, (h & -h).bit_length() - 1) if h else 63
 
 
-def _word(n: int, digits: int) -> str:
-    return "".join(_DIGITS[n >> 6 * k & 63] for k in range(digits - 1, -1, -1))
+def _packed(rows: list[tuple], kind: np.dtype) -> str:
+    return base64.b64encode(np.array(rows, dtype=kind).tobytes()).decode()
 
 
-def _number(s: str) -> int:
-    n = 0
-    for c in s:
-        n = n << 6 | _VALUE[c]
-    return n
+def _unpacked(s: str, kind: np.dtype) -> list[tuple]:
+    return np.frombuffer(base64.b64decode(s), dtype=kind).tolist()
 
 
 def passages(text: str) -> list[str]:
@@ -149,18 +146,17 @@ def fingerprint(text: str | None) -> str:
         sections.append(_digest(b"".join(digests[at : at + len(g)]), b"section"))
         at += len(g)
     root = _digest(b"".join(sections), b"root").hex()
-    body = "".join(_word(h, 5) + _word(n, 5) + _word(z, 1) for h, n, z in leaves)
-    out = f"m3:{root}:{level}:{body}:{''.join(_word(int.from_bytes(d[:4]) >> 2, 5) for d in sections)}"
+    out = f"m4:{root}:{level}:{_packed(leaves, _LEAF)}:{base64.b64encode(b''.join(d[:4] for d in sections)).decode()}"
     if len(text) <= SHORT:
-        out += ":" + "".join(_word(xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) >> 34, 5) + _word(len(w), 2) for w in _WORDS(text))
+        out += ":" + _packed([(xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) >> 32, len(w)) for w in _WORDS(text)], _SHORT_WORD)
     return out
 
 
-def parse(fp: str) -> tuple[str, int, list[tuple[int, int, int]], list[int]]:
+def parse(fp: str) -> tuple[str, int, list[tuple[int, int, int]], list[bytes]]:
     """(root, level, leaves, sections); a section's leaves follow from their borders."""
     _, root, level, body, nodes = fp.split(":")[:5]
-    leaves = [(_number(body[i : i + 5]), _number(body[i + 5 : i + 10]), _VALUE[body[i + 10]]) for i in range(0, len(body), 11)]
-    return root, int(level), leaves, [_number(nodes[i : i + 5]) for i in range(0, len(nodes), 5)]
+    raw = base64.b64decode(nodes)
+    return root, int(level), _unpacked(body, _LEAF), [raw[i : i + 4] for i in range(0, len(raw), 4)]
 
 
 def _coarser(leaves: list[tuple[int, int, int]], level: int) -> list[tuple[int, int, int]]:
@@ -178,8 +174,8 @@ def likeness(a: str, b: str) -> float:
     words_a, words_b = a.split(":")[5:], b.split(":")[5:]
     if words_a and words_b:
         for words, c in ((words_a[0], x), (words_b[0], y)):
-            for i in range(0, len(words), 7):
-                c[words[i : i + 7]] += _number(words[i + 5 : i + 7])
+            for h, n in _unpacked(words, _SHORT_WORD):
+                c[h, n] += n
         leaves_a, leaves_b = [], []
     for leaves, low, c in ((leaves_a, level_a, x), (leaves_b, level_b, y)):
         for h, n, _ in _coarser(leaves, level) if level > low else leaves:
