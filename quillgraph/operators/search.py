@@ -1,10 +1,9 @@
 """Lexical, dense and hybrid search as joins and windows.
 
 All operators take a frame of queries, so a batch of questions is one plan.
-Lexical search meets postings by term in an equi-join.  Dense search multiplies
-each vector with the queries of a bounded tile (a checked size, broadcast); the
-per-query window keeps k rows a task before the exchange (``WindowGroupLimit``).
-Lists are fused by reciprocal rank.
+Lexical search meets postings by term in an equi-join; postings can be cut to the
+terms that are asked before they are counted.  Dense search is a grid of matrix
+products (``nearest``).  Lists are fused by reciprocal rank.
 """
 
 from __future__ import annotations
@@ -16,38 +15,65 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import cosine
+from .analytics import cut
+from .nearest import nearest
+from .sparse import numbered, sparse_topk
 
 # fixed values: BM25, fusion and prefetch
 K1, B, RRF_K, PREFETCH = 1.2, 0.75, 2, 4
-#: Queries that one dense pass broadcasts.
-TILE_QUERIES = 2048
 
 
 def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}_]+"), lambda t: t != "")
 
 
-def postings(chunks: DataFrame, key: str = "chunk_id", text: str = "text") -> DataFrame:
-    """term, key, tf, doc_len: term counts, combined within a task first."""
+def postings(chunks: DataFrame, key: str = "chunk_id", text: str = "text", terms: DataFrame | None = None) -> DataFrame:
+    """term, key, tf, doc_len: term counts, combined within a task first.
+
+    With ``terms`` (term) only these are kept, before anything is counted or moved.
+    """
     words = chunks.select(key, tokens(F.col(text)).alias("_w"))
     words = words.select(key, F.size("_w").alias("doc_len"), F.explode("_w").alias("term"))
+    if terms is not None:
+        words = words.join(terms, "term", "left_semi")
     return words.groupBy("term", key, "doc_len").agg(F.count(F.lit(1)).cast("int").alias("tf"))
 
 
+def asked_terms(queries: DataFrame) -> DataFrame:
+    """The distinct terms of (query_id, text)."""
+    return queries.select(F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")).distinct()
+
+
+def lengths(chunks: DataFrame, key: str = "chunk_id", text: str = "text") -> DataFrame:
+    """(key, doc_len) of everything that holds a term; no shuffle."""
+    return chunks.select(key, F.size(tokens(F.col(text))).alias("doc_len")).where("doc_len > 0")
+
+
 def bm25(index: DataFrame, queries: DataFrame, k: int, key: str = "chunk_id", corpus: DataFrame | None = None) -> DataFrame:
     """query_id, key, score, rank: the k best; queries: (query_id, text).
 
-    ``corpus`` (key, doc_len) adds documents without any term to the averages.
+    ``corpus`` (key, doc_len) gives the averages; else they come from the index,
+    which then must hold all terms.
     """
     docs = (corpus if corpus is not None else index.select(key, "doc_len").distinct()).agg(F.count(F.lit(1)).alias("n_docs"), F.avg("doc_len").alias("avg_len"))
     asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    terms = asked.select("term").distinct()
-    used = index.join(terms, "term", "left_semi")
-    df = used.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    hits = asked.join(df, "term").join(used, "term").join(F.broadcast(docs))
+    used = index if corpus is not None else index.join(asked.select("term").distinct(), "term", "left_semi")
+    terms = numbered(used.groupBy("term").agg(F.count(F.lit(1)).alias("df")))
     idf = F.log1p((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / F.col("avg_len")))
-    return top_k(hits.groupBy("query_id", key).agg(F.round(F.sum(part), 6).alias("score")), k, key)
+    weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / F.col("avg_len")))
+    docs = cut(docs)  # one row
+    rows = used.join(terms, "term").join(F.broadcast(docs)).select(key, F.col("_t").alias("t"), weight.alias("w"))
+    want = asked.join(terms, "term").join(F.broadcast(docs)).select("query_id", F.col("_t").alias("t"), idf.alias("w"))
+    return top_k(sparse_topk(rows, want, k, key), k, key)
+
+
+def shared_terms(index: DataFrame, queries: DataFrame, k: int, key: str = "chunk_id") -> DataFrame:
+    """query_id, key, score, rank: the k rows that share most terms."""
+    asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
+    terms = numbered(asked.select("term").distinct())
+    one = lambda df, name: df.join(terms, "term").select(name, F.col("_t").alias("t"), F.lit(1.0).alias("w"))
+    found = sparse_topk(one(index, key), one(asked, "query_id"), k, key)
+    return top_k(found.withColumn("score", F.col("score").cast("long")), k, key)
 
 
 def top_k(scored: DataFrame, k: int, key: str) -> DataFrame:
@@ -55,22 +81,9 @@ def top_k(scored: DataFrame, k: int, key: str) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def dense(vectors: DataFrame, queries: DataFrame, k: int, key: str = "chunk_id", threshold: float | None = None, tile: int = TILE_QUERIES) -> DataFrame:
-    """Cosine top k: vectors (key, dense), queries (query_id, dense).
-
-    Queries go in tiles of ``tile``, each broadcast; the count is checked first.
-    """
-    n = queries.count()
-    tiles = max(1, -(-n // tile))
-    asked = queries.select("query_id", F.col("dense").alias("q"))
-    parts = []
-    for t in range(tiles):
-        some = asked if tiles == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(tiles)) == t)
-        scored = vectors.select(key, "dense").join(F.broadcast(some)).select("query_id", key, F.round(cosine(F.col("dense"), F.col("q")), 6).alias("score"))
-        if threshold is not None:
-            scored = scored.where(F.col("score") >= threshold)
-        parts.append(top_k(scored, k, key))
-    return reduce(DataFrame.unionByName, parts)
+def dense(vectors: DataFrame, queries: DataFrame, k: int, key: str = "chunk_id", threshold: float | None = None) -> DataFrame:
+    """Cosine top k: vectors (key, dense), queries (query_id, dense)."""
+    return top_k(nearest(vectors, queries, k, key, threshold), k, key)
 
 
 def fuse(lists: list[DataFrame], k: int, key: str = "chunk_id", c: float = RRF_K) -> DataFrame:
