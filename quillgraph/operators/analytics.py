@@ -6,6 +6,7 @@ import uuid
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,19 +41,25 @@ def cut(df: DataFrame) -> DataFrame:
 def pagerank(nodes: DataFrame, relations: DataFrame, iterations: int = ITERATIONS, damping: float = DAMPING) -> DataFrame:
     """entity_id, pagerank: weighted, undirected, not normalised.
 
-    Each step is one join on the source of an edge and one sum by its target;
-    sums combine before the exchange, so hubs don't gather rows.
+    Edges lie partitioned by their source and entities by their id, both kept on
+    the executors (a lost one is read again from the cut table).  The sum by target
+    leaves ranks partitioned like the sources, so a step moves partial sums only:
+    one exchange, in which hubs don't gather rows.
     """
+    n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     e = weighted_edges(relations)
     out = e.groupBy("a").agg(F.sum("w").alias("total"))
     share = cut(e.join(out, "a").select("a", "b", (F.col("w") / F.col("total")).alias("share")))
-    ids = nodes.select("entity_id").distinct()
+    share = share.repartition(n, "a").persist(StorageLevel.MEMORY_AND_DISK)
+    ids = nodes.select("entity_id").distinct().repartition(n, "entity_id").persist(StorageLevel.MEMORY_AND_DISK)
     rank = ids.withColumn("pagerank", F.lit(1.0 - damping))
     for i in range(iterations):
         flow = share.join(rank.withColumnRenamed("entity_id", "a"), "a").groupBy("b").agg(F.sum(F.col("share") * F.col("pagerank")).alias("f"))
         rank = ids.join(flow.withColumnRenamed("b", "entity_id"), "entity_id", "left").select("entity_id", (F.lit(1.0 - damping) + F.lit(damping) * F.coalesce("f", F.lit(0.0))).alias("pagerank"))
-        if i % CUT_EVERY == CUT_EVERY - 1 and i < iterations - 1:
+        if i % CUT_EVERY == CUT_EVERY - 1 or i == iterations - 1:
             rank = cut(rank)
+    share.unpersist()
+    ids.unpersist()
     return rank
 
 

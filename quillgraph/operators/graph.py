@@ -117,22 +117,27 @@ def type_catalog(entities: DataFrame, configured: list[str]) -> DataFrame:
     return out.orderBy(F.col("pos").asc_nulls_last(), F.desc("n"), "type").drop("pos")
 
 
-def entity_relations(relations: DataFrame, entities: DataFrame, asked: DataFrame, direction: str = "both", predicate: str | None = None) -> DataFrame:
+def entity_relations(relations: DataFrame, entities: DataFrame, asked: DataFrame, direction: str = "both", predicate: str | None = None, limit: int | None = None) -> DataFrame:
     """Relations of each asked entity, ranked, with total and facet counts.
 
-    The facet counts ignore the predicate filter; the total honours it.
+    The facet counts ignore the predicate filter; the total honours it.  Counts are
+    aggregates that combine within tasks and join the few rows that ``limit`` leaves,
+    so a hub's rows never lie in one task.
     """
     view = undirected(relations).join(asked.select("entity_id").distinct(), "entity_id", "left_semi")
     if direction != "both":
         view = view.where(F.col("direction") == direction)
-    facet = Window.partitionBy("entity_id", "predicate")
-    view = view.withColumn("facet_count", F.count(F.lit(1)).over(facet))
+    facets = view.groupBy("entity_id", "predicate").agg(F.count(F.lit(1)).alias("facet_count"))
     if predicate is not None:
         view = view.where(F.col("predicate") == predicate)
+    totals = (facets if predicate is None else facets.where(F.col("predicate") == predicate)).groupBy("entity_id").agg(F.sum("facet_count").alias("total"))
     names = entities.select(F.col("entity_id").alias("other_id"), F.col("name").alias("other_name"))
-    view = view.join(names, "other_id", "left").withColumn("total", F.count(F.lit(1)).over(Window.partitionBy("entity_id")))
     order = Window.partitionBy("entity_id").orderBy(F.desc("weight"), "predicate", "other_name", "other_id", "direction")
-    return view.withColumn("position", F.row_number().over(order)).select("entity_id", "other_id", "other_name", "direction", "predicate", "weight", "facet_count", "total", "position")
+    ranked = view.join(names, "other_id", "left").withColumn("position", F.row_number().over(order))
+    if limit is not None:
+        ranked = ranked.where(F.col("position") <= limit)
+    out = ranked.join(facets, ["entity_id", "predicate"]).join(totals, "entity_id")
+    return out.select("entity_id", "other_id", "other_name", "direction", "predicate", "weight", "facet_count", "total", "position")
 
 
 def predicate_facets(relations: DataFrame, asked: DataFrame) -> DataFrame:
@@ -146,19 +151,24 @@ def entity_context(relations: DataFrame, asked: DataFrame, max_relations: int =
     return view.withColumn("position", F.row_number().over(order)).where(F.col("position") <= max_relations)
 
 
-def entity_mentions(mentions: DataFrame, chunks: DataFrame, asked: DataFrame) -> DataFrame:
+def entity_mentions(mentions: DataFrame, chunks: DataFrame, asked: DataFrame, limit: int | None = None) -> DataFrame:
     """Mentioning chunks of each asked entity with total and position."""
-    own = mentions.join(asked.select("entity_id").distinct(), "entity_id", "left_semi").join(chunks.select("chunk_id", "doc_id", "idx"), "chunk_id")
+    own = mentions.join(asked.select("entity_id").distinct(), "entity_id", "left_semi")
+    totals = own.groupBy("entity_id").agg(F.count(F.lit(1)).alias("total"))
+    own = own.join(chunks.select("chunk_id", "doc_id", "idx"), "chunk_id")
     order = Window.partitionBy("entity_id").orderBy("doc_id", "idx", "chunk_id")
-    return own.withColumn("total", F.count(F.lit(1)).over(Window.partitionBy("entity_id"))).withColumn("position", F.row_number().over(order))
+    ranked = own.withColumn("position", F.row_number().over(order))
+    if limit is not None:
+        ranked = ranked.where(F.col("position") <= limit)
+    return ranked.join(totals, "entity_id")
 
 
 def entity_documents(mentions: DataFrame, chunks: DataFrame, asked: DataFrame, limit: int = 50) -> DataFrame:
     own = mentions.join(asked.select("entity_id").distinct(), "entity_id", "left_semi").join(chunks.select("chunk_id", "doc_id"), "chunk_id")
     per = own.groupBy("entity_id", "doc_id").agg(F.count(F.lit(1)).alias("mentions"))
-    every = Window.partitionBy("entity_id")
-    ranked = per.withColumn("documents", F.count(F.lit(1)).over(every)).withColumn("position", F.row_number().over(every.orderBy(F.desc("mentions"), "doc_id")))
-    return ranked.where(F.col("position") <= limit)
+    totals = per.groupBy("entity_id").agg(F.count(F.lit(1)).alias("documents"))
+    ranked = per.withColumn("position", F.row_number().over(Window.partitionBy("entity_id").orderBy(F.desc("mentions"), "doc_id")))
+    return ranked.where(F.col("position") <= limit).join(totals, "entity_id")
 
 
 def entity_comparison(relations: DataFrame, mentions: DataFrame, chunks: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -218,9 +228,13 @@ def induced(relations: DataFrame, nodes: DataFrame) -> DataFrame:
 def reached(relations: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
     """(seed_id, entity_id, hop): least hop at which each entity is reached.
 
-    ``hops`` unrolled frontier joins; a frontier only holds new entities.
+    ``hops`` unrolled frontier joins over one table of edges; a frontier only holds
+    new entities.
     """
+    from .analytics import cut
+
     edges = undirected(relations).select("entity_id", "other_id").distinct()
+    edges = cut(edges) if hops > 1 else edges
     frontier = seeds.select("seed_id", F.col("seed_id").alias("entity_id")).distinct().withColumn("hop", F.lit(0))
     seen = frontier
     for h in range(1, max(1, min(hops, MAX_HOPS)) + 1):
@@ -251,8 +265,10 @@ def neighborhood(relations: DataFrame, all_edges: DataFrame, seeds: DataFrame, h
 
 def neighborhood_induced(relations: DataFrame, seeds: DataFrame, hops: int, limit: int) -> DataFrame:
     """All relations among the entities within ``hops`` of each seed."""
-    near = reached(relations, seeds, hops).select("seed_id", "entity_id")
-    e = relations.select("src_id", "predicate", "dst_id", "weight")
+    from .analytics import cut
+
+    near = cut(reached(relations, seeds, hops).select("seed_id", "entity_id"))
+    e = induced(relations.select("src_id", "predicate", "dst_id", "weight"), near.select("entity_id").distinct())
     e = e.join(near.withColumnRenamed("entity_id", "src_id"), "src_id").join(near.withColumnRenamed("entity_id", "dst_id"), ["seed_id", "dst_id"])
     order = Window.partitionBy("seed_id").orderBy(F.desc("weight"), "src_id", "predicate", "dst_id")
     return e.withColumn("position", F.row_number().over(order)).where(F.col("position") <= limit).select("seed_id", "src_id", "predicate", "dst_id", "weight", "position")

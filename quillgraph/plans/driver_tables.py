@@ -25,7 +25,10 @@ def chunks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def mentions(spark: SparkSession, sf: str) -> DataFrame:
-    c = chunks(spark, sf)
+    return mentions_of(chunks(spark, sf))
+
+
+def mentions_of(c: DataFrame) -> DataFrame:
     return c.select("chunk_id", F.explode(F.array("part_id", "supplier_id")).alias("entity_id")).distinct()
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import analytics, build, graph, views
+from ..operators.analytics import cut
 from ..session import load
 from . import driver_tables as d
 
@@ -75,8 +76,7 @@ def entity_prefix_search(spark, sf):
   FROM u JOIN a USING (entity_id) LEFT JOIN e ON e.entity_id = u.other_id)
 SELECT * FROM x WHERE position <= 50""")
 def entity_relations_facets(spark, sf):
-    out = graph.entity_relations(d.relations(spark, sf), d.named_entities(spark, sf), d.asked_suppliers(spark, sf))
-    return out.where("position <= 50")
+    return graph.entity_relations(cut(d.relations(spark, sf)), d.named_entities(spark, sf), d.asked_suppliers(spark, sf), limit=50)
 
 
 @query(f"""WITH {d.CHUNKS}, {d.MENTIONS}, {d.ASKED} SELECT * FROM (
@@ -84,8 +84,8 @@ def entity_relations_facets(spark, sf):
     row_number() OVER (PARTITION BY entity_id ORDER BY doc_id, idx, chunk_id) AS position
   FROM m JOIN a USING (entity_id) JOIN c USING (chunk_id)) WHERE position <= 20""")
 def entity_mentions_page(spark, sf):
-    out = graph.entity_mentions(d.mentions(spark, sf), d.chunks(spark, sf), d.asked_suppliers(spark, sf))
-    return out.where("position <= 20").select("entity_id", "chunk_id", "doc_id", "idx", "total", "position")
+    out = graph.entity_mentions(d.mentions(spark, sf), d.chunks(spark, sf), d.asked_suppliers(spark, sf), 20)
+    return out.select("entity_id", "chunk_id", "doc_id", "idx", "total", "position")
 
 
 @query(f"""WITH {d.CHUNKS}, {d.MENTIONS}, {d.ASKED}, x AS (SELECT entity_id, doc_id, count(*) AS mentions FROM m JOIN a USING (entity_id) JOIN c USING (chunk_id) GROUP BY ALL)
@@ -106,7 +106,8 @@ SELECT p.a, p.b,
   (SELECT count(*) FROM m x JOIN m y USING (chunk_id) WHERE x.entity_id = p.a AND y.entity_id = p.b) AS shared_chunks
 FROM p""")
 def entity_compare_shared(spark, sf):
-    return graph.entity_comparison(d.relations(spark, sf), d.mentions(spark, sf), d.chunks(spark, sf), d.asked_pairs(spark, sf))
+    c = cut(d.chunks(spark, sf))
+    return graph.entity_comparison(cut(d.relations(spark, sf)), d.mentions_of(c), c, d.asked_pairs(spark, sf))
 
 
 @query(f"""WITH {d.ENTITIES}, {d.RELATIONS}, top AS (SELECT entity_id FROM e ORDER BY pagerank DESC NULLS LAST, mention_count DESC, entity_id LIMIT 300)
@@ -124,7 +125,7 @@ def overview_induced_subgraph(spark, sf):
 SELECT * FROM (SELECT x.*, row_number() OVER (PARTITION BY seed_id ORDER BY weight DESC, s.degree + t.degree DESC, src_id, predicate, dst_id) AS position
   FROM x JOIN deg s ON s.entity_id = src_id JOIN deg t ON t.entity_id = dst_id) WHERE position <= 30""")
 def neighborhood_2hop(spark, sf):
-    r = d.relations(spark, sf)
+    r = cut(d.relations(spark, sf))
     ends = r.select(F.col("src_id").alias("entity_id")).unionByName(r.select(F.col("dst_id").alias("entity_id")))
     return graph.neighborhood(r, ends, d.asked_suppliers(spark, sf).select(F.col("entity_id").alias("seed_id")), 2, 30)
 
@@ -135,7 +136,7 @@ def neighborhood_2hop(spark, sf):
 SELECT * FROM (SELECT s.seed_id, src_id, predicate, dst_id, weight, row_number() OVER (PARTITION BY s.seed_id ORDER BY weight DESC, src_id, predicate, dst_id) AS position
   FROM r JOIN near s ON s.entity_id = src_id JOIN near t ON t.entity_id = dst_id AND t.seed_id = s.seed_id) WHERE position <= 30""")
 def bfs_induced(spark, sf):
-    return graph.neighborhood_induced(d.relations(spark, sf), d.asked_suppliers(spark, sf).select(F.col("entity_id").alias("seed_id")), 2, 30)
+    return graph.neighborhood_induced(cut(d.relations(spark, sf)), d.asked_suppliers(spark, sf).select(F.col("entity_id").alias("seed_id")), 2, 30)
 
 
 @query(f"""WITH RECURSIVE {d.RELATIONS}, {d.UNDIRECTED}, {d.ASKED}, {d.PAIRS},
@@ -147,7 +148,7 @@ SELECT * FROM (SELECT source, target, array_to_string(ids, ' ') AS ids, weight,
   FROM f WHERE h = length) WHERE position <= 3""")
 def shortest_paths_all(spark, sf):
     pairs = d.asked_pairs(spark, sf).select(F.col("a").alias("source"), F.col("b").alias("target"))
-    out = graph.shortest_paths(d.relations(spark, sf).select("src_id", "predicate", "dst_id", "weight"), pairs, max_hops=2, limit=3)
+    out = graph.shortest_paths(cut(d.relations(spark, sf).select("src_id", "predicate", "dst_id", "weight")), pairs, max_hops=2, limit=3)
     return out.select("source", "target", F.array_join("ids", " ").alias("ids"), "weight", "length", "position")
 
 
@@ -311,13 +312,13 @@ def wiki_eligibility(spark, sf):
 
 @query(SQL["entity_relations_facets"].replace(d.ASKED, d.ALL_ASKED))
 def entity_relations_facets_all(spark, sf):
-    return graph.entity_relations(d.relations(spark, sf), d.named_entities(spark, sf), d.all_asked(spark, sf)).where("position <= 50")
+    return graph.entity_relations(cut(d.relations(spark, sf)), d.named_entities(spark, sf), d.all_asked(spark, sf), limit=50)
 
 
 @query(SQL["entity_mentions_page"].replace(d.ASKED, d.ALL_ASKED))
 def entity_mentions_page_all(spark, sf):
-    out = graph.entity_mentions(d.mentions(spark, sf), d.chunks(spark, sf), d.all_asked(spark, sf))
-    return out.where("position <= 20").select("entity_id", "chunk_id", "doc_id", "idx", "total", "position")
+    out = graph.entity_mentions(d.mentions(spark, sf), d.chunks(spark, sf), d.all_asked(spark, sf), 20)
+    return out.select("entity_id", "chunk_id", "doc_id", "idx", "total", "position")
 
 
 @query(SQL["entity_documents"].replace(d.ASKED, d.ALL_ASKED))
@@ -325,15 +326,25 @@ def entity_documents_all(spark, sf):
     return graph.entity_documents(d.mentions(spark, sf), d.chunks(spark, sf), d.all_asked(spark, sf))
 
 
-@query()
+_NEXT = " UNION ALL ".join(f"SELECT '{k}:' || x.k AS a, '{k}:' || (x.k + 1) AS b FROM (SELECT DISTINCT {c} AS k FROM {k}) x JOIN (SELECT DISTINCT {c} AS k FROM {k}) y ON y.k = x.k + 1" for k, c in (("supplier", "s_suppkey"), ("part", "p_partkey"), ("customer", "c_custkey"), ("nation", "n_nationkey"), ("region", "r_regionkey")))
+
+
+@query(f"""WITH {d.RELATIONS}, {d.UNDIRECTED}, {d.CHUNKS}, {d.MENTIONS}, p AS ({_NEXT}),
+ near AS MATERIALIZED (SELECT entity_id, other_id, sum(weight) AS w FROM u WHERE entity_id <> other_id GROUP BY ALL), docs AS MATERIALIZED (SELECT DISTINCT entity_id, doc_id FROM m JOIN c USING (chunk_id)), nn AS (SELECT entity_id, count(*) AS k FROM near GROUP BY 1),
+ sh AS (SELECT a, b, count(*) AS k, sum(x.w + y.w) AS w FROM p JOIN near x ON x.entity_id = a JOIN near y ON y.entity_id = b AND y.other_id = x.other_id WHERE x.other_id NOT IN (a, b) GROUP BY ALL),
+ sd AS (SELECT a, b, count(*) AS k FROM p JOIN docs x ON x.entity_id = a JOIN docs y ON y.entity_id = b AND y.doc_id = x.doc_id GROUP BY ALL),
+ sc AS (SELECT a, b, count(*) AS k FROM p JOIN m x ON x.entity_id = a JOIN m y ON y.entity_id = b AND y.chunk_id = x.chunk_id GROUP BY ALL)
+SELECT p.a, p.b, coalesce(sh.k, 0) AS shared_neighbors, coalesce(sh.w, 0) AS shared_weight, coalesce(dr.w, 0) AS direct_weight, coalesce(na.k, 0) AS neighbors_a, coalesce(nb.k, 0) AS neighbors_b, coalesce(sd.k, 0) AS shared_documents, coalesce(sc.k, 0) AS shared_chunks
+FROM p LEFT JOIN sh USING (a, b) LEFT JOIN near dr ON dr.entity_id = p.a AND dr.other_id = p.b LEFT JOIN nn na ON na.entity_id = p.a LEFT JOIN nn nb ON nb.entity_id = p.b LEFT JOIN sd ON sd.a = p.a AND sd.b = p.b LEFT JOIN sc ON sc.a = p.a AND sc.b = p.b""")
 def entity_compare_shared_all(spark, sf):
-    """Each entity with the next of its kind; subqueries a pair are too slow in SQL."""
-    return graph.entity_comparison(d.relations(spark, sf), d.mentions(spark, sf), d.chunks(spark, sf), d.all_pairs(spark, sf))
+    """Each entity with the next of its kind."""
+    c = cut(d.chunks(spark, sf))
+    return graph.entity_comparison(cut(d.relations(spark, sf)), d.mentions_of(c), c, d.all_pairs(spark, sf))
 
 
 @query()
 def shortest_paths_4hops(spark, sf):
     """The pairs of ``shortest_paths_all`` at the reference's four hops."""
     pairs = d.asked_pairs(spark, sf).select(F.col("a").alias("source"), F.col("b").alias("target"))
-    out = graph.shortest_paths(d.relations(spark, sf).select("src_id", "predicate", "dst_id", "weight"), pairs, max_hops=4, limit=3)
+    out = graph.shortest_paths(cut(d.relations(spark, sf).select("src_id", "predicate", "dst_id", "weight")), pairs, max_hops=4, limit=3)
     return out.select("source", "target", F.array_join("ids", " ").alias("ids"), "weight", "length", "position")
