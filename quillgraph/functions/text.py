@@ -315,3 +315,30 @@ def day_start(seconds: Column) -> Column:
 def finite(x: Column) -> Column:
     """NaN and infinities to null, as scores leave the engine."""
     return F.when(F.isnan(x) | (F.abs(x) == float("inf")), None).otherwise(x)
+
+
+# --- answers and caches ---------------------------------------------------
+
+
+def source_item(number: Column, kind: Column, ref: Column, path: Column, upload: Column) -> Column:
+    """What a reader sees of a source: no folders, the document's id, the name it
+    was uploaded under."""
+    doc_id = F.when(kind == "chunk", F.substring_index(ref, ":", 1))
+    return F.struct(number.alias("number"), kind.alias("kind"), ref.alias("ref"), doc_id.alias("doc_id"), F.coalesce(upload, basename(path)).alias("label"))
+
+
+def answer_meta(latency_ms: Column, tokens_in: Column, tokens_out: Column, context_tokens: Column, budget: int) -> Column:
+    return F.struct(latency_ms.alias("latency_ms"), tokens_in.alias("tokens_in"), tokens_out.alias("tokens_out"), context_tokens.alias("context_tokens"), F.lit(budget).alias("context_budget"))
+
+
+def types_signature(types: list[str]) -> str:
+    """Hash of an ordered list of types."""
+    return hashlib.sha256(canonical_json(types).encode()).hexdigest()[:12]
+
+
+def cache_version(prompt: str, types: list[str]) -> str:
+    return f"{prompt}:{types_signature(types)}"
+
+
+def format_types(types: list[str]) -> str:
+    return ", ".join(types)

@@ -410,3 +410,10 @@ def backlinks(links: DataFrame, pages: DataFrame, targets: DataFrame) -> DataFra
 def wiki_index(pages: DataFrame, entities: DataFrame, include_stale: bool = False) -> DataFrame:
     own = pages if include_stale else pages.where(~F.coalesce("stale", F.lit(False)))
     return own.join(entities.select(F.col("entity_id").alias("page_id"), F.col("type").alias("entity_type")), "page_id").orderBy("entity_type", "title", "page_id")
+
+
+def matching_pages(pages: DataFrame, entities: DataFrame, q: str) -> DataFrame:
+    """Live pages whose title, slug or aliases hold ``q`` in any case."""
+    names = entities.select(F.col("entity_id").alias("page_id"), F.array_join(F.coalesce("aliases", F.array().cast("array<string>")), " ").alias("_a"))
+    live = pages.where(~F.coalesce("stale", F.lit(False))).join(names, "page_id", "left")
+    return live.where(F.contains(F.lower(F.concat_ws(" ", "title", "slug", "_a")), F.lit(q.lower()))).drop("_a").orderBy("title", "page_id")

@@ -67,6 +67,43 @@ def insert_absent(table: DataFrame, rows: DataFrame, keys: list[str]) -> DataFra
     return table.unionByName(rows.dropDuplicates(keys).join(table, keys, "left_anti"), allowMissingColumns=True)
 
 
+def mark_dirty(dirty: DataFrame, ids: DataFrame) -> DataFrame:
+    return dirty.unionByName(ids.select("entity_id")).distinct()
+
+
+def clear_dirty(dirty: DataFrame, ids: DataFrame) -> DataFrame:
+    return dirty.join(ids.select("entity_id"), "entity_id", "left_anti")
+
+
+def set_chunk_entities(payload: DataFrame, changes: DataFrame) -> DataFrame:
+    """payload: (chunk_id, doc_id, path, entity_ids); changes: (chunk_id, entity_ids)."""
+    new = changes.select("chunk_id", F.col("entity_ids").alias("_e"))
+    return payload.join(new, "chunk_id", "left").withColumn("entity_ids", F.coalesce("_e", "entity_ids")).drop("_e")
+
+
+def set_doc_path(payload: DataFrame, changes: DataFrame) -> DataFrame:
+    """The same of paths, by document: changes (doc_id, path)."""
+    new = changes.select("doc_id", F.col("path").alias("_p"))
+    return payload.join(new, "doc_id", "left").withColumn("path", F.coalesce("_p", "path")).drop("_p")
+
+
+def load_chunks(cache: DataFrame, graph_chunks: DataFrame, key: str = "chunk_id") -> DataFrame:
+    """Cached chunks; what the cache lacks or holds without text is taken from the graph."""
+    good = cache.where("text IS NOT NULL")
+    return good.unionByName(graph_chunks.join(good.select("doc_id").distinct(), "doc_id", "left_anti").select(cache.columns))
+
+
+def job_page(jobs: DataFrame, limit: int = 100, offset: int = 0, include_hidden: bool = False) -> DataFrame:
+    """Jobs, newest first."""
+    rows = jobs if include_hidden else jobs.where(~F.coalesce("hidden", F.lit(False)))
+    return rows.orderBy(F.col("id").desc()).offset(offset).limit(limit)
+
+
+def document_entities(mentions: DataFrame, chunks: DataFrame, recorded: DataFrame) -> DataFrame:
+    """(doc_id, entity_id): mentioned in the document's chunks, or recorded for it."""
+    return mentions.join(chunks.select("chunk_id", "doc_id"), "chunk_id").select("doc_id", "entity_id").unionByName(recorded.select("doc_id", "entity_id")).distinct()
+
+
 # --- queue ----------------------------------------------------------------
 
 

@@ -90,3 +90,11 @@ def rank_by_pagerank(nodes: DataFrame, limit: int = 1000) -> DataFrame:
 def one_step(relations: DataFrame, nodes: DataFrame, entity_id: str) -> DataFrame:
     near = undirected(relations).where(F.col("entity_id") == entity_id).select(F.col("other_id").alias("entity_id")).distinct()
     return nodes.join(near, "entity_id", "left_semi")
+
+
+def shown_types(nodes: DataFrame, configured: list[str], selected: list[str] = ()) -> DataFrame:
+    """Configured types that are present or selected, in order, then other present ones."""
+    there = nodes.select("type").distinct().withColumn("_there", F.lit(True))
+    known = nodes.sparkSession.createDataFrame([(i, t, t in set(selected)) for i, t in enumerate(configured)], "pos int, type string, selected boolean")
+    out = known.join(there, "type", "full_outer").where(F.coalesce("_there", F.lit(False)) | F.coalesce("selected", F.lit(False)))
+    return out.orderBy(F.col("pos").asc_nulls_last(), "type").select("type", "pos")

@@ -676,3 +676,71 @@ def eval_compare_log(spark, sf):
     src = F.transform(F.array(F.lit(0), F.lit(1)), lambda k: F.struct((k < F.col("event_id") % 3).alias("cited")))
     e = load(spark, sf, "events").select(s("event_id").alias("ts"), F.col("event_type").alias("question"), F.lit("rag").alias("mode"), src.alias("sources"), F.col("user_id").alias("latency_ms"))
     return evaluate.compare_log(e)
+
+
+# --- caches, payloads and listings ----------------------------------------
+
+
+@query("SELECT doc_id, doc_id || ':00001' AS ref, CASE WHEN doc_id % 3 <> 0 THEN CAST(doc_id AS VARCHAR) END AS source_doc, CASE WHEN doc_id % 4 = 0 THEN 'upload ' || doc_id ELSE doc_id || '.md' END AS label FROM documents")
+def source_items(spark, sf):
+    x = load(spark, sf, "documents")
+    kind = F.when(F.col("doc_id") % 3 != 0, "chunk").otherwise("wiki")
+    path, up = F.concat(F.lit("/private/"), "source", F.lit("/"), s("doc_id"), F.lit(".md")), F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("upload "), s("doc_id")))
+    i = text.source_item(F.lit(1), kind, F.concat(s("doc_id"), F.lit(":00001")), path, up)
+    return x.select("doc_id", i.alias("i")).select("doc_id", "i.ref", F.col("i.doc_id").alias("source_doc"), "i.label")
+
+
+@query("WITH x AS (SELECT doc_id, CAST(('0x' || left(sha256(source || chr(0) || doc_id), 16)) AS UHUGEINT) AS h FROM documents) SELECT doc_id, CASE WHEN h >= 9223372036854775808 THEN CAST(CAST(h AS HUGEINT) - 18446744073709551616 AS BIGINT) ELSE CAST(h AS BIGINT) END AS key FROM x")
+def lock_keys(spark, sf):
+    return load(spark, sf, "documents").select("doc_id", text.lock_key(F.col("source"), s("doc_id")).alias("key"))
+
+
+@query(f"WITH {d.CHUNKS} SELECT chunk_id, CASE WHEN idx = 0 THEN part_id ELSE 'old' END AS entity_ids, CASE WHEN CAST(doc_id AS BIGINT) % 2 = 0 THEN '/new/' || doc_id ELSE '/old' END AS path FROM c")
+def chunk_payloads(spark, sf):
+    """Entities of the first chunks and paths of half the documents change."""
+    c = d.chunks(spark, sf)
+    rows = c.select("chunk_id", "doc_id", F.lit("/old").alias("path"), F.array(F.lit("old")).alias("entity_ids"))
+    rows = tables.set_chunk_entities(rows, c.where("idx = 0").select("chunk_id", F.array("part_id").alias("entity_ids")))
+    even = c.select("doc_id").distinct().where("CAST(doc_id AS BIGINT) % 2 = 0").select("doc_id", F.concat(F.lit("/new/"), "doc_id").alias("path"))
+    return tables.set_doc_path(rows, even).select("chunk_id", F.array_join("entity_ids", " ").alias("entity_ids"), "path")
+
+
+@query(f"WITH {d.CHUNKS} SELECT chunk_id, CASE WHEN CAST(doc_id AS BIGINT) % 3 = 0 THEN 'graph' ELSE 'cache' END AS text FROM c")
+def chunk_cache(spark, sf):
+    """A third of the documents is missing or torn in the cache."""
+    c = d.chunks(spark, sf).select("chunk_id", "doc_id")
+    n = F.col("doc_id").cast("long")
+    cache = c.where(n % 6 != 3).withColumn("text", F.when(n % 3 != 0, "cache"))
+    return tables.load_chunks(cache, c.withColumn("text", F.lit("graph"))).select("chunk_id", "text")
+
+
+@query(f"WITH {_JOBS} SELECT id FROM j WHERE status NOT IN ('done', 'cancelled') ORDER BY id DESC LIMIT 100 OFFSET 10")
+def jobs_page(spark, sf):
+    j = tables.hide_finished(job_rows(spark, sf))
+    return tables.job_page(j, 100, 10).select("id")
+
+
+@query("SELECT 'p' || p_partkey AS entity_id FROM part WHERE p_size % 2 = 0 UNION SELECT 'p' || p_partkey FROM part WHERE p_size % 3 = 0 AND p_size % 5 <> 0")
+def dirty_marks(spark, sf):
+    p = load(spark, sf, "part")
+    ids = lambda c: p.where(c).select(F.concat(F.lit("p"), s("p_partkey")).alias("entity_id"))
+    return tables.mark_dirty(ids("p_size % 2 = 0"), tables.clear_dirty(ids("p_size % 3 = 0"), ids("p_size % 5 = 0")))
+
+
+@query(f"WITH {d.CHUNKS}, {d.MENTIONS} SELECT doc_id, entity_id FROM m JOIN c USING (chunk_id) UNION SELECT DISTINCT doc_id, 'recorded' FROM c")
+def document_entities(spark, sf):
+    c = d.chunks(spark, sf)
+    recorded = c.select("doc_id").distinct().withColumn("entity_id", F.lit("recorded"))
+    return tables.document_entities(d.mentions_of(c), c, recorded)
+
+
+@query("SELECT p_partkey AS page_id, p_name AS title FROM part WHERE p_size > 10 AND contains(lower(p_name || ' s-' || p_partkey || ' ' || p_brand), 'brand#2')")
+def wiki_page_search(spark, sf):
+    p = load(spark, sf, "part")
+    pages = p.select(F.col("p_partkey").alias("page_id"), F.col("p_name").alias("title"), F.concat(F.lit("s-"), s("p_partkey")).alias("slug"), (F.col("p_size") <= 10).alias("stale"))
+    return graph.matching_pages(pages, p.select(F.col("p_partkey").alias("entity_id"), F.array("p_brand").alias("aliases")), "Brand#2").select("page_id", "title")
+
+
+@query(f"WITH {d.ENTITIES}, kk AS (SELECT * FROM (VALUES (0, 'Person'), (1, 'Part'), (2, 'Event')) t(pos, type)) SELECT coalesce(kk.type, x.type) AS type, pos FROM kk FULL JOIN (SELECT DISTINCT type FROM n) x ON x.type = kk.type WHERE x.type IS NOT NULL OR kk.type = 'Event'")
+def view_shown_types(spark, sf):
+    return views.shown_types(d.named_entities(spark, sf), ["Person", "Part", "Event"], ["Event"])

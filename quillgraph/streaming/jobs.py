@@ -61,13 +61,15 @@ class QueueState(StatefulProcessor):
 
     An input row is a command (path, fingerprint, seq, command, error).  A newer
     fingerprint supersedes an older one; commands of an older version are late
-    and only report ``superseded``.
+    and only report ``superseded``.  With ``timers`` a failed attempt waits out its
+    delay: the job is ``waiting`` until a timer makes it ``pending`` again.
     """
 
-    def __init__(self, max_attempts: int = 5, delay: float = 30.0):
-        self.max_attempts, self.delay = max_attempts, delay
+    def __init__(self, max_attempts: int = 5, delay: float = 30.0, timers: bool = False):
+        self.max_attempts, self.delay, self.timers = max_attempts, delay, timers
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.state = handle.getValueState("job", "fingerprint string, version long, status string, attempts int")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:
@@ -92,8 +94,10 @@ class QueueState(StatefulProcessor):
             elif c.command == "done" and current[2] == "running":
                 current[2] = "done"
             elif c.command == "fail" and current[2] == "running":
-                current[2] = "failed" if current[3] >= self.max_attempts else "pending"
-                wait = min(self.delay * 2 ** min(current[3] - 1, 16), 3600.0) if current[2] == "pending" else 0.0
+                current[2] = "failed" if current[3] >= self.max_attempts else "waiting" if self.timers else "pending"
+                wait = min(self.delay * 2 ** min(current[3] - 1, 16), 3600.0) if current[2] != "failed" else 0.0
+                if current[2] == "waiting":
+                    self.handle.registerTimer(timer.getCurrentProcessingTimeInMs() + int(1000 * wait))
             elif c.command == "release" and current[2] == "running":
                 current[2], current[3] = "pending", max(current[3] - 1, 0)
             elif c.command == "cancel" and current[2] == "pending":
@@ -103,15 +107,98 @@ class QueueState(StatefulProcessor):
             self.state.update(tuple(current))
         yield pd.DataFrame(out, columns=["path", "fingerprint", "status", "attempts", "wait", "seq"])
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        job = list(self.state.get()) if self.state.exists() else None
+        if job is not None and job[2] == "waiting":
+            job[2] = "pending"
+            self.state.update(tuple(job))
+            yield pd.DataFrame([(key[0], job[0], "pending", job[3], 0.0, job[1])], columns=["path", "fingerprint", "status", "attempts", "wait", "seq"])
+
+    def close(self) -> None:
+        pass
+
+
+class Watcher(StatefulProcessor):
+    """A file's signature (size, mtime) comes out once it stayed for ``settle`` seconds.
+
+    An input row is a sighting (path, size, mtime).  A new signature starts the wait
+    anew; one that came out isn't submitted again.
+    """
+
+    def __init__(self, settle: float = 10.0):
+        self.settle = settle
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("file", "size long, mtime double, since long, submitted boolean")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:
+        now = timer.getCurrentProcessingTimeInMs()
+        file = self.state.get() if self.state.exists() else None
+        for c in pd.concat(list(rows)).itertuples():
+            if file is None or (file[0], file[1]) != (c.size, c.mtime):
+                file = (int(c.size), float(c.mtime), now, False)
+                self.handle.registerTimer(now + int(1000 * self.settle))
+        if file is not None:
+            self.state.update(tuple(file))
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        file = self.state.get() if self.state.exists() else None
+        if file is not None and not file[3] and timerValues.getCurrentProcessingTimeInMs() - file[2] >= 1000 * self.settle:
+            self.state.update((file[0], file[1], file[2], True))
+            yield pd.DataFrame([(key[0], file[0], file[1])], columns=["path", "size", "mtime"])
+
+    def close(self) -> None:
+        pass
+
+
+def watch_stream(sightings: DataFrame, settle: float = 10.0) -> DataFrame:
+    return sightings.groupBy("path").transformWithStateInPandas(Watcher(settle), "path string, size long, mtime double", "Update", "ProcessingTime")
+
+
+class Runs(StatefulProcessor):
+    """Consecutive rows of one name form a run; a run comes out when another name
+    begins.  Input: (key, name, seq, tokens)."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("run", "name string, run long, n long, tokens long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:
+        run = self.state.get() if self.state.exists() else None
+        out = []
+        for c in pd.concat(list(rows)).sort_values("seq").itertuples():
+            if run is not None and run[0] == c.name:
+                run = (run[0], run[1], run[2] + 1, run[3] + int(c.tokens))
+                continue
+            if run is not None:
+                out.append((key[0], run[1], run[0], run[2], run[3]))
+            run = (c.name, run[1] + 1 if run is not None else 1, 1, int(c.tokens))
+        if run is not None:
+            self.state.update(tuple(run))
+        yield pd.DataFrame(out, columns=["key", "run", "name", "n", "tokens"])
+
     def close(self) -> None:
         pass
 
 
+def run_stream(steps: DataFrame) -> DataFrame:
+    return steps.groupBy("key").transformWithStateInPandas(Runs(), "key long, run long, name string, n long, tokens long", "Append", "None")
+
+
+def rate_stream(acquisitions: DataFrame, late: str = "1 minute") -> DataFrame:
+    """Most acquisitions of each limiter in any minute that begins at a whole second."""
+    a = acquisitions.withWatermark("ts", late) if acquisitions.isStreaming else acquisitions
+    g = a.groupBy("limiter", F.window("ts", "1 minute", "1 second")).agg(F.count(F.lit(1)).alias("n"))
+    return g.select("limiter", F.col("window.start").alias("minute"), "n")
+
+
 QUEUE_OUT = "path string, fingerprint string, status string, attempts int, wait double, seq long"
 
 
-def queue_stream(commands: DataFrame, max_attempts: int = 5) -> DataFrame:
-    return commands.groupBy("path").transformWithStateInPandas(QueueState(max_attempts), QUEUE_OUT, "Update", "None")
+def queue_stream(commands: DataFrame, max_attempts: int = 5, delay: float = 30.0, timers: bool = False) -> DataFrame:
+    """With ``timers`` backoff ends by itself, in processing time."""
+    return commands.groupBy("path").transformWithStateInPandas(QueueState(max_attempts, delay, timers), QUEUE_OUT, "Update", "ProcessingTime" if timers else "None")
 
 
 def settled(files: DataFrame, settle: str = "10 seconds", late: str = "0 seconds") -> DataFrame:
