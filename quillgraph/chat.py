@@ -68,7 +68,9 @@ class Chat:
 
     def history(self, user_id: str, conversation_id: str) -> DataFrame:
         """Messages whose sources tell if their chunk still exists."""
-        return tables.history(self.messages(user_id, conversation_id, 1000), self.store.read("chunks")).orderBy("id")
+        self._own(user_id, conversation_id)
+        own = self.store.read("messages").where(F.col("conversation_id") == conversation_id)
+        return tables.history(own, self.store.read("chunks")).orderBy("id")
 
     def rename(self, user_id: str, conversation_id: str, title: str) -> None:
         self._own(user_id, conversation_id)

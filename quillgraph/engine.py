@@ -70,14 +70,13 @@ class Engine:
         rejected = found.where("error IS NOT NULL").select("path", "doc_id", "size", F.lit(None).cast("double").alias("mtime"), F.lit("failed").alias("status"), now.alias("updated_at"))
         vectors = chunks.select("chunk_id", self.embed("context_text").alias("dense"))
         postings = search.postings(chunks, text="context_text").select("term", "chunk_id", "tf", "doc_len")
-        old = self.store.manifest()
-        self.store.commit({
-            "documents": upsert(self.store.read("documents", old), docs.select("doc_id", "path", "title", "mime", "n_pages", now.alias("ingested_at")), ["doc_id"]),
-            "chunks": upsert(self.store.read("chunks", old), chunks, ["chunk_id"]),
-            "chunk_vectors": upsert(self.store.read("chunk_vectors", old), vectors, ["chunk_id"]),
-            "chunk_postings": self.store.read("chunk_postings", old).join(chunks.select("chunk_id"), "chunk_id", "left_anti").unionByName(postings),
-            "files": upsert(self.store.read("files", old), registered.unionByName(rejected), ["path"]),
-            "stages": tables.set_stage(self.store.read("stages", old), self._stage_rows(docs.select("doc_id"), ["parse", "chunk", "embed"], "done")),
+        # keyed changes: only the buckets of these documents are written again
+        new_docs, ids = docs.select("doc_id", "path", "title", "mime", "n_pages", now.alias("ingested_at")), chunks.select("chunk_id")
+        seen = registered.unionByName(rejected)
+        steps = tables.set_stage(self.read("stages").join(docs.select("doc_id"), "doc_id", "left_semi"), self._stage_rows(docs.select("doc_id"), ["parse", "chunk", "embed"], "done"))
+        self.store.merge({
+            "documents": (docs.select("doc_id"), new_docs), "chunks": (ids, chunks), "chunk_vectors": (ids, vectors), "chunk_postings": (ids, postings),
+            "files": (seen.select("path"), seen.dropDuplicates(["path"])), "stages": (docs.select("doc_id"), steps),
         })
         self._extract(chunks)
         if build_wiki:
@@ -120,23 +119,29 @@ class Engine:
         merged = build.merge_entities(have, new).select("entity_id", "name", "type", "aliases", "descriptions", "description")
         fresh = new.join(have.select("entity_id"), "entity_id", "left_anti").select("entity_id", "name", "type", "aliases", "descriptions", "description").unionByName(merged)
         fresh = fresh.withColumn("name_keys", text.entity_name_keys(F.concat(F.array("name"), "aliases")))
-        entities = analytics.cut(build.upsert_entities(have, fresh))
         ident = cleaned.select("chunk_id", "norm", text.entity_id(F.col("type"), F.col("norm")).alias("entity_id"))
         ident = ident.join(same.select(F.col("new_id").alias("entity_id"), F.col("entity_id").alias("_to")), "entity_id", "left")
         ident = analytics.cut(ident.select("chunk_id", "norm", F.coalesce("_to", "entity_id").alias("entity_id")))
-        mentions = upsert(self.store.read("mentions", old), ident.select("chunk_id", "entity_id").distinct(), ["chunk_id", "entity_id"])
+        fresh = analytics.cut(fresh)
+        found = analytics.cut(ident.select("chunk_id", "entity_id").distinct())
+        touched = analytics.cut(fresh.select("entity_id").union(found.select("entity_id")).distinct())
+        mentions = self.store.read("mentions", old).join(found, ["chunk_id", "entity_id"], "left_anti").unionByName(found).join(touched, "entity_id", "left_semi")
+        entities = build.upsert_entities(have.join(touched, "entity_id", "left_semi"), fresh)
+        entities = analytics.cut(build.mention_counts(entities, mentions))
         end = lambda c, out: ident.select("chunk_id", F.col("norm").alias(c), F.col("entity_id").alias(out))
         facts = relations.join(end("src", "src_id"), ["chunk_id", "src"]).join(end("dst", "dst_id"), ["chunk_id", "dst"])
         facts = facts.where("src_id <> dst_id").select("src_id", "predicate", "dst_id", "chunk_id", "strength", "description", F.col("pos").cast("long").alias("seq"))
-        evidence = build.add_evidence(self.store.read("relation_evidence", old), facts, self.store.read("chunks", old), entities)
-        mentions = analytics.cut(mentions)
-        self.store.commit({
-            "entities": build.mention_counts(entities, mentions),
-            "entity_vectors": upsert(self.store.read("entity_vectors", old), fresh.select("entity_id", self.embed(F.concat_ws(": ", "name", "description")).alias("dense")), ["entity_id"]),
-            "mentions": mentions, "relation_evidence": evidence,
-            "extraction_cache": upsert(self.store.read("extraction_cache", old), cache, ["chunk_id", "prompt_version", "model"]),
-            "dirty_entities": upsert(self.store.read("dirty_entities", old), ident.select("entity_id").distinct(), ["entity_id"]),
-            "stages": tables.set_stage(self.store.read("stages", old), self._stage_rows(chunks.select("doc_id").join(broken, "doc_id", "left_anti"), ["extract", "graph"], "done").unionByName(self._stage_rows(broken, ["extract"], "failed", "too many chunks failed"))),
+        ids = chunks.select("chunk_id")
+        known = have.select("entity_id").union(entities.select("entity_id")).distinct()
+        evidence = build.add_evidence(self.store.read("relation_evidence", old).join(ids, "chunk_id", "left_semi"), facts, self.store.read("chunks", old).join(ids, "chunk_id", "left_semi"), known)
+        told = fresh.select("entity_id", self.embed(F.concat_ws(": ", "name", "description")).alias("dense"))
+        docs = chunks.select("doc_id").distinct()
+        steps = self._stage_rows(docs.join(broken, "doc_id", "left_anti"), ["extract", "graph"], "done").unionByName(self._stage_rows(broken, ["extract"], "failed", "too many chunks failed"))
+        marked = tables.mark_dirty(self.store.read("dirty_entities", old), touched)
+        self.store.merge({
+            "entities": (touched, entities), "entity_vectors": (fresh.select("entity_id"), told), "mentions": (found, found), "relation_evidence": (ids, evidence),
+            "extraction_cache": (cache.select("chunk_id", "prompt_version", "model"), cache), "dirty_entities": (marked.select("entity_id"), marked),
+            "stages": (docs, tables.set_stage(self.store.read("stages", old).join(docs, "doc_id", "left_semi"), steps)),
         })
 
     # --- removal --------------------------------------------------------
@@ -182,8 +187,11 @@ class Engine:
         cleared = cleared.withColumn("description", F.when(F.col("_t"), "").otherwise(F.col("description"))).withColumn("descriptions", F.when(F.col("_t"), F.array().cast("array<string>")).otherwise(F.col("descriptions"))).drop("_t")
         stale = dirty.select(F.col("entity_id").alias("page_id"), F.lit(True).alias("_s"))
         pages = out["wiki_pages"].join(stale, "page_id", "left").withColumn("stale", F.coalesce("_s", "stale")).drop("_s")
+        live = pages.select("page_id")
+        of_live = lambda n: read(n).join(live, "page_id", "left_semi")
         self.store.commit(out | {
-            "entities": cleared, "wiki_pages": pages, "chunk_vectors": without("chunk_vectors"), "chunk_postings": without("chunk_postings"), "wiki_cites": without("wiki_cites"),
+            "wiki_sections": of_live("wiki_sections"), "section_vectors": of_live("section_vectors"), "section_postings": of_live("section_postings"), "wiki_links": of_live("wiki_links").join(live.withColumnRenamed("page_id", "target_id"), "target_id", "left_semi"),
+            "stages": read("stages").join(dead, "doc_id", "left_anti"), "entities": cleared, "wiki_pages": pages, "chunk_vectors": without("chunk_vectors"), "chunk_postings": without("chunk_postings"), "wiki_cites": without("wiki_cites"),
             "extraction_cache": without("extraction_cache"), "entity_vectors": read("entity_vectors").join(ids, "entity_id", "left_semi"),
             "dirty_entities": upsert(read("dirty_entities").join(ids, "entity_id", "left_semi"), dirty, ["entity_id"]), "pending_removals": read("pending_removals").limit(0),
         })
@@ -192,7 +200,9 @@ class Engine:
 
     def _queries(self, questions: DataFrame) -> DataFrame:
         """(query_id, question) to formulations with vectors, translations included."""
-        q = questions.select("query_id", F.trim("question").alias("text")).where(F.length("text").between(1, QUESTION_CHARS)).withColumn("formulation", F.lit(0))
+        asked = F.trim("question")
+        refused = F.raise_error(F.concat(F.lit(f"a question has 1 to {QUESTION_CHARS} characters: "), F.left(F.coalesce(asked, F.lit("")), F.lit(80)))).cast("string")
+        q = questions.select("query_id", F.when(F.length(asked).between(1, QUESTION_CHARS), asked).otherwise(refused).alias("text")).withColumn("formulation", F.lit(0))
         if self.use.translator is not None:
             t = models.complete_column(self.use.translator)
             line = F.regexp_extract(F.trim("_t.reply"), r"^[\"'“]?([^\n\"'”]+)", 1)
@@ -214,9 +224,8 @@ class Engine:
         if mode == "rag":
             return modes.rag(self.read("chunk_postings"), self.read("chunk_vectors"), chunks, q, k, self.neighbors, self.use.reranker)
         if mode == "wiki":
-            s = self.read("wiki_sections")
-            vectors = s.select("key", self.embed("text").alias("dense"))
-            return modes.wiki(search.hybrid(search.postings(s, "key"), vectors, q, k, "key"), s, chunks, k)
+            found = search.hybrid(self.read("section_postings"), self.read("section_vectors"), q, k, "key")
+            return modes.wiki(found, self.read("wiki_sections"), chunks, k)
         plain = q.where("formulation = 0")
         near = search.dense(self.read("entity_vectors"), plain, modes.SEEDS, "entity_id", threshold=modes.SEED_SCORE)
         named = graph.fulltext(self.read("entities"), plain.select("query_id", F.col("text").alias("query")), k=modes.SEEDS)
@@ -260,16 +269,23 @@ class Engine:
         gone = pages.select("page_id").union(dropped.select("page_id"))
         body = wiki.parse_page(F.col("content"))[1]
         sections = wiki.split_sections(pages.select("page_id", "title", body.alias("body"), "path"))
-        sections = sections.join(pages.select("page_id", "path"), "page_id").withColumn("entity_id", F.col("page_id"))
+        sections = analytics.cut(sections.join(pages.select("page_id", "path"), "page_id").withColumn("entity_id", F.col("page_id")))
         live = upsert(read("wiki_pages").join(dropped, "page_id", "left_anti"), pages, ["page_id"])
         without = lambda n: read(n).join(gone, "page_id", "left_anti")
         linkers = graph.pages_linking_to(read("wiki_links"), dropped).select(F.col("page_id").alias("entity_id"))
         self.store.commit({
-            "wiki_pages": live, "wiki_sections": without("wiki_sections").unionByName(sections, allowMissingColumns=True), "wiki_cites": without("wiki_cites").unionByName(cites),
+            "wiki_pages": live, "wiki_sections": without("wiki_sections").unionByName(sections, allowMissingColumns=True),
+            "section_vectors": without("section_vectors").unionByName(self._section_vectors(sections)), "section_postings": without("section_postings").unionByName(self._section_postings(sections)), "wiki_cites": without("wiki_cites").unionByName(cites),
             "wiki_links": without("wiki_links").unionByName(links.select("page_id", "target_id")), "dirty_entities": upsert(failed.select("entity_id"), linkers, ["entity_id"]),
         })
         return {"written": pages.count(), "dropped": dropped.count(), "failed": failed.count()}
 
+    def _section_vectors(self, sections: DataFrame) -> DataFrame:
+        return sections.select("key", "page_id", self.embed("text").alias("dense"))
+
+    def _section_postings(self, sections: DataFrame) -> DataFrame:
+        return search.postings(sections, "key").join(sections.select("key", "page_id"), "key").select("term", "key", "page_id", "tf", "doc_len")
+
     def analyze(self, estimate_only: bool = False) -> dict:
         return analytics.analyze(self.store, uuid.uuid4().hex, estimate_only)
 
@@ -280,6 +296,7 @@ class Engine:
             "chunk_vectors": chunks.select("chunk_id", self.embed("context_text").alias("dense")),
             "chunk_postings": search.postings(chunks, text="context_text").select("term", "chunk_id", "tf", "doc_len"),
             "entity_vectors": entities.select("entity_id", self.embed(F.concat_ws(": ", "name", "description")).alias("dense")),
+            "section_vectors": self._section_vectors(self.read("wiki_sections")), "section_postings": self._section_postings(self.read("wiki_sections")),
         })
         return chunks.count()
 

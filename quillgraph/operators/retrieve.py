@@ -46,7 +46,7 @@ def chunk_windows(hits: DataFrame, chunks: DataFrame, neighbors: int) -> DataFra
     rows = near.join(c, ["doc_id", "idx"]).where(F.col("headings").eqNullSafe(F.col("hit_headings")))
     rows = rows.select("query_id", "rank", "hit", "score", "doc_id", "hit_idx", "idx", "chunk_id", F.array_join("headings", " > ").alias("heading"), "text", "page_start", "path")
 
-    def cover(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def cover(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         used, out = set(), []
         for (rank, hit), block in pdf.sort_values(["rank", "idx"]).groupby(["rank", "hit"], sort=True):
             if hit in used:
@@ -143,7 +143,7 @@ def combined(parts: dict[str, DataFrame], max_tokens: int = MAX_TOKENS, shares:
     rows = rows.withColumn("tokens", estimate_tokens(F.col("text")))
     budget = [int(max_tokens * shares.get(p, 0)) for p in PARTS]
 
-    def fold(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def fold(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         taken, used, keep = set(), [0] * len(PARTS), []
         for r in pdf.sort_values(["part", "ord"]).itertuples():
             if (r.kind, r.ref) in taken or used[r.part] + r.tokens > budget[r.part]:

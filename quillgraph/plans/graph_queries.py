@@ -39,9 +39,10 @@ def next_edges(spark, sf):
 SELECT src_id, predicate, dst_id, CAST(sum(strength) AS DOUBLE) AS weight, count(*) AS n_evidence, min(chunk_id) AS first_chunk,
   string_agg(chunk_id || '=' || strength, ',' ORDER BY chunk_id) AS listed FROM e GROUP BY ALL""")
 def relation_merge(spark, sf):
-    e = d.supply_evidence(spark, sf).withColumn("seq", F.col("chunk_id")).withColumn("description", F.lit(""))
-    g = e.groupBy("src_id", "predicate", "dst_id").agg(F.sum("strength").cast("double").alias("weight"), F.count(F.lit(1)).alias("n_evidence"), F.min("chunk_id").alias("first_chunk"), F.array_sort(F.collect_list(F.struct("chunk_id", "strength"))).alias("_l"))
-    return g.withColumn("listed", F.array_join(F.transform("_l", lambda x: F.concat_ws("=", x["chunk_id"], x["strength"].cast("string"))), ",")).drop("_l")
+    e = d.supply_evidence(spark, sf).withColumn("seq", F.crc32(F.encode("chunk_id", "UTF-8"))).withColumn("description", F.lit(""))
+    r = build.relations(e)
+    listed = F.array_join(F.array_sort(F.zip_with("evidence", "strengths", lambda a, b: F.concat_ws("=", a, b.cast("string")))), ",")
+    return r.select("src_id", "predicate", "dst_id", "weight", F.size("evidence").cast("long").alias("n_evidence"), F.array_min("evidence").alias("first_chunk"), listed.alias("listed"))
 
 
 @query(f"WITH {d.ENTITIES} SELECT type, count(*) AS n FROM e GROUP BY 1")

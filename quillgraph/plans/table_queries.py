@@ -100,15 +100,6 @@ def stage_sessions(spark, sf):
     return tables.stage_sessions(e)
 
 
-@query("SELECT conv_id, turn, role, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role, text) AS n FROM conversations) WHERE n <= 4")
-def recent_messages(spark, sf):
-    m = load(spark, sf, "conversations").withColumn("seq", F.struct("turn", F.lit(0)))
-    from pyspark.sql.window import Window
-
-    w = Window.partitionBy("conv_id").orderBy(F.desc("turn"), "role", "text")
-    return m.withColumn("_n", F.row_number().over(w)).where("_n <= 4").select("conv_id", "turn", "role", "text")
-
-
 @query("SELECT conv_id, count(*) AS hits, min(turn) AS first_turn FROM conversations WHERE contains(lower(text), 'that') GROUP BY 1")
 def conversation_search(spark, sf):
     return tables.search_titles(load(spark, sf, "conversations"), "THAT", "text").groupBy("conv_id").agg(F.count(F.lit(1)).alias("hits"), F.min("turn").alias("first_turn"))
