@@ -116,14 +116,14 @@ def _run(name: str, k: int, least: float | None):
     return run
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int, key: str, least: float | None = None) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, key: str, least: float | None = None, block: int | None = None) -> DataFrame:
     """query_id, key, score of up to ``k`` rows a question and shard: the candidates
     of a last window.  ``vectors``: (key, dense); ``queries``: (query_id, dense)."""
     usable = F.col("dense").isNotNull() & (F.size("dense") > 0)
     asked = cut(queries.where(usable).select("query_id", "dense", F.monotonically_increasing_id().alias("_q")))
     have = vectors.where(usable).select(key, F.col("dense").alias("_v"))
     n, m = asked.count(), have.count()
-    block = min(QUESTIONS_MOST, max(QUESTIONS_LEAST, int(GROWTH * n**0.5)))
+    block = block or min(QUESTIONS_MOST, max(QUESTIONS_LEAST, int(GROWTH * n**0.5)))
     shard = max(SHARD_LEAST, int(GROWTH * m**0.5))
     cols, shards = max(1, -(-n // block)), max(1, -(-m // shard))
     kind = dict(have.dtypes)[key]

@@ -81,9 +81,10 @@ def top_k(scored: DataFrame, k: int, key: str) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def dense(vectors: DataFrame, queries: DataFrame, k: int, key: str = "chunk_id", threshold: float | None = None) -> DataFrame:
-    """Cosine top k: vectors (key, dense), queries (query_id, dense)."""
-    return top_k(nearest(vectors, queries, k, key, threshold), k, key)
+def dense(vectors: DataFrame, queries: DataFrame, k: int, key: str = "chunk_id", threshold: float | None = None, tile: int | None = None) -> DataFrame:
+    """Cosine top k: vectors (key, dense), queries (query_id, dense), of which a task
+    holds ``tile`` at a time."""
+    return top_k(nearest(vectors, queries, k, key, threshold, tile), k, key)
 
 
 def fuse(lists: list[DataFrame], k: int, key: str = "chunk_id", c: float = RRF_K) -> DataFrame:
