@@ -35,7 +35,19 @@ def cut(df: DataFrame) -> DataFrame:
         spark.conf.set("spark.checkpoint.dir", "file://" + tempfile.mkdtemp(prefix="quillgraph-"))
     path = f"{spark.conf.get('spark.checkpoint.dir').rstrip('/')}/analytics/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def drop(*frames: DataFrame) -> None:
+    """Delete cut tables that nothing reads any more."""
+    for df in frames:
+        path = getattr(df, "_written_to", None)
+        if path:
+            spark = df.sparkSession
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def pagerank(nodes: DataFrame, relations: DataFrame, iterations: int = ITERATIONS, damping: float = DAMPING) -> DataFrame:
@@ -49,17 +61,20 @@ def pagerank(nodes: DataFrame, relations: DataFrame, iterations: int = ITERATION
     n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     e = weighted_edges(relations)
     out = e.groupBy("a").agg(F.sum("w").alias("total"))
-    share = cut(e.join(out, "a").select("a", "b", (F.col("w") / F.col("total")).alias("share")))
-    share = share.repartition(n, "a").persist(StorageLevel.MEMORY_AND_DISK)
+    edges = cut(e.join(out, "a").select("a", "b", (F.col("w") / F.col("total")).alias("share")))
+    share = edges.repartition(n, "a").persist(StorageLevel.MEMORY_AND_DISK)
     ids = nodes.select("entity_id").distinct().repartition(n, "entity_id").persist(StorageLevel.MEMORY_AND_DISK)
-    rank = ids.withColumn("pagerank", F.lit(1.0 - damping))
+    rank, last = ids.withColumn("pagerank", F.lit(1.0 - damping)), None
     for i in range(iterations):
         flow = share.join(rank.withColumnRenamed("entity_id", "a"), "a").groupBy("b").agg(F.sum(F.col("share") * F.col("pagerank")).alias("f"))
         rank = ids.join(flow.withColumnRenamed("b", "entity_id"), "entity_id", "left").select("entity_id", (F.lit(1.0 - damping) + F.lit(damping) * F.coalesce("f", F.lit(0.0))).alias("pagerank"))
         if i % CUT_EVERY == CUT_EVERY - 1 or i == iterations - 1:
-            rank = cut(rank)
+            before, rank = last, cut(rank)
+            last = rank
+            drop(*([before] if before is not None else []))
     share.unpersist()
     ids.unpersist()
+    drop(edges)
     return rank
 
 
