@@ -170,30 +170,33 @@ class Engine:
         """Delete journalled documents, their graph and pages, in one commit."""
         old = self.store.manifest()
         read = lambda n: self.store.read(n, old)
-        dead = read("pending_removals").select("doc_id")
+        dead = analytics.cut(read("pending_removals").select("doc_id"))
         if dead.isEmpty():
             return
-        names = ["chunks", "mentions", "entities", "relation_evidence", "documents", "wiki_pages"]
-        gone_chunks = read("chunks").join(dead, "doc_id", "left_semi").select("chunk_id")
+        gone_chunks = analytics.cut(read("chunks").join(dead, "doc_id", "left_semi").select("chunk_id"))
         hit = read("mentions").join(gone_chunks, "chunk_id", "left_semi").groupBy("entity_id").agg(F.count(F.lit(1)).alias("i"))
-        total = read("mentions").groupBy("entity_id").agg(F.count(F.lit(1)).alias("n"))
-        plan = hit.join(total, "entity_id").select("entity_id", (F.col("n") == F.col("i")).alias("removed"))
-        dirty = build.dirty_after_removal(plan, read("wiki_links"), read("wiki_cites"), gone_chunks)
-        out = build.delete_documents({n: read(n) for n in names}, dead)
-        ids = out["entities"].select("entity_id")
-        without = lambda n: read(n).join(gone_chunks, "chunk_id", "left_anti")
-        touched = plan.where("NOT removed").select("entity_id").withColumn("_t", F.lit(True))
-        cleared = out["entities"].join(touched, "entity_id", "left")
-        cleared = cleared.withColumn("description", F.when(F.col("_t"), "").otherwise(F.col("description"))).withColumn("descriptions", F.when(F.col("_t"), F.array().cast("array<string>")).otherwise(F.col("descriptions"))).drop("_t")
-        stale = dirty.select(F.col("entity_id").alias("page_id"), F.lit(True).alias("_s"))
-        pages = out["wiki_pages"].join(stale, "page_id", "left").withColumn("stale", F.coalesce("_s", "stale")).drop("_s")
-        live = pages.select("page_id")
-        of_live = lambda n: read(n).join(live, "page_id", "left_semi")
-        self.store.commit(out | {
-            "wiki_sections": of_live("wiki_sections"), "section_vectors": of_live("section_vectors"), "section_postings": of_live("section_postings"), "wiki_links": of_live("wiki_links").join(live.withColumnRenamed("page_id", "target_id"), "target_id", "left_semi"),
-            "stages": read("stages").join(dead, "doc_id", "left_anti"), "entities": cleared, "wiki_pages": pages, "chunk_vectors": without("chunk_vectors"), "chunk_postings": without("chunk_postings"), "wiki_cites": without("wiki_cites"),
-            "extraction_cache": without("extraction_cache"), "entity_vectors": read("entity_vectors").join(ids, "entity_id", "left_semi"),
-            "dirty_entities": upsert(read("dirty_entities").join(ids, "entity_id", "left_semi"), dirty, ["entity_id"]), "pending_removals": read("pending_removals").limit(0),
+        total = read("mentions").join(hit, "entity_id", "left_semi").groupBy("entity_id").agg(F.count(F.lit(1)).alias("n"))
+        plan = analytics.cut(hit.join(total, "entity_id").select("entity_id", (F.col("n") == F.col("i")).alias("removed"), (F.col("n") - F.col("i")).cast("int").alias("left")))
+        dirty = analytics.cut(build.dirty_after_removal(plan, read("wiki_links"), read("wiki_cites"), gone_chunks))
+        removed = plan.where("removed").select("entity_id")
+        pages = removed.withColumnRenamed("entity_id", "page_id")
+        # relations that lose evidence lose their description everywhere
+        key = ["src_id", "predicate", "dst_id"]
+        lost = read("relation_evidence").join(gone_chunks, "chunk_id", "left_semi").select(*key).distinct()
+        touched = analytics.cut(read("relation_evidence").join(lost, key, "left_semi"))
+        facts = touched.join(gone_chunks, "chunk_id", "left_anti").withColumn("description", F.lit(""))
+        none = F.array().cast("array<string>")
+        alive = read("entities").join(plan.where("NOT removed").select("entity_id", "left"), "entity_id")
+        alive = alive.withColumn("mention_count", F.col("left")).withColumn("description", F.lit("")).withColumn("descriptions", none).drop("left")
+        stale = read("wiki_pages").join(dirty.select(F.col("entity_id").alias("page_id")), "page_id", "left_semi").withColumn("stale", F.lit(True))
+        empty = lambda n: read(n).limit(0)
+        changes = {n: (gone_chunks, empty(n)) for n in ("chunks", "chunk_vectors", "chunk_postings", "mentions", "extraction_cache", "wiki_cites")}
+        changes |= {n: (pages, empty(n)) for n in ("wiki_sections", "section_vectors", "section_postings")}
+        ends = read("wiki_links").join(pages.withColumnRenamed("page_id", "target_id"), "target_id", "left_semi").unionByName(read("wiki_links").join(pages, "page_id", "left_semi")).select("page_id", "target_id")
+        self.store.merge(changes | {
+            "documents": (dead, empty("documents")), "stages": (dead, empty("stages")), "relation_evidence": (touched.select(*key, "chunk_id"), facts),
+            "entities": (plan.select("entity_id"), alive), "entity_vectors": (removed, empty("entity_vectors")), "wiki_links": (ends, empty("wiki_links")),
+            "wiki_pages": (pages.union(stale.select("page_id")), stale), "dirty_entities": (removed.union(dirty.select("entity_id")), dirty.select("entity_id")), "pending_removals": (dead, empty("pending_removals")),
         })
 
     # --- questions ------------------------------------------------------

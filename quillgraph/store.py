@@ -141,7 +141,7 @@ class TableStore:
 
     def _merged(self, name: str, place, gone: DataFrame, rows: DataFrame, number: int):
         on, rows = gone.columns, self._typed(name, rows)
-        now = lambda paths: self.spark.read.schema(TABLES[name]).parquet(*(f"{self.root}/{p}" for p in paths))
+        now = lambda paths: self.spark.read.schema(TABLES[name]).parquet(*(f"{self.root}/{p}" for p in paths)) if paths else self.spark.createDataFrame([], TABLES[name])
         if place is None:
             return self._write(name, rows, number)
         if isinstance(place, str) or len(place["buckets"]) == 1 or not set(BUCKETED[name]) <= set(on):
