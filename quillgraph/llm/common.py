@@ -8,6 +8,7 @@ import uuid
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: The word definition of the contracts: everything but space, \t, \n, \v, \f, \r.
 WORD_SPLIT = "[\\x20\\x09-\\x0D]+"
@@ -120,6 +121,33 @@ def unsigned_crc32(text):
     return F.crc32(F.encode(F.coalesce(text, F.lit("")), "UTF-8"))
 
 
+def numbered(rows: DataFrame, order: list, name: str, at_least: int = 1) -> DataFrame:
+    """``rows`` with ``name``, their place from 0 in ``order``, ``part``, the range of
+    the order that they lie in, and ``at``, their place there.
+
+    A range sort, written, then a count a range: no task sees more than a range.
+    Rows that tie in ``order`` are spread by a salt, so they must be alike to the
+    caller.  ``part`` and ``at`` are as written and never change.
+    """
+    n = max(at_least, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    keyed = rows.withColumn("_salt", F.xxhash64(F.monotonically_increasing_id()))
+    dealt = keyed.repartitionByRange(n, *order, "_salt").sortWithinPartitions(*order, "_salt").withColumn("_id", F.monotonically_increasing_id())
+    dealt = materialize(dealt.withColumn("part", F.shiftright("_id", 33)).withColumn("at", F.col("_id").bitwiseAND((1 << 33) - 1)).drop("_id", "_salt"), name)
+    counts = dealt.groupBy("part").agg(F.count(F.lit(1)).alias("_n"))  # a row a range
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    out = dealt.join(F.broadcast(counts.select("part", before.alias("_before"))), "part").withColumn(name, F.col("_before") + F.col("at")).drop("_before")
+    out._written_to = dealt._written_to
+    return out
+
+
+def sql_crc32(text: str) -> str:
+    """DuckDB expression of the unsigned crc32 of a string's UTF-8 bytes."""
+    digit = "(strpos('0123456789ABCDEF', substr(hex(encode({0})), {1}, 1)) - 1)"
+    codes = f"list_transform(range(1, CAST(length(hex(encode({text}))) AS BIGINT), 2), lambda i: {digit.format(text, 'i')} * 16 + {digit.format(text, 'i + 1')})"
+    step = "list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384::BIGINT) ELSE c // 2 END, xor(s, b))"
+    return f"xor(4294967295::BIGINT, list_reduce({codes}, lambda s, b: {step}, 4294967295::BIGINT))"
+
+
 def blocks_for(n_rows: int, rows_per_block: int, at_least: int = 1) -> int:
     """Blocks of about ``rows_per_block`` rows; grows with the input."""
     return max(at_least, -(-n_rows // rows_per_block))

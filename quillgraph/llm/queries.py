@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_text, merkle, mixing, packing, pii, sharding, simhash, sstable, topk, toxicity
+from . import html_text, importance, merkle, mixing, packing, pii, sharding, simhash, sstable, topk, toxicity
 from .common import table
 
 
@@ -50,8 +50,12 @@ def op10_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_shard, op2_simhash, op3_pack, op4_topk, op5_html, op6_tokens, op7_mix, op8_toxicity, op9_pii, op10_merkle)
+    f.__name__: f for f in (op1_shard, op2_simhash, op3_pack, op4_topk, op5_html, op6_tokens, op7_mix, op8_toxicity, op9_pii, op10_merkle, op13_resample)
 }
 
-SQL: dict[str, str] = {"op4_topk": topk.SQL, "op7_mix": mixing.SQL}
+SQL: dict[str, str] = {"op4_topk": topk.SQL, "op7_mix": mixing.SQL, "op13_resample": importance.SQL}

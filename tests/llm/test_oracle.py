@@ -6,7 +6,7 @@ import pytest
 from quillgraph.llm.queries import QUERIES, SQL
 
 DATA = os.environ.get("ORACLE_DIR", "/root/testdata/sf0.001")
-TABLES = ("documents", "embeddings", "pages", "labels")
+TABLES = ("documents", "embeddings", "pages", "labels", "benchmark")
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no driver tables here")
