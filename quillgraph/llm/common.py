@@ -121,23 +121,25 @@ def unsigned_crc32(text):
     return F.crc32(F.encode(F.coalesce(text, F.lit("")), "UTF-8"))
 
 
-def numbered(rows: DataFrame, order: list, name: str, at_least: int = 1) -> DataFrame:
-    """``rows`` with ``name``, their place from 0 in ``order``, ``part``, the range of
-    the order that they lie in, and ``at``, their place there.
+def dealt_in_order(rows: DataFrame, order: list, name: str, at_least: int = 1) -> DataFrame:
+    """``rows`` as a table with ``part``, the range of ``order`` that they lie in, and
+    ``at``, their place there from 0; both are as written and never change.
 
-    A range sort, written, then a count a range: no task sees more than a range.
-    Rows that tie in ``order`` are spread by a salt, so they must be alike to the
-    caller.  ``part`` and ``at`` are as written and never change.
+    Rows that tie in ``order`` are spread by a salt, so they must be alike to the caller.
     """
     n = max(at_least, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     keyed = rows.withColumn("_salt", F.xxhash64(F.monotonically_increasing_id()))
     dealt = keyed.repartitionByRange(n, *order, "_salt").sortWithinPartitions(*order, "_salt").withColumn("_id", F.monotonically_increasing_id())
-    dealt = materialize(dealt.withColumn("part", F.shiftright("_id", 33)).withColumn("at", F.col("_id").bitwiseAND((1 << 33) - 1)).drop("_id", "_salt"), name)
+    return materialize(dealt.withColumn("part", F.shiftright("_id", 33)).withColumn("at", F.col("_id").bitwiseAND((1 << 33) - 1)).drop("_id", "_salt"), name)
+
+
+def numbered(rows: DataFrame, order: list, name: str) -> DataFrame:
+    """``rows`` with ``name``, their place from 0 in ``order``, and ``part`` and ``at``
+    as above: a range sort and a count a range, so no task sees more than a range."""
+    dealt = dealt_in_order(rows, order, name)
     counts = dealt.groupBy("part").agg(F.count(F.lit(1)).alias("_n"))  # a row a range
     before = F.coalesce(F.sum("_n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    out = dealt.join(F.broadcast(counts.select("part", before.alias("_before"))), "part").withColumn(name, F.col("_before") + F.col("at")).drop("_before")
-    out._written_to = dealt._written_to
-    return out
+    return dealt.join(F.broadcast(counts.select("part", before.alias("_before"))), "part").withColumn(name, F.col("_before") + F.col("at")).drop("_before")
 
 
 def sql_crc32(text: str) -> str:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_text, importance, merkle, mixing, packing, pii, quality, sharding, simhash, sstable, topk, toxicity
+from . import html_text, importance, manifest, merkle, mixing, packing, pii, quality, sharding, simhash, sstable, topk, toxicity
 from .common import table
 
 
@@ -50,6 +50,10 @@ def op10_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.proved_documents(table(spark, sf_dir, "documents"))
+
+
 def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge_documents(table(spark, sf_dir, "documents"))
 
@@ -59,7 +63,7 @@ def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_shard, op2_simhash, op3_pack, op4_topk, op5_html, op6_tokens, op7_mix, op8_toxicity, op9_pii, op10_merkle, op12_quality, op13_resample)
+    f.__name__: f for f in (op1_shard, op2_simhash, op3_pack, op4_topk, op5_html, op6_tokens, op7_mix, op8_toxicity, op9_pii, op10_merkle, op11_manifest, op12_quality, op13_resample)
 }
 
-SQL: dict[str, str] = {"op4_topk": topk.SQL, "op7_mix": mixing.SQL, "op12_quality": quality.SQL, "op13_resample": importance.SQL}
+SQL: dict[str, str] = {"op4_topk": topk.SQL, "op7_mix": mixing.SQL, "op11_manifest": manifest.SQL, "op12_quality": quality.SQL, "op13_resample": importance.SQL}
