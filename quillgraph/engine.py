@@ -289,8 +289,8 @@ class Engine:
     def _section_postings(self, sections: DataFrame) -> DataFrame:
         return search.postings(sections, "key").join(sections.select("key", "page_id"), "key").select("term", "key", "page_id", "tf", "doc_len")
 
-    def analyze(self, estimate_only: bool = False) -> dict:
-        return analytics.analyze(self.store, uuid.uuid4().hex, estimate_only)
+    def analyze(self, estimate_only: bool = False, max_nodes: int | None = None, max_relations: int | None = None) -> dict:
+        return analytics.analyze(self.store, uuid.uuid4().hex, estimate_only, max_nodes, max_relations)
 
     def reindex(self) -> int:
         """Recompute all vectors and postings from the chunks; one commit."""

@@ -1,19 +1,14 @@
-"""PageRank, communities and their publication."""
+"""PageRank, and the publication of ranks and communities."""
 
 from __future__ import annotations
 
 import uuid
 
-import numpy as np
-import pandas as pd
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ITERATIONS, DAMPING, SEED = 20, 0.85, 42
-#: Communities are found in one task, for graphs up to this size; larger ones are
-#: an error, as the analysis guards demand.
-MAX_NODES, MAX_RELATIONS = 100_000, 500_000
+ITERATIONS, DAMPING = 20, 0.85
 CUT_EVERY = 5
 
 
@@ -78,105 +73,17 @@ def pagerank(nodes: DataFrame, relations: DataFrame, iterations: int = ITERATION
     return rank
 
 
-def _move(neighbours: list[dict[int, float]], strength: np.ndarray, label: np.ndarray, total: float, rng: np.random.Generator, gamma: float) -> bool:
-    """Local moves until no node gains modularity."""
-    sums = np.bincount(label, weights=strength, minlength=len(label)).astype(float)
-    moved, queue, waiting = False, list(rng.permutation(len(label))), np.ones(len(label), bool)
-    while queue:
-        v = queue.pop()
-        waiting[v] = False
-        here, near = label[v], {}
-        for u, w in neighbours[v].items():
-            if u != v:
-                near[label[u]] = near.get(label[u], 0.0) + w
-        sums[here] -= strength[v]
-        best, gain = here, near.get(here, 0.0) - gamma * strength[v] * sums[here] / total
-        for c in sorted(near):
-            g = near[c] - gamma * strength[v] * sums[c] / total
-            if g > gain + 1e-12:
-                best, gain = c, g
-        sums[best] += strength[v]
-        if best != here:
-            label[v], moved = best, True
-            for u in neighbours[v]:
-                if label[u] != best and not waiting[u]:
-                    waiting[u] = True
-                    queue.insert(0, u)
-    return moved
-
-
-def _split_connected(neighbours: list[dict[int, float]], label: np.ndarray) -> np.ndarray:
-    """Refinement: each community's connected parts become communities."""
-    out, n = np.full(len(label), -1), 0
-    for s in range(len(label)):
-        if out[s] < 0:
-            stack, out[s] = [s], n
-            while stack:
-                v = stack.pop()
-                for u in neighbours[v]:
-                    if out[u] < 0 and label[u] == label[v]:
-                        out[u] = n
-                        stack.append(u)
-            n += 1
-    return out
+#: Bytes of a node and of one direction of a relation in the working tables.
+NODE_BYTES, EDGE_BYTES = 64, 48
+
 
+def analyze(store, run_id: str | None = None, estimate_only: bool = False, max_nodes: int | None = None, max_relations: int | None = None) -> dict:
+    """Both algorithms, and publication if the revision hasn't moved.
 
-def leiden(n: int, edges: list[tuple[int, int, float]], seed: int = SEED, gamma: float = 1.0) -> np.ndarray:
-    """Community of each node: local moves, connected refinement, aggregation."""
-    rng = np.random.default_rng(seed)
-    neighbours: list[dict[int, float]] = [{} for _ in range(n)]
-    for a, b, w in edges:
-        neighbours[a][b] = neighbours[a].get(b, 0.0) + w
-    part = np.arange(n)
-    for _ in range(50):
-        strength = np.array([sum(d.values()) for d in neighbours])
-        label = np.arange(len(neighbours))
-        total = max(strength.sum(), 1e-12)
-        if not _move(neighbours, strength, label, total, rng, gamma):
-            break
-        label = _split_connected(neighbours, label)
-        part = label[part]
-        k = int(label.max()) + 1
-        if k == len(neighbours):
-            break
-        merged: list[dict[int, float]] = [{} for _ in range(k)]
-        for v, d in enumerate(neighbours):
-            for u, w in d.items():
-                a, b = int(label[v]), int(label[u])
-                merged[a][b] = merged[a].get(b, 0.0) + w
-        neighbours = merged
-    return part
-
-
-def communities(nodes: DataFrame, relations: DataFrame, seed: int = SEED) -> DataFrame:
-    """entity_id, community: keys derive from the sorted members, so an equal
-    community has an equal key in every run."""
-    edges = cut(weighted_edges(relations))
-    n, m = nodes.select("entity_id").distinct().count(), edges.count() // 2
-    if n > MAX_NODES or m > MAX_RELATIONS:
-        raise ValueError(f"graph of {n} nodes and {m} relations exceeds {MAX_NODES} and {MAX_RELATIONS}")
-    rows = nodes.select(F.col("entity_id").alias("a"), F.lit(None).cast("string").alias("b"), F.lit(0.0).alias("w")).unionByName(edges).withColumn("one", F.lit(1))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        names = np.sort(pdf["a"].unique())
-        at = {x: i for i, x in enumerate(names)}
-        e = pdf[pdf["b"].notna()].sort_values(["a", "b"])
-        part = leiden(len(names), [(at[a], at[b], w) for a, b, w in zip(e["a"], e["b"], e["w"], strict=True)], seed)
-        return pd.DataFrame({"entity_id": names, "part": part})
-
-    found = rows.groupBy("one").applyInPandas(run, "entity_id string, part long")
-    return community_keys(found)
-
-
-def community_keys(parts: DataFrame) -> DataFrame:
-    """(entity_id, part) to (entity_id, community): a hash of the member list."""
-    key = parts.groupBy("part").agg(F.concat(F.lit("community:"), F.left(F.sha2(F.to_json(F.array_sort(F.collect_list("entity_id"))).cast("binary"), 256), F.lit(24))).alias("community"))
-    return parts.join(key, "part").select("entity_id", "community")
-
-
-def analyze(store, run_id: str | None = None, estimate_only: bool = False) -> dict:
-    """Guards, both algorithms, and publication if the revision hasn't moved."""
-    from . import build
+    A graph with weights that aren't positive and finite, or over the caller's limits,
+    is refused.  ``projection_bytes`` estimates the working tables of a round.
+    """
+    from . import build, communities
     from .graph import MAX_DOUBLE
 
     manifest = store.manifest()
@@ -184,15 +91,16 @@ def analyze(store, run_id: str | None = None, estimate_only: bool = False) -> di
     rel = cut(build.relation_weights(evidence))
     good = (F.col("weight") > 0) & (F.col("weight") <= MAX_DOUBLE)
     n, m, bad = entities.count(), rel.count(), rel.where(~F.coalesce(good, F.lit(False))).count()
-    report = {"nodes": n, "relations": m, "bad_weights": bad, "revision": manifest["revision"]}
-    if bad or n > MAX_NODES or m > MAX_RELATIONS:
+    report = {"nodes": n, "relations": m, "bad_weights": bad, "revision": manifest["revision"], "projection_bytes": n * NODE_BYTES + 2 * m * EDGE_BYTES}
+    if bad or (max_nodes is not None and n > max_nodes) or (max_relations is not None and m > max_relations):
         raise ValueError(f"analysis refused: {report}")
     if estimate_only or not n:
         return report | {"published": False}
     run_id = run_id or uuid.uuid4().hex
-    scored = pagerank(entities, rel).join(communities(entities, rel), "entity_id").withColumn("analytics_run_id", F.lit(run_id))
+    scored = pagerank(entities, rel).join(communities.communities(entities, rel), "entity_id").withColumn("analytics_run_id", F.lit(run_id))
     scored = cut(scored)
     if scored.count() != n:
         raise ValueError("the analysis doesn't cover all entities")
     rows = entities.drop("pagerank", "community", "analytics_run_id").join(scored, "entity_id")
+    report["communities"] = scored.select("community").distinct().count()
     return report | {"run_id": run_id, "published": store.publish_analysis(manifest["revision"], rows, run_id)}

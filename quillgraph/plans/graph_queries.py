@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import analytics, build, graph, views
+from ..operators import analytics, build, communities, graph, views
 from ..operators.analytics import cut
 from ..session import load
 from . import driver_tables as d
@@ -192,8 +192,8 @@ def pagerank_20(spark, sf):
 
 @query()
 def community_keys(spark, sf):
-    """Leiden communities of all entities over all relations; refused beyond the guards."""
-    return analytics.communities(d.named_entities(spark, sf), d.relations(spark, sf))
+    """Communities of all entities over all relations."""
+    return communities.communities(d.named_entities(spark, sf), d.relations(spark, sf))
 
 
 @query(f"""WITH {d.ENTITIES} SELECT community, size, position, entity_id FROM (

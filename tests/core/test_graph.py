@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from quillgraph.operators import analytics, build, graph, views
+from quillgraph.operators import analytics, build, communities, graph, views
 
 CHUNKS = [("A:00000", "A", 0), ("A:00001", "A", 1), ("A:00002", "A", 2), ("B:00000", "B", 0), ("B:00001", "B", 1)]
 MENTIONS = [("A:00000", "ada"), ("A:00001", "ada"), ("B:00000", "ada"), ("A:00000", "babbage"), ("B:00001", "babbage"), ("A:00001", "engine"), ("A:00002", "engine"), ("A:00002", "notes"), ("B:00001", "loom"), ("B:00000", "lonely")]
@@ -101,7 +101,7 @@ def test_removal(spark, g):
 def test_analytics(g):
     ranks = {x.entity_id: x.pagerank for x in analytics.pagerank(g["entities"], g["relations"]).collect()}
     assert ranks["lonely"] == pytest.approx(0.15) and ranks["engine"] > ranks["loom"] and ranks["ada"] > ranks["notes"]
-    one, two = ({x.entity_id: x.community for x in analytics.communities(g["entities"], g["relations"]).collect()} for _ in range(2))
+    one, two = ({x.entity_id: x.community for x in communities.communities(g["entities"], g["relations"]).collect()} for _ in range(2))
     assert one == two and one["lonely"] not in {v for k, v in one.items() if k != "lonely"} and all(v.startswith("community:") for v in one.values())
 
 
