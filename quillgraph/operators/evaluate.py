@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import random
+import math
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import DoubleType, StructField, StructType
 from pyspark.sql.window import Window
 
 from ..schema import METRICS, MODES
 
-RESAMPLES, SEED, LOW, HIGH = 1000, 159, 24, 974
+#: Resamples, and the share of them that lies below and above an interval.
+RESAMPLES, TAIL = 1000, 0.025
 NEEDS_REFERENCE = ["context_precision_with_reference", "context_recall", "factual_correctness"]
 NEEDS_CONTEXT = ["faithfulness", "context_precision_with_reference", "context_recall"]
 
@@ -89,13 +87,51 @@ def summary(rows: DataFrame) -> DataFrame:
     )
 
 
-def paired(rows: DataFrame) -> DataFrame:
-    """For each mode pair and metric: questions ok in both and mean of B - A."""
+def _deltas(rows: DataFrame) -> DataFrame:
+    """mode_a, mode_b, metric, id, d: B - A of questions that are ok in both modes."""
     ok = rows.where("score_status = 'ok'").select("id", "mode", "mode_pos", "metric", "value")
     a = ok.select("id", "metric", F.col("mode").alias("mode_a"), F.col("mode_pos").alias("pa"), F.col("value").alias("va"))
     b = ok.select("id", "metric", F.col("mode").alias("mode_b"), F.col("mode_pos").alias("pb"), F.col("value").alias("vb"))
-    j = a.join(b, ["id", "metric"]).where("pa < pb")
-    return j.groupBy("mode_a", "mode_b", "metric").agg(F.count(F.lit(1)).alias("pairs"), F.round(F.avg(F.col("vb") - F.col("va")), 6).alias("mean_delta"), F.collect_list(F.struct("id", (F.col("vb") - F.col("va")).alias("d"))).alias("_d")).withColumn("deltas", F.transform(F.array_sort("_d"), lambda x: x["d"])).drop("_d")
+    return a.join(b, ["id", "metric"]).where("pa < pb").select("mode_a", "mode_b", "metric", "id", (F.col("vb") - F.col("va")).alias("d"))
+
+
+def paired(rows: DataFrame) -> DataFrame:
+    """For each mode pair and metric: questions ok in both and mean of B - A."""
+    return _deltas(rows).groupBy("mode_a", "mode_b", "metric").agg(F.count(F.lit(1)).alias("pairs"), F.round(F.avg("d"), 6).alias("mean_delta"))
+
+
+#: 32-bit numbers from which on a Poisson variable of mean 1 is over 0, 1, 2, ...
+POISSON = [math.floor(2**32 * math.exp(-1) * sum(1 / math.factorial(k) for k in range(n + 1))) for n in range(12)]
+
+
+def poisson_weights(key: Column, block: Column) -> Column:
+    """Weights of a key in the four resamples of a block, from one keyed digest."""
+    digest = F.md5(F.encode(F.concat(key, F.lit(":"), block.cast("string")), "UTF-8"))
+    drawn = [F.conv(F.substring(digest, 8 * j + 1, 8), 16, 10).cast("long") for j in range(4)]
+    return F.array(*(sum(((u >= t).cast("int") for t in POISSON), F.lit(0)) for u in drawn))
+
+
+def intervals(rows: DataFrame, resamples: int = RESAMPLES) -> DataFrame:
+    """mode_a, mode_b, metric, pairs, low, high: bootstrap interval of the mean delta.
+
+    Poisson bootstrap: a question's weight in a resample follows from a hash of both,
+    so a resample's mean is a ratio of two plain sums, summed in the tasks first, and
+    all modes and metrics weigh a question alike.  Only the ``resamples`` means of a
+    mode pair and metric are sorted.  Fewer than two pairs give null; resamples in
+    which all weights are zero are left out.
+    """
+    deltas = _deltas(rows)
+    by = ["mode_a", "mode_b", "metric"]
+    pairs = deltas.groupBy(*by).agg(F.count(F.lit(1)).alias("pairs"))
+    blocks = deltas.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(resamples // 4 - 1))))
+    drawn = blocks.select(*by, "d", "block", F.posexplode(poisson_weights(F.col("id"), F.col("block"))).alias("j", "w")).where("w > 0")
+    means = drawn.groupBy(*by, (4 * F.col("block") + F.col("j")).alias("r")).agg((F.sum(F.col("w") * F.col("d")) / F.sum("w")).alias("mean"))
+    ends = means.groupBy(*by).agg(F.array_sort(F.collect_list("mean")).alias("m"))
+    n = F.size("m")
+    at = lambda place: F.round(F.element_at("m", F.greatest(F.lit(1), place.cast("int"))), 9)
+    out = pairs.join(ends, by, "left")
+    enough = F.col("pairs") >= 2
+    return out.select(*by, "pairs", F.when(enough, at(F.floor(n * TAIL))).alias("low"), F.when(enough, at(F.ceil(n * (1 - TAIL)))).alias("high"))
 
 
 def by_category(rows: DataFrame) -> DataFrame:
@@ -103,21 +139,6 @@ def by_category(rows: DataFrame) -> DataFrame:
     return rows.groupBy(c.alias("category"), "mode", "metric").agg(F.count(F.lit(1)).alias("planned"), F.count_if(F.col("score_status") == "ok").alias("ok"), F.round(F.avg("value"), 6).alias("mean"), F.count_if(F.col("score_status") != "ok").alias("not_scored"))
 
 
-@pandas_udf(StructType([StructField("low", DoubleType()), StructField("high", DoubleType())]))
-def interval(deltas: pd.Series) -> pd.DataFrame:
-    """Bootstrap interval of the mean; fewer than two pairs give null."""
-    out = []
-    for d in deltas:
-        d = [] if d is None else list(d)
-        if len(d) < 2:
-            out.append((None, None))
-            continue
-        rng = random.Random(SEED)
-        means = sorted(sum(rng.choices(d, k=len(d))) / len(d) for _ in range(RESAMPLES))
-        out.append((means[LOW], means[HIGH]))
-    return pd.DataFrame(out, columns=["low", "high"])
-
-
 def processing_costs(rows: DataFrame) -> DataFrame:
     """phase: attempts, failures, time and tokens (unknown if any is null)."""
     known = lambda c: F.when(F.bool_and(F.col(c).isNotNull()), F.sum(c))

@@ -10,6 +10,7 @@ from ..operators import build, evaluate, graph, retrieve, search, tables, views
 from ..schema import JOB_STATUSES, STAGES
 from ..session import load
 from ..streaming import jobs as streams
+from ..streaming import limits
 from . import driver_tables as d
 
 Q, SQL = {}, {}
@@ -415,7 +416,7 @@ def workers_alive(spark, sf):
 @query("""WITH w AS (SELECT event_type AS limiter, event_id, count(*) OVER (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL '59999999 microseconds' PRECEDING AND CURRENT ROW) AS in_window FROM events)
 SELECT limiter, event_id, in_window FROM w WHERE in_window > 1""")
 def rate_limit(spark, sf):
-    return streams.over_rate(load(spark, sf, "events").select(F.col("event_type").alias("limiter"), "ts", "event_id"), 1).select("limiter", "event_id", "in_window")
+    return limits.over_rate(load(spark, sf, "events").select(F.col("event_type").alias("limiter"), "ts", "event_id"), 1).select("limiter", "event_id", "in_window")
 
 
 @query("SELECT date_trunc('day', ts) AS day, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS tokens FROM events WHERE event_type <> 'view' GROUP BY 1")

@@ -145,13 +145,24 @@ def eval_summary(spark, sf):
 @query(f"""WITH {_EVAL} SELECT x.mode AS mode_a, y.mode AS mode_b, 'faithfulness' AS metric, count(*) AS pairs, round(avg(y.value - x.value), 6) AS mean_delta
 FROM dt x JOIN dt y ON x.id = y.id AND x.mode_pos < y.mode_pos WHERE x.score_status = 'ok' AND y.score_status = 'ok' GROUP BY ALL""")
 def eval_paired(spark, sf):
-    return evaluate.paired(eval_details(spark, sf)).drop("deltas")
+    return evaluate.paired(eval_details(spark, sf))
 
 
-@query()
+_U = "CAST('0x' || substr(md5(id || ':' || block), CAST(8 * j + 1 AS BIGINT), 8) AS BIGINT)"
+_WEIGHT = "(" + " + ".join(f"CASE WHEN u >= {t} THEN 1 ELSE 0 END" for t in evaluate.POISSON) + ")"
+
+
+@query(f"""WITH {_EVAL}, dl AS (SELECT x.mode AS mode_a, y.mode AS mode_b, 'faithfulness' AS metric, x.id, y.value - x.value AS d
+  FROM dt x JOIN dt y ON x.id = y.id AND x.mode_pos < y.mode_pos WHERE x.score_status = 'ok' AND y.score_status = 'ok'),
+ un AS (SELECT *, {_U} AS u FROM dl, (SELECT unnest(range({evaluate.RESAMPLES // 4})) AS block), (SELECT unnest(range(4)) AS j)),
+ wt AS (SELECT *, {_WEIGHT} AS w FROM un),
+ mn AS (SELECT mode_a, mode_b, metric, 4 * block + j AS r, sum(w * d) / sum(w) AS mean FROM wt WHERE w > 0 GROUP BY ALL),
+ en AS (SELECT mode_a, mode_b, metric, list(mean ORDER BY mean) AS m FROM mn GROUP BY ALL),
+ pr AS (SELECT mode_a, mode_b, metric, count(*) AS pairs FROM dl GROUP BY ALL)
+SELECT mode_a, mode_b, metric, pairs, CASE WHEN pairs >= 2 THEN round(m[greatest(1, CAST(floor(len(m) * {evaluate.TAIL}) AS INTEGER))], 9) END AS low,
+  CASE WHEN pairs >= 2 THEN round(m[greatest(1, CAST(ceil(len(m) * {1 - evaluate.TAIL}) AS INTEGER))], 9) END AS high FROM pr LEFT JOIN en USING (mode_a, mode_b, metric)""")
 def eval_bootstrap(spark, sf):
-    p = evaluate.paired(eval_details(spark, sf))
-    return p.select("mode_a", "mode_b", "metric", "pairs", evaluate.interval(F.col("deltas")).alias("i")).select("mode_a", "mode_b", "metric", "pairs", "i.low", "i.high")
+    return evaluate.intervals(eval_details(spark, sf))
 
 
 @query(f"""WITH {_EVAL} SELECT coalesce(category, 'unclassified') AS category, mode, 'faithfulness' AS metric, count(*) AS planned, count(*) FILTER (WHERE score_status = 'ok') AS ok, round(avg(value), 6) AS mean, count(*) FILTER (WHERE score_status <> 'ok') AS not_scored FROM dt GROUP BY ALL""")

@@ -42,14 +42,6 @@ def daily_usage(calls: DataFrame, late: str = "1 day") -> DataFrame:
     return g.select(F.col("window.start").alias("day"), "tokens")
 
 
-def over_rate(acquisitions: DataFrame, per_minute: int) -> DataFrame:
-    """Acquisitions that exceed ``per_minute`` in the half-open minute before."""
-    from pyspark.sql.window import Window
-
-    w = Window.partitionBy("limiter").orderBy(F.unix_micros(F.col("ts").cast("timestamp"))).rangeBetween(-59_999_999, 0)
-    return acquisitions.withColumn("in_window", F.count(F.lit(1)).over(w)).where(F.col("in_window") > per_minute)
-
-
 def last_records(log: DataFrame, keys: list[str], seq: str = "seq") -> DataFrame:
     """Last record of each key; a streaming aggregate in update mode."""
     names = [c for c in log.columns if c not in keys]
@@ -186,13 +178,6 @@ def run_stream(steps: DataFrame) -> DataFrame:
     return steps.groupBy("key").transformWithStateInPandas(Runs(), "key long, run long, name string, n long, tokens long", "Append", "None")
 
 
-def rate_stream(acquisitions: DataFrame, late: str = "1 minute") -> DataFrame:
-    """Most acquisitions of each limiter in any minute that begins at a whole second."""
-    a = acquisitions.withWatermark("ts", late) if acquisitions.isStreaming else acquisitions
-    g = a.groupBy("limiter", F.window("ts", "1 minute", "1 second")).agg(F.count(F.lit(1)).alias("n"))
-    return g.select("limiter", F.col("window.start").alias("minute"), "n")
-
-
 QUEUE_OUT = "path string, fingerprint string, status string, attempts int, wait double, seq long"
 
 

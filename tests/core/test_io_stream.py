@@ -87,8 +87,3 @@ def test_queue_state(spark, tmp_path):
     out = jobs.collect_once(jobs.queue_stream(stream), "queue", "update", str(tmp_path / "ck")).orderBy("seq").collect()
     assert [(r.seq, r.fingerprint, r.status) for r in out][-1] == (7, "f2", "done")
     assert (5, "f1", "superseded") in [(r.seq, r.fingerprint, r.status) for r in out]
-
-
-def test_rate(spark):
-    df = spark.createDataFrame([("l", float(t)) for t in (0, 10, 59, 60, 61)], "limiter string, ts double").withColumn("ts", F.timestamp_seconds("ts"))
-    assert [r.in_window for r in jobs.over_rate(df, 3).collect()] == [4] and jobs.over_rate(df, 2).count() == 3

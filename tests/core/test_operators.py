@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -166,9 +167,24 @@ def test_evaluation(spark):
     sm = {r.mode: r for r in evaluate.summary(d).collect()}
     assert sm["rag"].mean == 0.5 and sm["rag"].missing == 1 and sm["wiki"].latency_ms == 0
     assert evaluate.unscored(p.where("status = 'ok'"), s, ["faithfulness"]).count() == 1
-    i = spark.createDataFrame([([0.1, 0.2, 0.3],), ([1.0],)], "d array<double>").select(evaluate.interval("d").alias("i")).collect()
-    assert 0.1 <= i[0].i.low <= 0.2 <= i[0].i.high <= 0.3 and i[1].i.low is None
     ok = evaluate.validate_questions(q).count()
     assert ok == 2
     with pytest.raises(Exception, match="bad question"):
         evaluate.validate_questions(q.union(q)).collect()
+
+
+def test_poisson_bootstrap(spark):
+    """The interval of a mean is about the normal one, and equal on any layout."""
+    rnd = random.Random(4)
+    values = [rnd.gauss(0.3, 1.0) for _ in range(400)]
+    rows = [(f"q{k}", mode, pos, "m", "ok", v * pos) for k, v in enumerate(values) for pos, mode in enumerate(("a", "b"))]
+    rows += [("x", "a", 0, "one", "ok", 0.5), ("x", "b", 1, "one", "ok", 0.7), ("y", "a", 0, "m", "missing", None), ("y", "b", 1, "m", "ok", 9.0)]
+    df = spark.createDataFrame(rows, "id string, mode string, mode_pos int, metric string, score_status string, value double")
+    out = {r.metric: r for r in evaluate.intervals(df).collect()}
+    assert out["one"].pairs == 1 and out["one"].low is None and out["one"].high is None
+    mean, half = sum(values) / 400, 1.96 * (sum((v - sum(values) / 400) ** 2 for v in values) / 400 / 400) ** 0.5
+    assert out["m"].pairs == 400 and abs(out["m"].low - (mean - half)) < half / 5 and abs(out["m"].high - (mean + half)) < half / 5
+    again = {r.metric: r for r in evaluate.intervals(df.repartition(7)).collect()}
+    assert (again["m"].low, again["m"].high) == (out["m"].low, out["m"].high)
+    w = spark.range(20_000).select(F.explode(evaluate.poisson_weights(F.col("id").cast("string"), F.lit(3))).alias("w")).agg(F.avg("w"), F.var_samp("w")).first()
+    assert abs(w[0] - 1) < 0.02 and abs(w[1] - 1) < 0.05

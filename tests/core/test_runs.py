@@ -45,18 +45,7 @@ def test_accounting(spark, tmp_path):
         runs.check_budget(e, 42)
 
 
-def test_limiter_and_waits():
-    now = [0.0]
-    slept = []
-
-    def sleep(s):
-        slept.append(s)
-        now[0] += s
-
-    limiter = runs.Limiter(2, lambda: now[0], sleep)
-    assert [limiter.acquire() for _ in range(3)] == [0.0, 0.0, 60.0]
-    now[0] = 119.0
-    assert limiter.acquire() == 0.0 and limiter.acquire() == 1.0 and slept == [60.0, 1.0]
+def test_waits():
     assert [runs.wait_before(n) for n in (1, 2, 3, 9)] == [1, 2, 4, 60] and runs.wait_before(1, retry_after=7) == 7
     assert runs.give_up(5, 0) and not runs.give_up(9, 0, rate_limited=True) and runs.give_up(1, 600)
     assert runs.config_hash({"answer": 1, "other": 2}) == runs.config_hash({"answer": 1}) != runs.config_hash({"answer": 2})
@@ -149,9 +138,3 @@ def test_processors():
     r.init(Handle())
     assert feed(r, [("a", 1, 5), ("a", 2, 5), ("b", 3, 1)], ["name", "seq", "tokens"], 0) == [("p", 1, "a", 2, 10)]
     assert feed(r, [("b", 4, 1), ("a", 5, 2)], ["name", "seq", "tokens"], 0) == [("p", 2, "b", 2, 2)]
-
-
-def test_rates(spark):
-    a = spark.createDataFrame([("m", k) for k in (0, 10, 59, 60, 61)], "limiter string, s long").select("limiter", F.timestamp_seconds("s").alias("ts"))
-    most = jobs.rate_stream(a).agg(F.max("n")).first()[0]
-    assert most == 4
