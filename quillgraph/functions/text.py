@@ -62,19 +62,14 @@ def normalize_name(names: pd.Series) -> pd.Series:
     return names.map(_normal, na_action="ignore")
 
 
-def normalize_ascii(name: Column) -> Column:
-    """The same for ASCII and Cyrillic names, without leaving the JVM."""
-    return F.trim(F.regexp_replace(F.lower(name), r"[^\p{L}\p{N}+#]+", " "))
-
-
 def name_key(normal: Column) -> Column:
     return F.replace(normal, F.lit(" "), F.lit(""))
 
 
-def entity_name_keys(names: Column) -> Column:
+@pandas_udf(ArrayType(StringType()))
+def entity_name_keys(names: pd.Series) -> pd.Series:
     """Sorted distinct non-empty keys of an array of names."""
-    keys = F.transform(names, lambda n: name_key(normalize_ascii(n)))
-    return F.array_sort(F.array_distinct(F.filter(keys, lambda k: k != "")))
+    return names.map(lambda a: sorted({_normal(n).replace(" ", "") for n in a if n is not None} - {""}), na_action="ignore")
 
 
 def entity_id(kind: Column, normal: Column) -> Column:
@@ -172,12 +167,26 @@ def clean_json(text: Column) -> Column:
     return F.coalesce(F.nullif(F.regexp_extract(x, r"(?s)(\{.*\})", 1), F.lit("")), x)
 
 
+# fixed values: names whose values are secrets, and marks of other secrets
+SECRET_NAMES = ("api_key", "api-key", "apikey", "access_token", "access-token", "accesstoken", "token", "password", "passwd", "secret", "key")
+MASK = "***"
+BEARER, KEY_START = "Bearer", "sk-"
+
+
 def safe_error(kind: Column, message: Column, limit: int = ERROR_LIMIT) -> Column:
+    """kind: message, with secrets masked: bearer tokens, keys, user and password of an
+    address, and the values of secret names, as assignments or as JSON pairs."""
+    value = "[^\\s\"'&,;}]+"
+    quoted_or_bare = f"(?i)\\b({'|'.join(SECRET_NAMES)})(\"?\\s*[=:]\\s*\"?){value}"
+    masks = [
+        (f"(?i)\\b{BEARER}\\s+[^\\s\"',;]+", f"{BEARER} {MASK}"),
+        (f"\\b{KEY_START}[\\w-]+", KEY_START + MASK),
+        ("://[^\\s/:@]+:[^\\s/@]+@", f"://{MASK}@"),
+        (quoted_or_bare, f"$1$2{MASK}"),
+    ]
     x = F.concat_ws(": ", kind, message)
-    x = F.regexp_replace(x, r"(?i)(bearer\s+)[^\s,;]+", "$1***")
-    x = F.regexp_replace(x, r"\bsk-[A-Za-z0-9_-]+", "sk-***")
-    x = F.regexp_replace(x, r"(://[^/\s:@]+:)[^@\s]+@", "$1***@")
-    x = F.regexp_replace(x, r"(?i)\b(api_?key|token|password|secret)(\s*[=:]\s*)[^\s,;&]+", "$1$2***")
+    for pattern, put in masks:
+        x = F.regexp_replace(x, pattern, put)
     return F.when(F.length(x) > limit, F.concat(F.left(x, F.lit(limit - 1)), F.lit("…"))).otherwise(x)
 
 
@@ -191,29 +200,30 @@ def cited_numbers(answer: Column) -> Column:
 
 
 def strip_reserved_sections(body: Column) -> Column:
-    """Drop a leading H1, everything from Related or Sources, and footnotes."""
-    x = F.regexp_replace(body, r"^\s*# [^\n]*\n?", "")
-    x = F.regexp_replace(x, r"(?ms)^## (?:Related|Sources)[ \t]*$.*\z", "")
-    x = F.regexp_replace(x, r"(?m)^\[\^[^\]]+\]:.*$\n?", "")
-    return strip(F.regexp_replace(x, r"\n{3,}", "\n\n"))
-
-
-@pandas_udf(StructType([StructField("text", StringType()), StructField("kept", ArrayType(StringType()))]))
-def validate_citations(bodies: pd.Series, allowed: pd.Series) -> pd.DataFrame:
-    """Remove citations that aren't allowed; the kept ids in first-seen order."""
-    out = []
-    for body, ids in zip(bodies, allowed, strict=True):
-        ok, kept = set(ids if ids is not None else []), []
-
-        def keep(m, ok=ok, kept=kept):
-            if m.group(1) not in ok:
-                return ""
-            if m.group(1) not in kept:
-                kept.append(m.group(1))
-            return m.group(0)
-
-        out.append((re.sub(r"\[\^([^\]\s]+)\]", keep, body or ""), kept))
-    return pd.DataFrame(out, columns=["text", "kept"])
+    """The lines before the first heading Related or Sources (level two, any case),
+    without a leading title and with footnote definitions blanked; runs of empty lines
+    become one."""
+    lines = F.split(strip(body), "\n")
+    reserved = F.transform(lines, lambda x: x.rlike(r"(?i)^##[ \t]+(related|sources)[ \t]*$"))
+    end = F.coalesce(F.nullif(F.array_position(reserved, F.lit(True)), F.lit(0)) - 1, F.size(lines).cast("long")).cast("int")
+    begin = F.when(F.startswith(F.element_at(lines, 1), F.lit("# ")), 2).otherwise(1)
+    kept = F.slice(lines, begin, F.greatest(F.lit(0), end - begin + 1))
+    blanked = F.transform(kept, lambda x: F.when(x.rlike(r"^\[\^[^\]]+\]:"), F.lit("")).otherwise(x))
+    return strip(F.regexp_replace(F.array_join(blanked, "\n"), r"\n{3,}", "\n\n"))
+
+
+def validate_citations(body: Column, allowed: Column) -> Column:
+    """struct of text and kept: citations that aren't allowed go, each with the blank
+    before it; the kept ids in first-seen order.  Null bodies are empty, and null lists
+    allow nothing."""
+    body, allowed = F.coalesce(body, F.lit("")), F.coalesce(allowed, F.array().cast("array<string>"))
+    mark = r"[ \t]?\[\^[^\]\s]+\]"
+    between = F.split(body, mark, -1)
+    marks = F.regexp_extract_all(body, F.lit(f"({mark})"), F.lit(1))
+    ids = F.regexp_extract_all(body, F.lit(r"[ \t]?\[\^([^\]\s]+)\]"), F.lit(1))
+    stays = F.zip_with(marks, ids, lambda m, i: F.when(F.array_contains(allowed, i), m).otherwise(F.lit("")))
+    text = F.array_join(F.zip_with(between, stays, lambda t, m: F.concat(t, F.coalesce(m, F.lit("")))), "")
+    return F.struct(text.alias("text"), F.array_distinct(F.filter(ids, lambda i: F.array_contains(allowed, i))).alias("kept"))
 
 
 @pandas_udf(StructType([StructField("text", StringType()), StructField("linked", ArrayType(StringType()))]))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import chunk_id, entity_id, name_key, normalize_ascii, snake_case
+from ..functions.text import chunk_id, entity_id, name_key, normalize_name, snake_case
 from ..schema import ENTITY_TYPES
 
 EXTRACTION = "struct<entities:array<struct<name:string,type:string,description:string,aliases:array<string>>>,relations:array<struct<source:string,target:string,predicate:string,description:string,strength:int>>>"
@@ -29,7 +29,7 @@ def clean_entities(extracted: DataFrame, types: list[str] = ENTITY_TYPES) -> Dat
     Entities of one normal name merge: the first type and description win and
     aliases are united; unknown types become the last type, or Other.
     """
-    e = extracted.select("chunk_id", F.posexplode("result.entities").alias("pos", "e")).withColumn("norm", normalize_ascii(F.col("e.name"))).where("norm <> ''")
+    e = extracted.select("chunk_id", F.posexplode("result.entities").alias("pos", "e")).withColumn("norm", normalize_name(F.col("e.name"))).where("norm <> ''")
     known = F.create_map(*[x for t in types for x in (F.lit(t.lower()), F.lit(t))])
     fallback = "Other" if "Other" in types else types[-1]
     first = lambda f, null=False: F.min_by(f"e.{f}", "pos") if not null else F.min_by(f"e.{f}", F.when(F.length(F.trim(f"e.{f}")) > 0, F.col("pos")))
@@ -45,10 +45,10 @@ def clean_relations(extracted: DataFrame, entities: DataFrame) -> DataFrame:
     """Relations between known, distinct entities of a chunk; the first of a kind wins."""
     r = extracted.select("chunk_id", F.posexplode("result.relations").alias("rpos", "r"))
     names = entities.select("chunk_id", F.col("norm").alias("key"), "norm", F.lit(0).alias("via"), "pos")
-    names = names.unionByName(entities.select("chunk_id", F.explode("aliases").alias("a"), "norm", "pos").select("chunk_id", normalize_ascii(F.col("a")).alias("key"), "norm", F.lit(1).alias("via"), "pos"))
+    names = names.unionByName(entities.select("chunk_id", F.explode("aliases").alias("a"), "norm", "pos").select("chunk_id", normalize_name(F.col("a")).alias("key"), "norm", F.lit(1).alias("via"), "pos"))
     names = names.groupBy("chunk_id", "key").agg(F.min_by("norm", F.struct("via", "pos")).alias("norm"))
     for end, field in (("src", "source"), ("dst", "target")):
-        r = r.withColumn("key", normalize_ascii(F.col(f"r.{field}"))).join(names.withColumnRenamed("norm", end), ["chunk_id", "key"]).drop("key")
+        r = r.withColumn("key", normalize_name(F.col(f"r.{field}"))).join(names.withColumnRenamed("norm", end), ["chunk_id", "key"]).drop("key")
     r = r.where("src <> dst").withColumn("predicate", snake_case(F.col("r.predicate")))
     r = r.groupBy("chunk_id", "src", "dst", "predicate").agg(F.min_by("r", "rpos").alias("r"), F.min("rpos").alias("pos"))
     strength = F.least(F.lit(10), F.greatest(F.lit(1), F.coalesce("r.strength", F.lit(1))))
@@ -163,7 +163,7 @@ def resolved_entities(new: DataFrame, resolved: DataFrame) -> DataFrame:
 
 def same_key_groups(rows: DataFrame, kind: str, name: str, ident: str) -> DataFrame:
     """Resolution of a batch by type and name key: each row's first row of the group."""
-    key = name_key(normalize_ascii(F.col(name)))
+    key = name_key(normalize_name(F.col(name)))
     w = rows.groupBy(F.col(kind).alias("type"), key.alias("key")).agg(F.min(ident).alias("canonical"), F.count(F.lit(1)).alias("members"))
     return rows.withColumn("key", key).join(w, (rows[kind] == w["type"]) & (key == w["key"])).select(F.col(ident).alias("id"), "canonical", "members")
 
@@ -173,7 +173,7 @@ def merge_entities(old: DataFrame, new: DataFrame) -> DataFrame:
     the new name if it differs, and appended descriptions; ``changed`` tells."""
     n = new.select("entity_id", F.col("name").alias("n_name"), F.col("aliases").alias("n_aliases"), F.col("description").alias("n_description"))
     j = old.join(n, "entity_id")
-    own = F.when(normalize_ascii(F.col("n_name")) != normalize_ascii(F.col("name")), F.array("n_name")).otherwise(F.array().cast("array<string>"))
+    own = F.when(normalize_name(F.col("n_name")) != normalize_name(F.col("name")), F.array("n_name")).otherwise(F.array().cast("array<string>"))
     aliases = F.array_sort(F.array_except(F.array_union(F.array_union("aliases", "n_aliases"), own), F.array("name")))
     adds = (F.length("n_description") > 0) & ~F.array_contains("descriptions", F.col("n_description"))
     descriptions = F.when(adds, F.array_append("descriptions", F.col("n_description"))).otherwise(F.col("descriptions"))

@@ -101,17 +101,18 @@ def hash_embeddings(spark, sf):
 
 # --- texts ----------------------------------------------------------------
 
-_ERROR = "'Bearer tok' || event_id || ', sk-' || user_id || ' at https://u:pw' || event_id || '@host/ api_key=' || user_id || '; ' || repeat('x', CAST(event_id % 700 AS INTEGER))"
+_ERROR = """'Bearer tok' || event_id || ', sk-' || user_id || ' at https://u:pw' || event_id || '@host/ api_key=' || user_id || '; {"password": "p' || event_id || '", "passwd":"x"} access_token=abc&key=zz sk-long_key-' || event_id || ' ' || repeat('x', CAST(event_id % 700 AS INTEGER))"""
 
 
 @query(rf"""WITH x AS (SELECT event_id, event_type || ': ' || {_ERROR} AS m FROM events),
- y AS (SELECT event_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(m, '(?i)(bearer\s+)[^\s,;]+', '\1***', 'g'), '\bsk-[A-Za-z0-9_-]+', 'sk-***', 'g'), '(://[^/\s:@]+:)[^@\s]+@', '\1***@', 'g'),
-   '(?i)\b(api_?key|token|password|secret)(\s*[=:]\s*)[^\s,;&]+', '\1\2***', 'g') AS m FROM x)
+ a AS (SELECT event_id, regexp_replace(m, '(?i)\bbearer\s+[^\s"'',;]+', 'Bearer ***', 'g') AS m FROM x),
+ b AS (SELECT event_id, regexp_replace(regexp_replace(m, '\bsk-[A-Za-z0-9_-]+', 'sk-***', 'g'), '(://)[^/\s:@]+:[^/\s@]+@', '\1***@', 'g') AS m FROM a),
+ y AS (SELECT event_id, regexp_replace(m, '(?i)\b(api[_-]?key|access[_-]?token|token|password|passwd|secret|key)("?\s*[:=]\s*"?)[^\s"''&,;}}]+', '\1\2***', 'g') AS m FROM b)
 SELECT event_id, CASE WHEN length(m) > 500 THEN left(m, 499) || '…' ELSE m END AS error FROM y""")
 def safe_errors(spark, sf):
     e = load(spark, sf, "events")
     s = lambda c: F.col(c).cast("string")
-    message = F.concat(F.lit("Bearer tok"), s("event_id"), F.lit(", sk-"), s("user_id"), F.lit(" at https://u:pw"), s("event_id"), F.lit("@host/ api_key="), s("user_id"), F.lit("; "), F.repeat(F.lit("x"), (F.col("event_id") % 700).cast("int")))
+    message = F.concat(F.lit("Bearer tok"), s("event_id"), F.lit(", sk-"), s("user_id"), F.lit(" at https://u:pw"), s("event_id"), F.lit("@host/ api_key="), s("user_id"), F.lit('; {"password": "p'), s("event_id"), F.lit('", "passwd":"x"} access_token=abc&key=zz sk-long_key-'), s("event_id"), F.lit(" "), F.repeat(F.lit("x"), (F.col("event_id") % 700).cast("int")))
     return e.select("event_id", text.safe_error(F.col("event_type"), message).alias("error"))
 
 
@@ -209,16 +210,17 @@ def chunk_documents(spark, sf):
 # --- wiki texts -----------------------------------------------------------
 
 _BODY = """'# T' || doc_id || chr(10) || chr(10) || text || ' [^a' || (doc_id % 7) || '] and [^b] then [^a' || (doc_id % 7) || '] see [[Name ' || (doc_id % 5) || '|label]] or [[Other]].'
-  || chr(10) || chr(10) || '## Details' || chr(10) || 'More [^c1] here.' || chr(10) || chr(10) || chr(10) || '## Sources' || chr(10) || chr(10) || '[^b]: x' || chr(10)"""
+  || chr(10) || chr(10) || '## Details' || chr(10) || 'More [^c1] here.' || chr(10) || chr(10) || '[^b]: y' || chr(10) || chr(10) || CASE doc_id % 4 WHEN 0 THEN '## Sources' WHEN 1 THEN '##  related ' WHEN 2 THEN '## SOURCES' ELSE '## Related work' END || chr(10) || chr(10) || '[^b]: x' || chr(10)"""
 
 
 def bodies(spark, sf):
     """Documents as drafts of pages, with citations, links and a source list."""
     n = lambda k: (F.col("doc_id") % k).cast("string")
     end = F.lit("] see [[Name ")
+    heading = F.element_at(F.array(*(F.lit(x) for x in ("## Sources", "##  related ", "## SOURCES", "## Related work"))), (F.col("doc_id") % 4 + 1).cast("int"))
     body = F.concat(
         F.lit("# T"), F.col("doc_id").cast("string"), F.lit("\n\n"), "text", F.lit(" [^a"), n(7), F.lit("] and [^b] then [^a"), n(7), end, n(5),
-        F.lit("|label]] or [[Other]].\n\n## Details\nMore [^c1] here.\n\n\n## Sources\n\n[^b]: x\n"),
+        F.lit("|label]] or [[Other]].\n\n## Details\nMore [^c1] here.\n\n[^b]: y\n\n"), heading, F.lit("\n\n[^b]: x\n"),
     )
     return docs(spark, sf).select("doc_id", body.alias("body"))
 
@@ -230,7 +232,7 @@ def wiki_cited_ids(spark, sf):
 
 
 @query(rf"""WITH x AS (SELECT doc_id, {_BODY} AS b FROM documents),
- y AS (SELECT doc_id, regexp_replace(b, CASE WHEN doc_id % 2 = 0 THEN '\[\^b\]' ELSE '\[\^(?:b|a[0-9])\]' END, '', 'g') AS b FROM x)
+ y AS (SELECT doc_id, regexp_replace(b, CASE WHEN doc_id % 2 = 0 THEN '[ \t]?\[\^b\]' ELSE '[ \t]?\[\^(?:b|a[0-9])\]' END, '', 'g') AS b FROM x)
 SELECT doc_id, md5(b) AS body, CASE WHEN doc_id % 2 = 0 THEN 'a' || (doc_id % 7) || ' c1' ELSE 'c1' END AS kept FROM y""")
 def wiki_validate(spark, sf):
     """Citations that aren't allowed go; the kept ids in first-seen order."""
@@ -250,7 +252,7 @@ def wiki_links(spark, sf):
 
 
 @query(rf"""WITH x AS (SELECT doc_id, regexp_replace({_BODY}, '^\s*# [^\n]*\n?', '') AS b FROM documents),
- y AS (SELECT doc_id, regexp_replace(regexp_replace(b, '(?ms)^## (?:Related|Sources)[ \t]*$.*\z', '', 'g'), '(?m)^\[\^[^\]]+\]:.*$\n?', '', 'g') AS b FROM x)
+ y AS (SELECT doc_id, regexp_replace(regexp_replace(b, '(?ims)^##[ \t]+(?:Related|Sources)[ \t]*$.*\z', '', 'g'), '(?m)^\[\^[^\]]+\]:.*$', '', 'g') AS b FROM x)
 SELECT doc_id, md5(regexp_replace(regexp_replace(b, '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')) AS body FROM y""")
 def wiki_reserved_sections(spark, sf):
     return bodies(spark, sf).select("doc_id", md5(text.strip_reserved_sections(F.col("body"))).alias("body"))

@@ -218,7 +218,7 @@ _NORM = "trim(regexp_replace(lower({}), '[^\\p{{L}}\\p{{N}}+#]+', ' ', 'g'))"
 UNION ALL SELECT 'supplier:' || s_suppkey, left(sha1('supplier|' || {_NORM.format('s_name')}), 16) FROM supplier""")
 def entity_ids(spark, sf):
     e = d.named_entities(spark, sf).where("type IN ('Part', 'Supplier')")
-    return e.select(F.col("entity_id").alias("id"), text.entity_id(F.col("type"), text.normalize_ascii(F.col("name"))).alias("entity_id"))
+    return e.select(F.col("entity_id").alias("id"), text.entity_id(F.col("type"), text.normalize_name(F.col("name"))).alias("entity_id"))
 
 
 @query(f"""WITH x AS (SELECT 'part:' || p_partkey AS key, sha1(unhex('{text.NAMESPACE_HEX}') || encode('part:' || p_partkey)) AS h FROM part)

@@ -3,6 +3,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from quillgraph.operators import build
 from quillgraph.functions import models, text
 
 
@@ -28,8 +29,44 @@ def test_names(spark):
     long = spark.createDataFrame([("word " * 40,), ("ж" * 300,)], "n string").select(text.slugify("n").alias("s")).collect()
     assert all(len(r.s) <= 80 and len(r.s.encode()) <= 200 and r.s[-9] == "-" for r in long)
     assert one(spark, text.entity_name_keys(F.array(F.lit("Mag AO-X"), F.lit("magaox"), F.lit("B"))))[0] == ["b", "magaox"]
-    for name in ("Alpha_Beta", "Привет Мир", "x+y#z"):
-        assert one(spark, text.normalize_ascii(F.lit(name)).alias("a"))[0] == text._normal(name)
+    wide = [F.lit(x) for x in ("Ｗｉｄｅ ﬁne", "STRASSE", "Straße", "wide_fine")]
+    assert one(spark, text.entity_name_keys(F.array(*wide)), text.normalize_name(wide[0])) == [["strasse", "widefine"], "wide fine"]
+
+
+def test_names_of_the_graph_are_folded(spark):
+    """Spellings that differ in width, ligatures or case folding are one entity."""
+    reply = [[("Ｓtraße", "Place", "a", ["Weg"]), ("STRASSE", "Place", "b", [])], [("Strasse", "weg", "leads_to", "x", 3)]]
+    df = spark.createDataFrame([("c", reply)], f"chunk_id string, result {build.EXTRACTION}")
+    e = build.clean_entities(df)
+    assert [(r.norm, r.name) for r in e.collect()] == [("strasse", "Ｓtraße")]
+    assert build.clean_relations(df, e).collect() == []  # both ends are one entity
+
+
+SECRETS = {
+    '{"password": "hunter2", "user": "bob"}': ["hunter2"],
+    "access_token=abc passwd=q1w2 key=zz99": ["abc", "q1w2", "zz99"],
+    "api-key: 123abc&secret=s3cr": ["123abc", "s3cr"],
+    "GET https://bob:pw1@host/x Bearer to.k-en": ["bob", "pw1", "to.k-en"],
+    "sk-abcdefgh12 failed": ["abcdefgh12"],
+}
+
+
+def test_secrets_are_masked(spark):
+    df = spark.createDataFrame([(m,) for m in SECRETS], "m string")
+    for r in df.select("m", text.safe_error(F.lit("Error"), F.col("m")).alias("e")).collect():
+        assert r.e.startswith("Error: ") and "***" in r.e and not any(x in r.e for x in SECRETS[r.m]), r
+    plain = "monkey=1 keyboard: x risk-short tokenizer=5"
+    assert one(spark, text.safe_error(F.lit("E"), F.lit(plain)))[0] == f"E: {plain}"
+
+
+def test_generated_sections_and_citations(spark):
+    bodies = ["# T\nA\n\n\n\nB\n##  sources \nx", "A\n## Related work\nB", "A [^x] b[^y]\n[^x]: note\nC", "## RELATED", "# Only", "A\n  ## Sources"]
+    want = ["A\n\nB", "A\n## Related work\nB", "A [^x] b[^y]\n\nC", "", "", "A\n  ## Sources"]
+    df = spark.createDataFrame(list(enumerate(bodies)), "i int, b string")
+    assert [r.s for r in df.orderBy("i").select(text.strip_reserved_sections(F.col("b")).alias("s")).collect()] == want
+    cites = spark.createDataFrame([("a [^x] b [^y], c[^x]\t[^z].", ["x"]), ("[^a][^b]", ["b", "a"]), (None, None), ("plain", None), ("k [^k]", None)], "b string, ok array<string>")
+    got = [tuple(r.v) for r in cites.select(text.validate_citations(F.col("b"), F.col("ok")).alias("v")).collect()]
+    assert got == [("a [^x] b, c[^x].", ["x"]), ("[^a][^b]", ["a", "b"]), ("", []), ("plain", []), ("k", [])]
 
 
 def test_cleaning(spark):
@@ -49,8 +86,8 @@ def test_cleaning(spark):
 
 def test_wiki_text(spark):
     df = spark.createDataFrame([("S [^a] [^b] [[Soft Max|sm]] [[Nope]]", ["a"], {"soft max": "softmax p1"})], "b string, ok array<string>, t map<string,string>")
-    v = df.select(text.validate_citations("b", "ok").alias("v"), text.resolve_links("b", "t").alias("l")).first()
-    assert v.v.text == "S [^a]  [[Soft Max|sm]] [[Nope]]" and v.v.kept == ["a"]
+    v = df.select(text.validate_citations(F.col("b"), F.col("ok")).alias("v"), text.resolve_links("b", "t").alias("l")).first()
+    assert v.v.text == "S [^a] [[Soft Max|sm]] [[Nope]]" and v.v.kept == ["a"]
     assert v.l.text == "S [^a] [^b] [[softmax|sm]] Nope" and v.l.linked == ["p1"]
 
 
