@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .functions import models, text
-from .operators import analytics, build, chunking, graph, search, tables, wiki
+from .operators import analytics, blockmax, build, chunking, graph, search, tables, wiki
 from .operators import retrieve as modes
 from .schema import ENTITY_TYPES, MODES, STAGES
 from .sources import files
@@ -69,13 +69,14 @@ class Engine:
         registered = found.join(todo.select("path"), "path", "left_semi").select("path", "doc_id", "size", F.lit(None).cast("double").alias("mtime"), F.lit("done").alias("status"), now.alias("updated_at"))
         rejected = found.where("error IS NOT NULL").select("path", "doc_id", "size", F.lit(None).cast("double").alias("mtime"), F.lit("failed").alias("status"), now.alias("updated_at"))
         vectors = chunks.select("chunk_id", self.embed("context_text").alias("dense"))
-        postings = search.postings(chunks, text="context_text").select("term", "chunk_id", "tf", "doc_len")
+        index = self._chunk_blocks(chunks)
         # keyed changes: only the buckets of these documents are written again
         new_docs, ids = docs.select("doc_id", "path", "title", "mime", "n_pages", now.alias("ingested_at")), chunks.select("chunk_id")
+        ranges = chunks.select(blockmax.chunk_range(F.col("chunk_id")).alias("rng")).distinct()
         seen = registered.unionByName(rejected)
         steps = tables.set_stage(self.read("stages").join(docs.select("doc_id"), "doc_id", "left_semi"), self._stage_rows(docs.select("doc_id"), ["parse", "chunk", "embed"], "done"))
         self.store.merge({
-            "documents": (docs.select("doc_id"), new_docs), "chunks": (ids, chunks), "chunk_vectors": (ids, vectors), "chunk_postings": (ids, postings),
+            "documents": (docs.select("doc_id"), new_docs), "chunks": (ids, chunks), "chunk_vectors": (ids, vectors), "chunk_blocks": (ranges, index),
             "files": (seen.select("path"), seen.dropDuplicates(["path"])), "stages": (docs.select("doc_id"), steps),
         })
         self._extract(chunks)
@@ -83,6 +84,11 @@ class Engine:
             self.build_wiki()
         return plan.select("path", "doc_id", "action")
 
+    @staticmethod
+    def _chunk_blocks(chunks: DataFrame) -> DataFrame:
+        postings = search.postings(chunks, text="context_text").select("term", "chunk_id", "tf", "doc_len")
+        return blockmax.blocks(postings, blockmax.chunk_range(F.col("chunk_id")), "chunk_id", lengths=True)
+
     @staticmethod
     def _stage_rows(docs: DataFrame, stages: list[str], status: str, error: str | None = None) -> DataFrame:
         rows = docs.distinct().select("doc_id", F.explode(F.array(*(F.lit(x) for x in stages))).alias("stage"))
@@ -190,7 +196,9 @@ class Engine:
         alive = alive.withColumn("mention_count", F.col("left")).withColumn("description", F.lit("")).withColumn("descriptions", none).drop("left")
         stale = read("wiki_pages").join(dirty.select(F.col("entity_id").alias("page_id")), "page_id", "left_semi").withColumn("stale", F.lit(True))
         empty = lambda n: read(n).limit(0)
-        changes = {n: (gone_chunks, empty(n)) for n in ("chunks", "chunk_vectors", "chunk_postings", "mentions", "extraction_cache", "wiki_cites")}
+        changes = {n: (gone_chunks, empty(n)) for n in ("chunks", "chunk_vectors", "mentions", "extraction_cache", "wiki_cites")}
+        # ranges never hold chunks of two documents
+        changes["chunk_blocks"] = (gone_chunks.select(blockmax.chunk_range(F.col("chunk_id")).alias("rng")).distinct(), empty("chunk_blocks"))
         changes |= {n: (pages, empty(n)) for n in ("wiki_sections", "section_vectors", "section_postings")}
         ends = read("wiki_links").join(pages.withColumnRenamed("page_id", "target_id"), "target_id", "left_semi").unionByName(read("wiki_links").join(pages, "page_id", "left_semi")).select("page_id", "target_id")
         self.store.merge(changes | {
@@ -225,7 +233,7 @@ class Engine:
     def _mode(self, q: DataFrame, mode: str, k: int) -> DataFrame:
         chunks = self.read("chunks")
         if mode == "rag":
-            return modes.rag(self.read("chunk_postings"), self.read("chunk_vectors"), chunks, q, k, self.neighbors, self.use.reranker)
+            return modes.rag(self.read("chunk_blocks"), self.read("chunk_vectors"), chunks, q, k, self.neighbors, self.use.reranker)
         if mode == "wiki":
             found = search.hybrid(self.read("section_postings"), self.read("section_vectors"), q, k, "key")
             return modes.wiki(found, self.read("wiki_sections"), chunks, k)
@@ -297,7 +305,7 @@ class Engine:
         chunks, entities = self.read("chunks"), self.read("entities")
         self.store.commit({
             "chunk_vectors": chunks.select("chunk_id", self.embed("context_text").alias("dense")),
-            "chunk_postings": search.postings(chunks, text="context_text").select("term", "chunk_id", "tf", "doc_len"),
+            "chunk_blocks": self._chunk_blocks(chunks),
             "entity_vectors": entities.select("entity_id", self.embed(F.concat_ws(": ", "name", "description")).alias("dense")),
             "section_vectors": self._section_vectors(self.read("wiki_sections")), "section_postings": self._section_postings(self.read("wiki_sections")),
         })

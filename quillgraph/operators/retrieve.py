@@ -17,7 +17,7 @@ from pyspark.sql.window import Window
 
 from ..functions.models import Reranker, score_column
 from ..functions.text import cited_numbers, estimate_tokens, finite
-from . import graph, search
+from . import blockmax, graph, search
 
 ITEM = "query_id long, ord int, kind string, ref string, text string, path string, page int, score double"
 # fixed values: defaults of retrieval
@@ -70,7 +70,9 @@ def chunk_windows(hits: DataFrame, chunks: DataFrame, neighbors: int) -> DataFra
 
 
 def rag(index: DataFrame, vectors: DataFrame, chunks: DataFrame, queries: DataFrame, k: int = K, neighbors: int = 0, reranker: Reranker | None = None) -> DataFrame:
-    hits = search.hybrid(index, vectors, queries, max(k, CANDIDATES) if reranker else k)
+    """``index`` holds blocks (``blockmax``) with lengths."""
+    lexical = lambda index, asked, n, key: blockmax.search(index, asked, blockmax.corpus_of(index), n, key).hits
+    hits = search.hybrid(index, vectors, queries, max(k, CANDIDATES) if reranker else k, lexical=lexical)
     if reranker:
         hits = rerank(hits, queries.select("query_id", "text").dropDuplicates(["query_id"]), chunks, reranker, k)
     return chunk_windows(hits, chunks, neighbors)

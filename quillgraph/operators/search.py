@@ -94,11 +94,12 @@ def fuse(lists: list[DataFrame], k: int, key: str = "chunk_id", c: float = RRF_K
     return top_k(scored, k, key)
 
 
-def hybrid(index: DataFrame, vectors: DataFrame, queries: DataFrame, k: int, key: str = "chunk_id") -> DataFrame:
+def hybrid(index: DataFrame, vectors: DataFrame, queries: DataFrame, k: int, key: str = "chunk_id", lexical=bm25, near=dense) -> DataFrame:
     """queries: (query_id, formulation, text, dense).  Every formulation gives a
-    dense and a lexical list of 4k; all lists of a query are fused."""
+    dense and a lexical list of 4k; all lists of a query are fused.  ``lexical`` takes
+    (index, queries, k, key), ``near`` (vectors, queries, k, key)."""
     each = queries.withColumn("of", F.col("query_id")).withColumn("query_id", F.struct("query_id", "formulation"))
-    lists = [bm25(index, each, PREFETCH * k, key), dense(vectors, each, PREFETCH * k, key)]
+    lists = [lexical(index, each, PREFETCH * k, key), near(vectors, each, PREFETCH * k, key)]
     back = [x.select(F.col("query_id.query_id").alias("query_id"), key, "rank") for x in lists]
     return fuse(back, k, key)
 

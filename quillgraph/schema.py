@@ -6,7 +6,7 @@ TABLES: dict[str, str] = {
     "documents": "doc_id string, path string, title string, mime string, n_pages int, ingested_at timestamp",
     "chunks": "chunk_id string, doc_id string, idx int, text string, context_text string, headings array<string>, page_start int, page_end int, n_tokens int, modality string, path string",
     "chunk_vectors": "chunk_id string, dense array<float>",
-    "chunk_postings": "term string, chunk_id string, tf int, doc_len int",
+    "chunk_blocks": "term string, rng string, n int, max_tf int, min_len int, rows array<struct<key:string,tf:int,doc_len:int>>",
     "entities": "entity_id string, name string, type string, aliases array<string>, description string, descriptions array<string>, mention_count int, aliases_text string, name_keys array<string>, pagerank double, community string, analytics_run_id string",
     "entity_vectors": "entity_id string, dense array<float>",
     "mentions": "chunk_id string, entity_id string",
@@ -36,7 +36,7 @@ TABLES: dict[str, str] = {
 
 #: Columns that identify a row.
 KEYS: dict[str, list[str]] = {
-    "documents": ["doc_id"], "chunks": ["chunk_id"], "chunk_vectors": ["chunk_id"], "chunk_postings": ["term", "chunk_id"],
+    "documents": ["doc_id"], "chunks": ["chunk_id"], "chunk_vectors": ["chunk_id"], "chunk_blocks": ["term", "rng"],
     "entities": ["entity_id"], "entity_vectors": ["entity_id"], "mentions": ["chunk_id", "entity_id"],
     "relation_evidence": ["src_id", "predicate", "dst_id", "chunk_id"], "wiki_pages": ["page_id"], "wiki_sections": ["key"], "section_vectors": ["key"], "section_postings": ["term", "key"],
     "wiki_links": ["page_id", "target_id"], "wiki_cites": ["page_id", "chunk_id"], "analysis_state": ["key"], "files": ["path"],
