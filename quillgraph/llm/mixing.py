@@ -181,9 +181,11 @@ def placed(mixed: DataFrame, schedules=SCHEDULES) -> DataFrame:
 
 
 def range_sorted(rows: DataFrame) -> DataFrame:
-    """Rows in the order of their position, over ranges of it."""
+    """Rows in the order of their position, over ranges of it; rows without one, and
+    rows of one position, are spread over ranges by a salt."""
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartitionByRange(n, "position").sortWithinPartitions("position")
+    salted = rows.withColumn("_qm_salt", F.xxhash64(F.monotonically_increasing_id()))
+    return salted.repartitionByRange(n, "position", "_qm_salt").sortWithinPartitions("position").drop("_qm_salt")
 
 
 def mix_documents(docs: DataFrame) -> DataFrame:

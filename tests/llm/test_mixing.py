@@ -4,7 +4,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from quillgraph.llm.mixing import SCHEDULES, demand_at, mix, mix_documents, placed, time_of
+from quillgraph.llm.mixing import SCHEDULES, demand_at, mix, mix_documents, placed, range_sorted, time_of
 
 SCHEMA = "doc_id long, text string, source string, size int, target int"
 
@@ -93,3 +93,13 @@ def test_rows_without_ids_are_spread(spark):
     rows = [(None, f"w{i} x", "s") for i in range(500)]
     out = mix(docs_of(spark, rows)).collect()
     assert sorted(r.begin for r in out) == [2 * i for i in range(500)]
+
+
+def test_rows_left_out_are_spread(spark):
+    """Nine tenths of the rows have no position: no range holds over twice the mean."""
+    rows = spark.range(20_000).selectExpr("id AS doc_id", "if(id % 10 = 0, double(id), null) AS position")
+    out = range_sorted(rows)
+    sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    assert max(sizes) <= 2 * 20_000 / len(sizes) and out.columns == ["doc_id", "position"]
+    in_order = [r.position for r in out.collect()]
+    assert in_order == sorted(in_order, key=lambda x: (x is not None, x or 0))
