@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .functions import models, text
-from .operators import analytics, blockmax, build, chunking, graph, search, tables, wiki
+from .operators import analytics, blockmax, build, chunking, graph, maintained, search, tables, wiki
 from .operators import retrieve as modes
 from .schema import ENTITY_TYPES, MODES, STAGES
 from .sources import files
@@ -139,12 +139,16 @@ class Engine:
         facts = facts.where("src_id <> dst_id").select("src_id", "predicate", "dst_id", "chunk_id", "strength", "description", F.col("pos").cast("long").alias("seq"))
         ids = chunks.select("chunk_id")
         known = have.select("entity_id").union(entities.select("entity_id")).distinct()
-        evidence = build.add_evidence(self.store.read("relation_evidence", old).join(ids, "chunk_id", "left_semi"), facts, self.store.read("chunks", old).join(ids, "chunk_id", "left_semi"), known)
+        before = analytics.cut(self.store.read("relation_evidence", old).join(ids, "chunk_id", "left_semi"))
+        evidence = build.add_evidence(before, facts, self.store.read("chunks", old).join(ids, "chunk_id", "left_semi"), known)
+        evidence = analytics.cut(evidence)
+        came = found.join(self.store.read("mentions", old), ["chunk_id", "entity_id"], "left_anti")
+        sums = maintained.changes(lambda n: self.store.read(n, old), (before, evidence), came, came.limit(0), analytics.cut)
         told = fresh.select("entity_id", self.embed(F.concat_ws(": ", "name", "description")).alias("dense"))
         docs = chunks.select("doc_id").distinct()
         steps = self._stage_rows(docs.join(broken, "doc_id", "left_anti"), ["extract", "graph"], "done").unionByName(self._stage_rows(broken, ["extract"], "failed", "too many chunks failed"))
         marked = tables.mark_dirty(self.store.read("dirty_entities", old), touched)
-        self.store.merge({
+        self.store.merge(sums | {
             "entities": (touched, entities), "entity_vectors": (fresh.select("entity_id"), told), "mentions": (found, found), "relation_evidence": (ids, evidence),
             "extraction_cache": (cache.select("chunk_id", "prompt_version", "model"), cache), "dirty_entities": (marked.select("entity_id"), marked),
             "stages": (docs, tables.set_stage(self.store.read("stages", old).join(docs, "doc_id", "left_semi"), steps)),
@@ -191,6 +195,9 @@ class Engine:
         lost = read("relation_evidence").join(gone_chunks, "chunk_id", "left_semi").select(*key).distinct()
         touched = analytics.cut(read("relation_evidence").join(lost, key, "left_semi"))
         facts = touched.join(gone_chunks, "chunk_id", "left_anti").withColumn("description", F.lit(""))
+        facts = analytics.cut(facts)
+        went = read("mentions").join(gone_chunks, "chunk_id", "left_semi")
+        sums = maintained.changes(read, (touched, facts), went.limit(0), went, analytics.cut)
         none = F.array().cast("array<string>")
         alive = read("entities").join(plan.where("NOT removed").select("entity_id", "left"), "entity_id")
         alive = alive.withColumn("mention_count", F.col("left")).withColumn("description", F.lit("")).withColumn("descriptions", none).drop("left")
@@ -201,7 +208,7 @@ class Engine:
         changes["chunk_blocks"] = (gone_chunks.select(blockmax.chunk_range(F.col("chunk_id")).alias("rng")).distinct(), empty("chunk_blocks"))
         changes |= {n: (pages, empty(n)) for n in ("wiki_sections", "section_vectors", "section_postings")}
         ends = read("wiki_links").join(pages.withColumnRenamed("page_id", "target_id"), "target_id", "left_semi").unionByName(read("wiki_links").join(pages, "page_id", "left_semi")).select("page_id", "target_id")
-        self.store.merge(changes | {
+        self.store.merge(changes | sums | {
             "documents": (dead, empty("documents")), "stages": (dead, empty("stages")), "relation_evidence": (touched.select(*key, "chunk_id"), facts),
             "entities": (plan.select("entity_id"), alive), "entity_vectors": (removed, empty("entity_vectors")), "wiki_links": (ends, empty("wiki_links")),
             "wiki_pages": (pages.union(stale.select("page_id")), stale), "dirty_entities": (removed.union(dirty.select("entity_id")), dirty.select("entity_id")), "pending_removals": (dead, empty("pending_removals")),
@@ -240,10 +247,11 @@ class Engine:
         plain = q.where("formulation = 0")
         near = search.dense(self.read("entity_vectors"), plain, modes.SEEDS, "entity_id", threshold=modes.SEED_SCORE)
         named = graph.fulltext(self.read("entities"), plain.select("query_id", F.col("text").alias("query")), k=modes.SEEDS)
-        return modes.graph_mode(near, named, self.read("entities"), self.relations(), self.read("mentions"), chunks, k)
+        return modes.graph_mode(near, named, self.read("entities"), self.relations(), self.read("mentions"), chunks, k, evidence=self.read("relation_evidence"), degrees=self.read("degrees"))
 
     def relations(self) -> DataFrame:
-        return build.relations(self.read("relation_evidence"))
+        """The stored relations, which ingest and removal keep up to date."""
+        return self.read("relations")
 
     def ask(self, questions: DataFrame, mode: str = "rag", k: int = modes.K) -> DataFrame:
         """query_id, question, mode, answer, sources; without context a fixed text."""
@@ -301,9 +309,11 @@ class Engine:
         return analytics.analyze(self.store, uuid.uuid4().hex, estimate_only, max_nodes, max_relations)
 
     def reindex(self) -> int:
-        """Recompute all vectors and postings from the chunks; one commit."""
+        """Recompute all vectors, the block index and the sums of the graph; one commit."""
         chunks, entities = self.read("chunks"), self.read("entities")
+        relations, degrees = maintained.rebuilt(self.read("relation_evidence"), self.read("mentions"))
         self.store.commit({
+            "relations": relations, "degrees": degrees,
             "chunk_vectors": chunks.select("chunk_id", self.embed("context_text").alias("dense")),
             "chunk_blocks": self._chunk_blocks(chunks),
             "entity_vectors": entities.select("entity_id", self.embed(F.concat_ws(": ", "name", "description")).alias("dense")),

@@ -247,15 +247,15 @@ def reached(relations: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
 def neighborhood(relations: DataFrame, all_edges: DataFrame, seeds: DataFrame, hops: int, limit: int) -> DataFrame:
     """Relations on paths of up to ``hops`` from the seeds, heaviest first.
 
-    A relation at hop h has an end within h-1.  ``all_edges`` (entity_id, a row
-    an edge of any kind) gives the degrees that break ties.
+    A relation at hop h has an end within h-1.  ``all_edges`` gives the degrees that break
+    ties: (entity_id, degree), or (entity_id) with a row an edge of any kind.
     """
     hops = max(1, min(hops, MAX_HOPS))
     near = reached(relations, seeds, hops - 1).select("seed_id", "entity_id") if hops > 1 else seeds.select("seed_id", F.col("seed_id").alias("entity_id")).distinct()
     ids = relations.select("src_id", "predicate", "dst_id", "weight")
     by = lambda end: ids.join(near.withColumnRenamed("entity_id", end), end).select("seed_id", "src_id", "predicate", "dst_id", "weight")
     edges = by("src_id").union(by("dst_id")).distinct()
-    degree = all_edges.groupBy("entity_id").agg(F.count(F.lit(1)).alias("degree"))
+    degree = all_edges if "degree" in all_edges.columns else all_edges.groupBy("entity_id").agg(F.count(F.lit(1)).alias("degree"))
     for end in ("src", "dst"):
         edges = edges.join(degree.select(F.col("entity_id").alias(f"{end}_id"), F.col("degree").alias(f"{end}_degree")), f"{end}_id", "left")
     total = F.coalesce("src_degree", F.lit(0)) + F.coalesce("dst_degree", F.lit(0))

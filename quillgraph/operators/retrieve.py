@@ -97,15 +97,21 @@ def wiki(hits: DataFrame, sections: DataFrame, chunks: DataFrame, k: int) -> Dat
     return both.withColumn("ord", place).select([x.split()[0] for x in ITEM.split(", ")])
 
 
-def graph_mode(vector_hits: DataFrame, text_hits: DataFrame, entities: DataFrame, relations: DataFrame, mentions: DataFrame, chunks: DataFrame, k: int = K, *, seeds: int = SEEDS, hops: int = HOPS, max_relations: int = RELATIONS, community_chunks: int = 3) -> DataFrame:
-    """Entities, their neighbourhood's relations, evidence and community chunks."""
+def graph_mode(vector_hits: DataFrame, text_hits: DataFrame, entities: DataFrame, relations: DataFrame, mentions: DataFrame, chunks: DataFrame, k: int = K, *, seeds: int = SEEDS, hops: int = HOPS, max_relations: int = RELATIONS, community_chunks: int = 3, evidence: DataFrame | None = None, degrees: DataFrame | None = None) -> DataFrame:
+    """Entities, their neighbourhood's relations, evidence and community chunks.
+
+    ``evidence`` and ``degrees`` are stored tables; without them the relations' own lists
+    are taken and the edges counted.
+    """
     listed = vector_hits.select("query_id", "entity_id", F.lit(0).alias("source"), F.col("rank").alias("r")).unionByName(text_hits.select("query_id", "entity_id", F.lit(1).alias("source"), F.col("position").alias("r")))
     first = listed.groupBy("query_id", "entity_id").agg(F.min(F.struct("source", "r")).alias("at"))
     by_query = Window.partitionBy("query_id")
     chosen = first.withColumn("pos", F.row_number().over(by_query.orderBy("at", "entity_id"))).where(F.col("pos") <= seeds)
     # the neighbourhood of all seeds of a query, by best position of each relation
-    all_edges = relations.select(F.col("src_id").alias("entity_id")).unionByName(relations.select(F.col("dst_id").alias("entity_id"))).unionByName(mentions.select("entity_id"))
-    near = graph.neighborhood(relations, all_edges, chosen.select(F.col("entity_id").alias("seed_id")).distinct(), hops, max_relations)
+    if degrees is None:
+        edges = relations.select(F.col("src_id").alias("entity_id")).unionByName(relations.select(F.col("dst_id").alias("entity_id"))).unionByName(mentions.select("entity_id"))
+        degrees = edges.groupBy("entity_id").agg(F.count(F.lit(1)).alias("degree"))
+    near = graph.neighborhood(relations, degrees, chosen.select(F.col("entity_id").alias("seed_id")).distinct(), hops, max_relations)
     rel = chosen.select("query_id", F.col("entity_id").alias("seed_id")).join(near, "seed_id")
     rel = rel.groupBy("query_id", "src_id", "predicate", "dst_id").agg(F.max("weight").alias("weight"))
     rank = entities.select("entity_id", "pagerank")
@@ -116,7 +122,11 @@ def graph_mode(vector_hits: DataFrame, text_hits: DataFrame, entities: DataFrame
     tie = F.when(scored, F.col("src_rank") + F.col("dst_rank")).otherwise(0.0)
     rel = rel.withColumn("tie", tie)
     rel = rel.withColumn("pos", F.row_number().over(by_query.orderBy(F.desc("weight"), F.desc("tie"), "src_id", "predicate", "dst_id"))).where(F.col("pos") <= max_relations)
-    cited = rel.join(relations.select("src_id", "predicate", "dst_id", "evidence"), ["src_id", "predicate", "dst_id"]).select("query_id", "pos", F.posexplode("evidence").alias("e", "chunk_id"))
+    key = ["src_id", "predicate", "dst_id"]
+    if evidence is None:
+        cited = rel.join(relations.select(*key, "evidence"), key).select("query_id", "pos", F.posexplode("evidence").alias("e", "chunk_id"))
+    else:
+        cited = rel.join(evidence.select(*key, "chunk_id", F.struct("seq", "chunk_id").alias("e")), key).select("query_id", "pos", "e", "chunk_id")
     cited = cited.groupBy("query_id", "chunk_id").agg(F.min(F.struct("pos", "e")).alias("at"))
     cited = cited.withColumn("n", F.row_number().over(by_query.orderBy("at", "chunk_id"))).where(F.col("n") <= k)
     local = cited.groupBy("query_id").agg(F.count(F.lit(1)).alias("local"))

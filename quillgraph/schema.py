@@ -11,6 +11,8 @@ TABLES: dict[str, str] = {
     "entity_vectors": "entity_id string, dense array<float>",
     "mentions": "chunk_id string, entity_id string",
     "relation_evidence": "src_id string, predicate string, dst_id string, chunk_id string, strength int, description string, seq long",
+    "relations": "src_id string, predicate string, dst_id string, weight double, n_evidence long, description string, seq long",
+    "degrees": "entity_id string, degree long",
     "wiki_pages": "page_id string, slug string, title string, path string, content string, content_hash string, version int, stale boolean, updated_at timestamp",
     "wiki_sections": "key string, page_id string, entity_id string, path string, section string, text string, chunk_ids array<string>",
     "section_vectors": "key string, page_id string, dense array<float>",
@@ -38,7 +40,7 @@ TABLES: dict[str, str] = {
 KEYS: dict[str, list[str]] = {
     "documents": ["doc_id"], "chunks": ["chunk_id"], "chunk_vectors": ["chunk_id"], "chunk_blocks": ["term", "rng"],
     "entities": ["entity_id"], "entity_vectors": ["entity_id"], "mentions": ["chunk_id", "entity_id"],
-    "relation_evidence": ["src_id", "predicate", "dst_id", "chunk_id"], "wiki_pages": ["page_id"], "wiki_sections": ["key"], "section_vectors": ["key"], "section_postings": ["term", "key"],
+    "relation_evidence": ["src_id", "predicate", "dst_id", "chunk_id"], "relations": ["src_id", "predicate", "dst_id"], "degrees": ["entity_id"], "wiki_pages": ["page_id"], "wiki_sections": ["key"], "section_vectors": ["key"], "section_postings": ["term", "key"],
     "wiki_links": ["page_id", "target_id"], "wiki_cites": ["page_id", "chunk_id"], "analysis_state": ["key"], "files": ["path"],
     "stages": ["doc_id", "stage"], "extraction_cache": ["chunk_id", "prompt_version", "model"], "dirty_entities": ["entity_id"],
     "meta": ["key"], "pending_removals": ["doc_id"], "doc_entities": ["doc_id", "entity_id"], "jobs": ["id"], "desired": ["path"],

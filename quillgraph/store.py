@@ -28,6 +28,7 @@ from .schema import KEYS, TABLES
 #: Tables that grow with the corpus, by the columns whose hash gives the bucket.
 BUCKETED: dict[str, list[str]] = {
     "chunks": ["chunk_id"], "chunk_vectors": ["chunk_id"], "chunk_blocks": ["rng"], "mentions": ["chunk_id"], "relation_evidence": ["chunk_id"],
+    "relations": ["src_id", "predicate", "dst_id"], "degrees": ["entity_id"],
     "documents": ["doc_id"], "entities": ["entity_id"], "entity_vectors": ["entity_id"], "extraction_cache": ["chunk_id"], "files": ["path"], "stages": ["doc_id"], "llm_usage": ["id"], "messages": ["conversation_id"],
 }
 ROWS_PER_BUCKET, MOST_BUCKETS = 2_000_000, 4096

@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.engine import Engine, Models
 from quillgraph.functions.models import KeywordExtractor
+from quillgraph.operators import maintained
 
 VOCABULARY = {"transformer": ("Transformer", "Method", "A network.", []), "attention": ("Attention", "Method", "Weights inputs.", ["Focus"]), "softmax": ("Softmax", "Concept", "Normalises.", [])}
 
@@ -15,6 +16,12 @@ def files(tmp_path):
     return d
 
 
+def stored_sums_hold(e):
+    """Relations and degrees as stored equal a rebuild."""
+    for name, want in zip(("relations", "degrees"), maintained.rebuilt(e.read("relation_evidence"), e.read("mentions")), strict=True):
+        assert sorted(map(tuple, e.read(name).collect())) == sorted(map(tuple, want.collect())), name
+
+
 def test_life_of_a_corpus(spark, tmp_path):
     d = files(tmp_path)
     e = Engine(spark, f"file://{tmp_path}/store", Models(extractor=KeywordExtractor(VOCABULARY)))
@@ -25,6 +32,7 @@ def test_life_of_a_corpus(spark, tmp_path):
     assert mentions == {"Transformer": 2, "Attention": 3, "Softmax": 1}
     weights = {(r.predicate, r.weight) for r in e.relations().collect()}
     assert weights == {("related_to", 10.0), ("related_to", 5.0)}
+    stored_sums_hold(e)
     before = {r.table: r.fingerprint for r in e.snapshot().collect()}
     assert {r.action for r in e.ingest([str(d)]).collect()} == {"skip"}
     assert {r.table: r.fingerprint for r in e.snapshot().collect()} == before
@@ -47,6 +55,7 @@ def test_life_of_a_corpus(spark, tmp_path):
     assert e.read("documents").count() == 1 and {r.name: r.mention_count for r in e.read("entities").collect()} == {"Transformer": 1, "Attention": 2, "Softmax": 1}
     (d / "a.md").write_text("# New\nOnly softmax here.\n")
     assert {r.action for r in e.ingest([str(d / "a.md")]).collect()} == {"change"}
+    stored_sums_hold(e)
     assert {r.name for r in e.read("entities").collect()} == {"Softmax"}
     assert {r.label: r.n for r in e.status().collect()}["documents"] == 1
 
