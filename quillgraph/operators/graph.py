@@ -275,36 +275,60 @@ def neighborhood_induced(relations: DataFrame, seeds: DataFrame, hops: int, limi
 
 
 def shortest_paths(relations: DataFrame, pairs: DataFrame, *, max_hops: int = 4, limit: int = 3) -> DataFrame:
-    """All shortest undirected paths of each pair (source, target), heaviest first.
-
-    Paths grow from the sources by unrolled joins; a pair stops growing once it
-    is answered, a path never revisits an entity, and only entities that lie on
-    some shortest path to the target are kept, by the distance seen from the
-    target's side.  Parallel relations give paths of their own.
+    """The heaviest shortest undirected paths of each pair (source, target).
+
+    Distances grow from both ends in turn, only for ends of pairs that haven't met yet.
+    Where a source's level meets a target's, the way back along smaller distances gives
+    the layers of the pair's shortest paths: every edge between two layers lies on one, so
+    a hub costs its edges into layers and not the paths through it.  From layer to layer
+    each entity of a pair keeps its ``limit`` best ways (weight, then ids, then steps),
+    which is enough, as a better beginning stays better whatever follows.  Parallel
+    relations give paths of their own.
     """
+    from .analytics import cut
+
     hops = max(1, min(max_hops, PATH_HOPS))
-    step = undirected(relations).select(F.col("entity_id").alias("at"), F.col("other_id").alias("next"), "predicate", "direction", "weight").where("at <> next")
-    asked = pairs.where("source <> target").select("source", "target").distinct()
-    # distances from the target, up to half the way, prune the growing paths
-    half = hops // 2
-    dist = asked.select(F.col("target"), F.col("target").alias("at")).distinct().withColumn("d", F.lit(0))
-    front, bare = dist, step.select("at", "next").distinct()
-    for d in range(1, half + 1):
-        nxt = front.join(bare, "at").select("target", F.col("next").alias("at")).distinct()
-        front = nxt.join(dist.select("target", "at"), ["target", "at"], "left_anti").withColumn("d", F.lit(d))
-        dist = dist.unionByName(front)
-    paths = asked.select("source", "target", F.col("source").alias("at"), F.array("source").alias("ids"), F.array().cast("array<string>").alias("steps"), F.lit(0.0).alias("weight"))
-    done = None
-    for h in range(1, hops + 1):
-        grown = paths.join(step.withColumnRenamed("weight", "w"), "at").where(~F.array_contains("ids", F.col("next")))
-        grown = grown.select("source", "target", F.col("next").alias("at"), F.array_append("ids", F.col("next")).alias("ids"), F.array_append("steps", F.concat("predicate", F.lit(":"), "direction")).alias("steps"), (F.col("weight") + F.col("w")).alias("weight"))
-        if hops - h <= half:
-            grown = grown.join(dist.where(F.col("d") <= hops - h).select("target", "at"), ["target", "at"], "left_semi")
-        hit = grown.where("at = target").withColumn("length", F.lit(h))
-        done = hit if done is None else done.unionByName(hit)
-        paths = grown.where("at <> target").join(hit.select("source", "target").distinct(), ["source", "target"], "left_anti")
-    order = Window.partitionBy("source", "target").orderBy(F.desc("weight"), F.array_join("ids", "\u0000"), F.array_join("steps", "\u0000"))
-    return done.withColumn("position", F.row_number().over(order)).where(F.col("position") <= limit).select("source", "target", "ids", "steps", "weight", "length", "position")
+    step = cut(undirected(relations).select(F.col("entity_id").alias("at"), F.col("other_id").alias("next"), "predicate", "direction", "weight").where("at <> next"))
+    bare = step.select("at", "next").distinct()
+    left = cut(pairs.where("source <> target").select("source", "target").distinct())
+    levels = {end: [left.select(F.col(end).alias("root"), F.col(end).alias("at")).distinct()] for end in ("source", "target")}
+    met: list[tuple[int, DataFrame]] = []
+    for length in range(1, hops + 1):
+        end = "source" if length % 2 else "target"
+        known, roots = levels[end], left.select(F.col(end).alias("root")).distinct()
+        onward = known[-1].join(roots, "root", "left_semi").join(bare, "at").select("root", F.col("next").alias("at")).distinct()
+        for before in known:
+            onward = onward.join(before, ["root", "at"], "left_anti")
+        known.append(cut(onward))
+        s, t = levels["source"][-1], levels["target"][-1]
+        both = left.join(s.withColumnRenamed("root", "source"), "source").join(t.withColumnRenamed("root", "target"), ["target", "at"])
+        both = cut(both.select("source", "target", "at"))
+        met.append((length, both))
+        left = cut(left.join(both.select("source", "target").distinct(), ["source", "target"], "left_anti"))
+        if left.isEmpty():
+            break
+    pair, done = ["source", "target"], None
+    order = (F.desc("weight"), F.array_join("ids", "\u0000"), F.array_join("steps", "\u0000"))
+    for length, middle in met:
+        half = -(-length // 2)  # the layer where the ends met
+        layers = {half: middle}
+        for i in range(half - 1, 0, -1):
+            back = layers[i + 1].join(bare, "at").select(*pair, F.col("next").alias("at")).distinct()
+            layers[i] = back.join(levels["source"][i].withColumnRenamed("root", "source"), ["source", "at"], "left_semi")
+        ways = middle.select(*pair).distinct().select(*pair, F.col("source").alias("at"), F.array("source").alias("ids"), F.array().cast("array<string>").alias("steps"), F.lit(0.0).alias("weight"))
+        for i in range(1, length + 1):
+            ways = ways.join(step.withColumnRenamed("weight", "w"), "at").select(*pair, F.col("next").alias("at"), F.array_append("ids", F.col("next")).alias("ids"), F.array_append("steps", F.concat("predicate", F.lit(":"), "direction")).alias("steps"), (F.col("weight") + F.col("w")).alias("weight"))
+            if i <= half:
+                ways = ways.join(layers[i], [*pair, "at"], "left_semi")
+            else:
+                ways = ways.join(levels["target"][length - i].withColumnRenamed("root", "target"), ["target", "at"], "left_semi")
+            best = F.row_number().over(Window.partitionBy(*pair, "at").orderBy(*order))
+            ways = ways.withColumn("position", best).where(F.col("position") <= limit)
+            if i < length:
+                ways = ways.drop("position")
+        out = ways.select(*pair, "ids", "steps", "weight", F.lit(length).alias("length"), "position")
+        done = out if done is None else done.unionByName(out)
+    return done
 
 
 # --- communities ----------------------------------------------------------

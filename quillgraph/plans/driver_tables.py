@@ -146,3 +146,7 @@ ALL_ASKED = """a AS (
   SELECT 'supplier:' || s_suppkey AS entity_id FROM supplier UNION SELECT 'part:' || p_partkey FROM part UNION SELECT 'customer:' || c_custkey FROM customer
   UNION SELECT 'nation:' || n_nationkey FROM nation UNION SELECT 'region:' || r_regionkey FROM region
 )"""
+ALL_PAIRS = """kinds AS (
+  SELECT 'supplier:' AS kind, s_suppkey AS k FROM supplier UNION SELECT 'part:', p_partkey FROM part UNION SELECT 'customer:', c_custkey FROM customer
+  UNION SELECT 'nation:', n_nationkey FROM nation UNION SELECT 'region:', r_regionkey FROM region
+), p AS (SELECT x.kind || x.k AS a, y.kind || y.k AS b FROM kinds x JOIN kinds y ON y.kind = x.kind AND y.k = x.k + 1)"""

@@ -140,13 +140,17 @@ def bfs_induced(spark, sf):
     return graph.neighborhood_induced(cut(d.relations(spark, sf)), d.asked_suppliers(spark, sf).select(F.col("entity_id").alias("seed_id")), 2, 30)
 
 
-@query(f"""WITH RECURSIVE {d.RELATIONS}, {d.UNDIRECTED}, {d.ASKED}, {d.PAIRS},
+def _paths_sql(pairs: str) -> str:
+    return f"""WITH RECURSIVE {d.RELATIONS}, {d.UNDIRECTED}, {pairs},
  w AS (SELECT a AS source, b AS target, a AS here, [a] AS ids, CAST([] AS VARCHAR[]) AS steps, 0.0::DOUBLE AS weight, 0 AS h FROM p
    UNION ALL SELECT source, target, other_id, list_append(ids, other_id), list_append(steps, predicate || ':' || direction), w.weight + u.weight, h + 1
    FROM w JOIN u ON u.entity_id = w.here WHERE h < 2 AND here <> target AND NOT list_contains(ids, other_id)),
  f AS (SELECT *, min(h) OVER (PARTITION BY source, target) AS length FROM w WHERE here = target)
 SELECT * FROM (SELECT source, target, array_to_string(ids, ' ') AS ids, weight, length, row_number() OVER (PARTITION BY source, target ORDER BY weight DESC, array_to_string(ids, chr(1)), array_to_string(steps, chr(1))) AS position
-  FROM f WHERE h = length) WHERE position <= 3""")
+  FROM f WHERE h = length) WHERE position <= 3"""
+
+
+@query(_paths_sql(f"{d.ASKED}, {d.PAIRS}"))
 def shortest_paths_all(spark, sf):
     pairs = d.asked_pairs(spark, sf).select(F.col("a").alias("source"), F.col("b").alias("target"))
     out = graph.shortest_paths(cut(d.relations(spark, sf).select("src_id", "predicate", "dst_id", "weight")), pairs, max_hops=2, limit=3)
@@ -349,3 +353,19 @@ def shortest_paths_4hops(spark, sf):
     pairs = d.asked_pairs(spark, sf).select(F.col("a").alias("source"), F.col("b").alias("target"))
     out = graph.shortest_paths(cut(d.relations(spark, sf).select("src_id", "predicate", "dst_id", "weight")), pairs, max_hops=4, limit=3)
     return out.select("source", "target", F.array_join("ids", " ").alias("ids"), "weight", "length", "position")
+
+
+@query(_paths_sql(f"{d.ALL_ASKED}, {d.ALL_PAIRS}"))
+def shortest_paths_kinds(spark, sf):
+    """Two hops between each entity of any kind and the next of its kind."""
+    pairs = d.all_pairs(spark, sf).select(F.col("a").alias("source"), F.col("b").alias("target"))
+    out = graph.shortest_paths(cut(d.relations(spark, sf).select("src_id", "predicate", "dst_id", "weight")), pairs, max_hops=2, limit=3)
+    return out.select("source", "target", F.array_join("ids", " ").alias("ids"), "weight", "length", "position")
+
+
+@query()
+def shortest_paths_4hops_kinds(spark, sf):
+    """The same pairs at four hops."""
+    pairs = d.all_pairs(spark, sf).select(F.col("a").alias("source"), F.col("b").alias("target"))
+    out = graph.shortest_paths(cut(d.relations(spark, sf).select("src_id", "predicate", "dst_id", "weight")), pairs, max_hops=4, limit=3)
+    return out.select("source", "target", F.array_join("ids", " ").alias("ids"), "weight", "length", "position")
