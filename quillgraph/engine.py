@@ -74,7 +74,7 @@ class Engine:
         new_docs, ids = docs.select("doc_id", "path", "title", "mime", "n_pages", now.alias("ingested_at")), chunks.select("chunk_id")
         ranges = chunks.select(blockmax.chunk_range(F.col("chunk_id")).alias("rng")).distinct()
         seen = registered.unionByName(rejected)
-        steps = tables.set_stage(self.read("stages").join(docs.select("doc_id"), "doc_id", "left_semi"), self._stage_rows(docs.select("doc_id"), ["parse", "chunk", "embed"], "done"))
+        steps = tables.set_stage(self.store.read_keys("stages", docs.select("doc_id")), self._stage_rows(docs.select("doc_id"), ["parse", "chunk", "embed"], "done"))
         self.store.merge({
             "documents": (docs.select("doc_id"), new_docs), "chunks": (ids, chunks), "chunk_vectors": (ids, vectors), "chunk_blocks": (ranges, index),
             "files": (seen.select("path"), seen.dropDuplicates(["path"])), "stages": (docs.select("doc_id"), steps),
@@ -139,11 +139,11 @@ class Engine:
         facts = facts.where("src_id <> dst_id").select("src_id", "predicate", "dst_id", "chunk_id", "strength", "description", F.col("pos").cast("long").alias("seq"))
         ids = chunks.select("chunk_id")
         known = have.select("entity_id").union(entities.select("entity_id")).distinct()
-        before = analytics.cut(self.store.read("relation_evidence", old).join(ids, "chunk_id", "left_semi"))
-        evidence = build.add_evidence(before, facts, self.store.read("chunks", old).join(ids, "chunk_id", "left_semi"), known)
+        before = analytics.cut(self.store.read_keys("relation_evidence", ids, old))
+        evidence = build.add_evidence(before, facts, self.store.read_keys("chunks", ids, old), known)
         evidence = analytics.cut(evidence)
         came = found.join(self.store.read("mentions", old), ["chunk_id", "entity_id"], "left_anti")
-        sums = maintained.changes(lambda n: self.store.read(n, old), (before, evidence), came, came.limit(0), analytics.cut)
+        sums = maintained.changes(lambda n, keys: self.store.read_keys(n, keys, old), (before, evidence), came, came.limit(0), analytics.cut)
         told = fresh.select("entity_id", self.embed(F.concat_ws(": ", "name", "description")).alias("dense"))
         docs = chunks.select("doc_id").distinct()
         steps = self._stage_rows(docs.join(broken, "doc_id", "left_anti"), ["extract", "graph"], "done").unionByName(self._stage_rows(broken, ["extract"], "failed", "too many chunks failed"))
@@ -151,7 +151,7 @@ class Engine:
         self.store.merge(sums | {
             "entities": (touched, entities), "entity_vectors": (fresh.select("entity_id"), told), "mentions": (found, found), "relation_evidence": (ids, evidence),
             "extraction_cache": (cache.select("chunk_id", "prompt_version", "model"), cache), "dirty_entities": (marked.select("entity_id"), marked),
-            "stages": (docs, tables.set_stage(self.store.read("stages", old).join(docs, "doc_id", "left_semi"), steps)),
+            "stages": (docs, tables.set_stage(self.store.read_keys("stages", docs, old), steps)),
         })
 
     # --- removal --------------------------------------------------------
@@ -184,7 +184,7 @@ class Engine:
         if dead.isEmpty():
             return
         gone_chunks = analytics.cut(read("chunks").join(dead, "doc_id", "left_semi").select("chunk_id"))
-        hit = read("mentions").join(gone_chunks, "chunk_id", "left_semi").groupBy("entity_id").agg(F.count(F.lit(1)).alias("i"))
+        hit = self.store.read_keys("mentions", gone_chunks, old).groupBy("entity_id").agg(F.count(F.lit(1)).alias("i"))
         total = read("mentions").join(hit, "entity_id", "left_semi").groupBy("entity_id").agg(F.count(F.lit(1)).alias("n"))
         plan = analytics.cut(hit.join(total, "entity_id").select("entity_id", (F.col("n") == F.col("i")).alias("removed"), (F.col("n") - F.col("i")).cast("int").alias("left")))
         dirty = analytics.cut(build.dirty_after_removal(plan, read("wiki_links"), read("wiki_cites"), gone_chunks))
@@ -192,12 +192,12 @@ class Engine:
         pages = removed.withColumnRenamed("entity_id", "page_id")
         # relations that lose evidence lose their description everywhere
         key = ["src_id", "predicate", "dst_id"]
-        lost = read("relation_evidence").join(gone_chunks, "chunk_id", "left_semi").select(*key).distinct()
+        lost = self.store.read_keys("relation_evidence", gone_chunks, old).select(*key).distinct()
         touched = analytics.cut(read("relation_evidence").join(lost, key, "left_semi"))
         facts = touched.join(gone_chunks, "chunk_id", "left_anti").withColumn("description", F.lit(""))
         facts = analytics.cut(facts)
-        went = read("mentions").join(gone_chunks, "chunk_id", "left_semi")
-        sums = maintained.changes(read, (touched, facts), went.limit(0), went, analytics.cut)
+        went = self.store.read_keys("mentions", gone_chunks, old)
+        sums = maintained.changes(lambda n, keys: self.store.read_keys(n, keys, old), (touched, facts), went.limit(0), went, analytics.cut)
         none = F.array().cast("array<string>")
         alive = read("entities").join(plan.where("NOT removed").select("entity_id", "left"), "entity_id")
         alive = alive.withColumn("mention_count", F.col("left")).withColumn("description", F.lit("")).withColumn("descriptions", none).drop("left")

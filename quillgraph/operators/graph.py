@@ -389,9 +389,10 @@ def fulltext(entities: DataFrame, queries: DataFrame, *, prefix: bool = False, k
     terms = entities.select("entity_id", "name", F.explode(tokens(F.concat_ws(" ", "name", F.coalesce("aliases_text", F.lit(""))))).alias("term"))
     df = terms.groupBy("term").agg(F.count_distinct("entity_id").alias("df"))
     asked = queries.select("query_id", F.explode(F.slice(tokens(F.col("query")), 1, TERMS)).alias("asked"))
-    if prefix:  # a shared first letter makes it an equi-join
-        vocabulary = df.withColumn("initial", F.left("term", F.lit(1)))
-        hits = asked.withColumn("initial", F.left("asked", F.lit(1))).join(vocabulary, "initial").where(F.startswith("term", F.col("asked")))
+    if prefix:  # an equi-join on the asked beginning: each term by its beginnings of the lengths that are asked
+        sizes = asked.select(F.length("asked").alias("n")).distinct().agg(F.collect_set("n").alias("sizes"))  # one row
+        begun = df.join(F.broadcast(sizes)).withColumn("n", F.explode(F.filter("sizes", lambda n: n <= F.length("term")))).withColumn("asked", F.left("term", F.col("n")))
+        hits = asked.join(begun.select("asked", "term", "df"), "asked")
     else:
         hits = asked.join(df, F.col("asked") == F.col("term"))
     n = entities.agg(F.count(F.lit(1)).alias("n"))

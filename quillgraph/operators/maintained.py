@@ -70,11 +70,12 @@ def rebuilt(evidence: DataFrame, mentions: DataFrame) -> tuple[DataFrame, DataFr
 
 
 def changes(read, evidence: tuple[DataFrame, DataFrame], came: DataFrame, went: DataFrame, cut) -> dict[str, tuple[DataFrame, DataFrame]]:
-    """The keyed merges of both tables; ``read`` gives a stored table, ``evidence`` is
-    (before, after), ``came`` and ``went`` are mentions."""
+    """The keyed merges of both tables; ``read`` gives at least the rows of the keys that
+    it gets, ``evidence`` is (before, after), ``came`` and ``went`` are mentions."""
     change = cut(evidence_change(*evidence))
-    moved = cut(moved_relations(read("relations").join(change.select(*KEY).distinct(), KEY, "left_semi"), change))
-    degrees = cut(moved_degrees(read("degrees"), degree_change(moved, came, went)))
+    moved = cut(moved_relations(read("relations", change.select(*KEY).distinct()), change))
+    ends = cut(degree_change(moved, came, went))
+    degrees = cut(moved_degrees(read("degrees", ends.select("entity_id")), ends))
     return {
         "relations": (moved.select(*KEY), moved.where("n_evidence > 0").select(*KEY, "weight", "n_evidence", "description", "seq")),
         "degrees": (degrees.select("entity_id"), degrees.where("degree > 0")),

@@ -84,6 +84,57 @@ class TableStore:
             return self.spark.createDataFrame([], TABLES[name])
         return self.spark.read.schema(TABLES[name]).parquet(*(f"{self.root}/{p}" for p in paths))
 
+    def read_keys(self, name: str, keys: DataFrame, manifest: dict | None = None) -> DataFrame:
+        """Rows of ``name`` whose bucket columns are among ``keys``.
+
+        Only the buckets that the keys fall into are opened; their numbers, not the keys,
+        come to the driver.  Tables that aren't bucketed are read whole.
+        """
+        place = (manifest or self.manifest())["tables"].get(name)
+        on = BUCKETED.get(name, KEYS[name])
+        wanted = keys.select(*on).distinct()
+        if place is None or isinstance(place, str) or len(place["buckets"]) == 1:
+            return self.read(name, manifest).join(wanted, on, "left_semi")
+        n = len(place["buckets"])
+        hit = [r[0] for r in wanted.select(bucket_of(name, n).alias("b")).distinct().collect()]  # n at most
+        paths = sorted(f"{self.root}/{place['buckets'][k]}" for k in hit if place["buckets"][k])
+        if not paths:
+            return self.spark.createDataFrame([], TABLES[name])
+        return self.spark.read.schema(TABLES[name]).parquet(*paths).join(wanted, on, "left_semi")
+
+    def expire(self, keep: int = 10) -> int:
+        """Delete manifests but the last ``keep``, and the directories of tables and of
+        buckets that none of these names; the number of directories deleted.
+
+        A directory that a commit under way has written is named by no manifest yet: run
+        this when nothing is written, or after writers that began before have ended.
+        """
+        where = self._path(f"{self.root}/_manifest")
+        if not self._fs.exists(where):
+            return 0
+        names = sorted(s.getPath().getName() for s in self._fs.listStatus(where) if s.getPath().getName().endswith(".json"))
+        held: set[str] = set()
+        for name in names[-max(1, keep) :]:
+            tables = json.loads(self.spark.read.text(f"{self.root}/_manifest/{name}", wholetext=True).first()[0])["tables"]
+            for place in tables.values():
+                held |= {p for p in ([place] if isinstance(place, str) else place["buckets"]) if p}
+        versions, gone = {"/".join(p.split("/")[:2]) for p in held}, 0
+        for table in self._fs.listStatus(self._path(self.root)):
+            if not table.isDirectory() or table.getPath().getName().startswith("_"):
+                continue
+            for version in self._fs.listStatus(table.getPath()):
+                path = f"{table.getPath().getName()}/{version.getPath().getName()}"
+                if path not in versions:
+                    gone += bool(self._fs.delete(version.getPath(), True))
+                    continue
+                inner = self._path(f"{self.root}/{path}/in")
+                for bucket in self._fs.listStatus(inner) if self._fs.exists(inner) else []:
+                    if bucket.isDirectory() and f"{path}/in/{bucket.getPath().getName()}" not in held:
+                        gone += bool(self._fs.delete(bucket.getPath(), True))
+        for name in names[: -max(1, keep)]:
+            self._fs.delete(self._path(f"{self.root}/_manifest/{name}"), False)
+        return gone
+
     def exists(self, name: str) -> bool:
         return name in self.manifest()["tables"]
 

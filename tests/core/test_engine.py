@@ -139,5 +139,19 @@ def test_store_rewrites_touched_buckets(spark, tmp_path, monkeypatch):
     assert s.read("entity_vectors").count() == 101 and 1 <= sum(a != b for a, b in zip(before, after, strict=True)) <= 2
     s.merge({"entity_vectors": (rows([5], "x").select("entity_id"), rows([], "x"))})
     assert s.read("entity_vectors").count() == 100 and s.read("entity_vectors").where("entity_id = 'e5'").isEmpty()
+    # a keyed read opens the buckets of its keys alone
+    place, number = s.manifest()["tables"]["entity_vectors"]["buckets"], len(before)
+    for asked in ([], [7], [7, 8, 9], ["none"]):
+        keys = spark.createDataFrame([(f"e{i}",) for i in asked], "entity_id string")
+        found = s.read_keys("entity_vectors", keys)
+        want = {r.b for r in keys.select(st.bucket_of("entity_vectors", number).alias("b")).collect()}
+        assert sorted(r.entity_id for r in found.collect()) == [f"e{i}" for i in asked if i != "none"]
+        opened = {f.split("/s/")[1].rsplit("/", 1)[0] for f in found.inputFiles()}
+        assert opened <= {place[b] for b in want} and len(opened) <= len(want)
+    # old versions go, the snapshots of the last manifests stay
+    last, rows_now = s.manifest(), s.read("entity_vectors").count()
+    assert s.expire(keep=1) >= 1 and s.read("entity_vectors", last).count() == rows_now and s.expire(keep=1) == 0
+    s.upsert("entity_vectors", rows([300], "c"))
+    assert s.read("entity_vectors").count() == rows_now + 1
     twice = spark.createDataFrame([("k", "old", 1), ("k", "new", 2)], "key string, value string, seq int")
     assert st.last_of_each(twice, ["key"]).first().value == "new"

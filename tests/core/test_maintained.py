@@ -28,7 +28,7 @@ def test_random_changes_equal_a_rebuild(spark):
                 mentions |= {(c, a), (c, b)}
         touched = lambda rows: {k: v for k, v in rows.items() if k in old.keys() ^ evidence.keys()}  # noqa: B023, E731
         tables = {"relations": relations, "degrees": degrees}
-        out = m.changes(tables.get, (frame(touched(old)), frame(touched(evidence))), ends(mentions - old_mentions), ends(old_mentions - mentions), cut)
+        out = m.changes(lambda n, keys: tables[n], (frame(touched(old)), frame(touched(evidence))), ends(mentions - old_mentions), ends(old_mentions - mentions), cut)
         relations, degrees = (cut(tables[n].join(g, g.columns, "left_anti").unionByName(rows)) for n, (g, rows) in out.items())
         want = m.rebuilt(frame(evidence), ends(mentions))
         got = sorted(tuple(r)[:6] for r in relations.collect())
