@@ -62,7 +62,12 @@ NOISE_WORDS = frozenset(
 )
 TALK = frozenset("comment comments commentlist disqus respond replies reply".split())
 STATES = frozenset("has no with without not is hide show".split())
-_WORD = re.compile(r"[a-z]+(?:-[a-z]+)?|[a-z]+")
+# fixed values: words that only say where or how such a part stands
+LAYOUT = frozenset(
+    "site page main top bottom left right header box bar block list container wrapper wrap area section slot unit item items link links post posts content inner outer group primary secondary global local"
+    " mobile desktop sticky fixed form button buttons icon icons panel column row col trail region wide small large module modules zone frame card cards head body xs sm md lg xl".split()
+)
+_PART = re.compile(r"[a-z]+")
 
 
 class Node:
@@ -87,8 +92,9 @@ def noisy(name: str, attributes: str) -> tuple[bool, bool]:
         for token in (m.group(1) or m.group(2) or m.group(3) or "").lower().replace("_", "-").split():
             if token.split("-")[0] in STATES:  # has-sidebar says what is near
                 continue
-            words = {token} | {w for part in token.split("-") for w in _WORD.findall(part)}
-            if not words.isdisjoint(NOISE_WORDS):
+            words = {token} if token in NOISE_WORDS else {m.group() for part in re.split(r"[^a-z0-9]+", token) if (m := _PART.match(part))}
+            # the whole token must say so: a history of notice boards is no notice
+            if not words.isdisjoint(NOISE_WORDS) and words <= NOISE_WORDS | LAYOUT:
                 return True, not words.isdisjoint(TALK)
     return bool(_HIDDEN.search(_VALUES.sub(r"\1=", attributes))), False
 

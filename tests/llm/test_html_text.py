@@ -113,3 +113,17 @@ def test_densities_against_their_definition():
             assert n.density == pytest.approx(density[n])
         for n in nodes:
             assert n.total == pytest.approx(sum(x.density for x in n.items if not isinstance(x, str)))
+
+
+STAY = "notice-board-history related-work share-price comments-on-kant menu-of-the-day promotion-to-captain banner-of-the-regiment search-for-meaning ad-hoc-methods alert-levels-explained subscription-economics navigation-at-sea signup-rates-study toolbar-invention widget-factory-story popup-books sponsor-of-the-bill pagination-in-print cookie-recipes reply-to-critics".split()
+GO = "ad ads-top sidebar-left site-footer main-nav cookie-notice newsletter-signup share-bar social-links comment-list related-posts breadcrumb-trail top-banner search-box pagination-links widget-area sponsored-content popup-overlay md:sidebar ad-300x250".split()
+
+
+def test_names_cut_only_what_they_name():
+    """Article blocks of twenty names stay and other blocks of twenty names go."""
+    paragraph = lambda k: f"<p>{ARTICLE} number {k}.</p>"
+    for attribute in ("class", "id"):
+        page = "<body><main>" + "".join(f"<div {attribute}='{n}'>{paragraph(k)}</div>" for k, n in enumerate(STAY)) + "".join(f"<div {attribute}='{n}'>Noise {k} here.</div>" for k, n in enumerate(GO)) + "</main></body>"
+        text = extract(page)
+        assert [n for k, n in enumerate(STAY) if f"number {k}." not in text] == []
+        assert [n for k, n in enumerate(GO) if f"Noise {k} here" in text] == []
