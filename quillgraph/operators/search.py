@@ -113,8 +113,13 @@ def for_entity(vectors: DataFrame, mentions: DataFrame, asked: DataFrame, k: int
 
 
 def by_name(entities: DataFrame, keys: DataFrame, limit: int) -> DataFrame:
-    """Entities that share a name key with a query: keys (query_id, name_keys)."""
-    have = entities.select("entity_id", F.explode("name_keys").alias("k"))
+    """Entities that share a name key with a query: keys (query_id, name_keys).
+
+    A key's ``limit`` least entities are all that a query can use of it, so only these
+    are joined and a common name doesn't multiply rows.
+    """
+    have = entities.select("entity_id", F.explode("name_keys").alias("k")).distinct()
+    have = have.withColumn("_n", F.row_number().over(Window.partitionBy("k").orderBy("entity_id"))).where(F.col("_n") <= limit).drop("_n")
     hits = keys.select("query_id", F.explode("name_keys").alias("k")).join(have, "k").select("query_id", "entity_id").distinct()
     order = Window.partitionBy("query_id").orderBy("entity_id")
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
