@@ -7,9 +7,13 @@ Shingles are five words (of fewer words the whole sequence), compared as sets.
 * Equal texts are collapsed first.  In a bucket each text meets an anchor.  In a
   bucket of up to ``SMALL`` texts all pairs are candidates, too, unless anchors
   have joined them already.  A larger one is cut by the next one or two bands' keys
-  and treated in the same way, so work stays linear.  A pair in buckets of over
-  ``SMALL`` texts at all levels is joined only if both are similar to an anchor or
-  to other texts of one group.
+  and treated in the same way.
+* The rest is exact: texts of a bucket of over ``SMALL`` that aren't yet all in one
+  group meet wherever they share one of their rarest shingles, so many of each text
+  that a pair at 0.8 can't miss all (prefix filter); lists of texts with a shingle
+  are dealt into cells of bounded size.  Where texts differ in their shingles this is
+  linear; where thousands share them and are less similar than 0.8, each pair of
+  groups is looked at.
 * Candidates are verified on their shingle sets (32-bit hashes), which a second
   pass takes from the texts that share a bucket, and of no others.
 
@@ -23,6 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import discard, give_back, hot_keys, join_apart, materialize
 from .components import components
@@ -30,6 +35,8 @@ from .simhash import fingerprint
 
 SHINGLE, LEAST = 5, 0.8
 BANDS, ROWS, SMALL, LEVELS = 16, 4, 16, 3
+#: Texts of one shingle in a block; a cell holds two blocks.
+CELL = 1000
 #: Rows (24 bytes each) up to which a list of texts to read again is broadcast.
 BROADCAST_ROWS = 500_000
 _rng = np.random.default_rng(42)
@@ -81,9 +88,9 @@ def _pair(x: str, y: str) -> list:
     return [F.greatest(x, y).alias("a"), F.least(x, y).alias("b")]
 
 
-def candidates(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+def candidates(texts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Distinct (a, b) keys of ``texts`` (key, bands): each text with its buckets'
-    anchors, and the members (bucket, key) of small buckets."""
+    anchors, and the members (bucket, key) of small and of large buckets."""
     turned = lambda k: F.concat(F.slice("bands", k + 1, BANDS - k), F.slice("bands", 1, k))
     z = texts.select("key", F.explode(F.arrays_zip(F.col("bands").alias("x"), turned(1).alias("y"), turned(2).alias("z"))).alias("s"))
     here = materialize(z.select("key", F.col("s.x").alias("k0"), F.xxhash64("s.x", "s.y").alias("k1"), F.xxhash64("s.x", "s.y", "s.z").alias("k2")), "jaccard-bands")
@@ -97,16 +104,53 @@ def candidates(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
         stars.append(live.where("key <> anchor").select(*_pair("key", "anchor")))
         small.append(live.where(F.col("n") <= SMALL).select(F.xxhash64(F.lit(level), k).alias("bucket"), "key"))
         here = live.where(F.col("n") > SMALL).drop("n", "anchor")
+        if not level:
+            large = materialize(here.select(F.col(k).alias("bucket"), "key"), "jaccard-large")
         if here.isEmpty():
             break
     anchored, few = stars[0], small[0]
     for s, f in zip(stars[1:], small[1:], strict=True):
         anchored, few = anchored.union(s), few.union(f)
-    out = materialize(anchored.distinct(), "jaccard-stars"), materialize(few, "jaccard-small")
+    out = materialize(anchored.distinct(), "jaccard-stars"), materialize(few, "jaccard-small"), large
     discard(*used)
     return out
 
 
+def apart(large: DataFrame, label: DataFrame, sets: DataFrame, least: float) -> DataFrame | None:
+    """Pairs (a, b) of texts of ``large`` buckets in two groups of ``label`` that may be
+    similar: all that are, and few others.  None where each bucket is of one group."""
+    named = large.join(label.select(F.col("node").alias("key"), "component"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+    named = materialize(named, "jaccard-named")
+    mixed = named.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("bucket")
+    keys = materialize(named.join(mixed, "bucket", "left_semi").select("key", "component").distinct(), "jaccard-apart")
+    if keys.isEmpty():
+        discard(named, keys)
+        return None
+
+    def exploded(batches):
+        for b in batches:
+            for key, component, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                own = np.frombuffer(data, np.uint32).astype(np.int64)
+                one = lambda x: pa.array(np.full(len(own), x, dtype=np.int64))  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays([one(key), one(component), one(len(own)), pa.array(own)], names=["key", "component", "size", "shingle"])
+
+    rows = materialize(sets.join(keys, "key").select("key", "component", "shingles").mapInArrow(exploded, "key long, component long, size long, shingle long"), "jaccard-shingles")
+    df = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"))
+    rare = F.row_number().over(Window.partitionBy("key").orderBy("df", "shingle"))
+    prefix = join_apart(rows, df, "shingle", hot_keys(rows, "shingle", rows.count())).withColumn("at", rare)
+    prefix = materialize(prefix.where(F.col("at") <= F.col("size") - F.ceil(F.lit(least) * F.col("size") - 1e-9) + 1).select("key", "component", "size", "shingle"), "jaccard-prefix")
+    lists = prefix.groupBy("shingle").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.ceil(F.count(F.lit(1)) / CELL).alias("blocks")).where("x <> y").select("shingle", "blocks")
+    dealt = join_apart(prefix, lists, "shingle", hot_keys(prefix, "shingle", prefix.count())).withColumn("block", F.pmod(F.xxhash64("key", "shingle"), F.col("blocks")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = materialize(dealt.select("shingle", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "key", "component", "size"), "jaccard-cells")
+    mate = dealt.select("shingle", "lo", "hi", *(F.col(c).alias(f"_{c}") for c in ("block", "key", "component", "size")))
+    alike = (F.col("size") >= F.col("_size") * least - 1e-9) & (F.col("_size") >= F.col("size") * least - 1e-9)
+    met = dealt.join(mate, ["shingle", "lo", "hi"]).where((F.col("key") > F.col("_key")) & (F.col("component") != F.col("_component")) & alike & ((F.col("lo") == F.col("hi")) | (F.col("block") != F.col("_block"))))
+    pairs = materialize(met.select(F.col("key").alias("a"), F.col("_key").alias("b")).distinct(), "jaccard-met")
+    discard(named, keys, rows, prefix, dealt)
+    return pairs
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """The pairs (a, b) of ``pairs`` that are similar enough."""
     total = pairs.count()
@@ -131,7 +175,7 @@ def jaccard_links(rows: DataFrame, docs: DataFrame, least: float = LEAST, shingl
     ``rows`` has ``row``, ``fp``, ``key`` and ``bands`` of ``docs`` (row, text).
     """
     texts = materialize(rows.where(F.size("bands") > 0).groupBy("key").agg(F.min("row").alias("row"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "jaccard-texts")
-    stars, few = candidates(texts.select("key", "bands"))
+    stars, few, large = candidates(texts.select("key", "bands"))
     asked = stars.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     picked = materialize(texts.join(asked, "key", "left_semi").select("row", "key"), "jaccard-picked")
     found = picked if picked.count() > BROADCAST_ROWS else F.broadcast(picked)
@@ -152,8 +196,13 @@ def jaccard_links(rows: DataFrame, docs: DataFrame, least: float = LEAST, shingl
     pairs = placed.join(other, "bucket").where("key > _key AND component <> _component").select(*_pair("key", "_key")).distinct()
     pairs = materialize(pairs, "jaccard-pairs")
     second = _verified(pairs, sets, least)
+    found = first.union(second)
+    # pairs of large buckets that nothing has joined
+    last = None if large.isEmpty() else apart(large, components(found), sets, least)
+    third = None if last is None else _verified(last, sets, least)
+    found = found if third is None else found.union(third)
     fp = texts.select("key", "fp")
-    named = first.union(second).join(fp.select(F.col("key").alias("a"), F.col("fp").alias("fp_a")), "a").join(fp.select(F.col("key").alias("b"), F.col("fp").alias("fp_b")), "b")
+    named = found.join(fp.select(F.col("key").alias("a"), F.col("fp").alias("fp_a")), "a").join(fp.select(F.col("key").alias("b"), F.col("fp").alias("fp_b")), "b")
     out = materialize(named.where("fp_a <> fp_b").select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b")).distinct(), "jaccard-links")
-    discard(texts, stars, few, picked, sets, first, label, placed, pairs, second)
+    discard(texts, stars, few, large, picked, sets, first, label, placed, pairs, second, last, third)
     return out
