@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import models, text
 from ..operators import chunking, wiki
+from ..operators.analytics import cut
 from ..session import load
 from ..sources import files
 from . import driver_tables as d
@@ -341,7 +342,7 @@ def wiki_evidence(spark, sf):
     """Nearest chunks (here: the last ones), then still valid old citations."""
     from pyspark.sql.window import Window
 
-    m = d.mentions(spark, sf)
+    m = cut(d.mentions(spark, sf))
     near = m.withColumn("rank", F.row_number().over(Window.partitionBy("entity_id").orderBy(F.desc("chunk_id")))).withColumn("score", F.lit(0.5))
     ends = m.groupBy("entity_id").agg(F.array_distinct(F.array(F.min("chunk_id"), F.max("chunk_id"), F.lit("gone"))).alias("c"))
     cites = ends.select(F.col("entity_id").alias("page_id"), F.explode("c").alias("chunk_id"))
