@@ -13,9 +13,11 @@ Shingles are five words (of fewer words the whole sequence), compared as sets.
   that a pair at 0.8 can't miss all (prefix filter); lists of texts with a shingle
   are dealt into cells of bounded size.  Where texts differ in their shingles this is
   linear; where thousands share them and are less similar than 0.8, each pair of
-  groups is looked at.
+  groups is looked at, but few such pairs become rows (see parity maps).
 * Candidates are verified on their shingle sets (32-bit hashes), which a second
   pass takes from the texts that share a bucket, and of no others.
+* Where texts meet by shingles, the join compares parity maps first: two maps differ in
+  no more bits than the sets in shingles, so only pairs that may be similar become rows.
 
 Defined results: null and blank texts have no links.
 """
@@ -37,6 +39,8 @@ SHINGLE, LEAST = 5, 0.8
 BANDS, ROWS, SMALL, LEVELS = 16, 4, 16, 3
 #: Texts of one shingle in a block; a cell holds two blocks.
 CELL = 1000
+#: Words of 64 bits in a text's parity map; it tells little of texts of over 2000 shingles.
+WORDS = 16
 #: Rows (24 bytes each) up to which a list of texts to read again is broadcast.
 BROADCAST_ROWS = 500_000
 _rng = np.random.default_rng(42)
@@ -65,6 +69,12 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / max(1, len(a) + len(b) - both)
 
 
+def parity_map(hashes: np.ndarray) -> np.ndarray:
+    """Words of bits, of which each hash flips one."""
+    flips = np.bincount(hashes.astype(np.int64) % (64 * WORDS), minlength=64 * WORDS)
+    return np.packbits((flips & 1).astype(np.uint8)).view(np.int64)
+
+
 def with_keys(docs: DataFrame, keep: list[str], shingle: int = SHINGLE) -> DataFrame:
     """``keep`` columns, ``fp`` of op2, the text's key and its band keys."""
     rows = docs.select(*keep, F.col("text").alias("_text"), F.xxhash64("text").alias("key"))
@@ -134,6 +144,13 @@ def apart(large: DataFrame, label: DataFrame, sets: DataFrame, least: float) ->
                 one = lambda x: pa.array(np.full(len(own), x, dtype=np.int64))  # noqa: B023, E731
                 yield pa.RecordBatch.from_arrays([one(key), one(component), one(len(own)), pa.array(own)], names=["key", "component", "size", "shingle"])
 
+    words = [f"w{i}" for i in range(WORDS)]
+
+    def mapped(batches):
+        for b in batches:
+            maps = np.array([parity_map(np.frombuffer(x, np.uint32)) for x in b.column(1).to_pylist()], dtype=np.int64).reshape(-1, WORDS)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.ascontiguousarray(w)) for w in maps.T)], names=["key", *words])
+
     rows = materialize(sets.join(keys, "key").select("key", "component", "shingles").mapInArrow(exploded, "key long, component long, size long, shingle long"), "jaccard-shingles")
     df = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"))
     rare = F.row_number().over(Window.partitionBy("key").orderBy("df", "shingle"))
@@ -142,10 +159,17 @@ def apart(large: DataFrame, label: DataFrame, sets: DataFrame, least: float) ->
     lists = prefix.groupBy("shingle").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.ceil(F.count(F.lit(1)) / CELL).alias("blocks")).where("x <> y").select("shingle", "blocks")
     dealt = join_apart(prefix, lists, "shingle", hot_keys(prefix, "shingle", prefix.count())).withColumn("block", F.pmod(F.xxhash64("key", "shingle"), F.col("blocks")))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = materialize(dealt.select("shingle", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "key", "component", "size"), "jaccard-cells")
-    mate = dealt.select("shingle", "lo", "hi", *(F.col(c).alias(f"_{c}") for c in ("block", "key", "component", "size")))
+    maps = sets.join(keys, "key", "left_semi").select("key", "shingles").mapInArrow(mapped, ", ".join(f"{c} long" for c in ["key", *words]))
+    dealt = dealt.select("shingle", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "key", "component", "size")
+    dealt = materialize(dealt.hint("merge").join(maps, "key"), "jaccard-cells")
+    # few bytes, much work: the planner must not merge the tasks
+    dealt_out = lambda rows: rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "shingle", "lo", "hi")
+    mate = dealt.select("shingle", "lo", "hi", *(F.col(c).alias(f"_{c}") for c in ("block", "key", "component", "size", *words)))
     alike = (F.col("size") >= F.col("_size") * least - 1e-9) & (F.col("_size") >= F.col("size") * least - 1e-9)
-    met = dealt.join(mate, ["shingle", "lo", "hi"]).where((F.col("key") > F.col("_key")) & (F.col("component") != F.col("_component")) & alike & ((F.col("lo") == F.col("hi")) | (F.col("block") != F.col("_block"))))
+    unlike = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"_{w}"))) for w in words), F.lit(0))
+    may = unlike <= (F.col("size") + F.col("_size")) * ((1 - least) / (1 + least)) + 1e-9
+    met = dealt_out(dealt).join(dealt_out(mate), ["shingle", "lo", "hi"])
+    met = met.where((F.col("key") > F.col("_key")) & (F.col("component") != F.col("_component")) & alike & ((F.col("lo") == F.col("hi")) | (F.col("block") != F.col("_block"))) & may)
     pairs = materialize(met.select(F.col("key").alias("a"), F.col("_key").alias("b")).distinct(), "jaccard-met")
     discard(named, keys, rows, prefix, dealt)
     return pairs
